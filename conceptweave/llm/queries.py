@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .media import op10_media
 from .packing import op5_packing
 from .sharding import op4_sharding
+from .warc import op7_warc
 
 QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
+    "op7_warc": op7_warc,
+    "op10_media": op10_media,
 }
 ORACLE_SQL: dict[str, str] = {}
