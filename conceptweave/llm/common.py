@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,3 +40,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under the fixed names doc_id and text, whatever other columns there are."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, though a function of array elements uses it again and again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from . import decontamination, licenses, linededup
+from .decontamination import op9_decontamination
+from .licenses import op1_licenses
+from .linededup import op8_linededup
 from .media import op10_media
 from .packing import op5_packing
 from .sharding import op4_sharding
 from .warc import op7_warc
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
     "op7_warc": op7_warc,
+    "op8_linededup": op8_linededup,
+    "op9_decontamination": op9_decontamination,
     "op10_media": op10_media,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_licenses": licenses.oracle(),
+    "op8_linededup": linededup.ORACLE,
+    "op9_decontamination": decontamination.ORACLE,
+}
