@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, linededup
+from . import decontamination, licenses, linededup, secrets
 from .decontamination import op9_decontamination
 from .licenses import op1_licenses
 from .linededup import op8_linededup
 from .media import op10_media
 from .packing import op5_packing
+from .secrets import op6_secrets
 from .sharding import op4_sharding
 from .warc import op7_warc
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_licenses": op1_licenses,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
+    "op6_secrets": op6_secrets,
     "op7_warc": op7_warc,
     "op8_linededup": op8_linededup,
     "op9_decontamination": op9_decontamination,
@@ -22,6 +24,7 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_licenses": licenses.oracle(),
+    "op6_secrets": secrets.oracle(),
     "op8_linededup": linededup.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
 }
