@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, linededup, secrets
+from . import decontamination, jaccard, licenses, linededup, secrets
 from .decontamination import op9_decontamination
+from .jaccard import op3_jaccard
+from .language import op2_language
 from .licenses import op1_licenses
 from .linededup import op8_linededup
 from .media import op10_media
@@ -14,6 +16,8 @@ from .warc import op7_warc
 
 QUERIES = {
     "op1_licenses": op1_licenses,
+    "op2_language": op2_language,
+    "op3_jaccard": op3_jaccard,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
@@ -24,6 +28,7 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_licenses": licenses.oracle(),
+    "op3_jaccard": jaccard.ORACLE,
     "op6_secrets": secrets.oracle(),
     "op8_linededup": linededup.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
