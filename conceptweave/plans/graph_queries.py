@@ -1,0 +1,546 @@
+"""Queries of the graph, vector, search, citation, evaluation and report operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.lexicon import EXTERNAL_CUES, RELATIVE_CUES, WHOLE_LAW_CUES
+from ..functions.text import quoted, tokens, tokens_sql
+from ..functions.vectors import as_arrays, weighted_mean
+from ..operators import cite, evaluate, graph, report, search, stats
+from .base import CONV, Conversations, centroid_sql, query, table, vec_id_sql, word_vec_id
+
+
+def written(df, name):
+    """A table in the folder of ``spark.checkpoint.dir``, or in a new one where that is unset."""
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="conceptweave-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+# Tree and roll-up
+
+
+@query("containment_edges", f"WITH {CONV} SELECT src, dst, CASE WHEN length(src) > length(dst) THEN 'parent' ELSE 'child' END AS type FROM edges")
+def containment_edges(spark, sf):
+    return Conversations(spark, sf).edges
+
+
+@query("rollup_bow", f"WITH {CONV} SELECT id, word, cnt FROM cbow")
+def rollup_bow(spark, sf):
+    return Conversations(spark, sf).bow.select("id", "word", "cnt")
+
+
+@query("missing_neighbours", f"WITH {CONV} SELECT src, dst, 'ref_to' AS type FROM (SELECT 'C' || (conv_id + 7) AS dst, 'C' || conv_id AS src FROM (SELECT DISTINCT conv_id FROM conversations)) WHERE dst NOT IN (SELECT id FROM nodes)")
+def missing_neighbours(spark, sf):
+    c = Conversations(spark, sf)
+    refs = c.nodes.filter("level = 0").select(F.col("id").alias("src"), F.concat(F.lit("C"), (F.substring("id", 2, 20).cast("long") + 7).cast("string")).alias("dst"), F.lit("ref_to").alias("type"))
+    return graph.missing_neighbours(refs, c.nodes)
+
+
+@query("reference_edges", f"""WITH {CONV}, r AS (SELECT 'C' || conv_id AS src, 'C' || (conv_id + 7) AS dst FROM (SELECT DISTINCT conv_id FROM conversations)), k AS (SELECT r.*, id IS NOT NULL AS known FROM r LEFT JOIN nodes ON dst = id)
+SELECT src, dst, CASE WHEN known THEN 'ref_to' ELSE 'ref_to_UNKNOWN' END AS type FROM k UNION ALL SELECT dst, src, 'ref_from' FROM k WHERE known""")
+def reference_edges(spark, sf):
+    c = Conversations(spark, sf)
+    refs = c.nodes.filter("level = 0").select(F.col("id").alias("src"), F.concat(F.lit("C"), (F.substring("id", 2, 20).cast("long") + 7).cast("string")).alias("dst"))
+    return graph.reference_edges(refs, c.nodes).select("src", "dst", "type")
+
+
+# Vectors
+
+
+@query("sentence_mean_vec", f"""WITH {CONV} SELECT id, dim::INT AS dim, round(sum(x * cnt) / sum(cnt), 6) AS value FROM
+(SELECT id, cnt, unnest(range(0, len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x FROM leaf JOIN embeddings ON vec_id = {vec_id_sql('word')}) GROUP BY 1, 2""")
+def sentence_mean_vec(spark, sf):
+    c = Conversations(spark, sf)
+    return weighted_mean(c.with_vec_id(c.leaves).join(c.vectors, "vec_id"), "id", "vec", F.col("cnt"), 6)
+
+
+@query("bow_mean_vec", f"""WITH {CONV} SELECT id, dim::INT AS dim, round(sum(x * cnt) / sum(cnt), 6) AS value FROM
+(SELECT id, cnt, unnest(range(0, len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x FROM cbow JOIN embeddings ON vec_id = {vec_id_sql('word')}) GROUP BY 1, 2""")
+def bow_mean_vec(spark, sf):
+    c = Conversations(spark, sf)
+    return weighted_mean(c.with_vec_id(c.bow).join(c.vectors, "vec_id"), "id", "vec", F.col("cnt"), 6)
+
+
+@query("tfidf_centroid", f"WITH {CONV} SELECT id, dim::INT AS dim, round(value, 6) AS value FROM ({centroid_sql('cbow')})")
+def tfidf_centroid(spark, sf):
+    return Conversations(spark, sf).centroids().withColumn("value", F.round("value", 6))
+
+
+@query("vector_frame", f"WITH {CONV}, c AS ({centroid_sql('cbow')}), v AS (SELECT id, list(value ORDER BY dim) AS v FROM c GROUP BY 1) SELECT id, level, parent_id, round(v[1], 6) AS dim_1, round(v[2], 6) AS dim_2, round(v[3], 6) AS dim_3 FROM nodes JOIN v USING (id)")
+def vector_frame(spark, sf):
+    c = Conversations(spark, sf)
+    vecs = as_arrays(c.centroids(), "id")
+    return c.nodes.join(vecs, "id").select("id", "level", "parent_id", *[F.round(F.get("vec", F.lit(i)), 6).alias(f"dim_{i + 1}") for i in range(3)])
+
+
+# The queries are the benchmark's texts; words without a vector are dropped and reported by oov_words.
+QSQL = f"""
+qtok AS (SELECT item_id, unnest({tokens_sql('text')}) AS word FROM benchmark),
+qbow AS (SELECT item_id AS id, word, count(*)::DOUBLE AS cnt FROM qtok WHERE word IN (SELECT word FROM voc) GROUP BY 1, 2)"""
+
+
+def query_bow(spark, sf, c):
+    words = stats.word_rows(table(spark, sf, "benchmark"), "item_id")
+    return stats.in_vocabulary(words, c.vocabulary).groupBy("item_id", "word").agg(F.count("*").cast("double").alias("cnt")).withColumnRenamed("item_id", "id")
+
+
+@query("query_bow", f"WITH {CONV}, {QSQL} SELECT id AS query_id, word, cnt FROM qbow")
+def query_bow_(spark, sf):
+    return query_bow(spark, sf, Conversations(spark, sf)).withColumnRenamed("id", "query_id")
+
+
+# idf of a word that no text of the corpus has: ln((N + 1) / 2); each query is one sentence here
+QVEC = f"""qv AS (SELECT id, dim, round(sum(x * w) / nullif(sum(w), 0), 9) AS value FROM
+  (SELECT id, cnt * coalesce(idf, ln(((SELECT count(*) FROM csent)::DOUBLE + 1) / 2)) AS w, unnest(range(0, len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x
+   FROM qbow LEFT JOIN cidf USING (word) JOIN embeddings ON vec_id = {vec_id_sql('word')}) GROUP BY 1, 2)"""
+
+
+def query_vectors(spark, sf, c):
+    rows = query_bow(spark, sf, c).join(c.idf.select("word", "idf"), "word", "left").withColumn("w", F.col("cnt") * F.coalesce("idf", F.log(F.lit((c.n + 1) / 2))))
+    return weighted_mean(c.with_vec_id(rows).join(c.vectors, "vec_id"), "id", "vec", F.col("w"), 9)
+
+
+@query("query_vec", f"WITH {CONV}, {QSQL}, {QVEC} SELECT id AS query_id, dim::INT AS dim, round(value, 6) AS value FROM qv")
+def query_vec(spark, sf):
+    return query_vectors(spark, sf, Conversations(spark, sf)).select(F.col("id").alias("query_id"), "dim", F.round("value", 6).alias("value"))
+
+
+KNN = """k AS (SELECT query_id, concept_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, concept_id) AS rank FROM
+  (SELECT q.id AS query_id, v.id AS concept_id, round(sqrt(sum((q.value - v.value) * (q.value - v.value))), 6) AS distance FROM qv q JOIN v ON q.dim = v.dim GROUP BY 1, 2))"""
+
+
+def knn(spark, sf, c):
+    q = as_arrays(query_vectors(spark, sf, c), "id", "query_vec").withColumnRenamed("id", "query_id")
+    return search.nearest(q, as_arrays(c.centroids().filter("value is not null"), "id").withColumnRenamed("id", "concept_id"))
+
+
+@query("knn10", f"WITH {CONV}, {QSQL}, {QVEC}, v AS (SELECT * FROM ({centroid_sql('cbow')}) WHERE value IS NOT NULL), {KNN} SELECT query_id, concept_id, rank::INT AS rank, distance FROM k WHERE rank <= 10")
+def knn10(spark, sf):
+    return knn(spark, sf, Conversations(spark, sf))
+
+
+# Relaxed word-mover distance of every benchmark text to every turn
+
+WSQL = f"""
+q AS (SELECT id AS query_id, word AS input_word, cnt / sum(cnt) OVER (PARTITION BY id) AS pq, {vec_id_sql('word')} AS va FROM qbow),
+c AS (SELECT id AS concept_id, word AS lc_word, cnt / sum(cnt) OVER (PARTITION BY id) AS pc, {vec_id_sql('word')} AS vb, idf FROM cbow JOIN cidf USING (word)),
+d AS (SELECT a.vec_id AS va, b.vec_id AS vb, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM (SELECT * FROM embeddings SEMI JOIN q ON vec_id = va) a CROSS JOIN (SELECT * FROM embeddings SEMI JOIN c ON vec_id = vb) b)"""
+
+
+def pairs_sql(name: str, candidates: str) -> str:
+    return f"{name} AS (SELECT query_id, concept_id, input_word, lc_word, d AS euclid, pq * pc AS weight, d * (pq * pc) AS cost, idf FROM {candidates} JOIN q USING (query_id) JOIN c USING (concept_id) JOIN d USING (va, vb))"
+
+
+def chosen_sql(measure: str, pairs: str) -> str:
+    own, other = ("input_word", "lc_word") if measure.startswith("fwd") else ("lc_word", "input_word")
+    by = "idf" if measure.endswith("_idf") else "1.0::DOUBLE"
+    return f"""(SELECT query_id, concept_id, {own}, {other}, cost * {by} AS cost, weight * {by} AS weight, euclid FROM {pairs}
+  QUALIFY row_number() OVER (PARTITION BY query_id, concept_id, {own} ORDER BY round(cost * {by}, 10), {other}) = 1)"""
+
+
+def wmd_sql(measure: str, pairs: str) -> str:
+    return f"(SELECT query_id, concept_id, round(sum(cost) / nullif(round(sum(weight), 12), 0), 6) AS distance FROM {chosen_sql(measure, pairs)} GROUP BY 1, 2 HAVING nullif(round(sum(weight), 12), 0) IS NOT NULL)"
+
+
+TURNS = "(SELECT DISTINCT query_id, concept_id FROM (SELECT DISTINCT query_id FROM q), (SELECT id AS concept_id FROM nodes WHERE level = 1))"
+WMD = f"WITH {CONV}, {QSQL}, {WSQL}, {pairs_sql('p', TURNS)}"
+
+
+def wmd_inputs(spark, sf, c):
+    q = c.with_vec_id(stats.term_frequency(query_bow(spark, sf, c), "id")).select(F.col("id").alias("query_id"), "word", F.col("tf").alias("p"), "vec_id")
+    rows = stats.term_frequency(c.bow, "id").join(c.idf.select("word", "idf"), "word")
+    con = c.with_vec_id(rows).select(F.col("id").alias("concept_id"), "word", F.col("tf").alias("p"), "vec_id", "idf")
+    q, con = written(q, "query-words"), written(con, "concept-words")
+    return q, con, written(search.distance_table(c.vectors, q, con), "distances")
+
+
+def turn_pairs(spark, sf):
+    c = Conversations(spark, sf)
+    q, con, d = wmd_inputs(spark, sf, c)
+    turns = con.join(c.nodes.filter("level = 1").select(F.col("id").alias("concept_id")), "concept_id", "left_semi")
+    return search.word_pairs(q, turns, d)
+
+
+def _wmd(measure):
+    @query(f"rwmd_{measure}", f"{WMD} SELECT * FROM {wmd_sql(measure, 'p')}")
+    def run(spark, sf):
+        return search.relaxed_wmd(turn_pairs(spark, sf), measure)
+
+
+for _m in search.MEASURES:
+    _wmd(_m)
+
+
+@query("wmd_top3", f"{WMD} SELECT query_id, concept_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, concept_id DESC)::INT AS rank FROM {wmd_sql('fwd', 'p')} QUALIFY rank <= 3")
+def wmd_top3(spark, sf):
+    return search.top(search.relaxed_wmd(turn_pairs(spark, sf), "fwd"))
+
+
+TOP = f"t3 AS (SELECT query_id, concept_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, concept_id DESC)::INT AS rank FROM {wmd_sql('fwd', 'p')} QUALIFY rank <= 3)"
+TRAVEL = f"{WMD}, {TOP}, tp AS (SELECT s.* FROM {chosen_sql('fwd', 'p')} s SEMI JOIN t3 USING (query_id, concept_id))"
+
+
+def travel(spark, sf):
+    pairs = written(turn_pairs(spark, sf), "pairs")
+    best = written(search.top(search.relaxed_wmd(pairs, "fwd")), "best")
+    rows = search.selected(pairs.join(best.select("query_id", "concept_id"), ["query_id", "concept_id"], "left_semi"), "fwd")
+    return best, rows
+
+
+@query("travel_pairs", f"{TRAVEL} SELECT query_id, concept_id, input_word, lc_word, round(cost, 9) AS cost, round(euclid, 6) AS euclid FROM tp")
+def travel_pairs(spark, sf):
+    return travel(spark, sf)[1].select("query_id", "concept_id", "input_word", "lc_word", F.round("cost", 9).alias("cost"), F.round("euclid", 6).alias("euclid"))
+
+
+ROUNDED = "tr AS (SELECT query_id, concept_id, input_word, lc_word, round(cost, 9) AS cost FROM tp)"
+
+
+def _travel_table(name, n):
+    order = "cost, input_word, lc_word" if n > 0 else "cost DESC, input_word DESC, lc_word DESC"
+
+    @query(name, f"{TRAVEL}, {ROUNDED} SELECT *, row_number() OVER (PARTITION BY query_id, concept_id ORDER BY {order})::INT AS place FROM tr QUALIFY place <= {abs(n)}")
+    def run(spark, sf):
+        rows = travel(spark, sf)[1].select("query_id", "concept_id", "input_word", "lc_word", F.round("cost", 9).alias("cost"))
+        return report.travel_table(rows, ["query_id", "concept_id"], n)
+
+
+_travel_table("travel_table_head", 10)
+_travel_table("travel_table_tail", -10)
+
+SIZES = "sizes AS (SELECT id AS concept_id, sum(cnt) AS bow_size FROM cbow GROUP BY 1)"
+FRAME = f"""{TRAVEL}, {SIZES},
+rk AS (SELECT tp.*, rank, row_number() OVER (PARTITION BY query_id, concept_id ORDER BY round(cost, 9), input_word, lc_word) AS up, row_number() OVER (PARTITION BY query_id, concept_id ORDER BY round(cost, 9) DESC, input_word, lc_word) AS down FROM tp JOIN t3 USING (query_id, concept_id)),
+rows AS (SELECT DISTINCT query_id, 'input' AS name, 'Input' AS neighbour_type, 'input' AS point_type, NULL::INT AS wordpair_rank, 0.0::DOUBLE AS distance, NULL::DOUBLE AS bow_size, 0 AS priority FROM t3
+UNION ALL SELECT query_id, concept_id, rank || '. closest', 'concept', NULL, distance, bow_size, rank FROM t3 LEFT JOIN sizes USING (concept_id)
+UNION ALL SELECT query_id, lc_word, rank || '. closest', 'word', least(up, down)::INT, round(euclid, 6), NULL, 100 + rank FROM rk WHERE up <= 10 OR down <= 10),
+frame AS (SELECT * EXCLUDE (priority) FROM rows QUALIFY row_number() OVER (PARTITION BY query_id, name ORDER BY priority, wordpair_rank NULLS FIRST, distance) = 1)"""
+
+
+def frame(spark, sf):
+    best, rows = travel(spark, sf)
+    sizes = Conversations(spark, sf).bow.groupBy(F.col("id").alias("concept_id")).agg(F.sum("cnt").alias("bow_size"))
+    return report.visual_frame(best, rows, sizes)
+
+
+@query("visual_frame", f"{FRAME} SELECT * FROM frame")
+def visual_frame(spark, sf):
+    return frame(spark, sf)
+
+
+@query("neighbour_filter", f"{FRAME} SELECT query_id, name, distance FROM frame WHERE neighbour_type IN ('1. closest', '2. closest') AND point_type = 'word'")
+def neighbour_filter(spark, sf):
+    return frame(spark, sf).filter(F.col("neighbour_type").isin("1. closest", "2. closest") & (F.col("point_type") == "word")).select("query_id", "name", "distance")
+
+
+@query("default_selection", f"{FRAME} SELECT DISTINCT neighbour_type FROM frame WHERE contains(neighbour_type, 'Input') OR contains(neighbour_type, 'closest')")
+def default_selection(spark, sf):
+    return frame(spark, sf).filter(report.default_selection(F.col("neighbour_type"))).select("neighbour_type").distinct()
+
+
+@query("neighbour_options", f"{FRAME} SELECT DISTINCT neighbour_type AS option FROM frame WHERE point_type = 'concept'")
+def neighbour_options(spark, sf):
+    return report.neighbour_options(frame(spark, sf), "wmd_bow")
+
+
+@query("layout_2d")
+def layout_2d(spark, sf):
+    return report.layout(frame(spark, sf))
+
+
+@query("latex_rows", r"SELECT p_partkey, concat_ws(' & ', regexp_replace(p_name, '([&%$#_{}])', '\\\1', 'g'), regexp_replace(p_brand, '([&%$#_{}])', '\\\1', 'g'), p_size) || ' \\' AS line FROM part")
+def latex_rows(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", report.latex_row(F.col("p_name"), F.col("p_brand"), F.col("p_size")).alias("line"))
+
+
+def beam_sql() -> str:
+    parts, best = [f"WITH {CONV}, {QSQL}, {WSQL}"], None
+    for level in range(3):
+        if best is None:
+            cand = "(SELECT query_id, id AS concept_id FROM (SELECT DISTINCT query_id FROM q), nodes WHERE level = 0)"
+        else:
+            cand = f"(SELECT DISTINCT query_id, n.id AS concept_id FROM nodes n JOIN {best} b ON n.parent_id = b.concept_id WHERE n.level = {level} AND b.measure = 'fwd' AND b.moved)"
+        scored = " UNION ALL ".join(f"SELECT query_id, '{m}' AS measure, concept_id, distance, true AS fresh FROM {wmd_sql(m, f'p{level}')} WHERE distance <= 1000" for m in search.MEASURES)
+        older = f" UNION ALL SELECT query_id, measure, concept_id, distance, false FROM {best}" if best else ""
+        parts.append(pairs_sql(f"p{level}", cand))
+        parts.append(f"b{level}a AS (SELECT *, row_number() OVER (PARTITION BY query_id, measure ORDER BY distance, fresh DESC, concept_id DESC) AS rank FROM ({scored}{older}) QUALIFY rank <= 3)")
+        parts.append(f"b{level} AS (SELECT * EXCLUDE (fresh), bool_or(fresh) OVER (PARTITION BY query_id) AS moved FROM b{level}a)")
+        best = f"b{level}"
+    return ", ".join(parts) + f" SELECT query_id, measure, rank::INT AS rank, concept_id, distance FROM {best}"
+
+
+def beam(spark, sf):
+    c = Conversations(spark, sf)
+    q, con, d = wmd_inputs(spark, sf, c)
+    tree = written(c.nodes.select(F.col("id").alias("concept_id"), "parent_id", "level"), "tree")
+    return search.beam(q, con, tree, d, 3, written=written)
+
+
+@query("beam_search", beam_sql())
+def beam_search(spark, sf):
+    return beam(spark, sf)
+
+
+# Propagation and diffusion
+
+
+def sweeps_sql(n: int) -> str:
+    parts, now = [f"WITH {CONV}, v0 AS (SELECT id, level, dim, value FROM ({centroid_sql('cbow')}) JOIN nodes USING (id) WHERE value IS NOT NULL)"], "v0"
+    for i in range(2 * n):
+        new = f"SELECT e.src AS id, t.level, v.dim, round(avg(v.value), 9) AS value FROM edges e JOIN (SELECT DISTINCT id, level FROM {now} WHERE level % 2 = {i % 2}) t ON e.src = t.id JOIN {now} v ON v.id = e.dst GROUP BY 1, 2, 3"
+        parts.append(f"n{i} AS ({new})")
+        parts.append(f"v{i + 1} AS (SELECT * FROM n{i} UNION ALL SELECT * FROM {now} WHERE id NOT IN (SELECT id FROM n{i}))")
+        now = f"v{i + 1}"
+    return ", ".join(parts) + f" SELECT id, level, dim::INT AS dim, round(value, 6) AS value FROM {now}"
+
+
+def start_values(c):
+    return c.centroids().filter("value is not null").join(c.nodes.select("id", "level"), "id").select("id", "level", "dim", "value")
+
+
+@query("propagate_2sweeps", sweeps_sql(2))
+def propagate_2sweeps(spark, sf):
+    c = Conversations(spark, sf)
+    values, edges = written(start_values(c), "values"), written(c.edges, "edges")
+    for parity in (0, 1, 0, 1):
+        values = written(graph.half_sweep(values, edges, parity, digits=9), "values")
+    return values.withColumn("value", F.round("value", 6))
+
+
+@query("propagate_converged")
+def propagate_converged(spark, sf):
+    c = Conversations(spark, sf)
+    return graph.propagate(written(start_values(c), "values"), written(c.edges, "edges"), 0.1, 30, written)[0]
+
+
+DIFFUSE = f"""WITH {CONV}, deg AS (SELECT src AS id, count(*) AS deg FROM edges GROUP BY 1),
+nb AS (SELECT id, word, s / deg AS nb FROM (SELECT src AS id, word, sum(cnt) AS s FROM edges JOIN cbow ON cbow.id = dst GROUP BY 1, 2) JOIN deg USING (id)),
+kept AS (SELECT id, word, nb FROM (SELECT *, nb / sum(nb) OVER (PARTITION BY id) AS share FROM nb) JOIN cidf USING (word) WHERE round(share * idf, 9) > 0.08),
+diff AS (SELECT id, word, CASE WHEN nb IS NULL THEN cnt ELSE (nb + coalesce(cnt, 0)) / 2 END AS cnt FROM kept FULL JOIN cbow USING (id, word))"""
+
+
+@query("diffuse_1sweep", f"{DIFFUSE} SELECT id, word, round(cnt, 6) AS cnt FROM diff")
+def diffuse_1sweep(spark, sf):
+    c = Conversations(spark, sf)
+    return graph.diffuse(c.bow.select("id", "word", "cnt"), c.edges, c.idf).withColumn("cnt", F.round("cnt", 6))
+
+
+@query("concept_bow_mean_vec", f"{DIFFUSE} SELECT id, dim::INT AS dim, round(value, 6) AS value FROM ({centroid_sql('diff')})")
+def concept_bow_mean_vec(spark, sf):
+    c = Conversations(spark, sf)
+    return c.centroids(graph.diffuse(c.bow.select("id", "word", "cnt"), c.edges, c.idf)).withColumn("value", F.round("value", 6))
+
+
+# Evaluation
+
+GOLD_SQL = "gold AS (SELECT item_id AS query_id, 'S' || (item_id % 3) || '_T' || (item_id % 4) || '_C' || (item_id % 100) AS target FROM benchmark)"
+GOLD = "concat('S', item_id % 3, '_T', item_id % 4, '_C', item_id % 100)"
+DIST_SQL = """CASE WHEN len(list_filter(range(1, least(len(x), len(y)) + 1), lambda k: x[-k:] = y[-k:])) = 0 THEN 10
+  ELSE len(x) + len(y) - 2 * list_max(list_filter(range(1, least(len(x), len(y)) + 1), lambda k: x[-k:] = y[-k:])) END"""
+
+
+def gold(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.expr(GOLD).alias("target"))
+
+
+@query("tree_distance", f"""WITH {CONV}, {GOLD_SQL}, p AS (SELECT query_id, id, string_split(target, '_') AS x, string_split(id, '_') AS y FROM gold, nodes WHERE level = 1), d AS (SELECT query_id, id, {DIST_SQL} AS distance FROM p)
+SELECT query_id, id, distance::INT AS distance, CASE WHEN distance <= 3 THEN 3 - distance ELSE 0 END::INT AS score FROM d""")
+def tree_distance(spark, sf):
+    turns = Conversations(spark, sf).nodes.filter("level = 1").select("id")
+    d = evaluate.tree_distance(F.col("target"), F.col("id"))
+    return search.small_side(gold(spark, sf)).crossJoin(turns).select("query_id", "id", d.alias("distance")).withColumn("score", evaluate.tree_score(F.col("distance")))
+
+
+@query("gold_accuracy", beam_sql().replace(" SELECT query_id, measure, rank::INT", f", {GOLD_SQL}, best AS (SELECT query_id, measure, rank::INT", 1).rstrip() + f"""),
+a AS (SELECT query_id, measure, string_split(target, '_') AS x, string_split(concept_id, '_') AS y FROM gold CROSS JOIN (SELECT DISTINCT measure FROM best) LEFT JOIN (SELECT * FROM best WHERE rank = 1) USING (query_id, measure)),
+s AS (SELECT measure, CASE WHEN y IS NULL THEN 10 ELSE {DIST_SQL} END AS d FROM a) SELECT measure, round(sum(CASE WHEN d <= 3 THEN 3 - d ELSE 0 END) / count(*), 6) AS accuracy, count(*) AS n FROM s GROUP BY 1""")
+def gold_accuracy(spark, sf):
+    return evaluate.accuracy(beam(spark, sf), gold(spark, sf))
+
+
+@query("in_database_flag", f"WITH {CONV}, {GOLD_SQL} SELECT query_id, target, target IN (SELECT id FROM nodes) AS in_database FROM gold")
+def in_database_flag(spark, sf):
+    return evaluate.with_membership(gold(spark, sf), Conversations(spark, sf).nodes).select("query_id", "target", "in_database")
+
+
+@query("target_normalise", "SELECT p_partkey, replace('Stk. 1._§\\xa0' || p_size || '._LBK', '\\xa0', chr(160)) AS target FROM part")
+def target_normalise(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", evaluate.normal_target(F.concat(F.lit("Stk. 1._§\\xa0"), "p_size", F.lit("._LBK"))).alias("target"))
+
+
+# Citations, in texts made of the keys of ``part``; both engines build them by the same expression
+
+N = "p_partkey"
+CITE = f"""CASE {N} % 8
+WHEN 0 THEN concat('Efter § ', {N} % 40 + 1, ', stk. ', {N} % 3 + 1, ', gælder § ', {N} % 12 + 1, ' a, stk. 2, nr. ', {N} % 5 + 1, ', jf. loven.')
+WHEN 1 THEN concat('Se § ', {N} % 40 + 1, ', stk. 1, ', {N} % 4 + 1, '. pkt., sammenholdt med lov om social service.')
+WHEN 2 THEN concat('Reglerne i §§ ', {N} % 10 + 1, '-', {N} % 10 + 4, ' og ', {N} % 10 + 8, ' finder anvendelse efter SU-loven.')
+WHEN 3 THEN concat('Bestemmelserne i §§ ', {N} % 10 + 1, ', ', {N} % 10 + 3, ' og ', {N} % 10 + 5, ' gælder, jf. ferieloven.')
+WHEN 4 THEN concat('Uanset stk. ', {N} % 3 + 1, '-', {N} % 3 + 3, ' gælder stk. 2, nr. ', {N} % 6, ', og stk. 1 eller 4.')
+WHEN 5 THEN concat('Det følger af 1. og ', {N} % 5 + 2, '. pkt. i denne lov.')
+WHEN 6 THEN concat('Opfyldt er litra a), b) og ', {N} % 7 + 1, ') efter Straffeloven.')
+ELSE concat('Ved overtrædelse af denne bestemmelse (§ ', {N} % 9, ') finder EF-forordninger om koordinering af de sociale sikringsordninger sted.') END"""
+
+
+def cited(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr(CITE).alias("text"))
+
+
+CTE = f"t AS (SELECT p_partkey AS id, {CITE} AS text FROM part)"
+G = {k: quoted(v) for k, v in cite.GRAMMAR.items()}
+
+
+def each(form: str, names: list[str], source: str = "t") -> str:
+    """A select with one row per match and a column per group."""
+    cols = ", ".join(f"unnest(regexp_extract_all(text, {G[form]}, {i})) AS {n}" for i, n in enumerate(names))
+    return f"(SELECT id, unnest(range(0, len(regexp_extract_all(text, {G[form]}))))::INT AS ord, {cols} FROM {source})"
+
+
+def nums_sql(x: str) -> str:
+    listed = f"list_transform(regexp_extract_all({x}, '[0-9]+'), lambda z: z::INT)"
+    return f"CASE WHEN regexp_full_match({x}, '[0-9]+-[0-9]+') THEN range({listed}[1], {listed}[2] + 1)::INT[] ELSE {listed} END"
+
+
+SINGLE = f"""single AS (SELECT id, ord, ref_string, '§ ' || num || CASE WHEN letter <> '' THEN ' ' || letter ELSE '' END || '.' AS paragraph, stk, nr, pkt FROM {each('single', ['ref_string', 'num', 'letter', 'stk', 'nr', 'pkt'])}),
+refs AS (SELECT id, ord, ref_string, paragraph, nullif(stk, '') AS stk, nullif(nr, '') AS nr, nullif(pkt, '') AS pkt,
+  CASE WHEN pkt <> '' THEN regexp_extract(pkt, '[0-9]+') || '. pkt.' WHEN nr <> '' THEN regexp_extract(nr, '[0-9]+') || ')' WHEN stk <> '' THEN 'Stk. ' || regexp_extract(stk, '[0-9]+') || '.' ELSE paragraph END AS target_name,
+  CASE WHEN pkt <> '' OR nr <> '' THEN [CASE WHEN stk <> '' THEN 'Stk. ' || regexp_extract(stk, '[0-9]+') || '.' ELSE 'Stk. 1.' END, paragraph] WHEN stk <> '' THEN [paragraph] ELSE []::VARCHAR[] END AS target_parents FROM single)"""
+
+
+@query("cite_paragraph", f"WITH {CTE}, {SINGLE} SELECT id, ord, ref_string, paragraph, stk, nr, pkt, target_name, array_to_string(target_parents, '_') AS target_parents FROM refs")
+def cite_paragraph(spark, sf):
+    return cite.paragraph_refs(cited(spark, sf), "id", "text").withColumn("target_parents", F.array_join("target_parents", "_"))
+
+
+@query("cite_range", f"WITH {CTE} SELECT id, ord, unnest(list_concat(range(a::INT, b::INT + 1), CASE WHEN e <> '' THEN [e::BIGINT] ELSE []::BIGINT[] END))::INT AS number FROM {each('range', ['w', 'a', 'b', 'e'])}")
+def cite_range(spark, sf):
+    return cite.range_refs(cited(spark, sf), "id", "text")
+
+
+@query("cite_list", f"WITH {CTE} SELECT id, ord, unnest({nums_sql('l')}) AS number FROM {each('list', ['w', 'l'])}")
+def cite_list(spark, sf):
+    return cite.list_refs(cited(spark, sf), "id", "text")
+
+
+@query("cite_stk", f"WITH {CTE} SELECT id, ord, unnest({nums_sql('l')}) AS stk, nullif(nr, '') AS nr, nullif(pkt, '') AS pkt FROM {each('stk', ['w', 'l', 'nr', 'pkt'])}")
+def cite_stk(spark, sf):
+    return cite.stk_refs(cited(spark, sf), "id", "text")
+
+
+PKT = quoted(f"(^|[^0-9], |[^, ] |[^0-9 ], ?){cite.GRAMMAR['pkt']}")
+
+
+@query("cite_pkt", f"WITH {CTE}, x AS (SELECT id, unnest(range(0, len(regexp_extract_all(text, {PKT}, 2))))::INT AS ord, unnest(regexp_extract_all(text, {PKT}, 2)) AS l FROM t) SELECT id, ord, unnest({nums_sql('l')}) AS pkt FROM x")
+def cite_pkt(spark, sf):
+    return cite.pkt_refs(cited(spark, sf), "id", "text")
+
+
+@query("cite_item", f"WITH {CTE} SELECT id, ord, item, CASE WHEN regexp_full_match(item, '[0-9]+') THEN 'nr' ELSE 'litra' END AS kind, false AS in_graph FROM {each('item', ['w', 'item'])}")
+def cite_item(spark, sf):
+    return cite.item_refs(cited(spark, sf), "id", "text")
+
+
+@query("cite_dispatch", f"WITH {CTE} SELECT id, CASE WHEN regexp_matches(text, {G['range']}) THEN 'range' WHEN regexp_matches(text, {G['list']}) THEN 'list' WHEN regexp_matches(text, {G['single']}) THEN 'single' ELSE 'none' END AS form FROM t")
+def cite_dispatch(spark, sf):
+    return cited(spark, sf).select("id", cite.reference_form(F.col("text")).alias("form"))
+
+
+REL = " OR ".join(f"contains(lower(text), {quoted(c)})" for c in RELATIVE_CUES)
+
+
+@query("cite_relative", f"WITH t AS (SELECT p_partkey AS id, p_partkey // 8 AS paragraph_id, p_partkey % 4 AS stk_id, {CITE} AS text FROM part), s AS (SELECT DISTINCT paragraph_id, stk_id FROM t) SELECT t.id, s.stk_id AS target FROM t JOIN s ON s.paragraph_id = t.paragraph_id AND s.stk_id <> t.stk_id WHERE {REL}")
+def cite_relative(spark, sf):
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 8").alias("paragraph_id"), F.expr("p_partkey % 4").alias("stk_id"), F.expr(CITE).alias("text"))
+    return cite.relative_refs(rows, rows.select("paragraph_id", "stk_id").distinct())
+
+
+CUES = "cues(cue_no, cue, law) AS (VALUES " + ", ".join(f"({i}, {quoted(c)}, {quoted(w or c.strip())})" for i, (c, w) in enumerate(EXTERNAL_CUES)) + ")"
+
+
+@query("external_detect", f"WITH {CTE}, {CUES} SELECT id, cue_no, cue, law FROM t JOIN cues ON contains(lower(text), lower(cue))")
+def external_detect(spark, sf):
+    return cite.external_hits(cited(spark, sf), "id", "text")
+
+
+WHOLE = quoted("|".join(f"{c}\\b" for c in WHOLE_LAW_CUES))
+
+
+@query("whole_law_refs", f"""WITH {CTE}, {CUES}, h AS (SELECT id, arg_min(law, cue_no) AS law FROM t JOIN cues ON contains(lower(text), lower(cue)) GROUP BY 1), r AS (SELECT id, regexp_matches(lower(text), {WHOLE}) AS internal, law FROM t LEFT JOIN h USING (id))
+SELECT * FROM r WHERE internal OR law IS NOT NULL""")
+def whole_law_refs(spark, sf):
+    return cite.whole_law_refs(cited(spark, sf), "id", "text")
+
+
+# A law of 30 paragraphs, of which every fifth also has a lettered one
+PARS = "pars AS (SELECT 'L' || (k % 3) AS law_id, '§ ' || (k // 3 + 1) || CASE WHEN k % 5 = 0 THEN ' a' ELSE '' END || '.' AS name, '§ ' || (k // 3 + 1) || CASE WHEN k % 5 = 0 THEN ' a' ELSE '' END || '._L' || (k % 3) AS id FROM range(90) r(k))"
+RESOLVED = f"""r0 AS (SELECT refs.*, 'L' || (id % 3) AS law_id, regexp_replace(paragraph, ' [a-z][.]$', '.') AS plain FROM refs),
+res AS (SELECT r0.id, ord, ref_string, paragraph, r0.law_id, coalesce(e.id, p.id) AS target_id FROM r0 LEFT JOIN pars e ON e.law_id = r0.law_id AND e.name = paragraph LEFT JOIN pars p ON p.law_id = r0.law_id AND p.name = plain)"""
+
+
+def paragraphs(spark):
+    name = "concat('§ ', id div 3 + 1, CASE WHEN id % 5 = 0 THEN ' a' ELSE '' END, '.')"
+    return spark.range(90).selectExpr("concat('L', id % 3) AS law_id", f"{name} AS name", f"concat({name}, '_L', id % 3) AS id")
+
+
+def resolved(spark, sf):
+    refs = cite.paragraph_refs(cited(spark, sf), "id", "text").withColumn("law_id", F.concat(F.lit("L"), (F.col("id") % 3).cast("string")))
+    return cite.resolve(refs.withColumnRenamed("id", "src"), paragraphs(spark)).withColumnRenamed("src", "id")
+
+
+@query("ref_resolve", f"WITH {CTE}, {SINGLE}, {PARS}, {RESOLVED} SELECT id, ord, paragraph, law_id, target_id FROM res")
+def ref_resolve(spark, sf):
+    return resolved(spark, sf).select("id", "ord", "paragraph", "law_id", "target_id")
+
+
+@query("ref_classify", f"""WITH {CTE}, {SINGLE}, {PARS}, {RESOLVED}, {CUES},
+seg AS (SELECT id, unnest(string_split_regex(text, '(,| efter | sammenholdt med )')) AS part FROM t),
+hit AS (SELECT id, part, cue_no, law FROM seg JOIN cues ON contains(lower(part), lower(cue))),
+near AS (SELECT res.id, ord, arg_min(law, cue_no) AS law FROM res JOIN hit ON hit.id = res.id AND contains(part, string_split_regex(ref_string, '(,| efter | sammenholdt med )')[1]) GROUP BY 1, 2),
+anyc AS (SELECT id, arg_min(law, cue_no) AS law FROM hit GROUP BY 1)
+SELECT res.id, res.ord, CASE WHEN near.law IS NOT NULL THEN 'external' WHEN target_id IS NOT NULL THEN 'internal' WHEN anyc.law IS NOT NULL THEN 'external' ELSE 'unresolved' END AS ref_class,
+  CASE WHEN near.law IS NOT NULL THEN near.law WHEN target_id IS NULL THEN anyc.law END AS law
+FROM res LEFT JOIN near ON near.id = res.id AND near.ord = res.ord LEFT JOIN anyc ON anyc.id = res.id""")
+def ref_classify(spark, sf):
+    rows = written(resolved(spark, sf), "resolved")
+    found = rows.groupBy("id", "ord").agg(F.bool_and(F.col("target_id").isNotNull()).alias("all_found"))
+    return cite.classify(rows.select("id", "ord", "ref_string"), cited(spark, sf), "id", "text", found)
+
+
+@query("deferred_link", f"""WITH {CTE}, {SINGLE}, pend AS (SELECT id AS src, ord, 'L' || (id % 4) AS law, CASE WHEN id % 10 = 1 THEN NULL ELSE paragraph END AS name FROM refs), {PARS}
+SELECT src, law AS dst FROM pend WHERE name IS NULL AND law IN ('L0', 'L1', 'L2') UNION ALL SELECT src, pars.id FROM pend JOIN pars ON pars.law_id = law AND pars.name = pend.name""")
+def deferred_link(spark, sf):
+    refs = cite.paragraph_refs(cited(spark, sf), "id", "text")
+    pending = refs.select(F.xxhash64("id", "ord").alias("ref_no"), F.col("id").alias("src"), F.concat(F.lit("L"), (F.col("id") % 4).cast("string")).alias("law"), F.when(F.col("id") % 10 != 1, F.col("paragraph")).alias("name"), F.array(F.concat(F.lit("L"), (F.col("id") % 4).cast("string"))).alias("need"))
+    pars = paragraphs(spark).select("id", "law_id", "name", F.array("law_id").alias("parents"))
+    laws = pars.select(F.col("law_id").alias("id"), "law_id", F.col("law_id").alias("name"), F.array().cast("array<string>").alias("parents")).distinct()
+    return cite.link_deferred(pending, pars.unionByName(laws))[0]
+
+
+# Word vectors
+
+
+def corpus_tokens(spark, sf):
+    return table(spark, sf, "documents").filter("text is not null").select(tokens(F.col("text")).alias("tokens"))
+
+
+@query("word2vec_skipgram")
+def word2vec_skipgram(spark, sf):
+    from ..operators import train
+
+    return train.vectors_of(train.skip_gram(corpus_tokens(spark, sf), size=32))
+
+
+@query("word_vector_lookup", f"SELECT word, len(embedding)::INT AS size, round(embedding[1]::DOUBLE, 6) AS first FROM (SELECT DISTINCT unnest({tokens_sql('text')}) AS word FROM benchmark) JOIN embeddings ON vec_id = {vec_id_sql('word')}")
+def word_vector_lookup(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    words = stats.word_rows(table(spark, sf, "benchmark"), "item_id").select("word").distinct().withColumn("vec_id", word_vec_id(F.col("word"), vectors.count()))
+    return words.join(vectors, "vec_id").select("word", F.size("vec").alias("size"), F.round(F.get("vec", F.lit(0)).cast("double"), 6).alias("first"))
