@@ -18,6 +18,7 @@ length is cut at window ends.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from unicodedata import normalize
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -48,24 +49,16 @@ class WordTokenizer:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        tail = b""
-        if len(text) > 1 and text[-1] in ".,":  # a mark alone after a letter is a token of its own
-            if text[-2].isalpha():
-                tail, text = self._letters(text[-1]), text[:-1]
-        if text.isascii() and text.isalpha():
-            return self._letters(text) + tail
-        return self._whole(text) + tail
+        low = text if text.isascii() else "".join(map(str.lower, normalize("NFC", text)))
+        body, mark = (low[:-1], low[-1]) if len(low) > 1 and low[-1] in ".," and low[-2].isalpha() else (low, "")  # a mark alone after a letter is a token of its own
+        if body.isascii() and body.isalpha() and body.islower():
+            return self._letters(body) + self._letters(mark)
+        if body.isalpha():
+            return self._letters(body.encode().decode("latin-1").translate(self.byte_chars)) + self._letters(mark)
+        return b"".join(i.to_bytes(4, "little") for i in self.tok.encode(text, add_special_tokens=False).ids)
 
     def _letters(self, text: str) -> bytes:
-        return b"".join(t.id.to_bytes(4, "little") for t in self.tok.model.tokenize(text))
-
-    def _whole(self, text: str) -> bytes:
-        from unicodedata import normalize
-
-        low = "".join(map(str.lower, normalize("NFC", text)))
-        if low.isalpha():
-            return self._letters(low.encode().decode("latin-1").translate(self.byte_chars))
-        return b"".join(i.to_bytes(4, "little") for i in self.tok.encode(text, add_special_tokens=False).ids)
+        return b"".join(t.id.to_bytes(4, "little") for t in self.tok.model.tokenize(text)) if text else b""
 
     def ids(self, text: str | None) -> bytes:
         if not text:
