@@ -203,7 +203,7 @@ def classes(docs: DataFrame, similar: tuple[int, int] = (85, 100), size: int = 4
 
     heads = members.filter("g = m").select("g", F.col("prefix_digest").alias("d"))
     rows = sized.join(heads, (F.col("doc_id") == F.col("g")) & (F.col("prefix_digest") == F.col("d"))).select("g", "n", "parts", F.posexplode("prefix").alias("pos", "token"))
-    rows = rows.select("token", F.pmod(F.xxhash64("g"), F.get("parts", F.col("pos"))).cast("int").alias("part"), "pos", "n", "g")
+    rows = rows.select("token", F.pmod(F.xxhash64("g"), F.get("parts", F.col("pos"))).cast("int").alias("part"), "pos", "n", "g", (F.get("parts", F.col("pos")) > 1).alias("split"))
 
     bucket_schema = pa.schema([("token", pa.int64()), ("part", pa.int32()), ("pos", pa.int32()), ("n", pa.int64()), ("g", pa.int64()), ("pivot_pos", pa.int32()), ("pivot_n", pa.int64()), ("pivot", pa.int64())])
 
@@ -211,7 +211,7 @@ def classes(docs: DataFrame, similar: tuple[int, int] = (85, 100), size: int = 4
         """Rows of buckets with two groups or more, each with its bucket's first row; only one row is held between batches."""
         last = None  # the last row seen, its pivot, and whether it was given out
         for batch in batches:
-            cols = [np.asarray(c) for c in batch.columns]
+            cols = [np.asarray(c) for c in batch.columns]  # token, part, pos, n, g, split
             if not len(cols[0]):
                 continue
             if last is not None:
@@ -224,14 +224,13 @@ def classes(docs: DataFrame, similar: tuple[int, int] = (85, 100), size: int = 4
             if last is not None:  # the first run goes on from the batch before
                 for p, x in zip(pivots, last[1]):
                     p[start == 0] = x
-            run = np.bincount(start, minlength=len(token))[start] > 1
+            given = (np.bincount(start, minlength=len(token))[start] > 1) | cols[5]  # all rows of a split bucket are given: the others lie in its other parts
+            out = given.copy()
             if last is not None and last[2]:
-                run[start == 0] = True
-                run[0] = False  # it was given out
-            given = run | (last is not None and last[2]) & (np.arange(len(token)) == 0)
+                out[0] = False  # it was given with the batch before
             last = ([c[-1] for c in cols], [p[-1] for p in pivots], bool(given[-1]))
-            if run.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[run], f.type) for c, f in zip([*cols, *pivots], bucket_schema)], schema=bucket_schema)
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[out], f.type) for c, f in zip([*cols[:5], *pivots], bucket_schema)], schema=bucket_schema)
 
     dealt = rows.repartition("token", "part").sortWithinPartitions("token", "part", "pos", "n", "g")
     shared = written(dealt.mapInArrow(shared_buckets, "token long, part int, pos int, n long, g long, pivot_pos int, pivot_n long, pivot long"), "buckets")

@@ -78,10 +78,10 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 2, least_lines:
     texts = written(found.select("doc_id", "c.place", "c.chunk", F.xxhash64("c.chunk").alias("digest")), "line-chunks")
     first = texts.groupBy("digest", "chunk").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     other = texts.join(first, ["digest", "chunk"]).filter(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
-    gone = written(other.groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_set("place")).alias("removed_chunks")), "line-removals")
+    gone = written(other.groupBy(F.col("doc_id").alias("__of")).agg(F.sort_array(F.collect_set("place")).alias("removed_chunks")), "line-removals")
 
     rows = docs.drop(*[c for c in ("n_chunks", "removed_chunks") if c not in (id_col, text_col)])
-    rows = rows.join(checked(gone), F.col(id_col).eqNullSafe(F.col("of")), "left").drop("of")
+    rows = rows.join(checked(gone), F.col(id_col).eqNullSafe(F.col("__of")), "left").drop("__of")
 
     def result(all_chunks: Column) -> Column:
         kept = F.filter(all_chunks, lambda c: ~F.array_contains(F.col("removed_chunks"), c["place"]))

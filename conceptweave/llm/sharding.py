@@ -66,8 +66,8 @@ def shard(docs: DataFrame, n_shards: int = 16, bucket_bytes: int = 16 << 20, see
     rows.groupBy("shard", "bucket").applyInArrow(shuffled, schema).write.option("compression", "zstd").parquet(path)
     done = spark.read.schema(schema).parquet(path)
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = done.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return done.join(offsets, ["shard", "bucket"]).withColumn("slot", F.col("offset") + F.col("place")).drop("offset")
+    offsets = done.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
+    return done.join(offsets, ["shard", "bucket"]).withColumn("slot", F.col("__offset") + F.col("place")).drop("__offset")
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from conceptweave.llm import language, media, packing, sharding, warc
 
-DOC = "doc_id long, text string, lang string, shard int, slot long, ids string, media string"
+DOC = "doc_id long, text string, lang string, shard int, offset long, ids string, media string"
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "één œuvre 漢字 🙂"), (None, "null id"), (5, "twice"), (5, "twice"), (6, "many words " * 30_000)]
 
 
