@@ -18,8 +18,8 @@ from conceptweave.llm.packing import pack
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose id is none of ``gone`` (of): by broadcast while those are few, else by a shuffle."""
-    return docs.join(few(written(gone.filter("of is not null").distinct(), "dropped")), F.col("doc_id") == F.col("of"), "left_anti")
+    """Rows whose id is none of ``gone``'s: by broadcast while those are few, else by a shuffle."""
+    return docs.join(few(written(gone.select(F.col("doc_id").alias("__of")).filter("__of is not null").distinct(), "dropped")), F.col("doc_id") == F.col("__of"), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +37,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each class of documents that share 0.8 of their shingles of five words."""
     found = classes(docs, similar=(80, 100), size=5)
-    return without(docs, found.filter("doc_id <> component_id").select(F.col("doc_id").alias("of")))
+    return without(docs, found.filter("doc_id <> component_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold 0.8 of a benchmark item's shingles of five words."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(docs, contaminated(docs, items).select(F.col("doc_id").alias("of")))
+    return without(docs, contaminated(docs, items))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
