@@ -15,17 +15,17 @@ WS = "[ \u00a0]"
 NUM = "[0-9]+"
 LIST = f"{NUM}(?:, {NUM})?(?:(?: og | eller ){NUM})?"
 RANGE = f"{NUM}-{NUM}"
-STK = f"(?:, stk[.] ({RANGE}|{LIST}))?"
-NR = f"(?:, nr[.] ({RANGE}|{LIST}))?"
-PKT = f"(?:, ((?:{NUM}[.], )?(?:{NUM}[.] og )?{NUM}[.]) pkt[.])?"
+FEW = f"{NUM}(?:(?: og | eller ){NUM})?"
+POINTS = f"((?:{NUM}[.], )?(?:{NUM}[.] og )?{NUM}[.]) pkt[.]"
 
-#: Forms of a citation. Groups of ``single``: number, letter, stk, nr, pkt.
+#: Forms of a citation. ``single`` and ``stk`` have their stk and nr twice: before a point, whose number a list may not take, and without one.
+#: Groups of ``single``: number, letter, stk, nr, pkt, stk, nr; of ``stk``: stk, nr, pkt, stk, nr.
 GRAMMAR = {
-    "single": f"§{WS}({NUM})(?: ([a-z])\\b)?{STK}{NR}{PKT}",
+    "single": f"§{WS}({NUM})(?: ([a-z])\\b)?(?:(?:, stk[.] ({RANGE}|{FEW}))?(?:, nr[.] ({RANGE}|{FEW}))?, {POINTS}|(?:, stk[.] ({RANGE}|{LIST}))?(?:, nr[.] ({RANGE}|{LIST}))?)",
     "range": f"§§{WS}({NUM})-({NUM})(?:(?: og | eller )({NUM}))?",
     "list": f"§§{WS}({NUM}(?:, {NUM})*(?: og | eller ){NUM})",
-    "stk": f"(?:^|[^0-9a-z, ]|[^0-9, ] |[a-z]{{2}} ?)stk[.] ({RANGE}|{LIST})(?:, nr[.] ({RANGE}|{LIST}))?(?:, ({NUM}[.]) pkt[.])?",
-    "pkt": f"((?:{NUM}[.], )?(?:{NUM}[.] og )?{NUM}[.]) pkt[.]",
+    "stk": f"(?:^|[^0-9a-z, ]|[^0-9, ] |[a-z]{{2}} ?)stk[.] (?:({RANGE}|{FEW})(?:, nr[.] ({RANGE}|{FEW}))?, {POINTS}|({RANGE}|{LIST})(?:, nr[.] ({RANGE}|{LIST}))?)",
+    "pkt": POINTS,
     "item": r"(?:^|[ ,(])([a-z]|[0-9]+)\)",
 }
 
@@ -40,14 +40,19 @@ def matches(text: Column, form: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(GRAMMAR[form]), F.lit(group))
 
 
+def either(rows: DataFrame) -> DataFrame:
+    """stk and nr from whichever branch of the form matched; the groups of the other are empty."""
+    return rows.withColumn("r", F.col("r").withField("stk", F.concat("r.stk_a", "r.stk_b")).withField("nr", F.concat("r.nr_a", "r.nr_b")))
+
+
 def paragraph_refs(sentences: DataFrame, key: str, text: str) -> DataFrame:
     """One row per single citation: paragraph with letter, and the most specific target it names.
 
     (key, ord, paragraph, stk, nr, pkt, target_name, target_parents); a point or number without subsection is in ``Stk. 1.``.
     """
     t = F.col(text)
-    parts = F.arrays_zip(*[matches(t, "single", g).alias(n) for g, n in enumerate(["whole", "num", "letter", "stk", "nr", "pkt"])])
-    rows = sentences.select(key, F.posexplode(parts).alias("ord", "r"))
+    parts = F.arrays_zip(*[matches(t, "single", g).alias(n) for g, n in enumerate(["whole", "num", "letter", "stk_a", "nr_a", "pkt", "stk_b", "nr_b"])])
+    rows = either(sentences.select(key, F.posexplode(parts).alias("ord", "r")))
     first = lambda c: F.regexp_extract(F.col(f"r.{c}"), f"({NUM})", 1)
     given = lambda c: F.col(f"r.{c}") != ""
     para = F.concat(F.lit("§ "), F.col("r.num"), F.when(given("letter"), F.concat(F.lit(" "), F.col("r.letter"))).otherwise(F.lit("")), F.lit("."))
@@ -77,8 +82,8 @@ def list_refs(sentences: DataFrame, key: str, text: str) -> DataFrame:
 
 def stk_refs(sentences: DataFrame, key: str, text: str) -> DataFrame:
     """References within the paragraph: (key, ord, stk, nr, pkt), one row per subsection named; those after a paragraph's number are not among them."""
-    parts = F.arrays_zip(*[matches(F.col(text), "stk", g).alias(n) for g, n in enumerate(["whole", "stk", "nr", "pkt"])])
-    rows = sentences.select(key, F.posexplode(parts).alias("ord", "r"))
+    parts = F.arrays_zip(*[matches(F.col(text), "stk", g).alias(n) for g, n in enumerate(["whole", "stk_a", "nr_a", "pkt", "stk_b", "nr_b"])])
+    rows = either(sentences.select(key, F.posexplode(parts).alias("ord", "r")))
     return rows.select(key, "ord", F.explode(numbers(F.col("r.stk"))).alias("stk"), F.nullif(F.col("r.nr"), F.lit("")).alias("nr"), F.nullif(F.col("r.pkt"), F.lit("")).alias("pkt"))
 
 

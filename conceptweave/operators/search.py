@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_distance
 
-#: Rows of (word id, vector) up to which the smaller side of a distance table is broadcast; checked by a count.
+#: Rows up to which the smaller side is broadcast; checked by a count.
 BROADCAST_ROWS = 20_000
 
 MEASURES = ("fwd", "fwd_idf", "rev", "rev_idf")
@@ -19,45 +19,61 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores before work that costs far more than their bytes tell, by which Spark would put them into one task."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def nearest(queries: DataFrame, concepts: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
     """(query_id, concept_id, rank, distance) of the k nearest; ties by concept_id. A stated query set against all concepts."""
-    pairs = small_side(queries).crossJoin(concepts).select("query_id", "concept_id", F.round(l2_distance(F.col("query_vec"), F.col("vec")), digits).alias("distance"))
+    pairs = small_side(queries).crossJoin(spread(concepts, "concept_id")).select("query_id", "concept_id", F.round(l2_distance(F.col("query_vec"), F.col("vec")), digits).alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "concept_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def distance_table(vectors: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(va, vb, d) for the vector ids that occur on either side: each distance is worked out once, not once per pair of words."""
-    a = vectors.join(left.select("vec_id").distinct(), "vec_id").select(F.col("vec_id").alias("va"), F.col("vec").alias("xa"))
-    b = vectors.join(right.select("vec_id").distinct(), "vec_id").select(F.col("vec_id").alias("vb"), F.col("vec").alias("xb"))
-    return small_side(a).crossJoin(b).select("va", "vb", l2_distance(F.col("xa"), F.col("xb")).alias("d"))
-
-
-def word_pairs(queries: DataFrame, concepts: DataFrame, distances: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """Pairs of words of each query and candidate concept with distance and weights.
+def distance_rows(vectors: DataFrame, needed: DataFrame) -> DataFrame:
+    """(v, ds) for the needed vector ids: distances to all vectors in order of their id, which have to be 0, 1, 2 and so on.
 
-    ``queries``: (query_id, word, p, vec_id); ``concepts``: (concept_id, word, p, vec_id, idf), p the word's share of its text.
-    ``candidates`` (query_id, concept_id) bounds the pairs before any word is joined; without it all concepts are taken.
+    Each distance is worked out once, and the pairs of words below only look it up.
     """
-    q = queries.select("query_id", F.col("word").alias("input_word"), F.col("p").alias("pq"), F.col("vec_id").alias("va"))
-    c = concepts.select("concept_id", F.col("word").alias("lc_word"), F.col("p").alias("pc"), F.col("vec_id").alias("vb"), "idf")
-    pairs = q.join(candidates, "query_id").join(c, "concept_id") if candidates is not None else small_side(q).crossJoin(c)
-    w = F.col("pq") * F.col("pc")
-    return pairs.join(small_side(distances, 5_000_000), ["va", "vb"]).select("query_id", "concept_id", "input_word", "lc_word", F.col("d").alias("euclid"), w.alias("weight"), (F.col("d") * w).alias("cost"), "idf")
-
+    a = vectors.join(needed.select("vec_id").distinct(), "vec_id").select(F.col("vec_id").alias("v"), F.col("vec").alias("xa"))
+    b = vectors.select(F.col("vec_id").alias("u"), F.col("vec").alias("xb"))
+    long = small_side(a).crossJoin(spread(b, "u")).select("v", F.struct("u", l2_distance(F.col("xa"), F.col("xb")).alias("d")).alias("s"))
+    return long.groupBy("v").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["d"]).alias("ds"))
 
-def selected(pairs: DataFrame, measure: str) -> DataFrame:
-    """The cheapest partner of each word: of each query word for the forward measures, of each concept word for the reverse ones."""
-    own, other = ("input_word", "lc_word") if measure.startswith("fwd") else ("lc_word", "input_word")
-    by = F.col("idf") if measure.endswith("_idf") else F.lit(1.0)
-    row = F.struct(F.round(F.col("cost") * by, 10).alias("c"), F.col(other).alias("o"), "euclid", (F.col("weight") * by).alias("w"), (F.col("cost") * by).alias("cost"))
-    best = pairs.groupBy("query_id", "concept_id", own).agg(F.min(row).alias("b"))  # a partial minimum, no sort of all pairs
-    return best.select("query_id", "concept_id", own, F.col("b.o").alias(other), F.col("b.cost").alias("cost"), F.col("b.w").alias("weight"), F.col("b.euclid").alias("euclid"))
 
+def selected(queries: DataFrame, concepts: DataFrame, distances: DataFrame, measure: str, candidates: DataFrame | None = None) -> DataFrame:
+    """The cheapest partner of each word: of each query word for the forward measures, of each concept word for the reverse ones.
 
-def relaxed_wmd(pairs: DataFrame, measure: str, digits: int = 6) -> DataFrame:
+    ``queries``: (query_id, word, p, vec_id); ``concepts``: (concept_id, word, p, vec_id, idf), p the word's share of its text.
+    The partner's words come as one array per text, so that a minimum is taken within a row and no pair of words is ever
+    shuffled or sorted; costs are compared at ten decimals, ties go to the first word. ``candidates`` (query_id, concept_id) bounds the pairs of texts; without it all are taken.
+    """
+    forward, with_idf = measure.startswith("fwd"), measure.endswith("_idf")
+    one, other, key, other_key = (queries, concepts, "query_id", "concept_id") if forward else (concepts, queries, "concept_id", "query_id")
+    name, other_name = ("input_word", "lc_word") if forward else ("lc_word", "input_word")
+    fields = [c for c in ("word", "p", "vec_id", "idf") if c in other.columns]
+    texts = other.groupBy(other_key).agg(F.collect_list(F.struct(*fields)).alias("words"))
+    words = one.join(small_side(distances), F.col("vec_id") == F.col("v")).drop("v", "vec_id")
+    if candidates is not None:
+        pairs = words.join(candidates, key).join(texts, other_key)
+    else:
+        pairs = small_side(words if forward else texts).crossJoin(spread(texts if forward else words, "concept_id"))
+
+    def pair(w):
+        by = F.lit(1.0) if not with_idf else w["idf"] if forward else F.col("idf")
+        return F.struct(w["word"].alias("o"), F.get("ds", w["vec_id"].cast("int")).alias("euclid"), (F.col("p") * w["p"] * by).alias("w"))
+
+    def priced(x):
+        cost = x["euclid"] * x["w"]
+        return F.struct(F.floor(cost * 1e10 + 0.5).alias("c"), x["o"].alias("o"), cost.alias("cost"), x["w"].alias("w"), x["euclid"].alias("euclid"))
+
+    best = pairs.select("query_id", "concept_id", F.col("word").alias(name), F.array_min(F.transform(F.transform("words", pair), priced)).alias("b"))
+    return best.filter("b is not null").select("query_id", "concept_id", name, F.col("b.o").alias(other_name), F.col("b.cost").alias("cost"), F.col("b.w").alias("weight"), F.col("b.euclid").alias("euclid"))
+
+
+def relaxed_wmd(chosen: DataFrame, digits: int = 6) -> DataFrame:
     """(query_id, concept_id, distance): summed cost over summed weight of the selected pairs."""
-    chosen = selected(pairs, measure)
     total = F.nullif(F.round(F.sum("weight"), 12), F.lit(0.0))
     return chosen.groupBy("query_id", "concept_id").agg(F.round(F.sum("cost") / total, digits).alias("distance")).filter("distance is not null")
 
@@ -82,10 +98,10 @@ def beam(queries: DataFrame, concepts: DataFrame, tree: DataFrame, distances: Da
         else:
             lead = best.filter("measure = 'fwd' and moved").select("query_id", F.col("concept_id").alias("parent_id"))
             candidates = at.join(lead, "parent_id").select("query_id", "concept_id").distinct()
-        pairs = written(word_pairs(queries, concepts, distances, candidates), "pairs")
+        candidates = written(candidates, "candidates")
         scored = None
         for m in MEASURES:
-            rows = relaxed_wmd(pairs, m).filter(F.col("distance") <= most).withColumn("measure", F.lit(m))
+            rows = relaxed_wmd(selected(queries, concepts, distances, m, candidates)).filter(F.col("distance") <= most).withColumn("measure", F.lit(m))
             scored = rows if scored is None else scored.unionByName(rows)
         fresh = scored.select("query_id", "measure", "concept_id", "distance", F.lit(True).alias("fresh"))
         if best is not None:

@@ -95,11 +95,11 @@ class Conversations:
         return rows.withColumn("vec_id", word_vec_id(F.col("word"), self.n_vectors))
 
     def centroids(self, bow: DataFrame | None = None) -> DataFrame:
-        """(id, dim, value): TF-IDF centroid of each node, rounded."""
+        """(id, dim, value): TF-IDF centroid of each node."""
         rows = self.with_vec_id((self.bow if bow is None else bow).join(self.idf.select("word", "idf"), "word")).join(self.vectors, "vec_id")
         from ..functions.vectors import weighted_mean
 
-        return weighted_mean(rows, "id", "vec", F.col("cnt") * F.col("idf"), 9)
+        return weighted_mean(rows, "id", "vec", F.col("cnt") * F.col("idf"))
 
 
 DIMS = "unnest(range(0, len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x"
@@ -107,5 +107,5 @@ DIMS = "unnest(range(0, len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS
 
 def centroid_sql(bow: str) -> str:
     """A select (id, dim, value) of the TF-IDF centroids of a bag of words."""
-    return f"""SELECT id, dim, round(sum(x * w) / nullif(sum(w), 0), 9) AS value FROM
+    return f"""SELECT id, dim, sum(x * w) / nullif(sum(w), 0) AS value FROM
   (SELECT id, cnt * idf AS w, {DIMS} FROM {bow} JOIN cidf USING (word) JOIN embeddings ON vec_id = {vec_id_sql('word')}) GROUP BY 1, 2"""

@@ -100,14 +100,14 @@ def query_bow_(spark, sf):
 
 
 # idf of a word that no text of the corpus has: ln((N + 1) / 2); each query is one sentence here
-QVEC = f"""qv AS (SELECT id, dim, round(sum(x * w) / nullif(sum(w), 0), 9) AS value FROM
+QVEC = f"""qv AS (SELECT id, dim, sum(x * w) / nullif(sum(w), 0) AS value FROM
   (SELECT id, cnt * coalesce(idf, ln(((SELECT count(*) FROM csent)::DOUBLE + 1) / 2)) AS w, unnest(range(0, len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x
    FROM qbow LEFT JOIN cidf USING (word) JOIN embeddings ON vec_id = {vec_id_sql('word')}) GROUP BY 1, 2)"""
 
 
 def query_vectors(spark, sf, c):
     rows = query_bow(spark, sf, c).join(c.idf.select("word", "idf"), "word", "left").withColumn("w", F.col("cnt") * F.coalesce("idf", F.log(F.lit((c.n + 1) / 2))))
-    return weighted_mean(c.with_vec_id(rows).join(c.vectors, "vec_id"), "id", "vec", F.col("w"), 9)
+    return weighted_mean(c.with_vec_id(rows).join(c.vectors, "vec_id"), "id", "vec", F.col("w"))
 
 
 @query("query_vec", f"WITH {CONV}, {QSQL}, {QVEC} SELECT id AS query_id, dim::INT AS dim, round(value, 6) AS value FROM qv")
@@ -144,8 +144,8 @@ def pairs_sql(name: str, candidates: str) -> str:
 def chosen_sql(measure: str, pairs: str) -> str:
     own, other = ("input_word", "lc_word") if measure.startswith("fwd") else ("lc_word", "input_word")
     by = "idf" if measure.endswith("_idf") else "1.0::DOUBLE"
-    return f"""(SELECT query_id, concept_id, {own}, {other}, cost * {by} AS cost, weight * {by} AS weight, euclid FROM {pairs}
-  QUALIFY row_number() OVER (PARTITION BY query_id, concept_id, {own} ORDER BY round(cost * {by}, 10), {other}) = 1)"""
+    return f"""(SELECT query_id, concept_id, {own}, m.o AS {other}, m.k AS cost, m.w AS weight, m.e AS euclid FROM
+  (SELECT query_id, concept_id, {own}, min(struct_pack(c := floor(cost * {by} * 1e10 + 0.5), o := {other}, k := cost * {by}, w := weight * {by}, e := euclid)) AS m FROM {pairs} GROUP BY 1, 2, 3))"""
 
 
 def wmd_sql(measure: str, pairs: str) -> str:
@@ -161,20 +161,19 @@ def wmd_inputs(spark, sf, c):
     rows = stats.term_frequency(c.bow, "id").join(c.idf.select("word", "idf"), "word")
     con = c.with_vec_id(rows).select(F.col("id").alias("concept_id"), "word", F.col("tf").alias("p"), "vec_id", "idf")
     q, con = written(q, "query-words"), written(con, "concept-words")
-    return q, con, written(search.distance_table(c.vectors, q, con), "distances")
+    return q, con, written(search.distance_rows(c.vectors, q.select("vec_id").union(con.select("vec_id"))), "distances")
 
 
-def turn_pairs(spark, sf):
+def turn_inputs(spark, sf):
     c = Conversations(spark, sf)
     q, con, d = wmd_inputs(spark, sf, c)
-    turns = con.join(c.nodes.filter("level = 1").select(F.col("id").alias("concept_id")), "concept_id", "left_semi")
-    return search.word_pairs(q, turns, d)
+    return q, con.join(c.nodes.filter("level = 1").select(F.col("id").alias("concept_id")), "concept_id", "left_semi"), d
 
 
 def _wmd(measure):
     @query(f"rwmd_{measure}", f"{WMD} SELECT * FROM {wmd_sql(measure, 'p')}")
     def run(spark, sf):
-        return search.relaxed_wmd(turn_pairs(spark, sf), measure)
+        return search.relaxed_wmd(search.selected(*turn_inputs(spark, sf), measure))
 
 
 for _m in search.MEASURES:
@@ -183,7 +182,7 @@ for _m in search.MEASURES:
 
 @query("wmd_top3", f"{WMD} SELECT query_id, concept_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, concept_id DESC)::INT AS rank FROM {wmd_sql('fwd', 'p')} QUALIFY rank <= 3")
 def wmd_top3(spark, sf):
-    return search.top(search.relaxed_wmd(turn_pairs(spark, sf), "fwd"))
+    return search.top(search.relaxed_wmd(search.selected(*turn_inputs(spark, sf), "fwd")))
 
 
 TOP = f"t3 AS (SELECT query_id, concept_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, concept_id DESC)::INT AS rank FROM {wmd_sql('fwd', 'p')} QUALIFY rank <= 3)"
@@ -191,9 +190,9 @@ TRAVEL = f"{WMD}, {TOP}, tp AS (SELECT s.* FROM {chosen_sql('fwd', 'p')} s SEMI
 
 
 def travel(spark, sf):
-    pairs = written(turn_pairs(spark, sf), "pairs")
-    best = written(search.top(search.relaxed_wmd(pairs, "fwd")), "best")
-    rows = search.selected(pairs.join(best.select("query_id", "concept_id"), ["query_id", "concept_id"], "left_semi"), "fwd")
+    chosen = written(search.selected(*turn_inputs(spark, sf), "fwd"), "chosen")
+    best = written(search.top(search.relaxed_wmd(chosen)), "best")
+    rows = chosen.join(best.select("query_id", "concept_id"), ["query_id", "concept_id"], "left_semi")
     return best, rows
 
 
@@ -296,7 +295,7 @@ def beam_search(spark, sf):
 def sweeps_sql(n: int) -> str:
     parts, now = [f"WITH {CONV}, v0 AS (SELECT id, level, dim, value FROM ({centroid_sql('cbow')}) JOIN nodes USING (id) WHERE value IS NOT NULL)"], "v0"
     for i in range(2 * n):
-        new = f"SELECT e.src AS id, t.level, v.dim, round(avg(v.value), 9) AS value FROM edges e JOIN (SELECT DISTINCT id, level FROM {now} WHERE level % 2 = {i % 2}) t ON e.src = t.id JOIN {now} v ON v.id = e.dst GROUP BY 1, 2, 3"
+        new = f"SELECT e.src AS id, t.level, v.dim, avg(v.value) AS value FROM edges e JOIN (SELECT DISTINCT id, level FROM {now} WHERE level % 2 = {i % 2}) t ON e.src = t.id JOIN {now} v ON v.id = e.dst GROUP BY 1, 2, 3"
         parts.append(f"n{i} AS ({new})")
         parts.append(f"v{i + 1} AS (SELECT * FROM n{i} UNION ALL SELECT * FROM {now} WHERE id NOT IN (SELECT id FROM n{i}))")
         now = f"v{i + 1}"
@@ -312,7 +311,7 @@ def propagate_2sweeps(spark, sf):
     c = Conversations(spark, sf)
     values, edges = written(start_values(c), "values"), written(c.edges, "edges")
     for parity in (0, 1, 0, 1):
-        values = written(graph.half_sweep(values, edges, parity, digits=9), "values")
+        values = written(graph.half_sweep(values, edges, parity), "values")
     return values.withColumn("value", F.round("value", 6))
 
 
@@ -410,7 +409,7 @@ def nums_sql(x: str) -> str:
     return f"CASE WHEN regexp_full_match({x}, '[0-9]+-[0-9]+') THEN range({listed}[1], {listed}[2] + 1)::INT[] ELSE {listed} END"
 
 
-SINGLE = f"""single AS (SELECT id, ord, ref_string, '§ ' || num || CASE WHEN letter <> '' THEN ' ' || letter ELSE '' END || '.' AS paragraph, stk, nr, pkt FROM {each('single', ['ref_string', 'num', 'letter', 'stk', 'nr', 'pkt'])}),
+SINGLE = f"""single AS (SELECT id, ord, ref_string, '§ ' || num || CASE WHEN letter <> '' THEN ' ' || letter ELSE '' END || '.' AS paragraph, coalesce(sa, '') || coalesce(sb, '') AS stk, coalesce(na, '') || coalesce(nb, '') AS nr, coalesce(pkt, '') AS pkt FROM {each('single', ['ref_string', 'num', 'letter', 'sa', 'na', 'pkt', 'sb', 'nb'])}),
 refs AS (SELECT id, ord, ref_string, paragraph, nullif(stk, '') AS stk, nullif(nr, '') AS nr, nullif(pkt, '') AS pkt,
   CASE WHEN pkt <> '' THEN regexp_extract(pkt, '[0-9]+') || '. pkt.' WHEN nr <> '' THEN regexp_extract(nr, '[0-9]+') || ')' WHEN stk <> '' THEN 'Stk. ' || regexp_extract(stk, '[0-9]+') || '.' ELSE paragraph END AS target_name,
   CASE WHEN pkt <> '' OR nr <> '' THEN [CASE WHEN stk <> '' THEN 'Stk. ' || regexp_extract(stk, '[0-9]+') || '.' ELSE 'Stk. 1.' END, paragraph] WHEN stk <> '' THEN [paragraph] ELSE []::VARCHAR[] END AS target_parents FROM single)"""
@@ -431,7 +430,7 @@ def cite_list(spark, sf):
     return cite.list_refs(cited(spark, sf), "id", "text")
 
 
-@query("cite_stk", f"WITH {CTE} SELECT id, ord, unnest({nums_sql('l')}) AS stk, nullif(nr, '') AS nr, nullif(pkt, '') AS pkt FROM {each('stk', ['w', 'l', 'nr', 'pkt'])}")
+@query("cite_stk", f"WITH {CTE} SELECT id, ord, unnest({nums_sql("(coalesce(la, '') || coalesce(lb, ''))")}) AS stk, nullif(coalesce(na, '') || coalesce(nb, ''), '') AS nr, nullif(pkt, '') AS pkt FROM {each('stk', ['w', 'la', 'na', 'pkt', 'lb', 'nb'])}")
 def cite_stk(spark, sf):
     return cite.stk_refs(cited(spark, sf), "id", "text")
 
