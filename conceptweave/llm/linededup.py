@@ -70,13 +70,13 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 2, least_lines:
 
     digests = F.transform(chunks, lambda c: F.struct(c["place"].alias("place"), F.xxhash64(c["chunk"]).alias("digest")))
     seen = named.select("doc_id", F.explode(digests).alias("c")).select("doc_id", "c.place", "c.digest")
-    again = seen.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    again = written(seen.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "line-digests")  # written, so that the join below gets exchanges of its own, which can be split where a digest is hot
     suspects = written(seen.join(again, "digest").groupBy("doc_id").agg(F.collect_set("place").alias("places")), "line-suspects")
 
     hinted = checked(suspects.withColumnRenamed("doc_id", "of"))
     found = named.join(hinted, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", F.explode(F.filter(chunks, lambda c: F.array_contains(F.col("places"), c["place"]))).alias("c"))
     texts = written(found.select("doc_id", "c.place", "c.chunk", F.xxhash64("c.chunk").alias("digest")), "line-chunks")
-    first = texts.groupBy("digest", "chunk").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = written(texts.groupBy("digest", "chunk").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "line-keepers")
     other = texts.join(first, ["digest", "chunk"]).filter(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
     gone = written(other.groupBy(F.col("doc_id").alias("__of")).agg(F.sort_array(F.collect_set("place")).alias("removed_chunks")), "line-removals")
 
