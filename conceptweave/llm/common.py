@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +47,18 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value worked out once, though a function of array elements uses it again and again."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def tidy(batches: Iterator) -> Iterator:
+    """The same batches; at their end, memory that Python freed goes back to the system, as workers live on for other tasks."""
+    try:
+        yield from batches
+    finally:
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # a C library without it
+            pass

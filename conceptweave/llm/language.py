@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import keyed, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 17  # of a feature's place in the weights
@@ -172,7 +172,7 @@ def train(sample: list[tuple[str, str]], words_per_label: int = 60_000, run: int
     return model
 
 
-def label_words(model: Model, texts: list[str | None], block: int = 256, most: int = 400_000) -> Iterator[tuple[int, list[str], np.ndarray]]:
+def label_words(model: Model, texts: list[str | None], block: int = 128, most: int = 150_000) -> Iterator[tuple[int, list[str], np.ndarray]]:
     """(place in texts, words, marginals) of every text that has words; texts of like length go through together."""
     found = [WORD.findall((t or "").lower()) for t in texts]
     order = sorted((i for i in range(len(texts)) if found[i]), key=lambda i: -len(found[i]))
@@ -215,8 +215,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for whole in batches:
-            for at in range(0, len(whole), 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, len(whole), 400):
+                batch = whole.slice(at, 400)
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 out: list[tuple] = [(i, "und", 0.0, 0, []) for i in ids]
                 if model.labels:
@@ -226,7 +226,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                         out[i] = (ids[i], model.labels[best], min(1.0, float(mean[best])), len(words), list(zip(model.labels, mean.tolist())))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    return keyed(docs, id_col, text_col).mapInArrow(predict, schema)
+    return keyed(docs, id_col, text_col).mapInArrow(lambda batches: tidy(predict(batches)), schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -237,15 +237,15 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5, tex
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for whole in batches:
-            for at in range(0, len(whole), 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, len(whole), 400):
+                batch = whole.slice(at, 400)
                 kept = np.zeros(len(batch), bool)
                 if model.labels:
                     for i, _, marginals in label_words(model, batch.column(column).to_pylist()):
                         kept[i] = marginals.mean(0, dtype=np.float64).max() >= least_score
                 yield batch.filter(pa.array(kept))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lambda batches: tidy(keep(batches)), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, keyed
+from .common import fresh_path, keyed, tidy
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("leftover", pa.bool_()), ("ids", pa.binary())])
@@ -39,7 +39,7 @@ class WordTokenizer:
     looked up in a cache of at most ``cache_words`` entries, emptied when full; it changes the speed only.
     """
 
-    def __init__(self, path: str, cache_words: int = 400_000) -> None:
+    def __init__(self, path: str, cache_words: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
         self.tok, self.cache_words, self.cache = Tokenizer.from_file(path), cache_words, {}
@@ -169,7 +169,7 @@ def pack(docs: DataFrame, size: int = 4096, open_windows: int = 16, end_id: int
 
         yield from _batches(rows())
 
-    keyed(docs, id_col, text_col).mapInArrow(first, PIECES_SQL).write.option("compression", "zstd").parquet(f"{path}/level=0")
+    keyed(docs, id_col, text_col).mapInArrow(lambda batches: tidy(first(batches)), PIECES_SQL).write.option("compression", "zstd").parquet(f"{path}/level=0")
     level = 0
     parts = spark.read.parquet(f"{path}/level=0").rdd.getNumPartitions()
     while True:
