@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, written
+from .common import keyed, tidy, written
 
 CELLS = 1 << 20
 BROADCAST_ROWS = 500_000
@@ -51,7 +51,7 @@ class Shingler:
             return np.zeros(0, np.uint64)
         if len(words) < self.size:
             return np.array([self.hash(b" ".join(words), len(words))], np.uint64)
-        if len(self.known) > 300_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         known = self.known
         for w in set(words).difference(known):
@@ -89,7 +89,7 @@ def count_sketch(docs: DataFrame, size: int, split, fan_in: int = 64) -> np.ndar
                 cells += np.frombuffer(x.as_py(), "<i4")
         yield pa.RecordBatch.from_pydict({"counts": pa.array([np.minimum(cells, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
 
-    rows = written(docs.mapInArrow(count, schema), "sketch")
+    rows = written(docs.mapInArrow(lambda batches: tidy(count(batches)), schema), "sketch")
     parts = rows.rdd.getNumPartitions()
     while parts > 1:
         parts = -(-parts // fan_in)
@@ -125,7 +125,7 @@ def connected(edges: DataFrame) -> DataFrame:
     return state.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("label")).union(state.select("v", "v").distinct())
 
 
-def verified(docs: DataFrame, pairs: DataFrame, similar: tuple[int, int], size: int, split, chunk: int = 2000) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, similar: tuple[int, int], size: int, split, chunk: int = 250) -> DataFrame:
     """Written (a, b) of those pairs whose sets are as similar. The set of an ``a`` meets those of its ``b`` in parts of about ``chunk``."""
     most, of = similar
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "pair-ids")
@@ -137,11 +137,11 @@ def verified(docs: DataFrame, pairs: DataFrame, similar: tuple[int, int], size:
             data = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "s": pa.array(data, pa.binary())})
 
-    held = written(docs.join(few(ids), F.col("doc_id") == F.col("of")).select("doc_id", "text").mapInArrow(sets, schema), "pair-sets")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).cast("long").alias("parts"))
-    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
-    right = dealt.join(held, F.col("b") == F.col("doc_id")).select("a", "part", "b", "s")
-    left = parts.join(held, F.col("a") == F.col("doc_id")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "s")
+    held = written(docs.join(few(ids), F.col("doc_id") == F.col("of")).select("doc_id", "text").mapInArrow(lambda batches: tidy(sets(batches)), schema), "pair-sets")
+    parts = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).cast("long").alias("parts")), "pair-parts")
+    dealt = written(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")), "pair-parts")
+    right = held.join(few(dealt), F.col("b") == F.col("doc_id")).select("a", "part", "b", "s")
+    left = held.join(few(parts), F.col("a") == F.col("doc_id")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "s")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, []
@@ -194,7 +194,7 @@ def classes(docs: DataFrame, similar: tuple[int, int] = (85, 100), size: int = 4
             d, n, digest, group, p, parts = zip(*rows)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "prefix_digest": pa.array(group, pa.binary()), "prefix": pa.array(p, pa.list_(pa.int64())), "parts": pa.array(parts, pa.list_(pa.int32()))})
 
-    sized = written(docs.mapInArrow(prefixes, "doc_id long, n long, digest binary, prefix_digest binary, prefix array<long>, parts array<int>"), "prefixes")
+    sized = written(docs.mapInArrow(lambda batches: tidy(prefixes(batches)), "doc_id long, n long, digest binary, prefix_digest binary, prefix array<long>, parts array<int>"), "prefixes")
     reps = sized.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     singles = sized.select("doc_id", "n", "digest", "prefix_digest").join(reps.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
     singles = singles.select("doc_id", "n", "prefix_digest").distinct()
@@ -202,7 +202,7 @@ def classes(docs: DataFrame, similar: tuple[int, int] = (85, 100), size: int = 4
     members = written(singles.join(groups, ["prefix_digest", "n"]).select("g", "n", F.col("doc_id").alias("m"), "prefix_digest"), "members")
 
     heads = members.filter("g = m").select("g", F.col("prefix_digest").alias("d"))
-    rows = sized.join(heads, (F.col("doc_id") == F.col("g")) & (F.col("prefix_digest") == F.col("d"))).select("g", "n", "parts", F.posexplode("prefix").alias("pos", "token"))
+    rows = sized.join(few(heads), (F.col("doc_id") == F.col("g")) & (F.col("prefix_digest") == F.col("d"))).select("g", "n", "parts", F.posexplode("prefix").alias("pos", "token"))
     rows = rows.select("token", F.pmod(F.xxhash64("g"), F.get("parts", F.col("pos"))).cast("int").alias("part"), "pos", "n", "g", (F.get("parts", F.col("pos")) > 1).alias("split"))
 
     bucket_schema = pa.schema([("token", pa.int64()), ("part", pa.int32()), ("pos", pa.int32()), ("n", pa.int64()), ("g", pa.int64()), ("pivot_pos", pa.int32()), ("pivot_n", pa.int64()), ("pivot", pa.int64())])
