@@ -104,7 +104,7 @@ def concept_rows(blocks: DataFrame, laws: DataFrame, dialect_name: str) -> DataF
     par_above, heads = above(chapter, section, law), rows.filter("role = 'paragraph'")
     in_item = F.col("item").isNotNull() & (F.col("item_no") > 0)
     base = above(F.when(F.col("nested").isNotNull(), F.col("nested")), F.when(in_item, F.col("item")), stk, F.col("paragraph"), chapter, section, law)
-    said = rows.filter(F.trim("text") != "").withColumn("base", base).select("doc_id", "ordinal", "base", F.posexplode(sentences(text, dialect_name)).alias("i", "s"))
+    said = rows.filter(~F.col("role").isin("section", "chapter", "section_name", "chapter_name")).filter(F.trim("text") != "").withColumn("base", base).select("doc_id", "ordinal", "base", F.posexplode(sentences(text, dialect_name)).alias("i", "s"))
     place = F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("ordinal", "i"))
     said = said.withColumn("place", place)
     union = [
@@ -112,7 +112,7 @@ def concept_rows(blocks: DataFrame, laws: DataFrame, dialect_name: str) -> DataF
         nodes(rows.filter("section > 0"), section, "section", above(law), F.col("section")),
         nodes(rows.filter("chapter > 0"), chapter, "chapter", above(section, law), F.col("chapter")),
         nodes(heads.unionByName(spread.select(*heads.columns)), F.col("paragraph"), "paragraf", par_above, F.col("par_no")),
-        nodes(rows.filter("stk_no > 0"), stk, "stk", above(F.col("paragraph"), chapter, section, law), F.col("stk_no")),
+        nodes(rows.filter("role in ('paragraph', 'stk')"), stk, "stk", above(F.col("paragraph"), chapter, section, law), F.col("stk_no")),
         nodes(rows.filter("role = 'item'"), F.col("item"), "list", above(stk, F.col("paragraph"), chapter, section, law), F.col("item_no"), item_kind(F.col("item"))),
         nodes(rows.filter("role = 'nested'"), F.col("nested"), "list", above(F.when(in_item, F.col("item")), stk, F.col("paragraph"), chapter, section, law), F.col("ordinal"), item_kind(F.col("nested"))),
         nodes(said, F.concat(F.col("place"), F.lit(". pkt.")), "sentence", F.col("base"), F.col("place"), none, F.trim("s")),
