@@ -543,3 +543,12 @@ def word_vector_lookup(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     words = stats.word_rows(table(spark, sf, "benchmark"), "item_id").select("word").distinct().withColumn("vec_id", word_vec_id(F.col("word"), vectors.count()))
     return words.join(vectors, "vec_id").select("word", F.size("vec").alias("size"), F.round(F.get("vec", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@query("word2vec_cbow")
+def word2vec_cbow(spark, sf):
+    from ..operators import train
+
+    rows = search.spread(corpus_tokens(spark, sf).withColumn("h", F.xxhash64("tokens")), "h")
+    words = rows.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("cnt")).filter("cnt >= 2")
+    return train.cbow(rows, words, size=32, epochs=1, most_words=1_000_000)
