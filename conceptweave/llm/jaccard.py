@@ -126,29 +126,23 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, similar: tuple[int, int], size: int, split, chunk: int = 250) -> DataFrame:
-    """Written (a, b) of those pairs whose sets are as similar. The set of an ``a`` meets those of its ``b`` in parts of about ``chunk``."""
+    """Written (a, b) of those pairs whose sets are as similar. The set of an ``a`` meets those of its ``b`` in parts of about ``chunk``.
+
+    Whole texts are shuffled, which compress to less than half of their sets of hashes, and the sets are made where they meet."""
     most, of = similar
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "pair-ids")
-    schema = "doc_id long, s binary"
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(size, split)
-        for batch in batches:
-            data = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "s": pa.array(data, pa.binary())})
-
-    held = written(docs.join(few(ids), F.col("doc_id") == F.col("of")).select("doc_id", "text").mapInArrow(lambda batches: tidy(sets(batches)), schema), "pair-sets")
+    held = written(docs.join(few(ids), F.col("doc_id") == F.col("of")).select("doc_id", "text"), "pair-texts")
     parts = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).cast("long").alias("parts")), "pair-parts")
     dealt = written(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")), "pair-parts")
-    right = held.join(few(dealt), F.col("b") == F.col("doc_id")).select("a", "part", "b", "s")
-    left = held.join(few(parts), F.col("a") == F.col("doc_id")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "s")
+    right = held.join(few(dealt), F.col("b") == F.col("doc_id")).select("a", "part", "b", "text")
+    left = held.join(few(parts), F.col("a") == F.col("doc_id")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own = None, []
+        key, own, shingles = None, [], Shingler(size, split)
         for batch in batches:
             found = []
-            for a, part, b, s in zip(*batch.columns):
-                a, part, b, s = a.as_py(), part.as_py(), b.as_py(), np.frombuffer(s.as_py(), np.uint64)
+            for a, part, b, text in zip(*batch.columns):
+                a, part, b, s = a.as_py(), part.as_py(), b.as_py(), shingles(text.as_py())
                 if (a, part) != key:
                     key, own = (a, part), []
                 if b is None:
@@ -167,7 +161,7 @@ def verified(docs: DataFrame, pairs: DataFrame, similar: tuple[int, int], size:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     ordered = left.union(right).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return written(ordered.mapInArrow(check, "a long, b long").distinct(), "links")
+    return written(ordered.mapInArrow(lambda batches: tidy(check(batches)), "a long, b long").distinct(), "links")
 
 
 def classes(docs: DataFrame, similar: tuple[int, int] = (85, 100), size: int = 4, split=ascii_words, salt_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
