@@ -101,8 +101,8 @@ def count_sketch(docs: DataFrame, size: int, split, fan_in: int = 64) -> np.ndar
 
 
 def few(ids: DataFrame) -> DataFrame:
-    """A hint to broadcast, if the rows are few enough for it."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+    """A hint to broadcast, if the rows, counted in each task by itself, are few enough for it."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def connected(edges: DataFrame) -> DataFrame:
