@@ -58,7 +58,7 @@ def chunks_of(text: Column, window: int = 2, divisor: int = 2) -> Column:
 
 def checked(small: DataFrame) -> DataFrame:
     """A hint to broadcast, if the rows are few enough for it."""
-    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
 def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 2, least_lines: int = 2, least_chars: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
