@@ -152,7 +152,7 @@ def scan_secrets(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_
     """doc_id and found: an array of (start, order, end, kind), sorted, of every row."""
     docs = keyed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     likely = written(candidates(build_index(docs, rules), rules), "secret-candidates").withColumnRenamed("doc_id", "of")
-    small = F.broadcast(likely) if likely.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else likely
+    small = F.broadcast(likely) if likely.count() <= BROADCAST_ROWS else likely
     rows = docs.join(small, F.col("doc_id").eqNullSafe(F.col("of")), "left")
     none = F.array().cast("array<struct<start: int, order: int, end: int, kind: string>>")
     each = [
