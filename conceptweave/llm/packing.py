@@ -49,7 +49,7 @@ class WordTokenizer:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        low = text if text.isascii() else "".join(map(str.lower, normalize("NFC", text)))
+        low = text.lower() if text.isascii() else "".join(map(str.lower, normalize("NFC", text)))  # words of texts with "<|" come with their capitals
         body, mark = (low[:-1], low[-1]) if len(low) > 1 and low[-1] in ".," and low[-2].isalpha() else (low, "")  # a mark alone after a letter is a token of its own
         if body.isascii() and body.isalpha() and body.islower():
             return self._letters(body) + self._letters(mark)

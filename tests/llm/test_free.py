@@ -106,6 +106,11 @@ def test_ids_word_by_word_are_those_of_the_whole(text):
     assert tokenizer()[1].ids(text) == whole_ids([text])[0][:-1].tobytes()
 
 
+@pytest.mark.parametrize("text", ["Hello <|x The", "A <| b", "PIPE <|endoftext|> Two", "Hi. THE, <|startoftext|>The <|ENDOFTEXT|> É Été", "Mix<|endoftext|>Mix Don't <| 12A"])
+def test_ids_of_capitals_beside_special_marks(text):
+    assert tokenizer()[1].ids(text) == whole_ids([text])[0][:-1].tobytes()
+
+
 @pytest.mark.parametrize("windows, fan_in", [(3, 2), (16, 64)])
 def test_packing(spark, windows, fan_in):
     texts = [(i, "word " * (i * 7 % 300)) for i in range(100, 300)] + ODD
