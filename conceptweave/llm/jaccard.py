@@ -43,7 +43,6 @@ class Shingler:
         import xxhash
 
         self.size, self.split, self.hash, self.known = size, split, xxhash.xxh3_64_intdigest, {}
-        self.odd = (np.arange(size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C16) + np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = self.split(text) if text else []
@@ -59,8 +58,10 @@ class Shingler:
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = len(h) - self.size + 1
         x = np.zeros(n, np.uint64)
-        for k in range(self.size):
-            x += h[k : k + n] * self.odd[k]
+        for k in range(self.size):  # mixed at each word: sums alone would give x y y x and y x x y one hash
+            x += h[k : k + n]
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return np.unique(x ^ (x >> np.uint64(31)))

@@ -1,5 +1,6 @@
 """The Jaccard join and the pipeline against plain loops."""
 
+import itertools
 import random
 
 import numpy as np
@@ -74,6 +75,18 @@ def test_odd_rows(spark):
     assert jaccard.classes(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("size", [2, 3, 4, 5])
+def test_hashes_depend_on_the_order_of_words(size):
+    shingler = jaccard.Shingler(size, jaccard.ascii_words)
+    orders = [" ".join(w) for w in itertools.product("xyz", repeat=size)]
+    assert len({int(h) for t in orders for h in shingler(t)}) == 3**size
+
+
+def test_shingles_of_two_words_are_counted_whole(spark):
+    found = jaccard.classes(frame(spark, [(1, "x y y x"), (2, "y x x y"), (3, "x y y x x y")])).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {1: (1, 1), 2: (1, 2), 3: (3, 3)}
+
+
 def test_connected(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 40), (45, 50), (45, 45), (100, 99)]
     found = dict(jaccard.connected(spark.createDataFrame(edges, "a long, b long")).collect())
