@@ -1,6 +1,6 @@
 """Operator 1, license scans: canonical digest lookup of entire texts.
 
-A text is put in canonical form: copyright lines dropped, lower case, every run of other characters than letters and
+A text is put in canonical form: copyright notices at the start of lines dropped, lower case, every run of other characters than letters and
 digits one separator, equivalent spellings replaced by one of them. The SHA-256 digest of the form is looked up by a hash
 join among the digests of known licence texts, a fixed table. Only DataFrame functions are used.
 
@@ -11,13 +11,19 @@ canonical forms the first id in order is given. Further columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed
 
+#: The coarser rule of the SQL: it also drops lines of licence texts that begin with "copyright".
 COPYRIGHT_LINES = r"(?im)^[ \t/#*;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
+#: After "copyright", these words go on with a sentence of a licence; before other words it is a notice.
+IN_SENTENCES = "notices?|holders?|owners?|laws?|licen[cs]es?|statements?|interests?|disclaimers?|infringements?|treat(?:y|ies)|protection|and|or|in|of|on|is|are|to|for"
+
 #: Spellings that licence matching treats as equal.
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"),
@@ -53,9 +59,18 @@ LICENSES = [
 ]
 
 
-def canonical(text: Column) -> Column:
+def notices(licenses: list[tuple[str, str]]) -> str:
+    """Expression for copyright notices: to the end of their line, or to the first words of a licence in it."""
+    words = [re.findall(r"[^\W_]+", text.strip().split("\n")[0])[:3] for _, text in licenses]
+    starts = sorted({r"[^\p{L}\p{N}\n]+".join(w) for w in words if w}, key=lambda x: (-len(x), x))
+    stop = "".join(rf"(?<![\p{{L}}\p{{N}}]){x}(?![\p{{L}}\p{{N}}])|" for x in starts)
+    copyright = rf"copyright(?![\p{{L}}\p{{N}}])(?=[^\n]*[\p{{L}}\p{{N}}])(?![^\p{{L}}\p{{N}}\n]*(?:{IN_SENTENCES})(?![\p{{L}}\p{{N}}]))"
+    return rf"(?imd)^[ \t/#*;-]*(?:{copyright}|\(c\)(?=[^\n]*(?:copyright|(?:19|20)\d\d))|©|all rights reserved)[^\n]*?(?={stop}$)"
+
+
+def canonical(text: Column, licenses: list[tuple[str, str]] = LICENSES) -> Column:
     """The canonical form; words stand between double separators, so that each replacement has its own."""
-    kept = F.regexp_replace(text, COPYRIGHT_LINES, " ")
+    kept = F.regexp_replace(text, notices(licenses), " ")
     form = F.concat(F.lit(" "), F.regexp_replace(F.lower(kept), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     for a, b in SPELLINGS:
         form = F.replace(form, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -65,9 +80,9 @@ def canonical(text: Column) -> Column:
 def scan_licenses(docs: DataFrame, licenses: list[tuple[str, str]] = LICENSES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, canonical_sha256 and license_id (null where the entire text is no known licence) of all rows."""
     spark = docs.sparkSession
-    known = spark.createDataFrame(licenses, "license_id string, text string").select("license_id", canonical(F.col("text")).alias("form"))
+    known = spark.createDataFrame(licenses, "license_id string, text string").select("license_id", canonical(F.col("text"), licenses).alias("form"))
     known = known.filter("form <> ''").groupBy(F.sha2("form", 256).alias("canonical_sha256")).agg(F.min("license_id").alias("license_id"))
-    forms = keyed(docs, id_col, text_col).select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
+    forms = keyed(docs, id_col, text_col).select("doc_id", F.sha2(canonical(F.col("text"), licenses), 256).alias("canonical_sha256"))
     return forms.join(F.broadcast(known), "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id")  # the table is a fixed parameter
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +31,24 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0 and licenses.scan_licenses(frame(spark, ODD)).count() == len(ODD)
 
 
+def test_licenses_in_any_wrapping(spark):
+    notice = "Copyright (c) 2020 A. Person."
+    texts, expected = [], {}
+    for name, text in licenses.LICENSES:
+        wraps = [f"{notice} {text}", f"Copyright The Authors. All rights reserved. {text}", f"{notice}\nAll rights reserved.\n\n{text}"]
+        for width in range(20, 90):
+            for lead in ("", " * ", "# "):
+                wraps.append("\n".join(lead + x for x in [notice, *textwrap.wrap(text, width, break_long_words=False)]))
+        for w in wraps:
+            expected[len(texts)] = name
+            texts.append((len(texts), w))
+    texts += [(-1, "(c) You must retain notices"), (-2, "retain notices"), (-3, "(C) Copyright A 2020\nretain notices"), (-4, "© A. Person\nCOPYRIGHT: 2020 A\nretain notices")]
+    found = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+    assert {i: found[i].license_id for i in expected} == expected
+    assert found[-1].canonical_sha256 == hashlib.sha256(b"c you must retain notices").hexdigest()
+    assert found[-2].canonical_sha256 == found[-3].canonical_sha256 == found[-4].canonical_sha256
+
+
 def brute_spans(text, rules):
     out = []
     for order, r in enumerate(rules):
