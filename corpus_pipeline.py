@@ -35,13 +35,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each class of documents that share 0.8 of their shingles of five words."""
+    """Keeps the smallest id of each class of documents that share 0.8 of their shingles of five words.
+
+    Rows with a null id stay, even as copies of other documents, and so do all rows that repeat the id that is kept."""
     found = classes(docs, similar=(80, 100), size=5)
     return without(docs, found.filter("doc_id <> component_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold 0.8 of a benchmark item's shingles of five words."""
+    """Drops documents that hold 0.8 of a benchmark item's shingles of five words. Rows with a null id stay, even if contaminated."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return without(docs, contaminated(docs, items))
 
