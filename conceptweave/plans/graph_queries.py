@@ -8,24 +8,10 @@ from ..functions.lexicon import EXTERNAL_CUES, RELATIVE_CUES, WHOLE_LAW_CUES
 from ..functions.text import quoted, tokens, tokens_sql
 from ..functions.vectors import as_arrays, weighted_mean
 from ..operators import cite, evaluate, graph, report, search, stats
+from ..tables import written
 from .base import CONV, Conversations, centroid_sql, query, table, vec_id_sql, word_vec_id
 
 
-def written(df, name):
-    """A table in the folder of ``spark.checkpoint.dir``, or in a new one where that is unset."""
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="conceptweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # Tree and roll-up
 
 
