@@ -1,7 +1,8 @@
 """Citations: one composed grammar per form, classification, and resolution to concepts by joins.
 
-``grammar`` gives each form as an expression in the common subset of Spark's and DuckDB's dialects. Numbers may have any number of
-digits; a sign that no form matches is ignored, so extraction always ends.
+``GRAMMAR`` gives each form as an expression in the common subset of Spark's and DuckDB's dialects. Numbers may have any number of
+digits; a sign that no form matches is ignored, so extraction always ends. Everything a citation lists is a target of its own: where
+several subsections, numbers or points are named, a deeper level belongs to each listed element of the level above it.
 """
 
 from __future__ import annotations
@@ -11,89 +12,146 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import EXTERNAL_CUES, RELATIVE_CUES, WHOLE_LAW_CUES
 
-WS = "[ \u00a0]"
+NBSP = chr(160)
+WS = f"[ {NBSP}]"
 NUM = "[0-9]+"
-LIST = f"{NUM}(?:, {NUM})?(?:(?: og | eller ){NUM})?"
+LIST = f"{NUM}(?:(?:, {NUM})*(?: og | eller ){NUM})?"
 RANGE = f"{NUM}-{NUM}"
-FEW = f"{NUM}(?:(?: og | eller ){NUM})?"
-POINTS = f"((?:{NUM}[.], )?(?:{NUM}[.] og )?{NUM}[.]) pkt[.]"
-
-#: Forms of a citation. ``single`` and ``stk`` have their stk and nr twice: before a point, whose number a list may not take, and without one.
-#: Groups of ``single``: number, letter, stk, nr, pkt, stk, nr; of ``stk``: stk, nr, pkt, stk, nr.
+SOME = f"{RANGE}|{LIST}"
+POINTS = f"((?:{NUM}[.], )*(?:{NUM}[.] (?:og|eller) )?{NUM}[.]) pkt[.]"
+#: Below a paragraph; groups: stk, nr, pkt.
+BELOW = f"(?:, stk[.] ({SOME}))?(?:, nr[.] ({SOME}))?(?:, {POINTS})?"
+#: A paragraph without its sign; groups: number, letter, stk, nr, pkt.
+PART = f"({NUM})(?: ([a-z])\\b)?{BELOW}"
+PLAIN_PART = PART.replace("(?:", "\0").replace("(", "(?:").replace("\0", "(?:")
+NEXT = "(?:, og |, eller |, | og | eller )"
+
+#: Forms of a citation. Group 1 is the whole reference, but for ``pkt`` (the points) and ``item`` (the name).
+#: ``single``: then as in PART; ``range``: first number and letter, last number and letter, then as in PART for a further paragraph;
+#: ``stk``: stk, nr, pkt; ``part``: one paragraph of a list, as in PART.
 GRAMMAR = {
-    "single": f"§{WS}({NUM})(?: ([a-z])\\b)?(?:(?:, stk[.] ({RANGE}|{FEW}))?(?:, nr[.] ({RANGE}|{FEW}))?, {POINTS}|(?:, stk[.] ({RANGE}|{LIST}))?(?:, nr[.] ({RANGE}|{LIST}))?)",
-    "range": f"§§{WS}({NUM})-({NUM})(?:(?: og | eller )({NUM}))?",
-    "list": f"§§{WS}({NUM}(?:, {NUM})*(?: og | eller ){NUM})",
-    "stk": f"(?:^|[^0-9a-z, ]|[^0-9, ] |[a-z]{{2}} ?)stk[.] (?:({RANGE}|{FEW})(?:, nr[.] ({RANGE}|{FEW}))?, {POINTS}|({RANGE}|{LIST})(?:, nr[.] ({RANGE}|{LIST}))?)",
+    "single": f"(?:^|[^§])(§{WS}{PART})",
+    "range": f"(§§{WS}({NUM})(?: ([a-z])\\b)?-({NUM})(?: ([a-z])\\b)?(?:(?: og | eller ){PART})?)",
+    "list": f"(§§{WS}{PLAIN_PART}(?:{NEXT}{PLAIN_PART})+)",
+    "part": f"(?:§§{WS}|{NEXT})({PART})",
+    "stk": f"(?:^|[^0-9a-z, ]|[^0-9, ] |[a-z]{{2}} ?)(stk[.] ({SOME})(?:, nr[.] ({SOME}))?(?:, {POINTS})?)",
     "pkt": POINTS,
     "item": r"(?:^|[ ,(])([a-z]|[0-9]+)\)",
 }
 
 
 def numbers(text: Column) -> Column:
-    """The numbers that ``1``, ``1, 2 og 3`` or ``1-3`` names, in order; null stays null."""
+    """The numbers that ``1``, ``1, 2 og 3`` or ``1-3`` names, in order; null stays null, and an empty text names one null."""
     listed = F.transform(F.regexp_extract_all(text, F.lit(f"({NUM})"), F.lit(1)), lambda x: x.cast("int"))
-    return F.when(text.rlike(f"^{RANGE}$"), F.sequence(F.get(listed, F.lit(0)), F.get(listed, F.lit(1)))).when(text.isNotNull(), listed)
+    return F.when(text == "", F.array(F.lit(None).cast("int"))).when(text.rlike(f"^{RANGE}$"), F.sequence(F.get(listed, F.lit(0)), F.get(listed, F.lit(1)))).when(text.isNotNull(), listed)
 
 
-def matches(text: Column, form: str, group: int = 0) -> Column:
+def matches(text: Column, form: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(GRAMMAR[form]), F.lit(group))
 
 
-def either(rows: DataFrame) -> DataFrame:
-    """stk and nr from whichever branch of the form matched; the groups of the other are empty."""
-    return rows.withColumn("r", F.col("r").withField("stk", F.concat("r.stk_a", "r.stk_b")).withField("nr", F.concat("r.nr_a", "r.nr_b")))
+def found(sentences: DataFrame, key: str, text: Column, form: str, names: list[str]) -> DataFrame:
+    """(key, ord, names...): a row a match, a column a group, in order of the groups."""
+    parts = F.arrays_zip(*[matches(text, form, g + 1).alias(n) for g, n in enumerate(names)])
+    return sentences.select(key, F.posexplode(parts).alias("ord", "r")).select(key, "ord", *[F.col(f"r.{n}").alias(n) for n in names])
+
+
+def each(rows: DataFrame, *levels: str) -> DataFrame:
+    """A row for each combination of the numbers that the levels list; null where a level is not given."""
+    for c in levels:
+        rows = rows.withColumn(c, F.explode(numbers(F.col(c))))
+    return rows
+
+
+def paragraph(number: Column, letter: Column) -> Column:
+    return F.concat(F.lit(f"§{NBSP}"), number.cast("string"), F.when(letter != "", F.concat(F.lit(" "), letter)).otherwise(F.lit("")), F.lit("."))
+
+
+def paragraph_key(name: Column) -> Column:
+    """Where a paragraph of this name stands among others: its number, then its letter."""
+    letter = F.regexp_extract(name, f"{NUM} ([a-z])", 1)
+    return F.regexp_extract(name, f"({NUM})", 1).try_cast("long") * 100 + F.when(letter == "", F.lit(0)).otherwise(F.ascii(letter) - 96)
+
+
+def below(stk: Column, nr: Column, pkt: Column) -> Column:
+    """The names that lead down from a paragraph, nearest first; numbers and points without subsection are in the first."""
+    deep = nr.isNotNull() | pkt.isNotNull()
+    stk_name = F.when(stk.isNotNull() | deep, F.concat(F.lit("Stk. "), F.coalesce(stk, F.lit(1)).cast("string"), F.lit(".")))
+    return F.array_compact(F.array(F.concat(pkt.cast("string"), F.lit(". pkt.")), F.concat(nr.cast("string"), F.lit(")")), stk_name))
+
+
+def named(rows: DataFrame, key: str, *more: str) -> DataFrame:
+    """Rows with number, letter, stk, nr, pkt as one row per target: (key, ord, more..., paragraph, stk, nr, pkt, target_name, target_parents)."""
+    rows = each(rows, "stk", "nr", "pkt").withColumn("paragraph", paragraph(F.col("number"), F.col("letter")))
+    names = F.concat(below(F.col("stk"), F.col("nr"), F.col("pkt")), F.array("paragraph"))
+    rows = rows.withColumn("names", names)
+    return rows.select(key, "ord", *more, "paragraph", "stk", "nr", "pkt", F.get("names", F.lit(0)).alias("target_name"), F.slice("names", F.lit(2), F.size("names")).alias("target_parents"))
+
+
+PART_NAMES = ["number", "letter", "stk", "nr", "pkt"]
 
 
 def paragraph_refs(sentences: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per single citation: paragraph with letter, and the most specific target it names.
+    """One row per target of single citations: the most specific it names, and the names above it up to the paragraph."""
+    return named(found(sentences, key, F.col(text), "single", ["ref_string", *PART_NAMES]), key, "ref_string")
 
-    (key, ord, paragraph, stk, nr, pkt, target_name, target_parents); a point or number without subsection is in ``Stk. 1.``.
-    """
-    t = F.col(text)
-    parts = F.arrays_zip(*[matches(t, "single", g).alias(n) for g, n in enumerate(["whole", "num", "letter", "stk_a", "nr_a", "pkt", "stk_b", "nr_b"])])
-    rows = either(sentences.select(key, F.posexplode(parts).alias("ord", "r")))
-    first = lambda c: F.regexp_extract(F.col(f"r.{c}"), f"({NUM})", 1)
-    given = lambda c: F.col(f"r.{c}") != ""
-    para = F.concat(F.lit("§ "), F.col("r.num"), F.when(given("letter"), F.concat(F.lit(" "), F.col("r.letter"))).otherwise(F.lit("")), F.lit("."))
-    stk = F.when(given("stk"), F.concat(F.lit("Stk. "), first("stk"), F.lit("."))).otherwise(F.lit("Stk. 1."))
-    return rows.select(
-        key, "ord", F.col("r.whole").alias("ref_string"), para.alias("paragraph"), F.nullif(F.col("r.stk"), F.lit("")).alias("stk"), F.nullif(F.col("r.nr"), F.lit("")).alias("nr"), F.nullif(F.col("r.pkt"), F.lit("")).alias("pkt"),
-        F.when(given("pkt"), F.concat(first("pkt"), F.lit(". pkt."))).when(given("nr"), F.concat(first("nr"), F.lit(")"))).when(given("stk"), stk).otherwise(para).alias("target_name"),
-        F.when(given("pkt") | given("nr"), F.array(stk, para)).when(given("stk"), F.array(para)).otherwise(F.array().cast("array<string>")).alias("target_parents"),
-    )
+
+def list_refs(sentences: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per target of listed citations, as of ``paragraph_refs``, with the place of the paragraph in its list."""
+    lists = found(sentences, key, F.col(text), "list", ["ref_string"])
+    parts = F.arrays_zip(*[matches(F.col("ref_string"), "part", g + 2).alias(n) for g, n in enumerate(PART_NAMES)])
+    rows = lists.select(key, "ord", "ref_string", F.posexplode(parts).alias("place", "r")).select(key, "ord", "ref_string", "place", *[F.col(f"r.{n}").alias(n) for n in PART_NAMES])
+    return named(rows, key, "ref_string", "place")
 
 
 def range_refs(sentences: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per paragraph number of a continuous range and its extra reference."""
-    t = F.col(text)
-    parts = F.arrays_zip(*[matches(t, "range", g).alias(n) for g, n in enumerate(["whole", "first", "last", "extra"])])
-    rows = sentences.select(key, F.posexplode(parts).alias("ord", "r"))
-    a, b = F.col("r.first").cast("int"), F.col("r.last").cast("int")
-    span = F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-    named = F.concat(span, F.when(F.col("r.extra") != "", F.array(F.col("r.extra").cast("int"))).otherwise(F.array().cast("array<int>")))
-    return rows.select(key, "ord", F.explode(named).alias("number"))
+    """(key, ord, ref_string, first, last): the names of the first and last paragraph of a continuous range; see ``expand_ranges``."""
+    rows = found(sentences, key, F.col(text), "range", ["ref_string", "a", "al", "b", "bl", *PART_NAMES])
+    return rows.select(key, "ord", "ref_string", paragraph(F.col("a"), F.col("al")).alias("first"), paragraph(F.col("b"), F.col("bl")).alias("last"))
 
 
-def list_refs(sentences: DataFrame, key: str, text: str) -> DataFrame:
-    rows = sentences.select(key, F.posexplode(matches(F.col(text), "list", 1)).alias("ord", "listed"))
-    return rows.select(key, "ord", F.explode(numbers(F.col("listed"))).alias("number"))
+def range_extras(sentences: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per target of the paragraph named after a range, as of ``paragraph_refs``."""
+    rows = found(sentences, key, F.col(text), "range", ["ref_string", "a", "al", "b", "bl", *PART_NAMES]).filter("number <> ''")
+    return named(rows, key, "ref_string")
+
+
+def expand_ranges(ranges: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """``ranges`` (law_id, first, last, ...) with (paragraph, target_id) of each paragraph that its law has between both, lettered ones too.
+
+    ``paragraphs``: (law_id, name, id). The order is that of numbers and letters, which is the documents' own, and holds where an end is repealed.
+    """
+    known = paragraphs.select(F.col("law_id"), F.col("name").alias("paragraph"), F.col("id").alias("target_id"), paragraph_key(F.col("name")).alias("__at"))
+    within = F.col("__at").between(paragraph_key(F.col("first")), paragraph_key(F.col("last")))
+    return ranges.join(known, "law_id").filter(within).drop("__at")
 
 
 def stk_refs(sentences: DataFrame, key: str, text: str) -> DataFrame:
-    """References within the paragraph: (key, ord, stk, nr, pkt), one row per subsection named; those after a paragraph's number are not among them."""
-    parts = F.arrays_zip(*[matches(F.col(text), "stk", g).alias(n) for g, n in enumerate(["whole", "stk_a", "nr_a", "pkt", "stk_b", "nr_b"])])
-    rows = either(sentences.select(key, F.posexplode(parts).alias("ord", "r")))
-    return rows.select(key, "ord", F.explode(numbers(F.col("r.stk"))).alias("stk"), F.nullif(F.col("r.nr"), F.lit("")).alias("nr"), F.nullif(F.col("r.pkt"), F.lit("")).alias("pkt"))
+    """References within the paragraph: (key, ord, stk, nr, pkt), one row per target; those after a paragraph's number are not among them."""
+    return each(found(sentences, key, F.col(text), "stk", ["whole", "stk", "nr", "pkt"]).drop("whole"), "stk", "nr", "pkt")
 
 
 def pkt_refs(sentences: DataFrame, key: str, text: str) -> DataFrame:
     """Sibling sentences named by point; those that follow a number and comma belong to another citation."""
-    found = F.regexp_extract_all(F.col(text), F.lit(f"(^|[^0-9], |[^, ] |[^0-9 ], ?){GRAMMAR['pkt']}"), F.lit(2))
-    rows = sentences.select(key, F.posexplode(found).alias("ord", "listed"))
+    points = F.regexp_extract_all(F.col(text), F.lit(f"(^|[^0-9], |[^, ] |[^0-9 ], ?){GRAMMAR['pkt']}"), F.lit(2))
+    rows = sentences.select(key, F.posexplode(points).alias("ord", "listed"))
     return rows.select(key, "ord", F.explode(numbers(F.col("listed"))).alias("pkt"))
 
 
+def sibling_targets(sentences: DataFrame, text: str = "text") -> DataFrame:
+    """(id, target_id) of sentences named by point: siblings under the same parent. ``sentences``: (id, parents, text)."""
+    rows = pkt_refs(sentences, "id", text).join(sentences.select("id", "parents"), "id")
+    return rows.select("id", F.concat_ws("_", F.concat(F.col("pkt").cast("string"), F.lit(". pkt.")), "parents").alias("target_id"))
+
+
+def local_targets(sentences: DataFrame, text: str = "text") -> DataFrame:
+    """(id, target_id) of references within the paragraph, which is the nearest element above that is one. ``sentences``: (id, parents, text)."""
+    at = F.array_min(F.filter(F.transform("parents", lambda p, i: F.when(F.startswith(p, F.lit("§")), i)), lambda i: i.isNotNull()))
+    anchors = sentences.select("id", F.slice("parents", at + 1, F.size("parents")).alias("anchor")).filter("anchor is not null")
+    rows = stk_refs(sentences, "id", text).join(anchors, "id")
+    return rows.select("id", F.concat_ws("_", below(F.col("stk"), F.col("nr"), F.col("pkt")), "anchor").alias("target_id"))
+
+
 def item_refs(sentences: DataFrame, key: str, text: str) -> DataFrame:
     """List items named as ``a)`` or ``1)``; they are extracted, but are no edges of the graph."""
     rows = sentences.select(key, F.posexplode(matches(F.col(text), "item", 1)).alias("ord", "item"))
@@ -101,7 +159,7 @@ def item_refs(sentences: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def reference_form(text: Column) -> Column:
-    """Which form of citation a text holds first: list and range need the double sign."""
+    """Which form of citation a text holds: list and range need the double sign."""
     return F.when(text.rlike(GRAMMAR["range"]), F.lit("range")).when(text.rlike(GRAMMAR["list"]), F.lit("list")).when(text.rlike(GRAMMAR["single"]), F.lit("single")).otherwise(F.lit("none"))
 
 
@@ -148,15 +206,16 @@ def classify(refs: DataFrame, texts: DataFrame, key: str, text: str, resolved: D
 
 
 def resolve(refs: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """(…, target_id): by name within the law; ``§ 5 i`` falls back to ``§ 5`` where the law has no paragraph of that letter.
+    """(…, target_id): the paragraph by name within the law; ``§ 5 i`` falls back to ``§ 5`` where the law has no paragraph of that letter.
 
-    ``refs``: (law_id, paragraph); ``paragraphs``: (law_id, name, id).
+    ``refs``: (law_id, paragraph); ``paragraphs``: (law_id, name, id). No-break spaces count as spaces.
     """
-    names = paragraphs.select("law_id", "name", "id")
-    plain = F.regexp_replace("paragraph", " [a-z][.]$", ".")
-    exact = refs.join(names.select("law_id", F.col("name").alias("paragraph"), F.col("id").alias("exact_id")), ["law_id", "paragraph"], "left")
-    loose = exact.withColumn("plain", plain).join(names.select("law_id", F.col("name").alias("plain"), F.col("id").alias("plain_id")), ["law_id", "plain"], "left")
-    return loose.withColumn("target_id", F.coalesce("exact_id", "plain_id")).drop("exact_id", "plain_id", "plain")
+    spaced = lambda c: F.translate(c, NBSP, " ")
+    names = paragraphs.select("law_id", spaced("name").alias("__name"), "id")
+    rows = refs.withColumns({"__name": spaced("paragraph"), "__plain": F.regexp_replace(spaced("paragraph"), " [a-z][.]$", ".")})
+    exact = rows.join(names.withColumnRenamed("id", "__exact"), ["law_id", "__name"], "left")
+    loose = exact.join(names.select("law_id", F.col("__name").alias("__plain"), F.col("id").alias("__loose")), ["law_id", "__plain"], "left")
+    return loose.withColumn("target_id", F.coalesce("__exact", "__loose")).drop("__exact", "__loose", "__plain", "__name")
 
 
 def link_deferred(pending: DataFrame, concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -177,3 +236,27 @@ def whole_law_refs(texts: DataFrame, key: str, text: str) -> DataFrame:
     internal = low.rlike("|".join(f"{c}\\b" for c in WHOLE_LAW_CUES))
     first = external_hits(texts, key, text).groupBy(key).agg(F.min(F.struct("cue_no", "law")).alias("c")).select(key, F.col("c.law").alias("law"))
     return texts.select(key, internal.alias("internal")).join(first, key, "left").filter("internal or law is not null")
+
+
+def law_citations(sentences: DataFrame, paragraphs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All paragraph citations of sentences (id, law_id, text): resolved ones (id, target_id), and those to other laws (id, law, names, ref_string).
+
+    ``paragraphs``: (law_id, name, id). A citation is classified as a whole; internal targets whose paragraph the law has not are dropped.
+    """
+    single = paragraph_refs(sentences, "id", text).withColumn("form", F.lit("single"))
+    listed = list_refs(sentences, "id", text).drop("place").withColumn("form", F.lit("list"))
+    extra = range_extras(sentences, "id", text).withColumn("form", F.lit("range"))
+    laws = sentences.select("id", "law_id")
+    refs = resolve(single.unionByName(listed).unionByName(extra).join(laws, "id"), paragraphs)
+    under = F.concat_ws("_", F.when(F.size("target_parents") > 0, F.concat(F.array("target_name"), F.slice("target_parents", F.lit(1), F.size("target_parents") - 1))).otherwise(F.array().cast("array<string>")), F.col("target_id"))
+    plain = refs.select("id", "form", "ord", "ref_string", F.concat(F.array("target_name"), "target_parents").alias("names"), F.when(F.col("target_id").isNotNull(), under).alias("target_id"))
+    ranges = range_refs(sentences, "id", text).join(laws, "id")
+    spread = expand_ranges(ranges, paragraphs).select("id", F.lit("range").alias("form"), "ord", "ref_string", F.array("paragraph").alias("names"), "target_id")
+    empty = ranges.join(spread.select("id", "ord").distinct(), ["id", "ord"], "left_anti").select("id", F.lit("range").alias("form"), "ord", "ref_string", F.array("first").alias("names"), F.lit(None).cast("string").alias("target_id"))
+    every = plain.unionByName(spread).unionByName(empty).withColumn("ref", F.concat_ws(":", "form", F.col("ord").cast("string")))
+    whole = every.groupBy("id", F.col("ref").alias("ord")).agg(F.first("ref_string").alias("ref_string"), F.bool_and(F.col("target_id").isNotNull()).alias("all_found"))
+    kinds = classify(whole.select("id", "ord", "ref_string"), sentences.select("id", F.col(text).alias("text")), "id", "text", whole.select("id", "ord", "all_found")).withColumnRenamed("ord", "ref")
+    judged = every.join(kinds, ["id", "ref"])
+    inside = judged.filter("ref_class in ('internal', 'unresolved') and target_id is not null").select("id", "target_id").distinct()
+    outside = judged.filter("ref_class = 'external'").select("id", "law", "names", "ref_string")
+    return inside, outside

@@ -51,9 +51,34 @@ def roll_up_text(texts: DataFrame, key: str, order: str, text: str) -> DataFrame
     return texts.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r[text]), "\n").alias(text))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """All rows of ``new``, and those of ``old`` whose key is not in it: the last write wins."""
-    return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
+def last_rows(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row of each key: the one with the largest order columns, ties by all other columns, so that a repeated task takes the same."""
+    rest = [F.col(c).desc_nulls_last() for c in rows.columns if c not in key and c not in order]
+    last = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() for c in order], *rest)
+    return rows.withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n")
+
+
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row of each key: ``new``'s last by ``order`` (see ``last_rows``), else ``old``'s. Null keys are keys."""
+    last = last_rows(new, key, order or [])
+    taken = last.select(*[F.col(c).alias(f"__{c}") for c in key])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+    return old.join(taken, same, "left_anti").unionByName(last)
+
+
+def add_documents(sentences: DataFrame, new: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Sentences (key, text, ...) with those of ``new`` in place of older ones of the same key, and the idf of them all."""
+    rows = upsert(sentences, new, [key])
+    return rows, idf_of(rows, key)
+
+
+def idf_of(sentences: DataFrame, key: str, text: str = "text", stopwords: list[str] = STOPWORDS, **options: bool) -> DataFrame:
+    """(word, df, idf) of texts in one pass: the number of texts is the frequency of a mark that each of them holds."""
+    mark = F.array(F.lit(""))
+    rows = sentences.select(F.explode(F.concat(F.array_distinct(F.coalesce(tokens(F.col(text), stopwords, **options), F.array().cast("array<string>"))), mark)).alias("word"))
+    counts = rows.groupBy("word").agg(F.count("*").alias("df"))
+    n = counts.filter("word = ''").select(F.col("df").alias("__n"))  # one row
+    return counts.filter("word <> ''").join(F.broadcast(n)).select("word", "df", F.log(F.col("__n") / (F.col("df") + 1)).alias("idf"))
 
 
 def top_terms(docs: DataFrame, key: str = "doc_id", k: int = 5, **options: bool) -> DataFrame:

@@ -365,7 +365,11 @@ def target_normalise(spark, sf):
 # Citations, in texts made of the keys of ``part``; both engines build them by the same expression
 
 N = "p_partkey"
-CITE = f"""CASE {N} % 8
+CITE = f"""CASE {N} % 12
+WHEN 8 THEN concat('Efter § ', {N} % 30 + 1, ', stk. 2 og ', {N} % 3 + 3, ', og § ', {N} % 25 + 1, ', nr. 1, 3 og ', {N} % 5 + 4, ', samt § 2, stk. 1-3, gælder § 4, stk. 2, 1., 2. og 3. pkt.')
+WHEN 9 THEN concat('Jf. §§ ', {N} % 20 + 1, ', stk. 2, og ', {N} % 20 + 3, ', nr. 3, i loven.')
+WHEN 10 THEN concat('Uanset §§ ', {N} % 9 + 1, '-', {N} % 9 + 5, ' og ', {N} % 9 + 9, ', stk. 2 og 3, finder stk. 2, 1. og 2. pkt., anvendelse.')
+WHEN 11 THEN concat('Reglerne i §§ ', {N} % 9 + 1, ' a, ', {N} % 9 + 4, ', stk. 1 eller 2, og ', {N} % 9 + 7, ' a, stk. 1, 2. pkt., og stk. 3, nr. 2-4, gælder.')
 WHEN 0 THEN concat('Efter § ', {N} % 40 + 1, ', stk. ', {N} % 3 + 1, ', gælder § ', {N} % 12 + 1, ' a, stk. 2, nr. ', {N} % 5 + 1, ', jf. loven.')
 WHEN 1 THEN concat('Se § ', {N} % 40 + 1, ', stk. 1, ', {N} % 4 + 1, '. pkt., sammenholdt med lov om social service.')
 WHEN 2 THEN concat('Reglerne i §§ ', {N} % 10 + 1, '-', {N} % 10 + 4, ' og ', {N} % 10 + 8, ' finder anvendelse efter SU-loven.')
@@ -384,39 +388,56 @@ CTE = f"t AS (SELECT p_partkey AS id, {CITE} AS text FROM part)"
 G = {k: quoted(v) for k, v in cite.GRAMMAR.items()}
 
 
-def each(form: str, names: list[str], source: str = "t") -> str:
-    """A select with one row per match and a column per group."""
-    cols = ", ".join(f"unnest(regexp_extract_all(text, {G[form]}, {i})) AS {n}" for i, n in enumerate(names))
-    return f"(SELECT id, unnest(range(0, len(regexp_extract_all(text, {G[form]}))))::INT AS ord, {cols} FROM {source})"
+def each(form: str, names: list[str], source: str = "t", text: str = "text", keep: str = "id") -> str:
+    """A select with one row per match and a column per group. For DuckDB a word ends before a letter that is not ASCII, so those are replaced."""
+    text = f"translate({text}, 'æøåÆØÅ', 'eoaEOA')"
+    cols = ", ".join(f"unnest(regexp_extract_all({text}, {G[form]}, {i + 1})) AS {n}" for i, n in enumerate(names))
+    return f"(SELECT {keep}, unnest(range(0, len(regexp_extract_all({text}, {G[form]}))))::INT AS {'place' if form == 'part' else 'ord'}, {cols} FROM {source})"
 
 
 def nums_sql(x: str) -> str:
     listed = f"list_transform(regexp_extract_all({x}, '[0-9]+'), lambda z: z::INT)"
-    return f"CASE WHEN regexp_full_match({x}, '[0-9]+-[0-9]+') THEN range({listed}[1], {listed}[2] + 1)::INT[] ELSE {listed} END"
+    return f"CASE WHEN coalesce({x}, '') = '' THEN [NULL::INT] WHEN regexp_full_match({x}, '[0-9]+-[0-9]+') THEN range({listed}[1], {listed}[2] + 1)::INT[] ELSE {listed} END"
 
 
-SINGLE = f"""single AS (SELECT id, ord, ref_string, '§ ' || num || CASE WHEN letter <> '' THEN ' ' || letter ELSE '' END || '.' AS paragraph, coalesce(sa, '') || coalesce(sb, '') AS stk, coalesce(na, '') || coalesce(nb, '') AS nr, coalesce(pkt, '') AS pkt FROM {each('single', ['ref_string', 'num', 'letter', 'sa', 'na', 'pkt', 'sb', 'nb'])}),
-refs AS (SELECT id, ord, ref_string, paragraph, nullif(stk, '') AS stk, nullif(nr, '') AS nr, nullif(pkt, '') AS pkt,
-  CASE WHEN pkt <> '' THEN regexp_extract(pkt, '[0-9]+') || '. pkt.' WHEN nr <> '' THEN regexp_extract(nr, '[0-9]+') || ')' WHEN stk <> '' THEN 'Stk. ' || regexp_extract(stk, '[0-9]+') || '.' ELSE paragraph END AS target_name,
-  CASE WHEN pkt <> '' OR nr <> '' THEN [CASE WHEN stk <> '' THEN 'Stk. ' || regexp_extract(stk, '[0-9]+') || '.' ELSE 'Stk. 1.' END, paragraph] WHEN stk <> '' THEN [paragraph] ELSE []::VARCHAR[] END AS target_parents FROM single)"""
+def named_sql(source: str, more: str = "ref_string") -> str:
+    """A row a target of rows with number, letter, stk, nr, pkt."""
+    return f"""(SELECT id, ord, {more}, paragraph, s AS stk, n AS nr, p AS pkt, names[1] AS target_name, array_to_string(names[2:], '_') AS target_parents FROM (SELECT *,
+  list_filter([p || '. pkt.', n || ')', CASE WHEN s IS NOT NULL OR n IS NOT NULL OR p IS NOT NULL THEN 'Stk. ' || coalesce(s, 1) || '.' END, paragraph], lambda x: x IS NOT NULL) AS names FROM
+  (SELECT *, '§' || chr(160) || number || CASE WHEN coalesce(letter, '') <> '' THEN ' ' || letter ELSE '' END || '.' AS paragraph FROM {source} src, unnest({nums_sql('stk')}) AS a(s), unnest({nums_sql('nr')}) AS b(n), unnest({nums_sql('pkt')}) AS c(p))))"""
 
 
-@query("cite_paragraph", f"WITH {CTE}, {SINGLE} SELECT id, ord, ref_string, paragraph, stk, nr, pkt, target_name, array_to_string(target_parents, '_') AS target_parents FROM refs")
+PART = cite.PART_NAMES
+SINGLE = f"refs AS {named_sql(each('single', ['ref_string', *PART]))}"
+RANGES = each("range", ["ref_string", "fa", "fl", "la", "ll", *PART])
+TARGETS = "paragraph, stk, nr, pkt, target_name, target_parents"
+
+
+@query("cite_paragraph", f"WITH {CTE}, {SINGLE} SELECT id, ord, ref_string, {TARGETS} FROM refs")
 def cite_paragraph(spark, sf):
     return cite.paragraph_refs(cited(spark, sf), "id", "text").withColumn("target_parents", F.array_join("target_parents", "_"))
 
 
-@query("cite_range", f"WITH {CTE} SELECT id, ord, unnest(list_concat(range(a::INT, b::INT + 1), CASE WHEN e <> '' THEN [e::BIGINT] ELSE []::BIGINT[] END))::INT AS number FROM {each('range', ['w', 'a', 'b', 'e'])}")
+def name_sql(number: str, letter: str) -> str:
+    return f"'§' || chr(160) || {number} || CASE WHEN coalesce({letter}, '') <> '' THEN ' ' || {letter} ELSE '' END || '.'"
+
+
+@query("cite_range", f"WITH {CTE} SELECT id, ord, ref_string, {name_sql('fa', 'fl')} AS first, {name_sql('la', 'll')} AS last FROM {RANGES}")
 def cite_range(spark, sf):
     return cite.range_refs(cited(spark, sf), "id", "text")
 
 
-@query("cite_list", f"WITH {CTE} SELECT id, ord, unnest({nums_sql('l')}) AS number FROM {each('list', ['w', 'l'])}")
+@query("cite_range_extra", f"WITH {CTE} SELECT id, ord, {TARGETS} FROM {named_sql(f"(SELECT * FROM {RANGES} WHERE number <> '')")}")
+def cite_range_extra(spark, sf):
+    return cite.range_extras(cited(spark, sf), "id", "text").withColumn("target_parents", F.array_join("target_parents", "_")).drop("ref_string")
+
+
+@query("cite_list", f"WITH {CTE}, l AS {each('list', ['ref_string'])} SELECT id, ord, place, {TARGETS} FROM {named_sql(each('part', ['whole', *PART], 'l', 'ref_string', 'id, ord'), 'place')}")
 def cite_list(spark, sf):
-    return cite.list_refs(cited(spark, sf), "id", "text")
+    return cite.list_refs(cited(spark, sf), "id", "text").withColumn("target_parents", F.array_join("target_parents", "_")).drop("ref_string")
 
 
-@query("cite_stk", f"WITH {CTE} SELECT id, ord, unnest({nums_sql("(coalesce(la, '') || coalesce(lb, ''))")}) AS stk, nullif(coalesce(na, '') || coalesce(nb, ''), '') AS nr, nullif(pkt, '') AS pkt FROM {each('stk', ['w', 'la', 'na', 'pkt', 'lb', 'nb'])}")
+@query("cite_stk", f"WITH {CTE} SELECT id, ord, s AS stk, n AS nr, p AS pkt FROM {each('stk', ['whole', 'stk', 'nr', 'pkt'])} src, unnest({nums_sql('stk')}) AS a(s), unnest({nums_sql('nr')}) AS b(n), unnest({nums_sql('pkt')}) AS c(p)")
 def cite_stk(spark, sf):
     return cite.stk_refs(cited(spark, sf), "id", "text")
 
@@ -429,7 +450,7 @@ def cite_pkt(spark, sf):
     return cite.pkt_refs(cited(spark, sf), "id", "text")
 
 
-@query("cite_item", f"WITH {CTE} SELECT id, ord, item, CASE WHEN regexp_full_match(item, '[0-9]+') THEN 'nr' ELSE 'litra' END AS kind, false AS in_graph FROM {each('item', ['w', 'item'])}")
+@query("cite_item", f"WITH {CTE} SELECT id, ord, item, CASE WHEN regexp_full_match(item, '[0-9]+') THEN 'nr' ELSE 'litra' END AS kind, false AS in_graph FROM {each('item', ['item'])}")
 def cite_item(spark, sf):
     return cite.item_refs(cited(spark, sf), "id", "text")
 
@@ -465,45 +486,57 @@ def whole_law_refs(spark, sf):
     return cite.whole_law_refs(cited(spark, sf), "id", "text")
 
 
-# A law of 30 paragraphs, of which every fifth also has a lettered one
-PARS = "pars AS (SELECT 'L' || (k % 3) AS law_id, '§ ' || (k // 3 + 1) || CASE WHEN k % 5 = 0 THEN ' a' ELSE '' END || '.' AS name, '§ ' || (k // 3 + 1) || CASE WHEN k % 5 = 0 THEN ' a' ELSE '' END || '._L' || (k % 3) AS id FROM range(90) r(k))"
+# Laws of 30 paragraphs, of which every fifth is a lettered one
+PARS = "pars AS (SELECT *, name || '_' || law_id AS id FROM (SELECT 'L' || (k % 3) AS law_id, (k // 3 + 1) * 100 + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS pos, '§' || chr(160) || (k // 3 + 1) || CASE WHEN k % 5 = 0 THEN ' a' ELSE '' END || '.' AS name FROM range(90) r(k)))"
 RESOLVED = f"""r0 AS (SELECT refs.*, 'L' || (id % 3) AS law_id, regexp_replace(paragraph, ' [a-z][.]$', '.') AS plain FROM refs),
-res AS (SELECT r0.id, ord, ref_string, paragraph, r0.law_id, coalesce(e.id, p.id) AS target_id FROM r0 LEFT JOIN pars e ON e.law_id = r0.law_id AND e.name = paragraph LEFT JOIN pars p ON p.law_id = r0.law_id AND p.name = plain)"""
+res AS (SELECT r0.id, ord, ref_string, paragraph, target_name, r0.law_id, coalesce(e.id, p.id) AS target_id FROM r0 LEFT JOIN pars e ON e.law_id = r0.law_id AND e.name = paragraph LEFT JOIN pars p ON p.law_id = r0.law_id AND p.name = plain)"""
 
 
 def paragraphs(spark):
-    name = "concat('§ ', id div 3 + 1, CASE WHEN id % 5 = 0 THEN ' a' ELSE '' END, '.')"
+    name = "concat('§', chr(160), id div 3 + 1, CASE WHEN id % 5 = 0 THEN ' a' ELSE '' END, '.')"
     return spark.range(90).selectExpr("concat('L', id % 3) AS law_id", f"{name} AS name", f"concat({name}, '_L', id % 3) AS id")
 
 
+def with_law(refs):
+    return refs.withColumn("law_id", F.concat(F.lit("L"), (F.col("id") % 3).cast("string")))
+
+
 def resolved(spark, sf):
-    refs = cite.paragraph_refs(cited(spark, sf), "id", "text").withColumn("law_id", F.concat(F.lit("L"), (F.col("id") % 3).cast("string")))
+    refs = with_law(cite.paragraph_refs(cited(spark, sf), "id", "text"))
     return cite.resolve(refs.withColumnRenamed("id", "src"), paragraphs(spark)).withColumnRenamed("src", "id")
 
 
-@query("ref_resolve", f"WITH {CTE}, {SINGLE}, {PARS}, {RESOLVED} SELECT id, ord, paragraph, law_id, target_id FROM res")
+@query("cite_range_expand", f"""WITH {CTE}, {PARS}, r AS (SELECT id AS src, ord, 'L' || (id % 3) AS law_id, fa::INT * 100 + CASE WHEN fl <> '' THEN ascii(fl) - 96 ELSE 0 END AS a, la::INT * 100 + CASE WHEN ll <> '' THEN ascii(ll) - 96 ELSE 0 END AS b FROM {RANGES})
+SELECT src, ord, name AS paragraph, pars.id AS target_id FROM r JOIN pars ON pars.law_id = r.law_id AND pos BETWEEN a AND b""")
+def cite_range_expand(spark, sf):
+    ranges = with_law(cite.range_refs(cited(spark, sf), "id", "text")).withColumnRenamed("id", "src")
+    return cite.expand_ranges(ranges, paragraphs(spark)).select("src", "ord", "paragraph", "target_id")
+
+
+@query("ref_resolve", f"WITH {CTE}, {SINGLE}, {PARS}, {RESOLVED} SELECT id, ord, paragraph, target_name, law_id, target_id FROM res")
 def ref_resolve(spark, sf):
-    return resolved(spark, sf).select("id", "ord", "paragraph", "law_id", "target_id")
+    return resolved(spark, sf).select("id", "ord", "paragraph", "target_name", "law_id", "target_id")
 
 
 @query("ref_classify", f"""WITH {CTE}, {SINGLE}, {PARS}, {RESOLVED}, {CUES},
 seg AS (SELECT id, unnest(string_split_regex(text, '(,| efter | sammenholdt med )')) AS part FROM t),
 hit AS (SELECT id, part, cue_no, law FROM seg JOIN cues ON contains(lower(part), lower(cue))),
-near AS (SELECT res.id, ord, arg_min(law, cue_no) AS law FROM res JOIN hit ON hit.id = res.id AND contains(part, string_split_regex(ref_string, '(,| efter | sammenholdt med )')[1]) GROUP BY 1, 2),
+one AS (SELECT id, ord, ref_string, bool_and(target_id IS NOT NULL) AS all_found FROM res GROUP BY 1, 2, 3),
+near AS (SELECT res.id, ord, arg_min(law, cue_no) AS law FROM one res JOIN hit ON hit.id = res.id AND contains(part, string_split_regex(ref_string, '(,| efter | sammenholdt med )')[1]) GROUP BY 1, 2),
 anyc AS (SELECT id, arg_min(law, cue_no) AS law FROM hit GROUP BY 1)
-SELECT res.id, res.ord, CASE WHEN near.law IS NOT NULL THEN 'external' WHEN target_id IS NOT NULL THEN 'internal' WHEN anyc.law IS NOT NULL THEN 'external' ELSE 'unresolved' END AS ref_class,
-  CASE WHEN near.law IS NOT NULL THEN near.law WHEN target_id IS NULL THEN anyc.law END AS law
-FROM res LEFT JOIN near ON near.id = res.id AND near.ord = res.ord LEFT JOIN anyc ON anyc.id = res.id""")
+SELECT res.id, res.ord, CASE WHEN near.law IS NOT NULL THEN 'external' WHEN all_found THEN 'internal' WHEN anyc.law IS NOT NULL THEN 'external' ELSE 'unresolved' END AS ref_class,
+  CASE WHEN near.law IS NOT NULL THEN near.law WHEN NOT all_found THEN anyc.law END AS law
+FROM one res LEFT JOIN near ON near.id = res.id AND near.ord = res.ord LEFT JOIN anyc ON anyc.id = res.id""")
 def ref_classify(spark, sf):
     rows = written(resolved(spark, sf), "resolved")
     found = rows.groupBy("id", "ord").agg(F.bool_and(F.col("target_id").isNotNull()).alias("all_found"))
-    return cite.classify(rows.select("id", "ord", "ref_string"), cited(spark, sf), "id", "text", found)
+    return cite.classify(rows.select("id", "ord", "ref_string").distinct(), cited(spark, sf), "id", "text", found)
 
 
-@query("deferred_link", f"""WITH {CTE}, {SINGLE}, pend AS (SELECT id AS src, ord, 'L' || (id % 4) AS law, CASE WHEN id % 10 = 1 THEN NULL ELSE paragraph END AS name FROM refs), {PARS}
+@query("deferred_link", f"""WITH {CTE}, {SINGLE}, pend AS (SELECT DISTINCT id AS src, ord, 'L' || (id % 4) AS law, CASE WHEN id % 10 = 1 THEN NULL ELSE paragraph END AS name FROM refs), {PARS}
 SELECT src, law AS dst FROM pend WHERE name IS NULL AND law IN ('L0', 'L1', 'L2') UNION ALL SELECT src, pars.id FROM pend JOIN pars ON pars.law_id = law AND pars.name = pend.name""")
 def deferred_link(spark, sf):
-    refs = cite.paragraph_refs(cited(spark, sf), "id", "text")
+    refs = cite.paragraph_refs(cited(spark, sf), "id", "text").select("id", "ord", "paragraph").distinct()
     pending = refs.select(F.xxhash64("id", "ord").alias("ref_no"), F.col("id").alias("src"), F.concat(F.lit("L"), (F.col("id") % 4).cast("string")).alias("law"), F.when(F.col("id") % 10 != 1, F.col("paragraph")).alias("name"), F.array(F.concat(F.lit("L"), (F.col("id") % 4).cast("string"))).alias("need"))
     pars = paragraphs(spark).select("id", "law_id", "name", F.array("law_id").alias("parents"))
     laws = pars.select(F.col("law_id").alias("id"), "law_id", F.col("law_id").alias("name"), F.array().cast("array<string>").alias("parents")).distinct()

@@ -6,27 +6,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS
-from ..operators.stats import bag_of_words
+from ..operators.stats import bag_of_words, last_rows
+from ..tables import drop_path
 
 
-def ingest(spark: SparkSession, source: DataFrame, path: str, checkpoint: str, key: str = "doc_id", text: str = "text", stopwords: list[str] = STOPWORDS, trigger: dict | None = None):
+def ingest(spark: SparkSession, source: DataFrame, path: str, checkpoint: str, key: str = "doc_id", text: str = "text", order: str | None = None, stopwords: list[str] = STOPWORDS, trigger: dict | None = None):
     """Start a query that writes each batch's bags of words as an epoch of its own under ``path``.
 
-    An epoch that is repeated after a failure overwrites itself, so nothing counts twice. ``current`` reads the state.
+    An epoch that is repeated after a failure overwrites itself, so nothing counts twice. Of several rows of a key in one batch the one
+    with the largest ``order`` counts, ties by the text (without ``order`` the greatest text). Each document of a batch also has a row with
+    a null word, so that one that has become empty, or null, replaces its former words by none. ``current`` reads the state.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        rows = bag_of_words(batch.dropDuplicates([key]), key, text, stopwords)
-        rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        rows = last_rows(batch, [key], [order] if order else [])
+        seen = rows.select(key, F.lit(None).cast("string").alias("word"), F.lit(0).cast("long").alias("cnt"))
+        bag_of_words(rows, key, text, stopwords).unionByName(seen).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _latest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    rows = spark.read.parquet(path)
+    last = rows.filter("word is null").groupBy(F.col(key).alias("__key")).agg(F.max("epoch").alias("__epoch"))
+    return rows.join(last, F.col(key).eqNullSafe(F.col("__key")) & (F.col("epoch") == F.col("__epoch"))).select(key, "word", "cnt", "epoch")
+
+
 def current(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """(key, word, cnt) of each document's latest epoch."""
-    rows = spark.read.parquet(path)
-    last = rows.groupBy(key).agg(F.max("epoch").alias("epoch"))
-    return rows.join(last, [key, "epoch"]).select(key, "word", "cnt")
+    return _latest(spark, path, key).filter("word is not null").select(key, "word", "cnt")
+
+
+def compact(spark: SparkSession, path: str, key: str = "doc_id") -> None:
+    """Fold all epochs into the last one, while no query writes. The folded table is complete before older epochs go."""
+    epochs = sorted(r[0] for r in spark.read.parquet(path).select("epoch").distinct().collect())
+    if len(epochs) < 2:
+        return
+    folded = f"{path}-folded"
+    _latest(spark, path, key).drop("epoch").write.mode("overwrite").parquet(folded)
+    spark.read.parquet(folded).write.mode("overwrite").parquet(f"{path}/epoch={epochs[-1]}")
+    for e in epochs[:-1]:
+        drop_path(spark, f"{path}/epoch={e}")
+    drop_path(spark, folded)
 
 
 def windowed_counts(events: DataFrame, time: str, kind: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

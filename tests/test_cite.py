@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from conceptweave.operators import cite
 
-P = "§ "
+P = "§" + chr(160)
 
 
 def rows(spark, text, f, *cols):
@@ -23,9 +23,53 @@ def test_paragraph(spark, text, name, parents):
     assert rows(spark, text, cite.paragraph_refs, "target_name", "target_parents") == [(name, parents)]
 
 
+@pytest.mark.parametrize("text, names", [
+    ("§ 5, stk. 2 og 3, gælder", [["Stk. 2.", f"{P}5."], ["Stk. 3.", f"{P}5."]]),
+    ("§ 5, stk. 1-3", [[f"Stk. {k}.", f"{P}5."] for k in (1, 2, 3)]),
+    ("§ 5, nr. 1, 2 og 4", [[f"{k})", "Stk. 1.", f"{P}5."] for k in (1, 2, 4)]),
+    ("§ 5, stk. 2, nr. 1 eller 10", [[f"{k})", "Stk. 2.", f"{P}5."] for k in (1, 10)]),
+    ("§ 5, stk. 2, nr. 3, 1. og 2. pkt.", [[f"{k}. pkt.", "3)", "Stk. 2.", f"{P}5."] for k in (1, 2)]),
+    ("§ 5 a, 1., 2. og 3. pkt., x", [[f"{k}. pkt.", "Stk. 1.", f"{P}5 a."] for k in (1, 2, 3)]),
+    ("§§ 5-7 og 9", []),
+])
+def test_every_listed_target(spark, text, names):
+    assert [[n, *p] for n, p in rows(spark, text, cite.paragraph_refs, "target_name", "target_parents")] == names
+
+
+def test_lists_of_paragraphs_with_parts(spark):
+    found = [[n, *p] for n, p in rows(spark, "efter §§ 5, stk. 2, og 7, nr. 3, samt", cite.list_refs, "target_name", "target_parents")]
+    assert found == [["Stk. 2.", f"{P}5."], ["3)", "Stk. 1.", f"{P}7."]]
+    found = [[n, *p] for n, p in rows(spark, "§§ 1 a, 3, stk. 1 eller 2, og 5", cite.list_refs, "target_name", "target_parents")]
+    assert found == [[f"{P}1 a."], ["Stk. 1.", f"{P}3."], ["Stk. 2.", f"{P}3."], [f"{P}5."]]
+
+
+def test_ranges_hold_lettered_paragraphs(spark):
+    text = "§§ 5-7 og 9, stk. 2, gælder"
+    pars = spark.createDataFrame([("L", f"{P}{n}.", f"{P}{n}._L") for n in ("4", "5", "5 a", "6", "7", "7 a", "9")], "law_id string, name string, id string")
+    ranges = cite.range_refs(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text").withColumnRenamed("id", "src").withColumn("law_id", F.lit("L"))
+    assert sorted(r.paragraph for r in cite.expand_ranges(ranges, pars).collect()) == sorted(f"{P}{n}." for n in ("5", "5 a", "6", "7"))
+    assert rows(spark, text, cite.range_extras, "target_name", "target_parents") == [("Stk. 2.", [f"{P}9."])]
+
+
+def test_local_and_sibling_targets(spark):
+    parents = ["Stk. 1.", f"{P}3.", "Kapitel 1", "L"]
+    df = spark.createDataFrame([("s", parents, "Uanset stk. 2, nr. 1 og 3, og stk. 4, 2. pkt., gælder 1. og 3. pkt."), ("t", ["L"], "stk. 2")], "id string, parents array<string>, text string")
+    top = f"{P}3._Kapitel 1_L"
+    assert {r.target_id for r in cite.local_targets(df).collect()} == {f"1)_Stk. 2._{top}", f"3)_Stk. 2._{top}", f"2. pkt._Stk. 4._{top}"}
+    assert {r.target_id for r in cite.sibling_targets(df).collect()} == {f"1. pkt._Stk. 1._{top}", f"3. pkt._Stk. 1._{top}"}
+
+
+def test_law_citations(spark):
+    texts = spark.createDataFrame([(1, "L", "Efter § 3, stk. 2, og §§ 3-4 gælder § 99."), (2, "L", "Se § 5 i ferieloven."), (3, "L", "Efter §§ 3, nr. 1, og 4")], "id long, law_id string, text string")
+    pars = spark.createDataFrame([("L", f"{P}{n}.", f"{P}{n}._K_L") for n in (3, 4)], "law_id string, name string, id string")
+    inside, outside = cite.law_citations(texts, pars)
+    assert {tuple(r) for r in inside.collect()} == {(1, f"Stk. 2._{P}3._K_L"), (1, f"{P}3._K_L"), (1, f"{P}4._K_L"), (3, f"1)_Stk. 1._{P}3._K_L"), (3, f"{P}4._K_L")}
+    assert [(r.id, r.law) for r in outside.collect()] == [(2, "ferieloven")]
+
+
 def test_forms(spark):
-    assert rows(spark, "§§ 2-4 og 9 gælder", cite.range_refs, "number") == [(2,), (3,), (4,), (9,)]
-    assert rows(spark, "§§ 1, 3 og 5 gælder", cite.list_refs, "number") == [(1,), (3,), (5,)]
+    assert rows(spark, "§§ 2-4 og 9 gælder", cite.range_refs, "first", "last") == [(f"{P}2.", f"{P}4.")]
+    assert rows(spark, "§§ 1, 3 og 5 gælder", cite.list_refs, "target_name") == [(f"{P}1.",), (f"{P}3.",), (f"{P}5.",)]
     assert rows(spark, "Uanset stk. 2-4 og", cite.stk_refs, "stk") == [(2,), (3,), (4,)]
     assert rows(spark, "§ 4, stk. 2", cite.stk_refs, "stk") == []  # belongs to the paragraph
     assert rows(spark, "Efter 1. og 2. pkt. gælder", cite.pkt_refs, "pkt") == [(1,), (2,)]

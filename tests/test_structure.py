@@ -88,6 +88,35 @@ def test_streaming_ingest_counts_each_document_once(spark, tmp_path):
     assert found == {(1, "ord"): 2, (2, "nyt"): 2}
 
 
+def test_streaming_ingest_of_repeated_and_emptied_documents(spark, tmp_path):
+    from conceptweave.streaming import ingest
+
+    docs = "doc_id long, text string, at int"
+    batches = [[(1, "gammel", 1), (1, "ny", 2), (2, "to to", 1), (None, "uden", 1), (3, "tre", 1)], [(2, "", 3), (3, None, 4), (None, "andet", 2)]]
+    for rows in batches:
+        spark.createDataFrame(rows, docs).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(docs).parquet(f"{tmp_path}/in")
+        ingest.ingest(spark, source, f"{tmp_path}/bow", f"{tmp_path}/ck", order="at").awaitTermination(60)
+    expected = {(1, "ny"): 1, (None, "andet"): 1}
+    assert {(r.doc_id, r.word): r.cnt for r in ingest.current(spark, f"{tmp_path}/bow").collect()} == expected
+    ingest.compact(spark, f"{tmp_path}/bow")
+    assert {(r.doc_id, r.word): r.cnt for r in ingest.current(spark, f"{tmp_path}/bow").collect()} == expected
+    assert spark.read.parquet(f"{tmp_path}/bow").select("epoch").distinct().count() == 1
+
+
+def test_windowed_counts_drop_late_rows(spark, tmp_path):
+    from conceptweave.streaming import ingest
+
+    events = "ts timestamp, kind string"
+    read = lambda: spark.readStream.schema(events).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/ev")
+    for i, rows in enumerate((["10:05", "10:20", "12:30"], ["10:40", "12:40"], ["15:00"], ["15:01"])):
+        spark.createDataFrame([(f"2026-01-01 {t}:00", "a") for t in rows], "ts string, kind string").selectExpr("cast(ts as timestamp) ts", "kind").coalesce(1).write.mode("append").parquet(f"{tmp_path}/ev")
+        query = ingest.windowed_counts(read(), "ts", "kind").writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        query.awaitTermination(60)
+    found = {str(r.window.start)[11:16]: r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert found == {"10:00": 2, "12:00": 2}  # 10:40 came after its window was closed
+
+
 def test_cbow_learns_neighbours(spark):
     from conceptweave.operators import train
 

@@ -41,5 +41,23 @@ def test_upsert_lets_the_last_write_win(spark):
     assert sorted(map(tuple, stats.upsert(old, new, ["id"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def test_upsert_of_keys_that_repeat_or_are_null(spark):
+    cols = "id long, v string, at int"
+    old = spark.createDataFrame([(1, "a", 0), (None, "n", 0), (9, "old", 0)], cols)
+    new = spark.createDataFrame([(1, "b", 2), (1, "c", 1), (2, "x", 1), (2, "x", 1), (2, "y", 1), (None, "m", 1)], cols)
+    assert sorted((str(r.id), r.v) for r in stats.upsert(old, new, ["id"], ["at"]).collect()) == [("1", "b"), ("2", "y"), ("9", "old"), ("None", "m")]
+    assert stats.upsert(old, new.filter("false"), ["id"]).count() == 3
+
+
+def test_idf_in_one_pass(spark):
+    import math
+
+    rows = spark.createDataFrame([(1, "hund kat hund"), (2, "kat"), (3, None), (4, "")], "id long, text string")
+    found = {r.word: (r.df, round(r.idf, 9)) for r in stats.idf_of(rows, "id").collect()}
+    assert found == {"hund": (1, round(math.log(4 / 2), 9)), "kat": (2, round(math.log(4 / 3), 9))}
+    _, idf = stats.add_documents(rows, spark.createDataFrame([(2, "hund"), (5, "fugl")], "id long, text string"))
+    assert {r.word: r.df for r in idf.collect()} == {"hund": 2, "kat": 1, "fugl": 1}
+
+
 def test_l2(spark):
     assert spark.createDataFrame([([0.0, 0.0], [3.0, 4.0])], "a array<float>, b array<float>").select(l2_distance(F.col("a"), F.col("b"))).first()[0] == 5.0
