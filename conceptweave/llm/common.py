@@ -1,42 +1,20 @@
-"""What several operators share: the shared folder, written intermediate tables, schema helpers."""
+"""What several operators share: schema helpers, checked broadcasts, memory that goes back. Written tables come from the core."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import drop, fresh_path, shared_dir, written  # noqa: F401  operators take them from here
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (as in tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="conceptweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
 
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: it cuts the lineage and outlives any executor."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a written table that nothing reads any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def few(rows: DataFrame, most: int) -> DataFrame:
+    """A hint to broadcast narrow rows, if they are no more than ``most``. Each task counts its own rows."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

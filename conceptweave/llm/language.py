@@ -1,36 +1,38 @@
 """Operator 2, language ID: a linear-chain conditional random field over the words of a text.
 
-Each word, a run of letters in lower case, has features: its character n-grams of one to four characters, where those that
+Each word, a run of letters (and their marks) in lower case, has features: its character n-grams of one to four characters, where those that
 touch the word's beginning or end are its affixes, and whether it is in the lexicon of frequent words learned with the model. The
 label of a word is a language; transitions between the labels of neighbouring words are learned. Forward-backward gives each
 word's distribution over the languages in its context, so code-switched texts get labels word by word (``label_words``). A text's
 language is the one with the largest mean probability over all its words, and its score is that mean.
 
-Training reads only text and non-null label of the given rows, in a bounded sample: about ``per_label`` rows of each label by
-smallest hash of the id, and of these at most ``words_per_label`` words. Documents have one label each; so that
+Training maximises the likelihood of label sequences: forward-backward gives the expected labels and transitions that its gradient
+needs. It reads only text and non-null label of the given rows, in a bounded sample: about ``per_label`` rows of each label by
+smallest hash of id and text, of each text the first ``chars_per_text`` characters (cut before they leave the executor), and of these at
+most ``words_per_label`` words. More than ``most_labels`` labels are an error. Documents have one label each; so that
 transitions between languages can be learned, training sequences are spliced from runs of words of different sample documents, some of them
 of one language and others of several. Everything else, the prediction, covers whole texts of all rows.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; of equally likely languages the first in order
-is taken; repeated rows give repeated results; an empty table gives none; with no labelled row there is no language, and
+Defined results: a null text, or one without a letter (signs like ``²`` or ``½`` are none), is ``und`` with score 0; of equally
+likely languages the first in order is taken; repeated rows give repeated results; an empty table gives none; with no labelled row there is no language, and
 every text is ``und``. Further columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed, tidy
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 BITS = 17  # of a feature's place in the weights
 ORDERS = (1, 2, 3, 4)
 
@@ -81,8 +83,11 @@ def emissions(model: Model, words: list[str]) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def forward_backward(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Marginals of a batch; scores: position x sequence x label, sequences sorted by falling length. Also right where lengths differ."""
+def chains(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward messages of a batch, scaled at each position, and the exponentials of the scores.
+
+    ``scores``: position x sequence x label, sequences sorted by falling length; positions past a sequence's end hold no message.
+    """
     t_max, n, k = scores.shape
     m = np.exp(moves - moves.max())
     e = np.exp(scores - scores.max(axis=2, keepdims=True))
@@ -101,11 +106,23 @@ def forward_backward(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray)
         nxt = (e[t + 1, :c] * b[:c]) @ m.T
         b[:c] = nxt / nxt.sum(1, keepdims=True)
         beta[t, :c] = b[:c]
+    return alpha, beta, e
+
+
+def forward_backward(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each position's distribution over the labels; arguments as of ``chains``."""
+    alpha, beta, _ = chains(scores, moves, lengths)
     out = alpha * beta
     total = out.sum(2, keepdims=True)
     return out / np.where(total > 0, total, 1)
 
 
+def expected_moves(alpha: np.ndarray, beta: np.ndarray, e: np.ndarray, moves: np.ndarray, t: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum over the steps into positions ``t`` of sequences ``b`` of the distribution over pairs of labels: what came before, the move, what follows."""
+    joint = alpha[t - 1, b][:, :, None] * np.exp(moves - moves.max())[None] * (e[t, b] * beta[t, b])[:, None, :]
+    return (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+
+
 def train(sample: list[tuple[str, str]], words_per_label: int = 60_000, run: int = 12, sequence: int = 60, epochs: int = 3, lexicon_size: int = 200, seed: int = 42, rate: float = 0.5, decay: float = 1e-6) -> Model:
     """Fit by stochastic gradient ascent on the likelihood of spliced sequences, with steps scaled by each weight's past gradients."""
     rng = np.random.default_rng(seed)
@@ -144,14 +161,11 @@ def train(sample: list[tuple[str, str]], words_per_label: int = 60_000, run: int
             t, b = np.concatenate([np.arange(n) for n in lengths]), np.repeat(np.arange(len(group)), lengths)
             emitted = emissions(model, flat)
             scores[t, b] = emitted
-            marginal = forward_backward(scores, model.moves, lengths)[t, b]
-            gap = truth - marginal
-            # expected transitions from the pairwise marginals, here by the product of neighbours' conditionals
+            alpha, beta, e = chains(scores, model.moves, lengths)
+            marginal = (alpha * beta)[t, b]
+            gap = truth - marginal / marginal.sum(1, keepdims=True)
             pairs = np.setdiff1d(np.arange(len(flat)), firsts)
-            m = np.exp(model.moves)
-            joint = marginal[pairs - 1][:, :, None] * m[None] * np.exp(emitted[pairs] - emitted[pairs].max(1, keepdims=True))[:, None, :]
-            joint /= joint.sum((1, 2), keepdims=True)
-            move = truth[pairs - 1].T @ truth[pairs] - joint.sum(0)
+            move = truth[pairs - 1].T @ truth[pairs] - expected_moves(alpha, beta, e, model.moves, t[pairs], b[pairs])
             rows, starts = feature_rows(flat)
             n = np.diff(np.append(starts, len(rows)))
             used, inverse = np.unique(rows, return_inverse=True)
@@ -193,15 +207,17 @@ def label_words(model: Model, texts: list[str | None], block: int = 128, most: i
             yield i, found[i], marginals[: lengths[b], b]
 
 
-def fit(labelled: DataFrame, per_label: int = 300, words_per_label: int = 60_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", **options) -> Model:
-    """Train on a sample of the rows with label: of each label about ``per_label``, those with the smallest hash of the id."""
+def fit(labelled: DataFrame, per_label: int = 300, words_per_label: int = 60_000, chars_per_text: int = 50_000, most_labels: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", **options) -> Model:
+    """Train on a sample of the rows with label: of each label about ``per_label``, those with the smallest hash of id and text."""
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"), F.col(label_col).alias("y")).filter(F.col("y").isNotNull() & F.col("text").isNotNull())
-    counts = dict(rows.groupBy("y").count().collect())  # one row for each language
-    draw = F.pmod(F.xxhash64(F.lit(7), "i"), F.lit(1 << 30))
+    counts = dict(rows.groupBy("y").count().limit(most_labels + 1).collect())
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} labels")
+    draw = F.pmod(F.xxhash64(F.lit(7), "i", "text"), F.lit(1 << 30))
     share = F.lit(0)
     for y, n in sorted(counts.items()):
         share = F.when(F.col("y") == y, F.lit(min(1 << 30, int((1 << 30) * 1.2 * per_label / n)))).otherwise(share)
-    sample = rows.filter(draw < share).select("y", draw.alias("d"), "text")
+    sample = rows.filter(draw < share).select("y", draw.alias("d"), F.substring("text", 1, chars_per_text).alias("text"))
     drawn = sorted(sample.limit(4 * per_label * max(1, len(counts))).collect(), key=lambda r: (r["d"], r["text"]))
     return train([(r["text"], r["y"]) for r in drawn], words_per_label, **options)
 
