@@ -15,14 +15,13 @@ verified on its own text; null ids take part; an empty table gives no rows. Furt
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from re import _constants as C
-from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, let, written
+from .common import few, keyed, let, written
 
 BROADCAST_ROWS = 500_000
 
@@ -55,58 +54,100 @@ Query = list[frozenset[str]]
 MOST = 64
 
 
-def trigram_query(pattern: str) -> Query | None:
-    """Alternatives of trigrams that must occur together, or None where a match may hold no trigram for sure."""
+#: One element of an expression and its count: a class, a group's beginning, an escape or a plain sign.
+_ATOM = re.compile(r"(?P<set>\[\^?\]?(?:\\.|[^\]\\])*\])|(?P<open>\((?:\?:)?)|\\x(?P<hex>[0-9a-fA-F]{2})|\\(?P<esc>.)|(?P<any>[.^$])|(?P<plain>[^\\()|\[])", re.S)
+_COUNT = re.compile(r"(?:([?*+])|\{(\d+)(,?)(\d*)\})[?+]?")
+
+
+def _members(body: str) -> set[str] | None:
+    """The signs of a class of at most four that names no range, else None."""
+    inner = body[1:-1]
+    if inner.startswith("^") or re.search(r"(?<!^)-(?!$)|\\", inner) or len(set(inner)) > 4:
+        return None
+    return set(inner)
+
 
-    def trigrams(text: str) -> frozenset[str]:
-        return frozenset(text[i : i + 3].lower() for i in range(len(text) - 2))
-
-    def conj(a: Query | None, b: Query | None) -> Query | None:
-        if a is None or b is None:
-            return b if a is None else a
-        if len(a) * len(b) > MOST:
-            return min(a, b, key=len)
-        return list(dict.fromkeys(x | y for x in a for y in b))
-
-    def disj(parts: list[Query | None]) -> Query | None:
-        return None if any(p is None for p in parts) else list(dict.fromkeys(q for p in parts for q in p))
-
-    def required(texts: set[str]) -> Query | None:
-        return disj([[t] if (t := trigrams(x)) else None for x in sorted(texts)])
-
-    def walk(nodes) -> tuple[set[str] | None, Query | None]:
-        """The strings the nodes can match, if few, and else the query of any match."""
-        runs, query, complete = {""}, None, True
-        for op, arg in nodes:
-            inner, more = node(op, arg)
-            if inner is not None and len(inner) * len(runs) <= MOST:
-                runs = {a + b for a in runs for b in inner}
+class _Walk:
+    """What any match of an expression must hold, found while it is read from left to right.
+
+    ``expression`` gives (texts, query): all strings the expression can match, if they are few, else None and the query of any match.
+    """
+
+    def __init__(self, pattern: str) -> None:
+        self.text, self.at = pattern, 0
+
+    def expression(self) -> tuple[set[str] | None, Query | None]:
+        parts = [self.sequence()]
+        while self.at < len(self.text) and self.text[self.at] == "|":
+            self.at += 1
+            parts.append(self.sequence())
+        if len(parts) == 1:
+            return parts[0]
+        if all(t is not None for t, _ in parts) and len(every := set().union(*(t for t, _ in parts))) <= MOST:
+            return every, None
+        return None, either([required(t) if t is not None else q for t, q in parts])
+
+    def sequence(self) -> tuple[set[str] | None, Query | None]:
+        runs, query, whole = {""}, None, True  # runs: what can stand since the last element of unknown text
+        while self.at < len(self.text) and self.text[self.at] not in "|)":
+            texts, more = self.counted()
+            if texts is not None and len(texts) * len(runs) <= MOST:
+                runs = {a + b for a in runs for b in texts}
                 continue
-            query, complete = conj(conj(query, required(runs)), more if inner is None else required(inner)), False
+            query, whole = both(both(query, required(runs)), more if texts is None else required(texts)), False
             runs = {""}
-        return (runs, None) if complete else (None, conj(query, required(runs)))
-
-    def node(op, arg) -> tuple[set[str] | None, Query | None]:
-        if op is C.LITERAL:
-            return {chr(arg)}, None
-        if op is C.SUBPATTERN:
-            return walk(arg[3])
-        if op is C.BRANCH:
-            parts = [walk(x) for x in arg[1]]
-            if all(s is not None for s, _ in parts) and len(all_texts := set().union(*(s for s, _ in parts))) <= MOST:
-                return all_texts, None
-            return None, disj([required(s) if s is not None else q for s, q in parts])
-        if op in (C.MAX_REPEAT, C.MIN_REPEAT):
-            least, most, body = arg
-            texts, query = walk(body)
-            if (least, most) == (0, 1) and texts is not None:
-                return texts | {""}, None
-            return None, None if not least else required(texts) if texts is not None else query
-        if op is C.IN and all(x is C.LITERAL for x, _ in arg) and len(arg) <= 4:
-            return {chr(x) for _, x in arg}, None
-        return None, None
-
-    texts, query = walk(parser.parse(pattern))
+        return (runs, None) if whole else (None, both(query, required(runs)))
+
+    def counted(self) -> tuple[set[str] | None, Query | None]:
+        m = _ATOM.match(self.text, self.at)
+        if not m:
+            raise ValueError(f"not understood from {self.at}: {self.text}")
+        self.at, texts, query = m.end(), None, None
+        if m["open"]:
+            if self.text[self.at : self.at + 1] == "?":
+                raise ValueError(f"groups of this kind are not understood: {self.text}")
+            texts, query = self.expression()
+            self.at += 1  # the closing sign
+        elif m["set"]:
+            texts = _members(m["set"])
+        elif m["hex"]:
+            texts = {chr(int(m["hex"], 16))}
+        elif m["esc"]:
+            texts = None if m["esc"].isalnum() else {m["esc"]}
+        elif m["plain"]:
+            texts = {m["plain"]}
+        if not (c := _COUNT.match(self.text, self.at)):
+            return texts, query
+        self.at = c.end()
+        least = {"?": 0, "*": 0, "+": 1}[c[1]] if c[1] else int(c[2])
+        if c[1] == "?" and texts is not None:
+            return texts | {""}, None
+        return None, None if not least else required(texts) if texts is not None else query
+
+
+def trigrams(text: str) -> frozenset[str]:
+    return frozenset(text[i : i + 3].lower() for i in range(len(text) - 2))
+
+
+def both(a: Query | None, b: Query | None) -> Query | None:
+    if a is None or b is None:
+        return b if a is None else a
+    if len(a) * len(b) > MOST:
+        return min(a, b, key=len)
+    return list(dict.fromkeys(x | y for x in a for y in b))
+
+
+def either(parts: list[Query | None]) -> Query | None:
+    return None if any(p is None for p in parts) else list(dict.fromkeys(q for p in parts for q in p))
+
+
+def required(texts: set[str]) -> Query | None:
+    return either([[t] if (t := trigrams(x)) else None for x in sorted(texts)])
+
+
+def trigram_query(pattern: str) -> Query | None:
+    """Alternatives of trigrams that must occur together, or None where a match may hold no trigram for sure."""
+    texts, query = _Walk(pattern).expression()
     query = required(texts) if texts is not None else query
     return query and [a for a in query if not any(b < a for b in query)]  # an alternative that asks for more than another adds nothing
 
@@ -127,23 +168,39 @@ def candidates(postings: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     return met.filter("n = n_wanted").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
+def running(sizes: Column) -> Column:
+    """Sums of all sizes up to each, as one array: in blocks of about the root of their number, as appending to an array copies it."""
+
+    def sums(xs: Column, start: Column) -> Column:
+        return F.aggregate(xs, F.struct(start.alias("at"), F.array().cast("array<int>").alias("all")), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["all"], acc["at"] + x).alias("all")), lambda acc: acc["all"])
+
+    def total(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
+
+    def blocks(xs: Column) -> Column:
+        n = F.greatest(F.ceil(F.sqrt(F.size(xs))).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), n), lambda i: F.slice(xs, i, n))
+
+    def joined_up(bs: Column) -> Column:
+        return let(sums(F.transform(bs, total), F.lit(0)), lambda ends: F.flatten(F.transform(bs, lambda b, i: sums(b, F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))))))
+
+    return let(let(sizes, blocks), joined_up)
+
+
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """(start, order, end, kind) of the rule's matches that are long enough."""
     flags = "(?is)" if rule.any_case else "(?s)"
-    groups = parser.parse(rule.pattern).state.groups - 1
     step = rf"\G{flags}(.*?)({rule.pattern})"  # what lies before a match, then the match
-    part = lambda g: F.regexp_extract_all(text, F.lit(step), F.lit(g))
-    assert rule.group <= groups
-    rows = F.arrays_zip(part(1).alias("gap"), part(2).alias("match"), part(2 + rule.group).alias("tested"))
+    assert rule.group <= re.compile(rule.pattern).groups
+    lengths = lambda g: F.transform(F.regexp_extract_all(text, F.lit(step), F.lit(g)), F.char_length)
     none = F.array().cast("array<struct<start: int, order: int, end: int, kind: string>>")
 
-    def add(acc: Column, r: Column) -> Column:
-        start = acc["at"] + F.char_length(r["gap"])
-        end = start + F.char_length(r["match"])
-        hit = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(F.char_length(r["tested"]) >= rule.least, F.array_append(acc["found"], hit)).otherwise(acc["found"]).alias("found"))
+    def placed(rows: Column) -> Column:
+        ends = running(F.transform(rows, lambda r: r["gap"] + r["size"]))
+        hits = F.filter(F.zip_with(rows, ends, lambda r, e: F.struct(r["size"].alias("size"), r["tested"].alias("tested"), e.alias("end"))), lambda r: r["tested"] >= rule.least)
+        return F.transform(hits, lambda r: F.struct((r["end"] - r["size"]).alias("start"), F.lit(order).alias("order"), r["end"].alias("end"), F.lit(rule.kind).alias("kind")))
 
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda acc: acc["found"])
+    found = let(F.arrays_zip(lengths(1).alias("gap"), lengths(2).alias("size"), lengths(2 + rule.group).alias("tested")), placed)
     likely = rule.pattern[:-1] + f"{{{rule.least},}}" if rule.group == 0 and rule.pattern.endswith("]+") and rule.pattern.startswith("[") else rule.pattern
     return F.when(F.rlike(text, F.lit(flags + likely)), found).otherwise(none)
 
@@ -152,8 +209,7 @@ def scan_secrets(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_
     """doc_id and found: an array of (start, order, end, kind), sorted, of every row."""
     docs = keyed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     likely = written(candidates(build_index(docs, rules), rules), "secret-candidates").withColumnRenamed("doc_id", "of")
-    small = F.broadcast(likely) if likely.count() <= BROADCAST_ROWS else likely
-    rows = docs.join(small, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    rows = docs.join(few(likely, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("of")), "left")
     none = F.array().cast("array<struct<start: int, order: int, end: int, kind: string>>")
     each = [
         spans(F.col("text"), r, i) if trigram_query(r.pattern) is None else F.when(F.array_contains("kinds", r.kind), spans(F.col("text"), r, i)).otherwise(none)
