@@ -1,17 +1,23 @@
 """Operator 8, line dedup: content-defined chunks of lines, by DataFrame functions only.
 
-A hash of each line (28 bits of its MD5) enters a rolling polynomial hash over ``window`` lines; a chunk ends after each line
-where that hash is divisible by ``divisor``, so an inserted line shifts no boundary but those near it. Chunks of at least
-two lines and ``least_chars`` characters are candidates. Digests alone find the chunks that occur more than once; only their
-texts are then brought together and compared, by grouping on the bytes themselves. The occurrence with the smallest
-(doc_id, place) stays, every other one is removed.
+Lines without a character above U+0020 are blank; they belong to no chunk and part none. A rolling hash over the hashes of ``window``
+lines that follow one another chooses the boundaries: a line is one where the hash that ends with it is divisible by ``divisor``, so an
+inserted line moves no boundary but those near it. A chunk begins with the window of one boundary and goes on to the line before the
+next; the lines before the first window are a chunk too. Chunks of at least ``least_lines`` lines are candidates. With ``divisor`` 1, the
+default, each window is a chunk, so that of any passage of two lines or more every pair of lines is found, whatever stands around it; with
+a larger one chunks are longer and fewer, and passages shorter than a chunk or two are missed.
 
-Text is moved only as far as needed: lists of candidate documents of up to ``BROADCAST_ROWS`` rows are broadcast after
-they were counted, longer ones are joined by a shuffle on the id.
+Digests alone find the chunks that occur more than once. Only their texts are then brought together and compared: a digest
+whose least and greatest text are the same bytes stands for one text; others, where digests collide, are grouped by the bytes themselves.
+The occurrence with the smallest (doc_id, place) stays; the lines of every other one are removed, with blank lines inside it. A line
+that is removed thus has an earlier copy, and the first copy of each stays.
+
+Text is moved only as far as needed: narrow lists of up to ``BROADCAST_ROWS`` rows are broadcast after they were counted, longer ones
+are joined by a shuffle. Both sides of a join on a digest are written tables, so that Spark can split a hot one.
 
 Defined results: a null text stays null; a text of one line, or empty, stays as it is; rows that repeat an id and a text
-keep and lose the same chunks; a null id counts as the smallest; an empty table gives no rows. Further columns are kept;
-those named n_chunks or removed_chunks are replaced.
+keep and lose the same chunks; rows of one id with different texts are different documents; a null id counts as the smallest; an empty
+table gives no rows. Further columns are kept; those named like ``made`` (the number of chunks, the places of removed ones) are replaced.
 """
 
 from __future__ import annotations
@@ -19,77 +25,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import drop, few, let, written
 
 BROADCAST_ROWS = 200_000
+VISIBLE = "[^\\x00-\\x20]"
 
 
-def line_hash(line: Column) -> Column:
-    return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
-
-
-def chunks_of(text: Column, window: int = 2, divisor: int = 2) -> Column:
-    """(place, first, last, chunk) of each chunk; first and last are ordinals of lines, from 1."""
-
-    def ends(hashes: Column) -> Column:
-        n = F.size(hashes)
+def chunks_of(text: Column, window: int = 2, divisor: int = 1, least_lines: int = 2) -> Column:
+    """(place, first, last, digest, lines) of the candidates; first and last are ordinals of lines, from 1, lines those between that are not blank."""
 
-        def cut(i: Column) -> Column:
-            rolled = F.lit(0).cast("long")
-            for back in range(window - 1, -1, -1):
-                rolled = rolled * 31 + F.get(hashes, i - 1 - back)
-            return F.pmod(rolled, F.lit(divisor)) == 0
+    def visible(lines: Column) -> Column:
+        return F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("at"), x.alias("line"))), lambda x: F.rlike(x["line"], F.lit(VISIBLE)))
 
-        inner = F.when(n > window, F.filter(F.sequence(F.lit(window), n - 1), cut)).otherwise(F.array().cast("array<int>"))
-        return F.concat(inner, F.array(n))
+    def cut(seen: Column) -> Column:
+        hashes = F.transform(seen, lambda x: F.xxhash64(x["line"]))
 
-    def chunks(lines: Column) -> Column:
-        def one(ends: Column) -> Column:
-            def chunk(last: Column, k: Column) -> Column:
-                first = F.when(k == 0, F.lit(1)).otherwise(F.get(ends, k - 1) + 1)
-                return F.struct(k.alias("place"), first.alias("first"), last.alias("last"), F.array_join(F.slice(lines, first, last - first + 1), "\n").alias("chunk"))
+        def ends(h: Column) -> Column:
+            at = F.when(F.size(h) >= window, F.sequence(F.lit(window), F.size(h))).otherwise(F.array().cast("array<int>"))
+            rolled = lambda i: F.xxhash64(*[F.get(h, i - 1 - back) for back in range(window - 1, -1, -1)])
+            return at if divisor == 1 else F.filter(at, lambda i: F.pmod(rolled(i), F.lit(divisor)) == 0)
 
-            return F.transform(ends, chunk)
+        def chunks(b: Column) -> Column:
+            first = F.concat(F.array(F.lit(1)), F.transform(b, lambda i: i - window + 1))
+            last = F.concat(F.transform(b, lambda i: i - 1), F.array(F.size(seen)))
+            ranges = F.filter(F.zip_with(first, last, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda r: r["y"] - r["x"] + 1 >= least_lines)
 
-        return let(let(F.transform(lines, line_hash), ends), one)
+            def chunk(r: Column, place: Column) -> Column:
+                lines = F.transform(F.slice(seen, r["x"], r["y"] - r["x"] + 1), lambda x: x["line"])
+                return F.struct(place.alias("place"), F.get(seen, r["x"] - 1)["at"].alias("first"), F.get(seen, r["y"] - 1)["at"].alias("last"), F.xxhash64(lines).alias("digest"), lines.alias("lines"))
 
-    return F.when(text.isNotNull(), let(F.split(text, "\n", -1), chunks))
+            return F.transform(ranges, chunk)
 
+        return let(let(hashes, ends), chunks)
 
-def checked(small: DataFrame) -> DataFrame:
-    """A hint to broadcast, if the rows are few enough for it."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+    return F.when(text.isNotNull(), let(let(F.split(text, "\n", -1), visible), cut))
 
 
-def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 2, least_lines: int = 2, least_chars: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows with the text as it remains, n_chunks and removed_chunks (places of the removed chunks in the old text)."""
+def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 1, least_lines: int = 2, id_col: str = "doc_id", text_col: str = "text", made: tuple[str, str] = ("n_chunks", "removed_chunks")) -> DataFrame:
+    """All rows with the text as it remains, the number of chunks and the places of the removed ones."""
     text = F.col(text_col)
-    named = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    long_enough = lambda c: (c["last"] - c["first"] + 1 >= least_lines) & (F.char_length(c["chunk"]) >= least_chars)
-    chunks = F.filter(chunks_of(F.col("text"), window, divisor), long_enough)
-
-    digests = F.transform(chunks, lambda c: F.struct(c["place"].alias("place"), F.xxhash64(c["chunk"]).alias("digest")))
-    seen = named.select("doc_id", F.explode(digests).alias("c")).select("doc_id", "c.place", "c.digest")
-    again = written(seen.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "line-digests")  # written, so that the join below gets exchanges of its own, which can be split where a digest is hot
-    suspects = written(seen.join(again, "digest").groupBy("doc_id").agg(F.collect_set("place").alias("places")), "line-suspects")
-
-    hinted = checked(suspects.withColumnRenamed("doc_id", "of"))
-    found = named.join(hinted, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", F.explode(F.filter(chunks, lambda c: F.array_contains(F.col("places"), c["place"]))).alias("c"))
-    texts = written(found.select("doc_id", "c.place", "c.chunk", F.xxhash64("c.chunk").alias("digest")), "line-chunks")
-    first = written(texts.groupBy("digest", "chunk").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "line-keepers")
-    other = texts.join(first, ["digest", "chunk"]).filter(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
-    gone = written(other.groupBy(F.col("doc_id").alias("__of")).agg(F.sort_array(F.collect_set("place")).alias("removed_chunks")), "line-removals")
-
-    rows = docs.drop(*[c for c in ("n_chunks", "removed_chunks") if c not in (id_col, text_col)])
-    rows = rows.join(checked(gone), F.col(id_col).eqNullSafe(F.col("__of")), "left").drop("__of")
+    named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    chunks = chunks_of(F.col("text"), window, divisor, least_lines)
+
+    seen = named.select("doc_id", "text_hash", F.explode(F.transform(chunks, lambda c: F.struct(c["place"].alias("place"), c["digest"].alias("digest")))).alias("c")).select("doc_id", "text_hash", "c.place", "c.digest")
+    again = written(seen.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "line-digests")
+    suspects = written(seen.join(few(again, BROADCAST_ROWS), "digest"), "line-suspects")
+
+    wanted = written(suspects.groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text")).agg(F.collect_set("place").alias("places")), "line-documents")
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_text"))
+    found = named.join(few(wanted, BROADCAST_ROWS), same).select("doc_id", "text_hash", F.explode(let(chunks, lambda all_: F.transform("places", lambda p: F.get(all_, p)))).alias("c"))
+    texts = found.select("c.digest", F.struct("doc_id", "text_hash", "c.place").alias("at"), F.array_join("c.lines", "\n").alias("chunk"))
+    one = written(texts.groupBy("digest").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.min("chunk").alias("least"), F.max("chunk").alias("most")).select("digest", "first", "n", (F.col("least") == F.col("most")).alias("equal")), "line-keepers")
+    keepers = one.filter("equal and n > 1").select("digest", "first")
+    place = F.struct("doc_id", "text_hash", "place")
+    gone = suspects.join(few(keepers, BROADCAST_ROWS), "digest").filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "place")
+    if one.filter("not equal").count():
+        mixed = written(texts.join(few(one.filter("not equal").select("digest"), BROADCAST_ROWS), "digest"), "line-collisions")
+        firsts = mixed.groupBy("digest", "chunk").agg(F.min("at").alias("first"))
+        gone = gone.union(mixed.join(firsts, ["digest", "chunk"]).filter(~F.col("at").eqNullSafe(F.col("first"))).select("at.doc_id", "at.text_hash", "at.place"))
+    gone = written(gone.groupBy(F.col("doc_id").alias("__of"), F.col("text_hash").alias("__of_text")).agg(F.sort_array(F.collect_set("place")).alias("__places")), "line-removals")
+    drop(again, suspects, wanted, one)
+
+    rows = docs.drop(*[c for c in made if c not in (id_col, text_col)])
+    rows = rows.join(few(gone, BROADCAST_ROWS), F.col(id_col).eqNullSafe(F.col("__of")) & (F.xxhash64(text) == F.col("__of_text")), "left").drop("__of", "__of_text")
 
     def result(all_chunks: Column) -> Column:
-        kept = F.filter(all_chunks, lambda c: ~F.array_contains(F.col("removed_chunks"), c["place"]))
-        left = F.when(F.col("removed_chunks").isNotNull(), F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n"))
-        return F.struct(F.size(all_chunks).alias("n"), left.alias("left"))
+        lines = F.split(text, "\n", -1)
+        cut = F.flatten(F.transform("__places", lambda p: F.sequence(F.get(all_chunks, p)["first"], F.get(all_chunks, p)["last"])))
+        left = lambda xs: F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size(xs)), cut), lambda i: F.get(xs, i - 1)), "\n")
+        return F.struct(F.size(all_chunks).alias("n"), F.when(F.col("__places").isNotNull(), let(lines, left)).alias("left"))
 
-    rows = rows.withColumn("__done", F.when(text.isNotNull(), let(chunks_of(text, window, divisor), result)))
-    return rows.withColumns({text_col: F.coalesce("__done.left", text), "n_chunks": F.coalesce("__done.n", F.lit(0)), "removed_chunks": F.coalesce("removed_chunks", F.array().cast("array<int>"))}).drop("__done")
+    rows = rows.withColumn("__done", F.when(text.isNotNull(), let(chunks_of(text, window, divisor, least_lines), result)))
+    out = {text_col: F.coalesce("__done.left", text), made[0]: F.coalesce("__done.n", F.lit(0)), made[1]: F.coalesce("__places", F.array().cast("array<int>"))}
+    return rows.withColumns(out).drop("__done", "__places")
 
 
 def op8_linededup(spark, sf_dir: str) -> DataFrame:
@@ -97,13 +105,14 @@ def op8_linededup(spark, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "text", "n_chunks", F.size("removed_chunks").alias("n_removed"))
 
 
+#: With divisor 1 a chunk is each pair of lines that are not blank and have none such between.
 ORACLE = r"""
 WITH lines AS (
-  SELECT doc_id, i, line, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
-cuts AS (SELECT *, CASE WHEN (lag(h) OVER w * 31 + h) % 2 = 0 AND i >= 2 THEN 1 ELSE 0 END AS cut FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-placed AS (SELECT *, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS place FROM cuts),
-chunks AS (SELECT doc_id, place, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM placed GROUP BY 1, 2),
-ranked AS (SELECT *, CASE WHEN n >= 2 AND length(chunk) >= 80 THEN row_number() OVER (PARTITION BY chunk, n >= 2 ORDER BY doc_id, place) ELSE 1 END AS r FROM chunks)
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL),
+pairs AS (SELECT doc_id, i, lead(i) OVER w AS j, line || chr(10) || lead(line) OVER w AS chunk FROM lines WHERE regexp_matches(line, '[^\x00-\x20]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, i) AS r FROM pairs WHERE j IS NOT NULL),
+cut AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM ranked WHERE r > 1),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM lines ANTI JOIN cut USING (doc_id, i) GROUP BY 1),
+counts AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (WHERE r > 1) AS n_removed FROM ranked GROUP BY 1)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t, '') END AS text, coalesce(n_chunks, 0)::INT AS n_chunks, coalesce(n_removed, 0)::INT AS n_removed
-FROM documents d LEFT JOIN (SELECT doc_id, string_agg(chunk, chr(10) ORDER BY place) FILTER (WHERE r = 1) AS t, count(*) AS n_chunks, count(*) FILTER (WHERE r > 1) AS n_removed FROM ranked GROUP BY 1) USING (doc_id)"""
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)"""
