@@ -13,7 +13,9 @@ sketch's errors, which therefore change only the speed. Two sets as similar as a
    change it. So all links that matter are found, and a large group of near copies costs a star, not all its pairs.
 
 Buckets of hashes whose cell counts more than ``salt_rows`` are split; the pivots of the parts are paired with each other. Classes are
-found by alternating large and small stars; every round is a written table.
+found by alternating large and small stars; every round is a written table. A pivot's set meets its partners' in parts of at most
+about ``chunk`` rows, so that one pivot of many near copies is spread over tasks. Hashes find the pairs; what they call a link is counted
+again on words. Set sizes are counts of 64-bit hashes.
 
 Defined results: a null text, or one without a word, has an empty set and is linked with nothing; its class is its own id. Rows
 that repeat an id are one document: a link of any is a link of all. Rows with a null id link nothing; they have the class of
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, tidy, written
+from .common import drop, few, keyed, tidy, written
 
 CELLS = 1 << 20
 BROADCAST_ROWS = 500_000
@@ -101,24 +103,24 @@ def count_sketch(docs: DataFrame, size: int, split, fan_in: int = 64) -> np.ndar
     return total
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """A hint to broadcast, if the rows, counted in each task by itself, are few enough for it."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-
 def connected(edges: DataFrame) -> DataFrame:
-    """(id, label): the smallest id that each end of the edges (a, b) reaches. Alternating large and small stars."""
+    """(id, label): the smallest id that each end of the edges (a, b) reaches. Alternating large and small stars.
+
+    The least neighbours are tables, so that they are broadcast while they are few, and a hot node's join can be split beyond; a round's
+    tables are deleted once the next one's are written."""
     state = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
     seen = None
     while True:
         # large star: larger neighbours of each node go to the smallest of its neighbours and itself
         both = state.union(state.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "stars")
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = written(both.filter("v > u").join(few(least, BROADCAST_ROWS), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "stars")
         # small star: smaller neighbours of each node, and it, go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        state = written(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).filter("u <> v").distinct(), "stars")
+        near = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        joined = large.join(few(near, BROADCAST_ROWS), "u")
+        after = written(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near).filter("u <> v").distinct(), "stars")
+        drop(state, least, large, near)
+        state = after
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
             break
@@ -129,40 +131,53 @@ def connected(edges: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, similar: tuple[int, int], size: int, split, chunk: int = 250) -> DataFrame:
     """Written (a, b) of those pairs whose sets are as similar. The set of an ``a`` meets those of its ``b`` in parts of about ``chunk``.
 
-    Whole texts are shuffled, which compress to less than half of their sets of hashes, and the sets are made where they meet."""
+    Whole texts are shuffled, which compress to less than half of their sets of hashes, and the sets are made where they meet. Pairs
+    that the hashes call similar are counted again on the shingles' words."""
     most, of = similar
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "pair-ids")
-    held = written(docs.join(few(ids), F.col("doc_id") == F.col("of")).select("doc_id", "text"), "pair-texts")
+    held = written(docs.join(few(ids, BROADCAST_ROWS), F.col("doc_id") == F.col("of")).select("doc_id", "text"), "pair-texts")
     parts = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).cast("long").alias("parts")), "pair-parts")
     dealt = written(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")), "pair-parts")
-    right = held.join(few(dealt), F.col("b") == F.col("doc_id")).select("a", "part", "b", "text")
-    left = held.join(few(parts), F.col("a") == F.col("doc_id")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    right = held.join(few(dealt, BROADCAST_ROWS), F.col("b") == F.col("doc_id")).select("a", "part", "b", "text")
+    left = held.join(few(parts, BROADCAST_ROWS), F.col("a") == F.col("doc_id")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+
+    def words_of(text: str) -> set[tuple]:
+        words = split(text)
+        return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+    def alike(one: str, two: str) -> bool:
+        x, y = words_of(one), words_of(two)
+        shared = len(x & y)
+        return of * shared >= most * (len(x) + len(y) - shared)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own, shingles = None, [], Shingler(size, split)
         for batch in batches:
             found = []
             for a, part, b, text in zip(*batch.columns):
-                a, part, b, s = a.as_py(), part.as_py(), b.as_py(), shingles(text.as_py())
+                a, part, b, text = a.as_py(), part.as_py(), b.as_py(), text.as_py()
+                s = shingles(text)
                 if (a, part) != key:
                     key, own = (a, part), []
                 if b is None:
-                    own.append(s)
+                    own.append((s, text))
                     continue
-                for o in own:
+                for o, other in own:
                     few_, many = (s, o) if len(s) < len(o) else (o, s)
                     if len(few_) * of < most * len(many):
                         continue
                     at = np.minimum(np.searchsorted(many, few_), len(many) - 1)
                     shared = int((many[at] == few_).sum())
-                    if of * shared >= most * (len(few_) + len(many) - shared):
+                    if of * shared >= most * (len(few_) + len(many) - shared) and (text == other or alike(text, other)):
                         found.append((a, b))
                         break
             if found:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     ordered = left.union(right).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return written(ordered.mapInArrow(lambda batches: tidy(check(batches)), "a long, b long").distinct(), "links")
+    links = written(ordered.mapInArrow(lambda batches: tidy(check(batches)), "a long, b long").distinct(), "links")
+    drop(ids, held, parts, dealt)
+    return links
 
 
 def classes(docs: DataFrame, similar: tuple[int, int] = (85, 100), size: int = 4, split=ascii_words, salt_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,14 +205,14 @@ def classes(docs: DataFrame, similar: tuple[int, int] = (85, 100), size: int = 4
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "prefix_digest": pa.array(group, pa.binary()), "prefix": pa.array(p, pa.list_(pa.int64())), "parts": pa.array(parts, pa.list_(pa.int32()))})
 
     sized = written(docs.mapInArrow(lambda batches: tidy(prefixes(batches)), "doc_id long, n long, digest binary, prefix_digest binary, prefix array<long>, parts array<int>"), "prefixes")
-    reps = sized.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    singles = sized.select("doc_id", "n", "digest", "prefix_digest").join(reps.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
+    reps = written(sized.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "representatives")
+    singles = sized.select("doc_id", "n", "digest", "prefix_digest").join(few(reps.withColumnRenamed("digest", "d"), BROADCAST_ROWS), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
     singles = singles.select("doc_id", "n", "prefix_digest").distinct()
     groups = singles.groupBy("prefix_digest", "n").agg(F.min("doc_id").alias("g"))
     members = written(singles.join(groups, ["prefix_digest", "n"]).select("g", "n", F.col("doc_id").alias("m"), "prefix_digest"), "members")
 
     heads = members.filter("g = m").select("g", F.col("prefix_digest").alias("d"))
-    rows = sized.join(few(heads), (F.col("doc_id") == F.col("g")) & (F.col("prefix_digest") == F.col("d"))).select("g", "n", "parts", F.posexplode("prefix").alias("pos", "token"))
+    rows = sized.join(few(heads, BROADCAST_ROWS), (F.col("doc_id") == F.col("g")) & (F.col("prefix_digest") == F.col("d"))).select("g", "n", "parts", F.posexplode("prefix").alias("pos", "token"))
     rows = rows.select("token", F.pmod(F.xxhash64("g"), F.get("parts", F.col("pos"))).cast("int").alias("part"), "pos", "n", "g", (F.get("parts", F.col("pos")) > 1).alias("split"))
 
     bucket_schema = pa.schema([("token", pa.int64()), ("part", pa.int32()), ("pos", pa.int32()), ("n", pa.int64()), ("g", pa.int64()), ("pivot_pos", pa.int32()), ("pivot_n", pa.int64()), ("pivot", pa.int64())])
@@ -261,8 +276,9 @@ def classes(docs: DataFrame, similar: tuple[int, int] = (85, 100), size: int = 4
     links = links.union(verified(docs, rest, similar, size, split))
     final = written(connected(links), "labels")
 
-    ends = reps.join(final, F.col("rep") == F.col("id"), "left").select(F.col("digest").alias("d"), F.coalesce("label", "rep").alias("component"))
-    return sized.select("doc_id", "n", "digest").join(ends, F.col("digest") == F.col("d"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    ends = written(reps.join(few(final, BROADCAST_ROWS), F.col("rep") == F.col("id"), "left").select(F.col("digest").alias("d"), F.coalesce("label", "rep").alias("component")), "components")
+    drop(shared, tested, rest, labels, of_group, members)
+    return sized.select("doc_id", "n", "digest").join(few(ends, BROADCAST_ROWS), F.col("digest") == F.col("d"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op3_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 
 from conceptweave.llm import jaccard
 
+TABLE = [" ".join(str(d % 2) for d in (i, i // 2, i // 4, i // 8, i // 3)) for i in range(40)]
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -60,7 +61,7 @@ def corpus(seed, n):
 @pytest.mark.parametrize("seed, salt, broadcast", [(1, 100_000, 500_000), (2, 2, 0)])
 def test_classes(spark, monkeypatch, seed, salt, broadcast):
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", broadcast)
-    texts = corpus(seed, 260) + [(1, None), (2, ""), (3, " \n\x0b"), (4, "one"), (5, "ONE"), (6, "é É"), (7, "é é")]
+    texts = corpus(seed, 260) + [(i + 2000, " ".join(TABLE[i : i + 12])) for i in range(28)] + [(1, None), (2, ""), (3, " \n\x0b"), (4, "one"), (5, "ONE"), (6, "é É"), (7, "é é")]
     expected = brute(texts)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(frame(spark, texts), salt_rows=salt).collect()}
     assert found == expected
@@ -108,7 +109,7 @@ def test_pipeline_against_loops(spark, tmp_path):
 
     import corpus_pipeline
     from tests.llm.test_free import whole_ids
-    from tests.llm.test_native import brute_chunks
+    from tests.llm.test_native import brute_dedup
     from tests.llm.test_native import shingles as five_words
 
     rng = random.Random(4)
@@ -124,16 +125,7 @@ def test_pipeline_against_loops(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
     left = {i: t for i, t in texts if t and re.search(r"[^\W\d_]", t)}  # one language: every text with a letter has it
-    seen, cut = set(), {}
-    for i, t in sorted(left.items()):
-        kept = []
-        for chunk in brute_chunks(t):
-            c = "\n".join(chunk)
-            if len(chunk) < 2 or len(c) < 80 or c not in seen:
-                kept.append(c)
-            seen.add(c)
-        if "\n".join(kept).strip(" "):
-            cut[i] = "\n".join(kept)
+    cut = {i: t for i, t in brute_dedup(sorted(left.items())) if any(c > " " for c in t)}
     classes = brute(sorted(cut.items()), 80, 100, 5)
     single = {i: t for i, t in cut.items() if classes[i][1] == i}
     clean = {i: t for i, t in single.items() if not any(5 * len(five_words(x) & five_words(t)) >= 4 * len(five_words(x)) for _, x in items)}
@@ -151,3 +143,36 @@ def test_pipeline_against_loops(spark, tmp_path):
     for p in pieces:
         total[p.doc_id] = total.get(p.doc_id, 0) + p.length
     assert total == {i: len(x) for i, x in zip(clean, whole_ids(list(clean.values())))}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    item, base = words(20), words(80).split()
+    near = " ".join(base[:40] + ["other"] + base[41:])
+    rows = [(1, " ".join(base)), (1, " ".join(base)), (None, near), (None, words(30) + " " + item), (2, words(30) + " " + item), (None, words(30)), (3, None), (4, ""), (5, " \n\t"), (6, "one\ntwo"), (7, "\none\n\ntwo\n"), (8, words(30))]
+    schema = "doc_id long, text string, lang string, of string, n_chunks int, removed_chunks int"  # no n_chars, and names of inner columns
+    spark.createDataFrame([(i, t, "en", "o", 5, 6) for i, t in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == ["doc_id", "text", "lang", "of", "n_chunks", "removed_chunks"] and all((r.n_chunks, r.removed_chunks) == (5, 6) for r in docs.collect())
+        kept.append(sorted(((r.doc_id, r.text) for r in docs.collect()), key=str))
+    texts = [t for _, t in rows]
+    assert kept[0] == sorted((r for r in rows if r[0] not in (3, 4, 5)), key=str)
+    assert kept[1] == sorted((r for r in kept[0] if r[0] != 7), key=str)
+    assert kept[2] == sorted([(1, texts[0]), (None, texts[3]), (2, texts[4]), (None, texts[5]), (6, texts[9]), (8, texts[11])], key=str)
+    assert kept[3] == sorted([(1, texts[0]), (None, texts[5]), (6, texts[9]), (8, texts[11])], key=str)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, None, 6, 8}
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
