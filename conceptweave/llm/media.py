@@ -3,8 +3,8 @@
 ``store_media`` wraps each payload in a lossless container of 8-bit samples (a WAV file of one channel) and writes it as a
 binary column with the type that was declared for it. ``sniff`` runs one Aho-Corasick automaton of magic bytes over the
 whole stored value; a validator of each format confirms structure and lengths from a hit on. What is confirmed at the
-first byte corrects the declared type; what is confirmed later is carved out as embedded media. Hits inside media that
-were already carved are left to that media.
+first byte corrects the declared type, even if other bytes follow; all that is confirmed but does not fill the whole value is carved
+out as embedded media. Hits inside media that were already carved are left to that media; media that fill the value are looked into.
 
 Defined results: a null text is empty, and its payload is 64 zero bytes; a null stored value has no type and no media;
 repeated rows give repeated results; an empty table gives none. Further columns are ignored.
@@ -188,16 +188,16 @@ def automaton():
 
 
 def sniff_bytes(data: bytes, a) -> tuple[str | None, list[tuple[int, int, str]]]:
-    """The type of the whole value, and (start, end, type) of the media in it; those inside another's header and data follow it."""
+    """The type of the value, and (start, end, type) of the media in it; those inside another's header and data follow it."""
     kind, found, free = None, [], 0
     for last, (size, check) in a.iter(data.decode("latin-1")):
         start = last - size + 1
         if start < free:
             continue
         if hit := check(data, start):
-            if start == 0 and hit[1] == len(data):
+            if start == 0:
                 kind = hit[2]
-            else:
+            if start or hit[1] < len(data):
                 found.append(hit)
                 free = hit[1]
     return kind, found

@@ -66,6 +66,68 @@ def test_forward_backward_against_all_paths():
         np.testing.assert_allclose(found[:n, b], total / total.sum(1, keepdims=True), rtol=1e-6)
 
 
+def test_expected_moves_against_finite_differences():
+    """The gradient of the log of the sum over all paths by the transition weights."""
+    import itertools
+
+    rng = np.random.default_rng(2)
+    scores, moves, lengths = rng.normal(size=(4, 2, 3)), rng.normal(size=(3, 3)), np.array([4, 3])
+    t, b = np.array([1, 2, 3, 1, 2]), np.array([0, 0, 0, 1, 1])
+    found = language.expected_moves(*language.chains(scores, moves, lengths), moves, t, b)
+
+    def total(moves):
+        return sum(np.log(sum(np.exp(sum(scores[i, s, y] for i, y in enumerate(path)) + sum(moves[x, y] for x, y in zip(path, path[1:]))) for path in itertools.product(range(3), repeat=int(n)))) for s, n in enumerate(lengths))
+
+    for x, y in itertools.product(range(3), repeat=2):
+        step = np.zeros((3, 3))
+        step[x, y] = 1e-5
+        assert abs((total(moves + step) - total(moves - step)) / 2e-5 - found[x, y]) < 1e-6
+
+
+def test_signs_that_are_no_letters(spark):
+    model = language.fit(labelled(spark), per_label=20)
+    texts = [(1, "½ ² Ⅷ 12 _"), (2, "½ la ²"), (3, "\u0301"), (4, "la\u0301 lo")]
+    out = {r.doc_id: r for r in language.identify(frame(spark, texts), model).collect()}
+    assert [(out[i].lang_pred, out[i].score, out[i].n_words) for i in (1, 3)] == [("und", 0.0, 0)] * 2 and out[2].n_words == 1 and out[4].n_words == 2
+
+
+def test_ties_take_the_first_language(spark):
+    model = language.Model(["aa", "bb"], np.zeros((1 << language.BITS, 2), np.float32), {}, np.zeros((0, 2), np.float32), np.zeros((2, 2), np.float32))
+    row = language.identify(frame(spark, [(1, "some words")]), model).first()
+    assert (row.lang_pred, row.score) == ("aa", 0.5)
+
+
+def test_training_is_bounded(spark):
+    rows = [(i, "la lo " * 100_000, "xx") for i in range(3)] + [(9, "grum", "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.fit(docs, chars_per_text=60, words_per_label=50).labels == ["xx", "yy"]
+    with pytest.raises(ValueError):
+        language.fit(docs, most_labels=1)
+
+
+def test_sharding_of_hot_rows(spark):
+    """A shard is cut by its own bytes, and rows that repeat one id and text are scattered over its buckets."""
+    texts = [(1, "the same text")] * 3000 + [(i, f"text {i}") for i in range(2, 400)]
+    rows = sharding.shard(frame(spark, texts), n_shards=4, bucket_bytes=4000).collect()
+    assert len(rows) == len(texts)
+    hot = {}
+    for r in rows:
+        if r.doc_id == 1:
+            hot[r.bucket] = hot.get(r.bucket, 0) + 1
+    assert len(hot) > 8 and max(hot.values()) < 600
+    for s in range(4):
+        assert sorted(r.slot for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+
+
+def test_shards_are_folders_in_the_order_of_slots(spark, tmp_path):
+    path = f"{tmp_path}/shards"
+    rows = {r.doc_id: r for r in sharding.shard(frame(spark, [(i, f"text {i}") for i in range(200)]), n_shards=3, path=path).collect()}
+    for s in range(3):
+        read = [r.doc_id for r in spark.read.parquet(f"{path}/shard={s}").coalesce(1).collect()]
+        assert sorted(read) == sorted(i for i, r in rows.items() if r["shard"] == s)
+        assert [rows[i].slot for i in read] == list(range(len(read)))
+
+
 def test_sharding(spark):
     texts = [(i, f"text {i}") for i in range(100, 1100)] + ODD
     for size in (1 << 20, 2000):
@@ -194,6 +256,8 @@ def test_sniffing_corrects_and_carves(spark):
     gz = gz.compress(b"hello") + gz.flush()
     inner = b"xx" + picture() + b"RIFF\xff\xff\xff\xffWAVE" + gif + b"BM" + gz + b"\x89PNG\r\n\x1a\n broken"
     df = spark.createDataFrame([(1, len(inner), "text/plain", inner), (2, 1, "text/plain", picture()), (3, 0, "image/png", None), (4, 0, "image/png", b"")], "doc_id long, n_bytes long, declared_type string, media binary")
-    rows = {r.doc_id: r for r in media.media_features(df).collect()}
+    more = spark.createDataFrame([(5, 1, "text/plain", picture() + b"\n")], df.schema)
+    rows = {r.doc_id: r for r in media.media_features(df.union(more)).collect()}
+    assert rows[5].sniffed_type == "image/png" and [(p.start, p.end) for p in rows[5].embedded] == [(0, len(picture()))]
     assert [(p.type, inner[p.start : p.end]) for p in rows[1].embedded] == [("image/png", picture()), ("image/gif", gif), ("application/gzip", gz)] and rows[1].sniffed_type is None
     assert rows[2].feature == "text/plain>image/png" and rows[3].feature == "image/png>none" and rows[4].feature == "image/png>unknown"
