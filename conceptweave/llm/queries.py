@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, licenses, linededup, secrets
+from . import decontamination, jaccard, licenses, linededup, secrets, warc
 from .decontamination import op9_decontamination
 from .jaccard import op3_jaccard
 from .language import op2_language
@@ -30,6 +30,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_licenses": licenses.oracle(),
     "op3_jaccard": jaccard.ORACLE,
     "op6_secrets": secrets.oracle(),
+    "op7_warc": warc.ORACLE,
     "op8_linededup": linededup.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
 }

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import few, fresh_path, written
 
 #: Up to so many revisits are joined by broadcast (16 bytes each); more are joined by a shuffle on the id.
 BROADCAST_ROWS = 200_000
@@ -95,9 +95,9 @@ def with_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """Adds refers_to and revisit. ``pages``: page_id, url, payload string."""
     sized = pages.select("page_id", F.sha1(F.col("payload")).alias("digest"), F.octet_length("payload").alias("n")).filter(F.col("n") >= least_bytes)
     repeated = sized.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1 and refers_to is not null").drop("copies")
+    repeated = few(written(repeated, "repeated-payloads"), BROADCAST_ROWS)  # written, so that Spark can split the join on a hot payload
     revisits = sized.join(repeated, ["digest", "n"]).filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("of"), F.col("digest").alias("of_digest"), "refers_to").distinct()
-    n = revisits.limit(BROADCAST_ROWS + 1).count()
-    small = F.broadcast(revisits) if n <= BROADCAST_ROWS else revisits
+    small = few(written(revisits, "revisits"), BROADCAST_ROWS)
     pages = pages.withColumn("digest", F.sha1(F.col("payload")))
     return pages.join(small, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")), "left").select("page_id", "url", "payload", "digest", "refers_to", F.col("of_digest").isNotNull().alias("revisit"))
 
@@ -176,8 +176,8 @@ def index_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BLOCKS_SQL).parquet(f"{path}/blocks").select("data").mapInArrow(unpack, "key string, archive string, offset long, length long")
 
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """Every record the index knows, read by its range and checked."""
+def read_archives(spark: SparkSession, path: str, with_payload: bool = False, read_bytes: int = 256 << 20) -> DataFrame:
+    """Every record the index knows, read by its range and checked; a task reads whole archives, about ``read_bytes`` of them, or fewer while some cores had none."""
     kept = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * with_payload]
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), *[("payload", pa.binary())] * with_payload])
 
@@ -194,7 +194,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
 
-    lines = index_lines(spark, f"{path}/index").select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    held = spark.read.schema(CAPTURES_SQL).parquet(f"{path}/captures").agg(F.sum("length"), F.approx_count_distinct("archive")).first()
+    parts = max(1, -(-(held[0] or 0) // read_bytes), min(held[1], spark.sparkContext.defaultParallelism))
+    lines = index_lines(spark, f"{path}/index").select("archive", "offset", "length").repartition(parts, "archive").sortWithinPartitions("archive", "offset")
     return lines.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
 
 
@@ -261,3 +263,11 @@ def warc_store(pages: DataFrame, path: str | None = None, **options) -> str:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc_store(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The same columns from the pages themselves.
+ORACLE = """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+m AS (SELECT payload_digest, payload_bytes, max(page_id) AS most FROM p WHERE payload_bytes >= 1000 GROUP BY 1, 2)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN most <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN most <> page_id THEN most END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest, payload_bytes)"""
