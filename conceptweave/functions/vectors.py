@@ -11,11 +11,27 @@ def l2_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+def weighted_vectors(rows: DataFrame, key: str, vec: str, weight: Column) -> DataFrame:
+    """(key, vec): the weighted mean of the vectors of each key as an array; null where the weights sum to zero.
+
+    Vectors are summed as they are, map-side first, so that a key costs one vector a task in the shuffle, whatever its number of rows."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    scaled = rows.withColumn("__w", weight.cast("double")).withColumn("__x", array_to_vector(F.transform(F.col(vec).cast("array<double>"), lambda x: x * F.col("__w"))))
+    sums = scaled.groupBy(key).agg(Summarizer.sum(F.col("__x")).alias("__s"), F.nullif(F.sum("__w"), F.lit(0.0)).alias("__t"))
+    return sums.select(key, F.transform(vector_to_array("__s"), lambda x: x / F.col("__t")).alias("vec"))
+
+
+def long_form(vectors: DataFrame, key: str, digits: int | None = None) -> DataFrame:
+    """(key, dim, value) of (key, vec)."""
+    long = vectors.select(key, F.posexplode("vec").alias("dim", "value"))
+    return long.withColumn("value", F.round("value", digits)) if digits is not None else long
+
+
 def weighted_mean(rows: DataFrame, key: str, vec: str, weight: Column, digits: int | None = None) -> DataFrame:
     """(key, dim, value): the weighted mean of the vectors of each key in long form; null where the weights sum to zero."""
-    long = rows.select(key, weight.alias("__w"), F.posexplode(F.col(vec).cast("array<double>")).alias("dim", "x"))
-    mean = long.groupBy(key, "dim").agg((F.sum(F.col("x") * F.col("__w")) / F.nullif(F.sum("__w"), F.lit(0.0))).alias("value"))
-    return mean.withColumn("value", F.round("value", digits)) if digits is not None else mean
+    return long_form(weighted_vectors(rows, key, vec, weight), key, digits)
 
 
 def as_arrays(long: DataFrame, key: str, name: str = "vec") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import l2_distance, weighted_vectors
+
 
 def concept_id(name: Column, parents: Column) -> Column:
     """Name and ancestor names, nearest first, with ``_`` between."""
@@ -34,45 +36,54 @@ def missing_neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst", "type")
 
 
-def ancestors(nodes: DataFrame, depth: int = 8) -> DataFrame:
+def prune(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges both ends of which exist."""
+    ids = nodes.select("id")
+    return edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select(*edges.columns)
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
     """(id, ancestor) with each node its own ancestor; from the ancestor names, without joins."""
     ids = F.transform(F.sequence(F.lit(0), F.size("parents")), lambda i: F.when(i == 0, F.col("id")).otherwise(F.concat_ws("_", F.slice(F.col("parents"), i, F.size("parents") - i + 1))))
     return nodes.select("id", F.explode(ids).alias("ancestor"))
 
 
 def half_sweep(values: DataFrame, edges: DataFrame, parity: int, active: DataFrame | None = None, digits: int | None = None) -> DataFrame:
-    """New values of the nodes whose level has this parity: the mean of their neighbours' values, each edge counted.
+    """New vectors of the nodes whose level has this parity: the mean of their neighbours' vectors, each edge counted.
 
-    ``values``: (id, level, dim, value) in long form. Nodes without a neighbour that has a value keep theirs.
+    ``values``: (id, level, vec). Nodes without a neighbour that has a vector keep theirs.
     """
-    turn = values.filter(F.col("level") % 2 == parity).select("id", "level").distinct()
+    turn = values.filter((F.col("level") % 2 == parity) & F.col("vec").isNotNull()).select("id")
     if active is not None:
         turn = turn.join(active, "id", "left_semi")
-    mean = F.avg("value") if digits is None else F.round(F.avg("value"), digits)
-    new = edges.select(F.col("src").alias("id"), "dst").join(turn, "id").join(values.select(F.col("id").alias("dst"), "dim", "value"), "dst").groupBy("id", "level", "dim").agg(mean.alias("value"))
-    kept = values.join(new.select("id").distinct(), "id", "left_anti")
-    return kept.unionByName(new.select(*values.columns))
+    near = edges.select(F.col("src").alias("id"), "dst").join(turn, "id").join(values.filter("vec is not null").select(F.col("id").alias("dst"), "vec"), "dst")
+    new = weighted_vectors(near, "id", "vec", F.lit(1.0)).withColumnRenamed("vec", "__new")
+    mean = F.col("__new") if digits is None else F.transform("__new", lambda x: F.round(x, digits))
+    return values.join(new, "id", "left").select("id", "level", F.coalesce(mean, F.col("vec")).alias("vec"))
 
 
-def propagate(values: DataFrame, edges: DataFrame, threshold: float, max_sweeps: int, written, digits: int | None = None) -> tuple[DataFrame, int]:
+def propagate(values: DataFrame, edges: DataFrame, threshold: float, max_sweeps: int, written, digits: int | None = None) -> tuple[DataFrame, list[dict]]:
     """Sweeps of two half-sweeps, even levels first, until every node was stable twice or ``max_sweeps`` are done.
 
     A node is stable in a sweep after its first if its vector moved by less than ``threshold``; the counts add up over sweeps
     that need not follow one another, and at two the node is frozen. ``written(df, name)`` stores a table in a shared folder
-    and returns it read back, so that lineage does not grow.
+    and returns it read back, so that lineage does not grow. Also a report a sweep: how many nodes are still active, the largest move.
     """
-    active = values.select("id").distinct().withColumn("stable", F.lit(0))
+    active, report = values.select("id").distinct().withColumn("stable", F.lit(0)), []
     for sweep in range(max_sweeps):
         before = values
         for parity in (0, 1):
             values = written(half_sweep(values, edges, parity, active, digits), "sweep")
         if sweep == 0:
             continue
-        moved = values.alias("n").join(before.alias("o"), ["id", "dim"]).groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("n.value") - F.col("o.value"), 2))).alias("d"))
-        active = written(active.join(moved, "id").select("id", (F.col("stable") + (F.col("d") < threshold).cast("int")).alias("stable")).filter("stable < 2"), "active")
-        if not active.limit(1).count():
-            return values, sweep + 1
-    return values, max_sweeps
+        moved = values.join(before.select("id", F.col("vec").alias("__old")), "id").select("id", l2_distance(F.col("vec"), F.col("__old")).alias("d"))
+        active = written(active.join(moved, "id").select("id", (F.col("stable") + (F.col("d") < threshold).cast("int")).alias("stable"), "d").filter("stable < 2"), "active")
+        n, most = active.agg(F.count("*"), F.max("d")).first()
+        report.append({"sweep": sweep + 1, "active": n, "largest_move": most})
+        active = active.drop("d")
+        if not n:
+            break
+    return values, report
 
 
 def diffuse(bow: DataFrame, edges: DataFrame, idf: DataFrame, theta: float = 0.08) -> DataFrame:
@@ -84,3 +95,25 @@ def diffuse(bow: DataFrame, edges: DataFrame, idf: DataFrame, theta: float = 0.0
     near = near.withColumn("share", share).join(idf.select("word", "idf"), "word").filter(F.round(F.col("share") * F.col("idf"), 9) > theta).select("id", "word", "nb")
     both = near.join(bow, ["id", "word"], "full")
     return both.select("id", "word", F.when(F.col("nb").isNull(), F.col("cnt")).otherwise((F.col("nb") + F.coalesce("cnt", F.lit(0.0))) / 2).alias("cnt"))
+
+
+def diffuse_all(bow: DataFrame, edges: DataFrame, idf: DataFrame, max_sweeps: int, written, theta: float = 0.08) -> tuple[DataFrame, list[dict]]:
+    """Sweeps of ``diffuse`` until every node is frozen, or ``max_sweeps`` are done; and a report a sweep.
+
+    A node whose bag has as many words after a sweep as before it has an unchanged visit; at two, which need not follow one another, it is
+    frozen and keeps its bag, from which its neighbours go on to draw."""
+    size = lambda b: b.groupBy("id").agg(F.count("*").alias("n"))
+    nodes = edges.select(F.col("src").alias("id")).union(bow.select("id")).distinct()
+    active, report = written(nodes.withColumn("unchanged", F.lit(0)), "active"), []
+    bow = written(bow.select("id", "word", "cnt"), "bags")
+    for sweep in range(max_sweeps):
+        new = diffuse(bow, edges.join(active.select(F.col("id").alias("src")), "src", "left_semi"), idf, theta).join(active.select("id"), "id", "left_semi")
+        after = written(bow.join(active.select("id"), "id", "left_anti").select("id", "word", "cnt").unionByName(new.select("id", "word", "cnt")), "bags")
+        same = active.join(size(bow), "id", "left").join(size(after).withColumnRenamed("n", "m"), "id", "left")
+        same = same.select("id", (F.col("unchanged") + (F.coalesce("n", F.lit(0)) == F.coalesce("m", F.lit(0))).cast("int")).alias("unchanged"))
+        active, bow = written(same.filter("unchanged < 2"), "active"), after
+        n = active.count()
+        report.append({"sweep": sweep + 1, "active": n})
+        if not n:
+            break
+    return bow, report

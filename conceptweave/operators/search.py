@@ -14,9 +14,12 @@ BROADCAST_ROWS = 20_000
 
 MEASURES = ("fwd", "fwd_idf", "rev", "rev_idf")
 
+#: Names of the word-mover measures over a kind of bag.
+LABELS = {"fwd": "wmd", "fwd_idf": "weighted_wmd", "rev": "reverse_wmd", "rev_idf": "weighted_reverse_wmd"}
+
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -31,18 +34,23 @@ def nearest(queries: DataFrame, concepts: DataFrame, k: int = 10, digits: int =
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def distance_rows(vectors: DataFrame, needed: DataFrame) -> DataFrame:
-    """(v, ds) for the needed vector ids: distances to all vectors in order of their id, which have to be 0, 1, 2 and so on.
+def distance_tables(vectors: DataFrame, queries: DataFrame, concepts: DataFrame, written: Callable = lambda df, name: df) -> dict[str, DataFrame]:
+    """Distances of the queries' words to the concepts' words, worked out once for each pair of vectors.
 
-    Each distance is worked out once, and the pairs of words below only look it up.
+    ``queries`` and ``concepts`` name vectors by vec_id, ``vectors`` is (vec_id, vec). ``queries`` of the result is (v, ds): for each vector
+    of a query word its distances to those of concept words by their ``place``, ``concepts`` the other way round; ``query_place`` and
+    ``concept_place`` are (vec_id, place). Only vectors in use are numbered, a list no longer than the vocabulary.
     """
-    a = vectors.join(needed.select("vec_id").distinct(), "vec_id").select(F.col("vec_id").alias("v"), F.col("vec").alias("xa"))
-    b = vectors.select(F.col("vec_id").alias("u"), F.col("vec").alias("xb"))
-    long = small_side(a).crossJoin(spread(b, "u")).select("v", F.struct("u", l2_distance(F.col("xa"), F.col("xb")).alias("d")).alias("s"))
-    return long.groupBy("v").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["d"]).alias("ds"))
+    place = lambda rows: written(rows.select("vec_id").distinct().withColumn("place", F.row_number().over(Window.orderBy("vec_id")) - 1), "places")
+    q, c = place(queries), place(concepts)
+    a = vectors.join(q, "vec_id").select(F.col("vec_id").alias("v"), F.col("place").alias("vp"), F.col("vec").alias("xa"))
+    b = vectors.join(c, "vec_id").select(F.col("vec_id").alias("u"), F.col("place").alias("up"), F.col("vec").alias("xb"))
+    long = written(small_side(a).crossJoin(spread(b, "u")).select("v", "vp", "u", "up", l2_distance(F.col("xa"), F.col("xb")).alias("d")), "distances")
+    rows = lambda key, at: long.groupBy(F.col(key).alias("v")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), "d"))), lambda s: s["d"]).alias("ds"))
+    return {"queries": written(rows("v", "up"), "distances"), "concepts": written(rows("u", "vp"), "distances"), "query_place": q, "concept_place": c}
 
 
-def selected(queries: DataFrame, concepts: DataFrame, distances: DataFrame, measure: str, candidates: DataFrame | None = None) -> DataFrame:
+def selected(queries: DataFrame, concepts: DataFrame, distances: dict[str, DataFrame], measure: str, candidates: DataFrame | None = None) -> DataFrame:
     """The cheapest partner of each word: of each query word for the forward measures, of each concept word for the reverse ones.
 
     ``queries``: (query_id, word, p, vec_id); ``concepts``: (concept_id, word, p, vec_id, idf), p the word's share of its text.
@@ -52,9 +60,10 @@ def selected(queries: DataFrame, concepts: DataFrame, distances: DataFrame, meas
     forward, with_idf = measure.startswith("fwd"), measure.endswith("_idf")
     one, other, key, other_key = (queries, concepts, "query_id", "concept_id") if forward else (concepts, queries, "concept_id", "query_id")
     name, other_name = ("input_word", "lc_word") if forward else ("lc_word", "input_word")
-    fields = [c for c in ("word", "p", "vec_id", "idf") if c in other.columns]
-    texts = other.groupBy(other_key).agg(F.collect_list(F.struct(*fields)).alias("words"))
-    words = one.join(small_side(distances), F.col("vec_id") == F.col("v")).drop("v", "vec_id")
+    fields = [c for c in ("word", "p", "place", "idf") if c in other.columns or c == "place"]
+    places = distances["concept_place" if forward else "query_place"]
+    texts = other.join(places, "vec_id").groupBy(other_key).agg(F.collect_list(F.struct(*fields)).alias("words"))
+    words = one.join(small_side(distances["queries" if forward else "concepts"]), F.col("vec_id") == F.col("v")).drop("v", "vec_id")
     if candidates is not None:
         pairs = words.join(candidates, key).join(texts, other_key)
     else:
@@ -62,7 +71,7 @@ def selected(queries: DataFrame, concepts: DataFrame, distances: DataFrame, meas
 
     def pair(w):
         by = F.lit(1.0) if not with_idf else w["idf"] if forward else F.col("idf")
-        return F.struct(w["word"].alias("o"), F.get("ds", w["vec_id"].cast("int")).alias("euclid"), (F.col("p") * w["p"] * by).alias("w"))
+        return F.struct(w["word"].alias("o"), F.get("ds", w["place"]).alias("euclid"), (F.col("p") * w["p"] * by).alias("w"))
 
     def priced(x):
         cost = x["euclid"] * x["w"]
@@ -84,7 +93,7 @@ def top(scores: DataFrame, k: int = 3) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def beam(queries: DataFrame, concepts: DataFrame, tree: DataFrame, distances: DataFrame, levels: int, k: int = 3, most: float = 1000.0, written: Callable = lambda df, name: df) -> DataFrame:
+def beam(queries: DataFrame, concepts: DataFrame, tree: DataFrame, distances: dict[str, DataFrame], levels: int, k: int = 3, most: float = 1000.0, written: Callable = lambda df, name: df) -> DataFrame:
     """(query_id, measure, rank, concept_id, distance): the best of each measure, level by level.
 
     ``tree``: (concept_id, parent_id, level). All concepts of level 0 are scored; further down only children of the forward
@@ -111,3 +120,22 @@ def beam(queries: DataFrame, concepts: DataFrame, tree: DataFrame, distances: Da
         moved = F.max("fresh").over(Window.partitionBy("query_id"))
         best = written(ranked.withColumn("moved", moved).drop("fresh"), "beam")
     return best.select("query_id", "measure", "rank", "concept_id", "distance")
+
+
+def measures(queries: DataFrame, tree: DataFrame, bags: dict[str, DataFrame], word_vectors: DataFrame, query_vectors: DataFrame, frames: dict[str, DataFrame], levels: int, written: Callable, k: int = 3) -> DataFrame:
+    """(query_id, measure, rank, concept_id, distance) of every measure: four word-mover ones for each kind of bag by a beam down the
+    tree, and the nearest neighbours in each frame of vectors.
+
+    ``queries``: (query_id, word, p, vec_id); ``bags``: name to (concept_id, word, p, vec_id, idf); ``word_vectors``: (vec_id, vec);
+    ``query_vectors``: (query_id, query_vec); ``frames``: name to (concept_id, vec); ``tree``: (concept_id, parent_id, level).
+    """
+    out = None
+    for name, bag in bags.items():
+        d = distance_tables(word_vectors, queries, bag, written)
+        label = F.element_at(F.create_map(*[F.lit(x) for m in MEASURES for x in (m, f"{LABELS[m]}_{name}")]), F.col("measure"))
+        found = beam(queries, bag, tree, d, levels, k, written=written).withColumn("measure", label)
+        out = found if out is None else out.unionByName(found)
+    for name, frame in frames.items():
+        near = nearest(query_vectors, frame).select("query_id", F.lit(name).alias("measure"), "rank", "concept_id", "distance")
+        out = near if out is None else out.unionByName(near)
+    return out

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences, sentences_sql, tokens, tokens_sql
+from ..functions.vectors import weighted_vectors
+from ..tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,10 +85,12 @@ class Conversations:
         self.nodes = graph.with_ids(top.unionByName(mid).unionByName(low))
         self.edges = graph.containment_edges(self.nodes)
         words = said.select(F.concat_ws("_", F.concat(F.lit("S"), "i"), turn, conv).alias("id"), F.explode(tokens(F.col("s"))).alias("word"))
-        self.vocabulary = words.groupBy("word").agg(F.count("*").alias("cnt")).filter("cnt >= 2")
-        self.leaves = stats.in_vocabulary(words.groupBy("id", "word").agg(F.count("*").cast("double").alias("cnt")), self.vocabulary)
+        counts = written(words.groupBy("id", "word").agg(F.count("*").cast("double").alias("cnt")), "turn-words")
+        self.vocabulary = counts.groupBy("word").agg(F.sum("cnt").alias("cnt")).filter("cnt >= 2")
+        self.leaves = written(stats.in_vocabulary(counts, self.vocabulary), "leaves")
+        self.nodes = written(self.nodes, "nodes")
         self.bow = stats.roll_up(self.leaves, graph.ancestors(self.nodes))
-        self.n = said.count()
+        self.n = self.nodes.filter("level = 2").count()
         self.idf = stats.inverse_frequency(stats.document_frequency(self.leaves), self.n)
         self.vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
         self.n_vectors = self.vectors.count()
@@ -95,11 +99,9 @@ class Conversations:
         return rows.withColumn("vec_id", word_vec_id(F.col("word"), self.n_vectors))
 
     def centroids(self, bow: DataFrame | None = None) -> DataFrame:
-        """(id, dim, value): TF-IDF centroid of each node."""
+        """(id, vec): TF-IDF centroid of each node."""
         rows = self.with_vec_id((self.bow if bow is None else bow).join(self.idf.select("word", "idf"), "word")).join(self.vectors, "vec_id")
-        from ..functions.vectors import weighted_mean
-
-        return weighted_mean(rows, "id", "vec", F.col("cnt") * F.col("idf"))
+        return weighted_vectors(rows, "id", "vec", F.col("cnt") * F.col("idf"))
 
 
 DIMS = "unnest(range(0, len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x"

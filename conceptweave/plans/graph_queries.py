@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import EXTERNAL_CUES, RELATIVE_CUES, WHOLE_LAW_CUES
-from ..functions.text import quoted, tokens, tokens_sql
-from ..functions.vectors import as_arrays, weighted_mean
-from ..operators import cite, evaluate, graph, report, search, stats
+from ..functions.text import quoted, sentences_sql, tokens, tokens_sql
+from ..functions.vectors import long_form, weighted_mean
+from ..operators import cite, evaluate, graph, question, report, search, stats
 from ..tables import written
 from .base import CONV, Conversations, centroid_sql, query, table, vec_id_sql, word_vec_id
 
@@ -59,60 +59,75 @@ def bow_mean_vec(spark, sf):
 
 @query("tfidf_centroid", f"WITH {CONV} SELECT id, dim::INT AS dim, round(value, 6) AS value FROM ({centroid_sql('cbow')})")
 def tfidf_centroid(spark, sf):
-    return Conversations(spark, sf).centroids().withColumn("value", F.round("value", 6))
+    return long_form(Conversations(spark, sf).centroids(), "id", 6)
 
 
-@query("vector_frame", f"WITH {CONV}, c AS ({centroid_sql('cbow')}), v AS (SELECT id, list(value ORDER BY dim) AS v FROM c GROUP BY 1) SELECT id, level, parent_id, round(v[1], 6) AS dim_1, round(v[2], 6) AS dim_2, round(v[3], 6) AS dim_3 FROM nodes JOIN v USING (id)")
+FRAME_DIMS = 64  # of the given vectors
+
+
+@query("vector_frame", f"WITH {CONV}, c AS ({centroid_sql('cbow')}), v AS (SELECT id, list(value ORDER BY dim) AS v FROM c GROUP BY 1) SELECT id, level, parent_id, {', '.join(f'round(v[{i}], 6) AS dim_{i}' for i in range(1, FRAME_DIMS + 1))} FROM nodes JOIN v USING (id)")
 def vector_frame(spark, sf):
     c = Conversations(spark, sf)
-    vecs = as_arrays(c.centroids(), "id")
-    return c.nodes.join(vecs, "id").select("id", "level", "parent_id", *[F.round(F.get("vec", F.lit(i)), 6).alias(f"dim_{i + 1}") for i in range(3)])
+    return c.nodes.join(c.centroids(), "id").select("id", "level", "parent_id", *[F.round(F.get("vec", F.lit(i)), 6).alias(f"dim_{i + 1}") for i in range(FRAME_DIMS)])
 
 
-# The queries are the benchmark's texts; words without a vector are dropped and reported by oov_words.
+# The queries are the benchmark's texts; words without a vector stay in their bags, take no part in distances, and are reported by oov_words.
 QSQL = f"""
-qtok AS (SELECT item_id, unnest({tokens_sql('text')}) AS word FROM benchmark),
-qbow AS (SELECT item_id AS id, word, count(*)::DOUBLE AS cnt FROM qtok WHERE word IN (SELECT word FROM voc) GROUP BY 1, 2)"""
+qsent AS (SELECT item_id AS id, unnest(range(0, len({sentences_sql('text')}))) AS i, unnest({sentences_sql('text')}) AS s FROM benchmark),
+qtok AS (SELECT id, i, unnest({tokens_sql('s')}) AS word FROM qsent),
+qsw AS (SELECT id, i, word, count(*)::DOUBLE AS cnt, word IN (SELECT word FROM voc) AS known FROM qtok GROUP BY 1, 2, 3),
+qall AS (SELECT id, word, sum(cnt) AS cnt, bool_or(known) AS known FROM qsw SEMI JOIN (SELECT DISTINCT id, i FROM qsw WHERE known) USING (id, i) GROUP BY 1, 2),
+qbow AS (SELECT id, word, cnt FROM qall WHERE known)"""
+
+
+def questions(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
 
+def question_words(spark, sf, c):
+    return question.question_words(questions(spark, sf), c.vocabulary)
 
-def query_bow(spark, sf, c):
-    words = stats.word_rows(table(spark, sf, "benchmark"), "item_id")
-    return stats.in_vocabulary(words, c.vocabulary).groupBy("item_id", "word").agg(F.count("*").cast("double").alias("cnt")).withColumnRenamed("item_id", "id")
 
+def known_bag(spark, sf, c):
+    return question.question_bag(question_words(spark, sf, c)).filter("known").select(F.col("query_id").alias("id"), "word", "cnt")
 
-@query("query_bow", f"WITH {CONV}, {QSQL} SELECT id AS query_id, word, cnt FROM qbow")
-def query_bow_(spark, sf):
-    return query_bow(spark, sf, Conversations(spark, sf)).withColumnRenamed("id", "query_id")
 
+@query("query_bow", f"WITH {CONV}, {QSQL} SELECT id AS query_id, word, cnt, known FROM qall")
+def query_bow(spark, sf):
+    return question.question_bag(question_words(spark, sf, Conversations(spark, sf)))
 
-# idf of a word that no text of the corpus has: ln((N + 1) / 2); each query is one sentence here
-QVEC = f"""qv AS (SELECT id, dim, sum(x * w) / nullif(sum(w), 0) AS value FROM
-  (SELECT id, cnt * coalesce(idf, ln(((SELECT count(*) FROM csent)::DOUBLE + 1) / 2)) AS w, unnest(range(0, len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x
-   FROM qbow LEFT JOIN cidf USING (word) JOIN embeddings ON vec_id = {vec_id_sql('word')}) GROUP BY 1, 2)"""
 
+# idf of a word that no text of the corpus has: ln((N + 1) / 2)
+QVEC = f"""qsv AS (SELECT id, i, dim, sum(x * w) / nullif(sum(w), 0) AS value FROM
+  (SELECT id, i, cnt * coalesce(idf, ln(((SELECT count(*) FROM csent)::DOUBLE + 1) / 2)) AS w, unnest(range(0, len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x
+   FROM qsw LEFT JOIN cidf USING (word) JOIN embeddings ON vec_id = {vec_id_sql('word')} WHERE known) GROUP BY 1, 2, 3),
+qv AS (SELECT id, dim, sum(value) / any_value(n) AS value FROM qsv JOIN (SELECT id, count(*) AS n FROM qsent GROUP BY 1) USING (id) GROUP BY 1, 2)"""
 
-def query_vectors(spark, sf, c):
-    rows = query_bow(spark, sf, c).join(c.idf.select("word", "idf"), "word", "left").withColumn("w", F.col("cnt") * F.coalesce("idf", F.log(F.lit((c.n + 1) / 2))))
-    return weighted_mean(c.with_vec_id(rows).join(c.vectors, "vec_id"), "id", "vec", F.col("w"))
+
+def question_vectors(spark, sf, c):
+    words = written(question_words(spark, sf, c), "question-words")
+    vectors = c.with_vec_id(words.select("word").distinct()).join(c.vectors, "vec_id").select("word", "vec")
+    return question.question_vectors(questions(spark, sf), words, c.idf, c.n, vectors)
 
 
 @query("query_vec", f"WITH {CONV}, {QSQL}, {QVEC} SELECT id AS query_id, dim::INT AS dim, round(value, 6) AS value FROM qv")
 def query_vec(spark, sf):
-    return query_vectors(spark, sf, Conversations(spark, sf)).select(F.col("id").alias("query_id"), "dim", F.round("value", 6).alias("value"))
+    return question.long_vectors(question_vectors(spark, sf, Conversations(spark, sf)))
 
 
 KNN = """k AS (SELECT query_id, concept_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, concept_id) AS rank FROM
   (SELECT q.id AS query_id, v.id AS concept_id, round(sqrt(sum((q.value - v.value) * (q.value - v.value))), 6) AS distance FROM qv q JOIN v ON q.dim = v.dim GROUP BY 1, 2))"""
 
 
-def knn(spark, sf, c):
-    q = as_arrays(query_vectors(spark, sf, c), "id", "query_vec").withColumnRenamed("id", "query_id")
-    return search.nearest(q, as_arrays(c.centroids().filter("value is not null"), "id").withColumnRenamed("id", "concept_id"))
+def knn(spark, sf, c, vectors):
+    q = question_vectors(spark, sf, c).withColumnRenamed("vec", "query_vec")
+    return search.nearest(q, vectors.select(F.col("id").alias("concept_id"), "vec"))
 
 
 @query("knn10", f"WITH {CONV}, {QSQL}, {QVEC}, v AS (SELECT * FROM ({centroid_sql('cbow')}) WHERE value IS NOT NULL), {KNN} SELECT query_id, concept_id, rank::INT AS rank, distance FROM k WHERE rank <= 10")
 def knn10(spark, sf):
-    return knn(spark, sf, Conversations(spark, sf))
+    c = Conversations(spark, sf)
+    return knn(spark, sf, c, c.centroids().filter("vec[0] is not null"))
 
 
 # Relaxed word-mover distance of every benchmark text to every turn
@@ -143,11 +158,11 @@ WMD = f"WITH {CONV}, {QSQL}, {WSQL}, {pairs_sql('p', TURNS)}"
 
 
 def wmd_inputs(spark, sf, c):
-    q = c.with_vec_id(stats.term_frequency(query_bow(spark, sf, c), "id")).select(F.col("id").alias("query_id"), "word", F.col("tf").alias("p"), "vec_id")
+    q = c.with_vec_id(stats.term_frequency(known_bag(spark, sf, c), "id")).select(F.col("id").alias("query_id"), "word", F.col("tf").alias("p"), "vec_id")
     rows = stats.term_frequency(c.bow, "id").join(c.idf.select("word", "idf"), "word")
     con = c.with_vec_id(rows).select(F.col("id").alias("concept_id"), "word", F.col("tf").alias("p"), "vec_id", "idf")
     q, con = written(q, "query-words"), written(con, "concept-words")
-    return q, con, written(search.distance_rows(c.vectors, q.select("vec_id").union(con.select("vec_id"))), "distances")
+    return q, con, search.distance_tables(c.vectors, q, con, written)
 
 
 def turn_inputs(spark, sf):
@@ -289,22 +304,29 @@ def sweeps_sql(n: int) -> str:
 
 
 def start_values(c):
-    return c.centroids().filter("value is not null").join(c.nodes.select("id", "level"), "id").select("id", "level", "dim", "value")
+    return c.centroids().filter("vec[0] is not null").join(c.nodes.select("id", "level"), "id").select("id", "level", "vec")
 
 
-@query("propagate_2sweeps", sweeps_sql(2))
-def propagate_2sweeps(spark, sf):
-    c = Conversations(spark, sf)
+def long_values(values):
+    return values.select("id", "level", F.posexplode("vec").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
+def two_sweeps(c):
     values, edges = written(start_values(c), "values"), written(c.edges, "edges")
     for parity in (0, 1, 0, 1):
         values = written(graph.half_sweep(values, edges, parity), "values")
-    return values.withColumn("value", F.round("value", 6))
+    return values
+
+
+@query("propagate_2sweeps", sweeps_sql(2))
+def propagate_2sweeps(spark, sf):
+    return long_values(two_sweeps(Conversations(spark, sf)))
 
 
 @query("propagate_converged")
 def propagate_converged(spark, sf):
     c = Conversations(spark, sf)
-    return graph.propagate(written(start_values(c), "values"), written(c.edges, "edges"), 0.1, 30, written)[0]
+    return long_values(graph.propagate(written(start_values(c), "values"), written(c.edges, "edges"), 0.1, 30, written)[0])
 
 
 DIFFUSE = f"""WITH {CONV}, deg AS (SELECT src AS id, count(*) AS deg FROM edges GROUP BY 1),
@@ -322,7 +344,14 @@ def diffuse_1sweep(spark, sf):
 @query("concept_bow_mean_vec", f"{DIFFUSE} SELECT id, dim::INT AS dim, round(value, 6) AS value FROM ({centroid_sql('diff')})")
 def concept_bow_mean_vec(spark, sf):
     c = Conversations(spark, sf)
-    return c.centroids(graph.diffuse(c.bow.select("id", "word", "cnt"), c.edges, c.idf)).withColumn("value", F.round("value", 6))
+    return long_form(c.centroids(graph.diffuse(c.bow.select("id", "word", "cnt"), c.edges, c.idf)), "id", 6)
+
+
+@query("diffuse_converged")
+def diffuse_converged(spark, sf):
+    """Until every node was unchanged twice; tested against loops."""
+    c = Conversations(spark, sf)
+    return graph.diffuse_all(c.bow, written(c.edges, "edges"), c.idf, 30, written)[0]
 
 
 # Evaluation

@@ -1,14 +1,4 @@
-"""Fixed schemas of the engine's tables, as DDL."""
+"""Fixed schemas of what is read, as DDL."""
 
-DOCUMENTS_RAW = "doc_id string, url string, short_name string, doc_type string, name string, title string, date_of_publication string, ressort string, html string"
 LAW_JSON = "shortName string, title string, popularTitle string, ressort string, id string, metadata array<struct<displayValue: string>>, documentHtml string"
-BLOCKS = "ordinal int, depth int, tag string, css_class string, element_id string, number string, bold string, text string, path string"
-CONCEPTS = "id string, name string, kind string, subkind string, position int, parents array<string>, parent_id string, level int, law_id string, raw_text string"
-EDGES = "src string, dst string, type string"
-BOW = "id string, word string, cnt double"
-IDF = "word string, df long, idf double"
-WORD_VECTORS = "word string, vec array<float>"
-QUERIES = "query_id string, text string"
-RESULTS = "query_id string, measure string, rank int, concept_id string, distance double"
-TRAVEL_PAIRS = "query_id string, measure string, concept_id string, input_word string, lc_word string, cost double, euclid double"
-GOLD = "query_id long, query_text string, target string"
+BLOCKS = "ordinal int, depth int, tag string, css_class string, element_id string, number string, bold string, text string, path string, plain string"

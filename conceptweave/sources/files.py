@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -11,12 +11,12 @@ from .. import schema
 def law_documents(spark: SparkSession, path: str, urls: DataFrame | None = None) -> DataFrame:
     """Documents landed as JSON arrays; the first element of each file counts. The type is the short name up to its first space.
 
-    ``urls`` (url, file) names each file's source; a URL that occurs twice is taken once.
+    ``urls`` (url, file) names each file's source; a URL that occurs twice is taken once, with its last file by name.
     """
     raw = spark.read.schema(schema.LAW_JSON).json(path, multiLine=True).withColumn("file", F.input_file_name()).withColumn("row", F.monotonically_increasing_id())
     first = raw.groupBy("file").agg(F.min_by(F.struct(*[c for c in raw.columns if c not in ("file", "row")]), "row").alias("d")).select("file", "d.*")
     if urls is not None:
-        first = first.join(urls.dropDuplicates(["url"]), "file")
+        first = first.join(urls.groupBy("url").agg(F.max("file").alias("file")), "file")
     else:
         first = first.withColumn("url", F.col("file"))
     return first.select(
@@ -41,15 +41,17 @@ def text_corpus(spark: SparkSession, path: str, done: DataFrame | None = None, s
 
 
 def write_clean_text(lines: DataFrame, path: str) -> None:
-    """One folder per source file; empty lines are dropped."""
-    lines.filter("length(line) > 0").select("file", "line").write.mode("append").partitionBy("file").text(path)
+    """One folder per source file; empty lines are dropped. A file that is written again replaces its folder, so a repeated job adds nothing twice."""
+    lines.filter("length(line) > 0").select("file", "line").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").text(path)
 
 
 def gold_set(spark: SparkSession, path: str) -> DataFrame:
     from ..operators.evaluate import normal_target
 
     rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True).toDF("query_text", "target")
-    return rows.select(F.monotonically_increasing_id().alias("query_id"), "query_text", normal_target(F.col("target")).alias("target"))
+    rows = rows.withColumn("target", normal_target(F.col("target")))
+    order = Window.orderBy("query_text", "target")  # a hand-made list; numbered by its content, so that a second reading gives equal numbers
+    return rows.select((F.row_number().over(order) - 1).cast("long").alias("query_id"), "query_text", "target")
 
 
 def save_tables(tables: dict[str, DataFrame], path: str) -> None:
@@ -58,7 +60,11 @@ def save_tables(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def load_tables(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+def load_tables(spark: SparkSession, path: str, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """Tables of a snapshot by name; all of them by default."""
+    if names is None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        names = sorted(f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder) if f.isDirectory())
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
@@ -74,4 +80,4 @@ def write_csv(df: DataFrame, path: str) -> None:
 def word_vectors_text(spark: SparkSession, path: str) -> DataFrame:
     """Vectors in text form: a word and its numbers on each line; a head line of two numbers is skipped."""
     parts = F.split("value", " ")
-    return spark.read.text(path).filter(F.size(parts) > 2).select(parts[0].alias("word"), F.transform(F.slice(parts, 2, 100_000), lambda x: x.cast("float")).alias("vec"))
+    return spark.read.text(path).filter(F.size(parts) > 2).select(parts[0].alias("word"), F.transform(F.slice(parts, 2, F.size(parts)), lambda x: x.cast("float")).alias("vec"))

@@ -15,7 +15,7 @@ BLOCK_TAGS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td"}
 VOID = {"br", "hr", "img", "meta", "link", "input", "col", "wbr"}
 SKIP = {"script", "style"}
 NUMBER_CLASSES = {"ParagrafNr", "Liste1Nr", "Liste2Nr"}
-FIELDS = ["ordinal", "depth", "tag", "css_class", "element_id", "number", "bold", "text", "path"]
+FIELDS = ["ordinal", "depth", "tag", "css_class", "element_id", "number", "bold", "text", "path", "plain"]
 
 
 class _Blocks(HTMLParser):
@@ -35,13 +35,17 @@ class _Blocks(HTMLParser):
         cls, ident = a.get("class") or "", a.get("id") or ""
         block = None
         if tag in BLOCK_TAGS:
-            block = {"ordinal": len(self.blocks), "depth": len(self.stack), "tag": tag, "css_class": cls, "element_id": ident, "number": [], "bold": [], "text": [], "path": "/".join(c for _, c, i, _ in self.stack for c in (c, f"#{i}" if i else "") if c)}
+            block = {"ordinal": len(self.blocks), "depth": len(self.stack), "tag": tag, "css_class": cls, "element_id": ident, "number": [], "bold": [], "text": [], "plain": [], "left_out": {}, "path": "/".join(c for _, c, i, _ in self.stack for c in (c, f"#{i}" if i else "") if c)}
             self.blocks.append(block)
+        elif tag in ("b", "i") and (held := self._block()) and tag not in held["left_out"]:
+            held["left_out"][tag] = len(self.stack)  # the first of its kind, at this depth
         self.stack.append((tag, cls, ident, block))
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
+                if tag in ("b", "i") and (held := self._block()) and held["left_out"].get(tag) == i:
+                    held["left_out"][tag] = -1  # it is over; a second one at this depth stays
                 del self.stack[i:]
                 return
 
@@ -63,17 +67,29 @@ class _Blocks(HTMLParser):
             block["bold"].append(data)
         if not numbered:
             block["text"].append(data)
+            if not any(block["left_out"].get(t) == d for d, (t, *_) in enumerate(self.stack) if t in ("b", "i")):
+                block["plain"].append(data)
 
 
 def parse_blocks(html: str | None) -> list[dict]:
     parser = _Blocks()
     parser.feed(html or "")
     parser.close()
-    return [b | {k: " ".join("".join(b[k]).split(" ")).strip(" \r\n\t") for k in ("number", "bold", "text")} for b in parser.blocks]
+    return [b | {k: " ".join("".join(b[k]).split(" ")).strip(" \r\n\t") for k in ("number", "bold", "text", "plain")} for b in parser.blocks]
+
+
+def inside(blocks: DataFrame, element_id: str, key: str = "doc_id") -> DataFrame:
+    """Only the blocks of documents that stand in the element of this id; documents without such an element have none."""
+    return blocks.filter((F.col("element_id") == element_id) | F.array_contains(F.split("path", "/"), f"#{element_id}"))
+
+
+def unwrapped(blocks: DataFrame, css_class: str, key: str = "doc_id") -> DataFrame:
+    """Blocks of this class are no elements of their own: they go, and what they hold stays."""
+    return blocks.filter(F.col("css_class") != css_class)
 
 
 def html_blocks(docs: DataFrame, key: str = "doc_id", html: str = "html") -> DataFrame:
-    """(key, ordinal, depth, tag, css_class, element_id, number, bold, text, path): one row per block element, in order."""
+    """(key, ordinal, depth, tag, css_class, element_id, number, bold, text, path, plain): one row per block element, in order; plain is the text without its first bold and italic part."""
     types = {"ordinal": pa.int32(), "depth": pa.int32()}
     kind = docs.schema[key].dataType
     arrow = pa.schema([(key, pa.int64() if kind.simpleString() == "bigint" else pa.string()), *[(f, types.get(f, pa.string())) for f in FIELDS]])

@@ -35,11 +35,12 @@ def test_roll_up_conserves_counts(spark):
 
 def test_propagation_settles_and_keeps_isolated_nodes(spark, tmp_path):
     nodes = tree(spark)
-    rows = [(r.id, r.level, 0, float(i)) for i, r in enumerate(nodes.orderBy("id").collect())] + [("X", 0, 0, 9.0)]
-    values = spark.createDataFrame(rows, "id string, level int, dim int, value double")
-    out, sweeps = graph.propagate(values, graph.containment_edges(nodes), 1e-3, 60, written(spark, tmp_path))
-    found = {r.id: r.value for r in out.collect()}
-    assert found.pop("X") == 9.0 and np.ptp(list(found.values())) < 0.05 and 2 < sweeps < 60
+    rows = [(r.id, r.level, [float(i), 1.0]) for i, r in enumerate(nodes.orderBy("id").collect())] + [("X", 0, [9.0, 1.0])]
+    values = spark.createDataFrame(rows, "id string, level int, vec array<double>")
+    out, report = graph.propagate(values, graph.containment_edges(nodes), 1e-3, 60, written(spark, tmp_path))
+    found = {r.id: r.vec[0] for r in out.collect()}
+    assert found.pop("X") == 9.0 and np.ptp(list(found.values())) < 0.05 and 2 < len(report) + 1 < 60
+    assert report[-1]["active"] == 0 and report[0]["largest_move"] > 1e-3
 
 
 def test_diffusion_by_hand(spark):
@@ -51,6 +52,58 @@ def test_diffusion_by_hand(spark):
     assert found == {("a", "x"): 2.5, ("b", "x"): 3.0, ("b", "y"): 2.0}
 
 
+def test_diffusion_to_the_end_against_loops(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    ids = "abcdefg"
+    bow = {(i, w): float(rng.randrange(1, 9)) for i in ids[:6] for w in "uvwxyz" if rng.random() < 0.5}
+    edges = [(i, j) for i in ids for j in ids + "?" if i != j and rng.random() < 0.4]
+    idf = {w: k / 5 for k, w in enumerate("uvwxyz")}
+    bags, left = {i: {w: c for (j, w), c in bow.items() if i == j} for i in ids}, dict.fromkeys(ids, 0)
+    sweeps = 0
+    while left and sweeps < 30:
+        sweeps, new = sweeps + 1, {i: dict(b) for i, b in bags.items()}
+        for i in left:
+            near = [j for s, j in edges if s == i]
+            nb = {}
+            for j in near:
+                for w, c in bags.get(j, {}).items():
+                    nb[w] = nb.get(w, 0) + c / len(near)
+            for w, c in nb.items():
+                if round(c / sum(nb.values()) * idf[w], 9) > 0.08:
+                    new[i][w] = (c + bags[i].get(w, 0)) / 2
+        left = {i: n for i in left if (n := left[i] + (len(new[i]) == len(bags[i]))) < 2}
+        bags = new
+    out, report = graph.diffuse_all(
+        spark.createDataFrame([(i, w, c) for (i, w), c in bow.items()], "id string, word string, cnt double"), spark.createDataFrame(edges, "src string, dst string"),
+        spark.createDataFrame(list(idf.items()), "word string, idf double"), 30, written(spark, tmp_path))
+    found = {(r.id, r.word): round(r.cnt, 9) for r in out.collect()}
+    assert found == {(i, w): round(c, 9) for i, b in bags.items() for w, c in b.items()} and len(report) == sweeps and report[-1]["active"] == 0
+
+
+def test_prune(spark):
+    edges = spark.createDataFrame([("S1_P1_L", "L", "x"), ("L", "gone", "x"), ("gone", "L", "x")], "src string, dst string, type string")
+    assert [tuple(r) for r in graph.prune(edges, tree(spark)).collect()] == [("S1_P1_L", "L", "x")]
+
+
+def test_question_vectors_by_hand(spark):
+    import math
+
+    from conceptweave.operators import question
+
+    queries = spark.createDataFrame([(1, "Hund kat. Ukendt ord. Hund fugl."), (2, "ukendt"), (3, None)], "query_id long, text string")
+    vectors = {"hund": [1.0, 0.0], "kat": [0.0, 1.0], "fugl": [1.0, 1.0]}
+    words = question.question_words(queries, spark.createDataFrame([(w,) for w in vectors], "word string"))
+    bag = {(r.query_id, r.word): (r.cnt, r.known) for r in question.question_bag(words).collect()}
+    assert bag == {(1, "hund"): (2, True), (1, "kat"): (1, True), (1, "fugl"): (1, True)}  # the second sentence has no vector, nor has the second query
+    idf = spark.createDataFrame([("hund", 1.0), ("kat", 3.0)], "word string, idf double")
+    out = question.question_vectors(queries, words, idf, 9, spark.createDataFrame(list(vectors.items()), "word string, vec array<double>")).collect()
+    bird = math.log(10 / 2)
+    expected = [(0.25 + 1.0) / 3, (0.75 + bird / (1 + bird)) / 3]
+    assert [r.query_id for r in out] == [1] and np.allclose(out[0].vec, expected)
+
+
 def test_tree_scores(spark):
     rows = [("S_T_C", "S_T_C", 0, 3), ("S_T_C", "T_C", 1, 2), ("S1_T_C", "S2_T_C", 2, 1), ("S_T_C", "U_V_C", 4, 0), ("A_B", "X_Y", 10, 0)]
     df = spark.createDataFrame(rows, "a string, b string, d int, s int").withColumn("f", evaluate.tree_distance(F.col("a"), F.col("b")))
@@ -69,7 +122,7 @@ def wmd_tables(spark):
     vectors = spark.createDataFrame(list(vec.items()), "vec_id long, vec array<double>")
     q = spark.createDataFrame([(7, "a", 0.5, 0), (7, "b", 0.5, 1)], "query_id long, word string, p double, vec_id long")
     c = spark.createDataFrame([("C", "a", 0.25, 0, 1.0), ("C", "z", 0.75, 2, 2.0), ("D", "b", 1.0, 1, 0.5)], "concept_id string, word string, p double, vec_id long, idf double")
-    return vec, q, c, search.distance_rows(vectors, q.select('vec_id').union(c.select('vec_id')))
+    return vec, q, c, search.distance_tables(vectors, q, c)
 
 
 def test_relaxed_wmd_against_loops(spark):
