@@ -107,8 +107,8 @@ def finalise(base: Base, word_vectors: DataFrame, threshold: float = 0.1, theta:
 
 
 def rolled_text(nodes: DataFrame) -> DataFrame:
-    """(id, text): the sentences of each node and all below it, a line each, in their order in the law."""
-    place = F.transform(F.reverse(F.concat(F.array("name"), F.slice("parents", 1, F.size("parents")))), lambda x: F.struct(F.regexp_extract(x, "([0-9]+)", 1).try_cast("long").alias("k"), x.alias("x")))
+    """(id, text): the sentences of each node and all below it, a line each, in their order in the law: by number at each level, an element's own sentences first."""
+    place = F.transform(F.reverse(F.concat(F.array("name"), F.slice("parents", 1, F.size("parents")))), lambda x: F.struct((~F.endswith(x, F.lit(" pkt."))).alias("deeper"), F.regexp_extract(x, "([0-9]+)", 1).try_cast("long").alias("k"), x.alias("x")))
     said = nodes.filter("kind = 'sentence'").select("id", "parents", "name", place.alias("place"), "raw_text")
     up = said.join(graph.ancestors(nodes), "id").groupBy("ancestor").agg(F.array_sort(F.collect_list(F.struct("place", "raw_text"))).alias("rows"))
     return up.select(F.col("ancestor").alias("id"), F.array_join(F.transform("rows", lambda r: r["raw_text"]), "\n").alias("text"))

@@ -222,11 +222,16 @@ def link_deferred(pending: DataFrame, concepts: DataFrame) -> tuple[DataFrame, D
     """Links (src, dst) of pending references whose law is loaded, and those that remain pending.
 
     ``pending``: (ref_no, src, law, name, need array); ``concepts``: (id, law_id, name, parents). All needed ancestors must be among a
-    concept's; a reference without a name is to the law itself.
+    concept's; a reference without a name is to the law itself. A letter that names no paragraph of the law falls away, as in ``resolve``.
     """
     whole = pending.filter("name is null").join(concepts.filter(F.size("parents") == 0).select(F.col("law_id").alias("law"), F.col("id").alias("dst")), "law")
-    part = pending.filter("name is not null").join(concepts.select(F.col("law_id").alias("law"), "name", "parents", F.col("id").alias("dst")), ["law", "name"]).filter(F.size(F.array_except("need", "parents")) == 0)
-    links = whole.select("ref_no", "src", "dst").unionByName(part.select("ref_no", "src", "dst"))
+    known = concepts.select(F.col("law_id").alias("law"), "name", "parents", F.col("id").alias("dst"))
+    met = lambda rows: rows.join(known, ["law", "name"]).filter(F.size(F.array_except("need", "parents")) == 0)
+    part = met(pending.filter("name is not null"))
+    plain = lambda x: F.regexp_replace(x, "^(§.*[0-9]) [a-z][.]$", "$1.")
+    rest = pending.filter("name is not null").join(part.select("ref_no").distinct(), "ref_no", "left_anti")
+    loose = met(rest.withColumns({"name": plain(F.col("name")), "need": F.transform("need", plain)}))
+    links = whole.select("ref_no", "src", "dst").unionByName(part.select("ref_no", "src", "dst")).unionByName(loose.select("ref_no", "src", "dst"))
     return links.select("src", "dst"), pending.join(links.select("ref_no").distinct(), "ref_no", "left_anti")
 
 

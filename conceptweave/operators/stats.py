@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, tokens
+from ..tables import written
 
 
 def word_rows(docs: DataFrame, key: str, text: str = "text", stopwords: list[str] = STOPWORDS, **options: bool) -> DataFrame:
@@ -82,8 +83,8 @@ def idf_of(sentences: DataFrame, key: str, text: str = "text", stopwords: list[s
 
 
 def top_terms(docs: DataFrame, key: str = "doc_id", k: int = 5, **options: bool) -> DataFrame:
-    """The most characteristic words of each text by tf * idf; ties by word."""
-    bow = bag_of_words(docs, key, **options)
+    """The most characteristic words of each text by tf * idf; ties by word. The bags are counted once and written."""
+    bow = written(bag_of_words(docs, key, **options), "bags")
     scored = term_frequency(bow, key).join(inverse_frequency(document_frequency(bow), docs.count()), "word").withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
     order = Window.partitionBy(key).orderBy(F.col("score").desc(), "word")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(key, "rank", "word", "score")

@@ -563,7 +563,8 @@ def ref_classify(spark, sf):
 
 
 @query("deferred_link", f"""WITH {CTE}, {SINGLE}, pend AS (SELECT DISTINCT id AS src, ord, 'L' || (id % 4) AS law, CASE WHEN id % 10 = 1 THEN NULL ELSE paragraph END AS name FROM refs), {PARS}
-SELECT src, law AS dst FROM pend WHERE name IS NULL AND law IN ('L0', 'L1', 'L2') UNION ALL SELECT src, pars.id FROM pend JOIN pars ON pars.law_id = law AND pars.name = pend.name""")
+SELECT src, law AS dst FROM pend WHERE name IS NULL AND law IN ('L0', 'L1', 'L2')
+UNION ALL SELECT src, coalesce(e.id, p.id) FROM pend LEFT JOIN pars e ON e.law_id = law AND e.name = pend.name LEFT JOIN pars p ON p.law_id = law AND p.name = regexp_replace(pend.name, ' [a-z][.]$', '.') WHERE coalesce(e.id, p.id) IS NOT NULL""")
 def deferred_link(spark, sf):
     refs = cite.paragraph_refs(cited(spark, sf), "id", "text").select("id", "ord", "paragraph").distinct()
     pending = refs.select(F.xxhash64("id", "ord").alias("ref_no"), F.col("id").alias("src"), F.concat(F.lit("L"), (F.col("id") % 4).cast("string")).alias("law"), F.when(F.col("id") % 10 != 1, F.col("paragraph")).alias("name"), F.array(F.concat(F.lit("L"), (F.col("id") % 4).cast("string"))).alias("need"))

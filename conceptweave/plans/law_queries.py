@@ -99,6 +99,12 @@ def law_concepts(spark, sf):
     return engine.ingest(laws(spark, sf))["concepts"].select("law_id", "id", "name", "kind", "subkind", "position", "parent_id", "level", "short_name", "raw_text")
 
 
+@query("concept_counts", f"WITH {EXPECTED} SELECT kind, count(*) AS n FROM concept GROUP BY 1")
+def concept_counts(spark, sf):
+    """Nodes of all kinds in one table, counted."""
+    return engine.ingest(laws(spark, sf))["concepts"].groupBy("kind").agg(F.count("*").alias("n"))
+
+
 @query("law_edges", f"WITH {EXPECTED} SELECT src, dst, type FROM edge")
 def law_edges(spark, sf):
     """Containment and resolved citations."""

@@ -71,8 +71,7 @@ def doc_freq(spark, sf):
 
 @query("idf", f"WITH {SBOW} SELECT word, count(*) AS df, round(ln((SELECT count(*) FROM sent)::DOUBLE / (count(*) + 1)), 6) AS idf FROM sbow GROUP BY 1")
 def idf(spark, sf):
-    out = stats.inverse_frequency(stats.document_frequency(sentence_bow(spark, sf)), sentence_rows(spark, sf).count())
-    return out.withColumn("idf", F.round("idf", 6))
+    return stats.idf_of(sentence_rows(spark, sf).withColumnRenamed("s", "text"), "doc_id").withColumn("idf", F.round("idf", 6))
 
 
 @query("term_frequency", f"WITH {BOW} SELECT doc_id, word, round(cnt::DOUBLE / sum(cnt) OVER (PARTITION BY doc_id), 6) AS tf FROM bow")
@@ -116,11 +115,14 @@ def rollup_text(spark, sf):
     return stats.roll_up_text(table(spark, sf, "conversations").filter("text is not null"), "conv_id", "turn", "text")
 
 
-@query("incremental_upsert", """WITH o AS (SELECT doc_id, text, source FROM documents), n AS (SELECT o_orderkey AS doc_id, o_orderpriority AS text, o_orderstatus AS source FROM orders)
-SELECT * FROM n UNION ALL SELECT * FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n)""")
+@query("incremental_upsert", """WITH o AS (SELECT o_custkey AS id, o_orderkey AS "at", o_orderpriority AS text FROM orders), n AS (SELECT * FROM o WHERE id % 3 = 0)
+SELECT id, "at", text FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY "at" DESC) = 1
+UNION ALL SELECT c_custkey, 0, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT id FROM n)""")
 def incremental_upsert(spark, sf):
-    new = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("text"), F.col("o_orderstatus").alias("source"))
-    return stats.upsert(table(spark, sf, "documents").select("doc_id", "text", "source"), new, ["doc_id"])
+    """Customers with the last of their orders as the new state, for a third of them."""
+    old = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit(0).cast("long").alias("at"), F.col("c_mktsegment").alias("text"))
+    new = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("at"), F.col("o_orderpriority").alias("text")).filter("id % 3 = 0")
+    return stats.upsert(old, new, ["id"], ["at"])
 
 
 @query("dialect_dispatch", "SELECT page_id, t AS doc_type, CASE WHEN t = 'LBK' THEN 'lbk' WHEN t = 'LOV' THEN 'lov' ELSE 'quarantine' END AS dialect FROM (SELECT page_id, string_split(CASE page_id % 3 WHEN 0 THEN 'LBK nr 1' WHEN 1 THEN 'LOV nr 2' ELSE 'BEK nr 3' END, ' ')[1] AS t FROM pages)")
@@ -205,21 +207,10 @@ def _orders_tree(spark, sf):
     return rows.select(F.concat(F.lit("O"), "o_orderkey").alias("name"), F.array(F.concat(F.lit("C"), "c_custkey"), "n_name", "r_name").alias("parents"), "o_totalprice")
 
 
-@query("concept_counts", """SELECT kind, count(*) AS n FROM (
-SELECT 'region' AS kind FROM region UNION ALL SELECT 'nation' FROM nation UNION ALL SELECT 'customer' FROM customer UNION ALL SELECT 'order' FROM orders) GROUP BY 1""")
-def concept_counts(spark, sf):
-    """Nodes of all kinds in one table, counted."""
-    parts = [table(spark, sf, t).select(F.lit(k).alias("kind")) for k, t in (("region", "region"), ("nation", "nation"), ("customer", "customer"), ("order", "orders"))]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@query("random_concept")
+@query("random_concept", "SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 1")
 def random_concept(spark, sf):
     """One concept drawn with a fixed seed."""
-    return table(spark, sf, "documents").select("doc_id").orderBy(F.xxhash64(F.lit(42), "doc_id")).limit(1)
+    return table(spark, sf, "documents").select("doc_id").orderBy(F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string"))), "doc_id").limit(1)
 
 
 @query("structure_rollup", """SELECT r_name, n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total, grouping(r_name) + grouping(n_name) AS g
