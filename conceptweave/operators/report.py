@@ -45,14 +45,26 @@ def visual_frame(results: DataFrame, pairs: DataFrame, sizes: DataFrame, n: int
     return rows.withColumn("__k", first).filter("__k = 1").drop("__k", "priority")
 
 
+def sorted_rows(rows: DataFrame, by: list[tuple[str, bool]]) -> DataFrame:
+    """Rows by several columns (name, ascending), as a table's heads are clicked; nulls last."""
+    return rows.orderBy(*[F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in by])
+
+
+def row_of(rows: DataFrame, name: str) -> DataFrame:
+    """The rows of a point by its name, as when it is clicked."""
+    return rows.filter(F.col("name") == name)
+
+
 def latex_row(*cells: Column) -> Column:
     escaped = [F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "([&%$#_{}])", r"\\$1") for c in cells]
     return F.concat(F.concat_ws(" & ", *escaped), F.lit(r" \\"))
 
 
-def latex_table(rows: DataFrame, order: str, caption: str, label: str) -> str:
-    """A table of a small frame; its rows come to the driver."""
-    body = "\n".join(r[0] for r in rows.orderBy(order).select(latex_row(*[F.col(c) for c in rows.columns])).collect())
+def latex_table(rows: DataFrame, order: str, caption: str, label: str, float_format: str | None = None) -> str:
+    """A table of a small frame; its rows come to the driver. ``float_format`` like ``%.2f`` is for columns of floating point."""
+    floats = {f.name for f in rows.schema if f.dataType.typeName() in ("double", "float")} if float_format else set()
+    cells = [F.when(F.col(c).isNotNull(), F.format_string(float_format, F.col(c).cast("double"))) if c in floats else F.col(c) for c in rows.columns]
+    body = "\n".join(r[0] for r in rows.orderBy(order).select(latex_row(*cells)).collect())
     head = " & ".join(rows.columns)
     return f"\\begin{{table}}\n\\caption{{{caption}}}\n\\label{{{label}}}\n\\begin{{tabular}}{{{'l' * len(rows.columns)}}}\n\\toprule\n{head} \\\\\n\\midrule\n{body}\n\\bottomrule\n\\end{{tabular}}\n\\end{{table}}"
 

@@ -132,14 +132,20 @@ def knn10(spark, sf):
 
 # Relaxed word-mover distance of every benchmark text to every turn
 
-WSQL = f"""
-q AS (SELECT id AS query_id, word AS input_word, cnt / sum(cnt) OVER (PARTITION BY id) AS pq, {vec_id_sql('word')} AS va FROM qbow),
-c AS (SELECT id AS concept_id, word AS lc_word, cnt / sum(cnt) OVER (PARTITION BY id) AS pc, {vec_id_sql('word')} AS vb, idf FROM cbow JOIN cidf USING (word)),
-d AS (SELECT a.vec_id AS va, b.vec_id AS vb, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM (SELECT * FROM embeddings SEMI JOIN q ON vec_id = va) a CROSS JOIN (SELECT * FROM embeddings SEMI JOIN c ON vec_id = vb) b)"""
+WORDS = f"q AS (SELECT id AS query_id, word AS input_word, cnt / sum(cnt) OVER (PARTITION BY id) AS pq, {vec_id_sql('word')} AS va FROM qbow)"
 
 
-def pairs_sql(name: str, candidates: str) -> str:
-    return f"{name} AS (SELECT query_id, concept_id, input_word, lc_word, d AS euclid, pq * pc AS weight, d * (pq * pc) AS cost, idf FROM {candidates} JOIN q USING (query_id) JOIN c USING (concept_id) JOIN d USING (va, vb))"
+def bag_sql(bag: str = "cbow", t: str = "") -> str:
+    """The words of the concepts' bags, and the distances of the queries' words to them."""
+    return f"""c{t} AS (SELECT id AS concept_id, word AS lc_word, cnt / sum(cnt) OVER (PARTITION BY id) AS pc, {vec_id_sql('word')} AS vb, idf FROM {bag} JOIN cidf USING (word)),
+d{t} AS (SELECT a.vec_id AS va, b.vec_id AS vb, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM (SELECT * FROM embeddings SEMI JOIN q ON vec_id = va) a CROSS JOIN (SELECT * FROM embeddings SEMI JOIN c{t} ON vec_id = vb) b)"""
+
+
+WSQL = f"{WORDS}, {bag_sql()}"
+
+
+def pairs_sql(name: str, candidates: str, t: str = "") -> str:
+    return f"{name} AS (SELECT query_id, concept_id, input_word, lc_word, d AS euclid, pq * pc AS weight, d * (pq * pc) AS cost, idf FROM {candidates} JOIN q USING (query_id) JOIN c{t} USING (concept_id) JOIN d{t} USING (va, vb))"
 
 
 def chosen_sql(measure: str, pairs: str) -> str:
@@ -262,20 +268,22 @@ def latex_rows(spark, sf):
     return table(spark, sf, "part").select("p_partkey", report.latex_row(F.col("p_name"), F.col("p_brand"), F.col("p_size")).alias("line"))
 
 
-def beam_sql() -> str:
-    parts, best = [f"WITH {CONV}, {QSQL}, {WSQL}"], None
+def beam_parts(t: str = "") -> tuple[list[str], str]:
+    """CTEs of a beam over the bag that ``bag_sql`` named so, and the last one's name."""
+    parts, best = [], None
     for level in range(3):
         if best is None:
             cand = "(SELECT query_id, id AS concept_id FROM (SELECT DISTINCT query_id FROM q), nodes WHERE level = 0)"
         else:
             cand = f"(SELECT DISTINCT query_id, n.id AS concept_id FROM nodes n JOIN {best} b ON n.parent_id = b.concept_id WHERE n.level = {level} AND b.measure = 'fwd' AND b.moved)"
-        scored = " UNION ALL ".join(f"SELECT query_id, '{m}' AS measure, concept_id, distance, true AS fresh FROM {wmd_sql(m, f'p{level}')} WHERE distance <= 1000" for m in search.MEASURES)
+        here = f"p{t}{level}"
+        scored = " UNION ALL ".join(f"SELECT query_id, '{m}' AS measure, concept_id, distance, true AS fresh FROM {wmd_sql(m, here)} WHERE distance <= 1000" for m in search.MEASURES)
         older = f" UNION ALL SELECT query_id, measure, concept_id, distance, false FROM {best}" if best else ""
-        parts.append(pairs_sql(f"p{level}", cand))
-        parts.append(f"b{level}a AS (SELECT *, row_number() OVER (PARTITION BY query_id, measure ORDER BY distance, fresh DESC, concept_id DESC) AS rank FROM ({scored}{older}) QUALIFY rank <= 3)")
-        parts.append(f"b{level} AS (SELECT * EXCLUDE (fresh), bool_or(fresh) OVER (PARTITION BY query_id) AS moved FROM b{level}a)")
-        best = f"b{level}"
-    return ", ".join(parts) + f" SELECT query_id, measure, rank::INT AS rank, concept_id, distance FROM {best}"
+        parts.append(pairs_sql(here, cand, t))
+        parts.append(f"b{t}{level}a AS (SELECT *, row_number() OVER (PARTITION BY query_id, measure ORDER BY distance, fresh DESC, concept_id DESC) AS rank FROM ({scored}{older}) QUALIFY rank <= 3)")
+        parts.append(f"b{t}{level} AS (SELECT * EXCLUDE (fresh), bool_or(fresh) OVER (PARTITION BY query_id) AS moved FROM b{t}{level}a)")
+        best = f"b{t}{level}"
+    return parts, best
 
 
 def beam(spark, sf):
@@ -285,7 +293,7 @@ def beam(spark, sf):
     return search.beam(q, con, tree, d, 3, written=written)
 
 
-@query("beam_search", beam_sql())
+@query("beam_search", ", ".join([f"WITH {CONV}, {QSQL}, {WSQL}", *beam_parts()[0]]) + f" SELECT query_id, measure, rank::INT AS rank, concept_id, distance FROM {beam_parts()[1]}")
 def beam_search(spark, sf):
     return beam(spark, sf)
 
@@ -293,14 +301,15 @@ def beam_search(spark, sf):
 # Propagation and diffusion
 
 
-def sweeps_sql(n: int) -> str:
-    parts, now = [f"WITH {CONV}, v0 AS (SELECT id, level, dim, value FROM ({centroid_sql('cbow')}) JOIN nodes USING (id) WHERE value IS NOT NULL)"], "v0"
+def sweeps_parts(n: int) -> tuple[list[str], str]:
+    """CTEs of so many sweeps from the centroids, and the last one's name."""
+    parts, now = [f"v0 AS (SELECT id, level, dim, value FROM ({centroid_sql('cbow')}) JOIN nodes USING (id) WHERE value IS NOT NULL)"], "v0"
     for i in range(2 * n):
         new = f"SELECT e.src AS id, t.level, v.dim, avg(v.value) AS value FROM edges e JOIN (SELECT DISTINCT id, level FROM {now} WHERE level % 2 = {i % 2}) t ON e.src = t.id JOIN {now} v ON v.id = e.dst GROUP BY 1, 2, 3"
         parts.append(f"n{i} AS ({new})")
         parts.append(f"v{i + 1} AS (SELECT * FROM n{i} UNION ALL SELECT * FROM {now} WHERE id NOT IN (SELECT id FROM n{i}))")
         now = f"v{i + 1}"
-    return ", ".join(parts) + f" SELECT id, level, dim::INT AS dim, round(value, 6) AS value FROM {now}"
+    return parts, now
 
 
 def start_values(c):
@@ -318,7 +327,7 @@ def two_sweeps(c):
     return values
 
 
-@query("propagate_2sweeps", sweeps_sql(2))
+@query("propagate_2sweeps", ", ".join([f"WITH {CONV}", *sweeps_parts(2)[0]]) + f" SELECT id, level, dim::INT AS dim, round(value, 6) AS value FROM {sweeps_parts(2)[1]}")
 def propagate_2sweeps(spark, sf):
     return long_values(two_sweeps(Conversations(spark, sf)))
 
@@ -329,10 +338,11 @@ def propagate_converged(spark, sf):
     return long_values(graph.propagate(written(start_values(c), "values"), written(c.edges, "edges"), 0.1, 30, written)[0])
 
 
-DIFFUSE = f"""WITH {CONV}, deg AS (SELECT src AS id, count(*) AS deg FROM edges GROUP BY 1),
+DIFF = """deg AS (SELECT src AS id, count(*) AS deg FROM edges GROUP BY 1),
 nb AS (SELECT id, word, s / deg AS nb FROM (SELECT src AS id, word, sum(cnt) AS s FROM edges JOIN cbow ON cbow.id = dst GROUP BY 1, 2) JOIN deg USING (id)),
 kept AS (SELECT id, word, nb FROM (SELECT *, nb / sum(nb) OVER (PARTITION BY id) AS share FROM nb) JOIN cidf USING (word) WHERE round(share * idf, 9) > 0.08),
 diff AS (SELECT id, word, CASE WHEN nb IS NULL THEN cnt ELSE (nb + coalesce(cnt, 0)) / 2 END AS cnt FROM kept FULL JOIN cbow USING (id, word))"""
+DIFFUSE = f"WITH {CONV}, {DIFF}"
 
 
 @query("diffuse_1sweep", f"{DIFFUSE} SELECT id, word, round(cnt, 6) AS cnt FROM diff")
@@ -366,19 +376,52 @@ def gold(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.expr(GOLD).alias("target"))
 
 
-@query("tree_distance", f"""WITH {CONV}, {GOLD_SQL}, p AS (SELECT query_id, id, string_split(target, '_') AS x, string_split(id, '_') AS y FROM gold, nodes WHERE level = 1), d AS (SELECT query_id, id, {DIST_SQL} AS distance FROM p)
+@query("tree_distance", f"""WITH {CONV}, {GOLD_SQL}, p AS (SELECT query_id, id, string_split(target, '_') AS x, string_split(id, '_') AS y FROM gold, nodes), d AS (SELECT query_id, id, {DIST_SQL} AS distance FROM p)
 SELECT query_id, id, distance::INT AS distance, CASE WHEN distance <= 3 THEN 3 - distance ELSE 0 END::INT AS score FROM d""")
 def tree_distance(spark, sf):
-    turns = Conversations(spark, sf).nodes.filter("level = 1").select("id")
+    """Of every gold row to every node: a stated set of queries against all."""
+    nodes = search.spread(Conversations(spark, sf).nodes.select("id"), "id")
     d = evaluate.tree_distance(F.col("target"), F.col("id"))
-    return search.small_side(gold(spark, sf)).crossJoin(turns).select("query_id", "id", d.alias("distance")).withColumn("score", evaluate.tree_score(F.col("distance")))
+    return search.small_side(gold(spark, sf)).crossJoin(nodes).select("query_id", "id", d.alias("distance")).withColumn("score", evaluate.tree_score(F.col("distance")))
+
+
+def ten_measures(spark, sf):
+    """All measures over the conversations, with vectors after two sweeps and bags after one."""
+    c = Conversations(spark, sf)
+    share = lambda bag: c.with_vec_id(stats.term_frequency(bag, "id"))
+    q = written(share(known_bag(spark, sf, c)).select(F.col("id").alias("query_id"), "word", F.col("tf").alias("p"), "vec_id"), "query-words")
+    diffused = written(graph.diffuse(c.bow.select("id", "word", "cnt"), c.edges, c.idf), "bags")
+    words = lambda bag: written(share(bag).join(c.idf.select("word", "idf"), "word").select(F.col("id").alias("concept_id"), "word", F.col("tf").alias("p"), "vec_id", "idf"), "concept-words")
+    frames = {"concept_vector": written(two_sweeps(c), "frame"), "concept_bow_meanvector": written(c.centroids(diffused).filter("vec[0] is not null"), "frame")}
+    frames = {k: v.select(F.col("id").alias("concept_id"), "vec") for k, v in frames.items()}
+    tree = written(c.nodes.select(F.col("id").alias("concept_id"), "parent_id", "level"), "tree")
+    asked = written(question_vectors(spark, sf, c).withColumnRenamed("vec", "query_vec"), "question-vectors")
+    return search.measures(q, tree, {"bow": words(c.bow), "concept_bow": words(diffused)}, c.vectors, asked, frames, 3, written)
+
+
+def measures_sql() -> str:
+    plain, plain_best = beam_parts()
+    spread, spread_best = beam_parts("x")
+    sweeps, now = sweeps_parts(2)
+    label = lambda b: "CASE measure " + " ".join(f"WHEN '{m}' THEN '{search.LABELS[m]}_{b}'" for m in search.MEASURES) + " END"
+    near = lambda v, n: f"""SELECT query_id, '{n}' AS measure, rank, concept_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, concept_id) AS rank FROM
+  (SELECT q.id AS query_id, v.id AS concept_id, round(sqrt(sum((q.value - v.value) * (q.value - v.value))), 6) AS distance FROM qv q JOIN {v} v ON q.dim = v.dim WHERE v.value IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 10"""
+    parts = [f"WITH {CONV}, {QSQL}, {QVEC}, {WSQL}", *plain, DIFF, bag_sql("diff", "x"), *spread, *sweeps, f"vb AS ({centroid_sql('diff')})"]
+    return ", ".join(parts) + f""", best AS (SELECT query_id, {label('bow')} AS measure, rank, concept_id, distance FROM {plain_best} UNION ALL SELECT query_id, {label('concept_bow')}, rank, concept_id, distance FROM {spread_best}
+UNION ALL {near(now, 'concept_vector')} UNION ALL {near('vb', 'concept_bow_meanvector')})"""
+
+
+@query("ten_measures", f"{measures_sql()} SELECT query_id, measure, rank::INT AS rank, concept_id, distance FROM best")
+def ten_measures_(spark, sf):
+    return ten_measures(spark, sf)
 
 
-@query("gold_accuracy", beam_sql().replace(" SELECT query_id, measure, rank::INT", f", {GOLD_SQL}, best AS (SELECT query_id, measure, rank::INT", 1).rstrip() + f"""),
+@query("gold_accuracy", f"""{measures_sql()}, {GOLD_SQL},
 a AS (SELECT query_id, measure, string_split(target, '_') AS x, string_split(concept_id, '_') AS y FROM gold CROSS JOIN (SELECT DISTINCT measure FROM best) LEFT JOIN (SELECT * FROM best WHERE rank = 1) USING (query_id, measure)),
 s AS (SELECT measure, CASE WHEN y IS NULL THEN 10 ELSE {DIST_SQL} END AS d FROM a) SELECT measure, round(sum(CASE WHEN d <= 3 THEN 3 - d ELSE 0 END) / count(*), 6) AS accuracy, count(*) AS n FROM s GROUP BY 1""")
 def gold_accuracy(spark, sf):
-    return evaluate.accuracy(beam(spark, sf), gold(spark, sf))
+    """All ten measures, among them the three that are reported: concept_vector, reverse_wmd_concept_bow, wmd_concept_bow."""
+    return evaluate.accuracy(ten_measures(spark, sf), gold(spark, sf))
 
 
 @query("in_database_flag", f"WITH {CONV}, {GOLD_SQL} SELECT query_id, target, target IN (SELECT id FROM nodes) AS in_database FROM gold")
@@ -587,11 +630,11 @@ def word2vec_skipgram(spark, sf):
     return train.vectors_of(train.skip_gram(corpus_tokens(spark, sf), size=32))
 
 
-@query("word_vector_lookup", f"SELECT word, len(embedding)::INT AS size, round(embedding[1]::DOUBLE, 6) AS first FROM (SELECT DISTINCT unnest({tokens_sql('text')}) AS word FROM benchmark) JOIN embeddings ON vec_id = {vec_id_sql('word')}")
+@query("word_vector_lookup", f"SELECT word, dim::INT AS dim, round(x, 6) AS value FROM (SELECT word, unnest(range(0, len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x FROM (SELECT DISTINCT unnest({tokens_sql('text')}) AS word FROM benchmark) JOIN embeddings ON vec_id = {vec_id_sql('word')})")
 def word_vector_lookup(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     words = stats.word_rows(table(spark, sf, "benchmark"), "item_id").select("word").distinct().withColumn("vec_id", word_vec_id(F.col("word"), vectors.count()))
-    return words.join(vectors, "vec_id").select("word", F.size("vec").alias("size"), F.round(F.get("vec", F.lit(0)).cast("double"), 6).alias("first"))
+    return words.join(vectors, "vec_id").select("word", F.posexplode("vec").alias("dim", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 @query("word2vec_cbow")

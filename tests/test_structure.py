@@ -123,4 +123,50 @@ def test_cbow_learns_neighbours(spark):
     texts = [(["a", "x", "b"],), (["c", "y", "d"],)] * 60
     tokens = spark.createDataFrame(texts, "tokens array<string>").repartition(2)
     words = tokens.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
-    assert train.cbow(tokens, words, size=8, epochs=2).count() == 6
+    losses = []
+    assert train.cbow(tokens, words, size=8, epochs=3, losses=losses).count() == 6
+    assert len(losses) == 3 and losses[2] < losses[0]
+
+
+def test_skip_gram_is_saved_and_loaded(spark, tmp_path):
+    from conceptweave.operators import train
+
+    tokens = spark.createDataFrame([(["hund", "kat", "fugl"],)] * 20, "tokens array<string>")
+    model = train.skip_gram(tokens, size=4, partitions=2)
+    train.save_model(model, f"{tmp_path}/model")
+    again = {r.word: list(r.vec) for r in train.vectors_of(train.load_model(f"{tmp_path}/model")).collect()}
+    assert again == {r.word: list(r.vec) for r in train.vectors_of(model).collect()} and set(again) == {"hund", "kat", "fugl"}
+    assert train.vector_of(train.vectors_of(model), ["kat"]).first()["size"] == 4
+
+
+def test_word_lists_vectors_and_sinks(spark, tmp_path):
+    (tmp_path / "stop.txt").write_text("og\n\n i \n")
+    assert files.stopwords(spark, f"{tmp_path}/stop.txt") == ["og", "i"]
+    (tmp_path / "vec.txt").write_text("2 3\nhund 1 2 3.5\nkat 0 -1 2\n")
+    assert {r.word: list(r.vec) for r in files.word_vectors_text(spark, f"{tmp_path}/vec.txt").collect()} == {"hund": [1.0, 2.0, 3.5], "kat": [0.0, -1.0, 2.0]}
+    rows = spark.createDataFrame([(1, "m", 'a "b", c'), (2, "n", "d")], "query_id long, measure string, concept_id string")
+    files.write_results(rows, f"{tmp_path}/results")
+    assert spark.read.parquet(f"{tmp_path}/results/measure=m").count() == 1
+    files.write_csv(rows, f"{tmp_path}/csv")
+    assert spark.read.csv(f"{tmp_path}/csv", header=True, quote='"', escape='"').filter("query_id = 1").first().concept_id == 'a "b", c'
+    (tmp_path / "corpus").mkdir()
+    (tmp_path / "corpus" / "one.txt").write_text("et\n")
+    (tmp_path / "corpus" / "two.txt").write_text("to\n")
+    done = spark.createDataFrame([("one.txt",)], "file string")
+    assert [r.file for r in files.text_corpus(spark, f"{tmp_path}/corpus", done).collect()] == ["two.txt"]
+    for _ in range(2):  # a repeated job adds nothing
+        files.write_clean_text(files.text_corpus(spark, f"{tmp_path}/corpus"), f"{tmp_path}/clean")
+    assert spark.read.text(f"{tmp_path}/clean").count() == 2
+
+
+def test_reports(spark):
+    from conceptweave.operators import report
+
+    rows = spark.createDataFrame([("b_1", 1.234, 2), ("a&b", None, 1), ("c", 1.234, 1)], "name string, x double, n int")
+    assert [r.name for r in report.sorted_rows(rows, [("x", False), ("n", True)]).collect()] == ["c", "b_1", "a&b"]
+    assert report.row_of(rows, "c").count() == 1
+    text = report.latex_table(rows, "name", "En", "tab:en", "%.2f")
+    assert r"a\&b &  & 1 \\" in text and r"b\_1 & 1.23 & 2 \\" in text and text.startswith("\\begin{table}")
+    points = spark.createDataFrame([(1, "input", "input", 0.0), (1, "near", "word", 1.0), (1, "far", "word", 3.0)], "query_id long, name string, point_type string, distance double")
+    at = {r.name: (r.x**2 + r.y**2) ** 0.5 for r in report.layout(points).collect()}
+    assert abs(at["input"]) < 1e-9 and abs(at["near"] - 1) < 1e-9 and abs(at["far"] - 3) < 1e-9
