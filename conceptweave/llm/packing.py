@@ -7,8 +7,8 @@ padding. What is still open when a partition ends is written as leftovers; round
 pack the leftovers again by the same rule until one task is left; its last open windows are merged into one another, and
 only the very last is padded.
 
-Each level is written to the shared folder before the next one reads it: a lost executor repeats a task over the same
-file splits, and what other tasks packed stays as it is.
+Each level is written to the shared folder before the next one reads it, its leftovers apart from its full windows, so that the next
+level reads only leftovers: a lost executor repeats a task over the same file splits, and what other tasks packed stays as it is.
 
 Defined results: a null or empty text is a document of the single end id; repeated rows are packed as rows of their own
 under the same id; a null id is kept; an empty table gives no pieces; further input columns are ignored. A text of any
@@ -18,11 +18,12 @@ length is cut at window ends.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from unicodedata import normalize
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, keyed, tidy
@@ -147,6 +148,18 @@ def _tokenizer(path: str | None) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
+@contextmanager
+def two_writers(spark: SparkSession) -> Iterator[None]:
+    """Tasks write both folders of a table at once, for which they would else sort all their rows."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def pack(docs: DataFrame, size: int = 4096, open_windows: int = 16, end_id: int = 2, tokenizer_path: str | None = None, fan_in: int = 64, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Pieces (doc_id, start, doc_tokens, sequence_id, offset, length, ids) of all documents, ids as unsigned 32-bit bytes.
 
@@ -169,11 +182,18 @@ def pack(docs: DataFrame, size: int = 4096, open_windows: int = 16, end_id: int
 
         yield from _batches(rows())
 
-    keyed(docs, id_col, text_col).mapInArrow(lambda batches: tidy(first(batches)), PIECES_SQL).write.option("compression", "zstd").parquet(f"{path}/level=0")
+    def write(packed: DataFrame, level: int) -> None:
+        with two_writers(spark):
+            packed.write.option("compression", "zstd").partitionBy("leftover").parquet(f"{path}/level={level}")
+
+    def read(*levels: int) -> DataFrame:
+        return spark.read.schema(f"{PIECES_SQL}, level int").option("basePath", path).parquet(*[f"{path}/level={i}" for i in levels])
+
+    write(keyed(docs, id_col, text_col).mapInArrow(lambda batches: tidy(first(batches)), PIECES_SQL), 0)
     level = 0
-    parts = spark.read.parquet(f"{path}/level=0").rdd.getNumPartitions()
+    parts = read(0).filter("leftover").rdd.getNumPartitions()
     while True:
-        below = spark.read.schema(PIECES_SQL).parquet(f"{path}/level={level}").filter("leftover")
+        below = read(level).filter("leftover").select(*PIECES.names)
         parts, level = -(-max(parts, 1) // fan_in), level + 1
         last = parts == 1
 
@@ -193,11 +213,10 @@ def pack(docs: DataFrame, size: int = 4096, open_windows: int = 16, end_id: int
 
             yield from _batches(rows())
 
-        below.coalesce(parts).mapInArrow(merge, PIECES_SQL).write.option("compression", "zstd").parquet(f"{path}/level={level}")
+        write(below.coalesce(parts).mapInArrow(merge, PIECES_SQL), level)
         if last:
             break
-    paths = [f"{path}/level={i}" for i in range(level + 1)]
-    return spark.read.schema(PIECES_SQL).parquet(*paths).filter("not leftover").drop("leftover")
+    return read(*range(level + 1)).filter("not leftover").drop("leftover", "level")
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
