@@ -46,33 +46,43 @@ class WordTokenizer:
         self.tok, self.cache_words, self.cache = Tokenizer.from_file(path), cache_words, {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = (c for c in range(256) if c not in set(printable))
+        self.ids4 = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
+        self.marks: dict[bytes, bytes] = {}
         self.byte_chars = {c: chr(c) for c in printable} | {c: chr(256 + i) for i, c in enumerate(other)}
 
     def _word(self, word: bytes) -> bytes:
+        body, mark = (word[:-1], word[-1:]) if word[-1:] in (b",", b".") and word[-2:-1].isalpha() else (word, b"")  # a mark alone after a letter is a token of its own
+        if body.isalpha() and body.islower():
+            return (self.cache.get(body) or self._letters(body.decode())) + self._mark(mark)
         text = word.decode()
-        low = text.lower() if text.isascii() else "".join(map(str.lower, normalize("NFC", text)))  # words of texts with "<|" come with their capitals
-        body, mark = (low[:-1], low[-1]) if len(low) > 1 and low[-1] in ".," and low[-2].isalpha() else (low, "")  # a mark alone after a letter is a token of its own
-        if body.isascii() and body.isalpha() and body.islower():
-            return self._letters(body) + self._letters(mark)
-        if body.isalpha():
-            return self._letters(body.encode().decode("latin-1").translate(self.byte_chars)) + self._letters(mark)
-        return b"".join(i.to_bytes(4, "little") for i in self.tok.encode(text, add_special_tokens=False).ids)
+        low = text.lower() if text.isascii() else "".join(map(str.lower, normalize("NFC", text)))  # the words that hold "<|" come with their capitals
+        body, mark = (low[:-1], low[-1]) if len(low) > 1 and low[-1] in ".," and low[-2].isalpha() else (low, "")
+        if body.isalpha() and not body.isascii():
+            return self._letters(body.encode().decode("latin-1").translate(self.byte_chars)) + self._mark(mark.encode())
+        return b"".join([self.ids4[i] for i in self.tok.encode(text, add_special_tokens=False).ids])
+
+    def _mark(self, mark: bytes) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self._letters(mark.decode())
+        return self.marks[mark]
 
     def _letters(self, text: str) -> bytes:
-        return b"".join(t.id.to_bytes(4, "little") for t in self.tok.model.tokenize(text)) if text else b""
+        ids4 = self.ids4
+        return b"".join([ids4[t.id] for t in self.tok.model.tokenize(text)]) if text else b""
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         raw = text.encode()
-        words = (raw if b"<|" in raw else raw.lower()).split()
+        words = [w if b"<|" in w else w.lower() for w in raw.split()] if b"<|" in raw else raw.lower().split()
         cache = self.cache
         new = {w for w in words if w not in cache}
         if new:
             if len(cache) + len(new) > self.cache_words:
                 cache.clear()
                 new = set(words)
-            cache.update((w, self._word(w)) for w in new)
+            for w in new:
+                cache[w] = self._word(w)
         return b"".join(map(cache.__getitem__, words))
 
 
