@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_distance, weighted_vectors
+from ..tables import drop
 
 
 def concept_id(name: Column, parents: Column) -> Column:
@@ -69,17 +70,20 @@ def propagate(values: DataFrame, edges: DataFrame, threshold: float, max_sweeps:
     that need not follow one another, and at two the node is frozen. ``written(df, name)`` stores a table in a shared folder
     and returns it read back, so that lineage does not grow. Also a report a sweep: how many nodes are still active, the largest move.
     """
-    active, report = values.select("id").distinct().withColumn("stable", F.lit(0)), []
+    active, report, own = values.select("id").distinct().withColumn("stable", F.lit(0)), [], []
     for sweep in range(max_sweeps):
         before = values
         for parity in (0, 1):
             values = written(half_sweep(values, edges, parity, active, digits), "sweep")
+            own.append(values)
         if sweep == 0:
             continue
         moved = values.join(before.select("id", F.col("vec").alias("__old")), "id").select("id", l2_distance(F.col("vec"), F.col("__old")).alias("d"))
         active = written(active.join(moved, "id").select("id", (F.col("stable") + (F.col("d") < threshold).cast("int")).alias("stable"), "d").filter("stable < 2"), "active")
         n, most = active.agg(F.count("*"), F.max("d")).first()
         report.append({"sweep": sweep + 1, "active": n, "largest_move": most})
+        drop(*[t for t in own if t is not values])  # nothing reads what came before
+        own = [values, active]
         active = active.drop("d")
         if not n:
             break
@@ -111,7 +115,9 @@ def diffuse_all(bow: DataFrame, edges: DataFrame, idf: DataFrame, max_sweeps: in
         after = written(bow.join(active.select("id"), "id", "left_anti").select("id", "word", "cnt").unionByName(new.select("id", "word", "cnt")), "bags")
         same = active.join(size(bow), "id", "left").join(size(after).withColumnRenamed("n", "m"), "id", "left")
         same = same.select("id", (F.col("unchanged") + (F.coalesce("n", F.lit(0)) == F.coalesce("m", F.lit(0))).cast("int")).alias("unchanged"))
-        active, bow = written(same.filter("unchanged < 2"), "active"), after
+        left = written(same.filter("unchanged < 2"), "active")
+        drop(active, bow)
+        active, bow = left, after
         n = active.count()
         report.append({"sweep": sweep + 1, "active": n})
         if not n:

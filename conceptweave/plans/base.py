@@ -89,9 +89,9 @@ class Conversations:
         self.vocabulary = counts.groupBy("word").agg(F.sum("cnt").alias("cnt")).filter("cnt >= 2")
         self.leaves = written(stats.in_vocabulary(counts, self.vocabulary), "leaves")
         self.nodes = written(self.nodes, "nodes")
-        self.bow = stats.roll_up(self.leaves, graph.ancestors(self.nodes))
+        self.bow = written(stats.roll_up(self.leaves, graph.ancestors(self.nodes)), "bags")
         self.n = self.nodes.filter("level = 2").count()
-        self.idf = stats.inverse_frequency(stats.document_frequency(self.leaves), self.n)
+        self.idf = written(stats.inverse_frequency(stats.document_frequency(self.leaves), self.n), "idf")
         self.vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
         self.n_vectors = self.vectors.count()
 
