@@ -10,7 +10,8 @@ document is a candidate for an item if one bin agrees. Items with fewer than ``e
 among all shingles instead. Candidates are verified on the shingles' words: those that hold at least ``threshold`` of an item's different
 shingles are returned. With n shingles held, all bins miss at most e^-n of the time (16 held: 1e-7).
 
-Narrow rows of the item side are broadcast up to ``BROADCAST_ROWS``, which are counted first; beyond, they are joined by a shuffle.
+While the items have at most ``SET_HASHES`` different hashes, documents that hold none of them are left out before anything is sorted: they
+can be no candidates. Narrow rows of the item side are broadcast up to ``BROADCAST_ROWS``, which are counted first; beyond, they are joined by a shuffle.
 
 Defined results: a text without a word, or null, takes part in no pair, nor does a document of fewer words than an item's shingle has; rows
 that repeat an id give a pair once, with the largest containment; null ids take part; empty tables give no pairs. Further columns
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import few, keyed, let, written
 
 BROADCAST_ROWS = 500_000
+SET_HASHES = 20_000
 SHINGLE = 5
 
 
@@ -33,10 +35,10 @@ def words(text: Column) -> Column:
 
 
 def shingle_hashes(w: Column, size: int = SHINGLE) -> Column:
-    """64-bit hashes in order, repeated ones too; empty for fewer words than a shingle has."""
+    """64-bit hashes in the order of the text, repeated ones too; empty for fewer words than a shingle has."""
     n = F.size(w)
     hashes = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))
-    return F.when(n >= size, F.sort_array(hashes)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= size, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
 def shingle_texts(w: Column, size: int = SHINGLE) -> Column:
@@ -73,23 +75,27 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: tuple[int, int] =
     docs = keyed(docs, id_col, text_col)
     items = items.select(F.col(item_id).alias("item_id"), words(F.col(item_text).cast("string")).alias("w")).filter(F.size("w") > 0)
     whole = items.filter(F.size("w") >= SHINGLE)
-    hashes = whole.select("item_id", F.array_distinct(let(F.col("w"), lambda w: shingle_hashes(w))).alias("h"))
+    hashes = whole.select("item_id", F.sort_array(F.array_distinct(let(F.col("w"), lambda w: shingle_hashes(w)))).alias("h"))
     large = written(hashes.filter(F.size("h") >= exact_below).select("item_id", F.explode(let(F.col("h"), first_bins)).alias("s")).select("item_id", "s.m", "s.first_p"), "item-sketch")
     small = written(hashes.filter(F.size("h") < exact_below).select("item_id", F.explode("h").alias("m")), "item-hashes")
     short = written(items.filter(F.size("w") < SHINGLE), "short-items")
 
     sized = docs.select("doc_id", let(words(F.col("text")), lambda w: shingle_hashes(w)).alias("h")).filter(F.size("h") > 0)
+    wanted = [r[0] for r in large.select("m").union(small.select("m")).distinct().limit(SET_HASHES + 1).collect()]
+    if len(wanted) <= SET_HASHES:
+        sized = sized.filter(F.exists("h", lambda h: h.isin(wanted)))
     sized = sized.withColumn("p", F.greatest(F.lit(1), F.ceil(F.log2(F.size("h")))).cast("int"))
-    sketch = sized.select("doc_id", "p", F.explode(let(F.col("h"), lambda h: bin_minima(h, F.col("p")))).alias("m"))
+    sketch = sized.select("doc_id", "p", F.explode(let(F.sort_array("h"), lambda h: bin_minima(h, F.col("p")))).alias("m"))
     pairs = sketch.join(few(large, BROADCAST_ROWS), "m").filter("p >= first_p").select("doc_id", "item_id")
     if small.count():
-        pairs = pairs.union(sized.select("doc_id", F.explode("h").alias("m")).join(few(small, BROADCAST_ROWS), "m").select("doc_id", "item_id"))
+        every = F.filter("h", lambda h: h.isin(wanted)) if len(wanted) <= SET_HASHES else F.col("h")
+        pairs = pairs.union(sized.select("doc_id", F.explode(every).alias("m")).join(few(small, BROADCAST_ROWS), "m").select("doc_id", "item_id"))
     candidates = written(pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("items")), "leak-candidates")
 
     hinted = few(candidates.withColumnRenamed("doc_id", "of"), BROADCAST_ROWS)
     held = docs.join(hinted, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", let(words(F.col("text")), lambda w: shingle_texts(w)).alias("s"), "items").select("doc_id", "s", F.explode("items").alias("item_id"))
-    wanted = whole.select("item_id", let(F.col("w"), lambda w: shingle_texts(w)).alias("t"))
-    shared = held.join(wanted, "item_id").select("doc_id", "item_id", F.size(F.array_intersect("s", "t")).cast("long").alias("n_shared"), F.size("t").cast("long").alias("n_item"))
+    own = whole.select("item_id", let(F.col("w"), lambda w: shingle_texts(w)).alias("t"))
+    shared = held.join(own, "item_id").select("doc_id", "item_id", F.size(F.array_intersect("s", "t")).cast("long").alias("n_shared"), F.size("t").cast("long").alias("n_item"))
     most, of = threshold
     shared = shared.filter(F.col("n_shared") * of >= F.col("n_item") * most)
     if short.count():
