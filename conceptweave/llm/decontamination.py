@@ -49,8 +49,12 @@ def shingle_texts(w: Column, size: int = SHINGLE) -> Column:
 
 def bin_minima(hashes: Column, p: Column) -> Column:
     """Of sorted hashes those that come first in their bin; p: as many leading bits number the bin."""
+    return F.filter(hashes, lambda h, i: first_in_bin(hashes, h, i, p))
+
+
+def first_in_bin(hashes: Column, h: Column, i: Column, p: Column) -> Column:
     bin_of = lambda h: F.call_function("shiftrightunsigned", h, (F.lit(64) - p).cast("int"))
-    return F.filter(hashes, lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get(hashes, i - 1))))
+    return (i == 0) | (bin_of(h) != bin_of(F.get(hashes, i - 1)))
 
 
 def first_bins(hashes: Column) -> Column:
@@ -76,20 +80,25 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: tuple[int, int] =
     items = items.select(F.col(item_id).alias("item_id"), words(F.col(item_text).cast("string")).alias("w")).filter(F.size("w") > 0)
     whole = items.filter(F.size("w") >= SHINGLE)
     hashes = whole.select("item_id", F.sort_array(F.array_distinct(let(F.col("w"), lambda w: shingle_hashes(w)))).alias("h"))
-    large = written(hashes.filter(F.size("h") >= exact_below).select("item_id", F.explode(let(F.col("h"), first_bins)).alias("s")).select("item_id", "s.m", "s.first_p"), "item-sketch")
-    small = written(hashes.filter(F.size("h") < exact_below).select("item_id", F.explode("h").alias("m")), "item-hashes")
+    large = hashes.filter(F.size("h") >= exact_below).select("item_id", F.explode(let(F.col("h"), first_bins)).alias("s")).select("item_id", "s.m", "s.first_p")
+    small = hashes.filter(F.size("h") < exact_below).select("item_id", F.explode("h").alias("m"), F.lit(0).alias("first_p"))  # 0: met by all hashes
+    sketch = written(large.unionByName(small), "item-sketch")
     short = written(items.filter(F.size("w") < SHINGLE), "short-items")
 
     sized = docs.select("doc_id", let(words(F.col("text")), lambda w: shingle_hashes(w)).alias("h")).filter(F.size("h") > 0)
-    wanted = [r[0] for r in large.select("m").union(small.select("m")).distinct().limit(SET_HASHES + 1).collect()]
+    everywhere = sketch.filter("first_p = 0").select("m").distinct()
+    wanted = [r[0] for r in sketch.select("m").distinct().limit(SET_HASHES + 1).collect()]
     if len(wanted) <= SET_HASHES:
         sized = sized.filter(F.exists("h", lambda h: h.isin(wanted)))
+        sought = [r[0] for r in everywhere.collect()]
+        also = lambda h: h.isin(sought) if sought else F.lit(False)
+    else:
+        any_small = everywhere.count() > 0
+        also = lambda h: F.lit(any_small)
     sized = sized.withColumn("p", F.greatest(F.lit(1), F.ceil(F.log2(F.size("h")))).cast("int"))
-    sketch = sized.select("doc_id", "p", F.explode(let(F.sort_array("h"), lambda h: bin_minima(h, F.col("p")))).alias("m"))
-    pairs = sketch.join(few(large, BROADCAST_ROWS), "m").filter("p >= first_p").select("doc_id", "item_id")
-    if small.count():
-        every = F.filter("h", lambda h: h.isin(wanted)) if len(wanted) <= SET_HASHES else F.col("h")
-        pairs = pairs.union(sized.select("doc_id", F.explode(every).alias("m")).join(few(small, BROADCAST_ROWS), "m").select("doc_id", "item_id"))
+    marked = lambda hs: F.filter(F.transform(hs, lambda h, i: F.struct(h.alias("m"), first_in_bin(hs, h, i, F.col("p")).alias("least"))), lambda x: x["least"] | also(x["m"]))
+    rows = sized.select("doc_id", "p", F.explode(let(F.sort_array("h"), marked)).alias("x")).select("doc_id", "p", "x.m", "x.least")
+    pairs = rows.join(few(sketch, BROADCAST_ROWS), "m").filter("first_p = 0 or least and p >= first_p").select("doc_id", "item_id")
     candidates = written(pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("items")), "leak-candidates")
 
     hinted = few(candidates.withColumnRenamed("doc_id", "of"), BROADCAST_ROWS)
