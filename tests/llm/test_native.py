@@ -259,8 +259,9 @@ def test_decontamination(spark, monkeypatch):
     docs.append((None, items[0][1] + " " + items[1][1]))
     b = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in items], "item_id long, text string, doc_id string, w int, item_text int")
     expected = leaks(docs + ODD, items)
-    for rows in (500_000, 0):  # by broadcast, and by shuffles
+    for rows, hashes in ((500_000, 20_000), (500_000, 0), (0, 0)):  # by a set, by broadcast, and by shuffles
         monkeypatch.setattr(decontamination, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(decontamination, "SET_HASHES", hashes)
         out = decontamination.contaminated(frame(spark, docs + ODD), b)
         assert {tuple(r) for r in out.collect()} == expected and len(expected) > 50 and any(d is None for d, *_ in expected)
     assert decontamination.contaminated(frame(spark, []), b).count() == 0
