@@ -55,7 +55,7 @@ def law_blocks(laws: DataFrame, html: str = "html") -> DataFrame:
     lov = roles(lov, LOV_ROLES).withColumns({
         "dialect": F.lit("lov"),
         "number": F.when(change, F.concat(F.replace(F.substring_index("text", ".", 1), F.lit(" "), F.lit("")), F.lit(")"))).otherwise(F.col("number")),
-        "text": F.when(change, F.regexp_replace("text", r"^[^.]*\.", "")).when(F.col("role").isin("paragraph", "stk", "item"), F.col("plain")).otherwise(F.col("text")),
+        "text": F.when(change, F.regexp_replace("text", r"^[^.]*\.\s*", "")).when(F.col("role").isin("paragraph", "stk", "item"), F.col("plain")).otherwise(F.col("text")),
     })
     read = lov.filter("role = 'paragraph'").select("doc_id").distinct()
     lov = lov.join(read, "doc_id", "left_semi")
