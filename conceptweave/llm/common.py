@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import drop, fresh_path, shared_dir, written  # noqa: F401  operators take them from here
+from ..tables import drop, drop_path, fresh_path, shared_dir, written  # noqa: F401  operators take them from here
 
 
 def few(rows: DataFrame, most: int) -> DataFrame:
