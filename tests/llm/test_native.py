@@ -1,6 +1,8 @@
 """License scans, secret scans, line dedup and decontamination against plain loops."""
 
+import collections
 import hashlib
+import itertools
 import random
 import re
 import textwrap
@@ -145,72 +147,90 @@ def test_trigram_queries_hold_for_every_match():
                 assert any(alt <= held for alt in query)
 
 
-def signed(x):
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def brute_chunks(text, window=2, divisor=1):
-    """(first, last, lines) of the chunks of two lines or more, by loops over a plain statement of the rule."""
-    import struct
-
-    import xxhash
-
-    lines = text.split("\n")
-    seen = [(i, x) for i, x in enumerate(lines) if any(c > " " for c in x)]
-    h = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for _, x in seen]
-    ends = []
-    for i in range(window, len(seen) + 1):
-        rolled = 42
-        for x in h[i - window : i]:
-            rolled = xxhash.xxh64_intdigest(struct.pack("<q", x), rolled)
-        if signed(rolled) % divisor == 0:
-            ends.append(i)
-    ranges = list(zip([0, *[e - window for e in ends]], [*[e - 1 for e in ends], len(seen)]))
-    return [(seen[a][0], seen[b - 1][0], "\n".join(x for _, x in seen[a:b])) for a, b in ranges if b - a >= 2]
-
-
-def brute_dedup(texts, window=2, divisor=1):
-    first, out = {}, []
-    order = sorted(range(len(texts)), key=lambda i: (texts[i][0] is not None, texts[i][0] or 0))
-    for i in order:
-        for place, (_, _, chunk) in enumerate(brute_chunks(texts[i][1] or "", window, divisor)):
-            first.setdefault(chunk, (texts[i], place))
-    for i, t in texts:
-        gone = set()
-        for place, (a, b, chunk) in enumerate(brute_chunks(t or "", window, divisor)):
-            if first[chunk] != ((i, t), place):
-                gone |= set(range(a, b + 1))
-        out.append((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)))
-    return out
-
-
-@pytest.mark.parametrize("window, divisor, broadcast", [(2, 1, 200_000), (2, 2, 0), (3, 2, 200_000)])
-def test_line_dedup(spark, monkeypatch, window, divisor, broadcast):
+def seen_lines(text):
+    """(place, line) of the lines that are not blank, and of these those that do not equal both before them."""
+    seen = [(i, x) for i, x in enumerate((text or "").split("\n")) if any(c > " " for c in x)]
+    return seen, [(i, x) for k, (i, x) in enumerate(seen) if not (k > 1 and seen[k - 1][1] == x == seen[k - 2][1])]
+
+
+def brute_dedup(texts):
+    """The rule by loops: stretches of repeated pairs of lines, compared as lists of lines."""
+    order = lambda i: (texts[i][0] is not None, texts[i][0] or 0)
+    pairs = collections.Counter(p for _, t in texts for p in itertools.pairwise(x for _, x in seen_lines(t)[0]))
+    chunks, gone = [], [set() for _ in texts]
+    for n, (_, t) in enumerate(texts):
+        seen, single = seen_lines(t)
+        stretch = []
+        for k, (i, x) in enumerate(seen):
+            stretch.append(i)
+            if k + 1 == len(seen) or pairs[(x, seen[k + 1][1])] < 2:
+                if len(stretch) > 1:
+                    own = [(i, x) for i, x in single if stretch[0] <= i <= stretch[-1]]
+                    chunks.append((n, stretch[0], stretch[-1], tuple(x for _, x in own)))
+                    gone[n] |= {i for i, _ in seen if stretch[0] <= i <= stretch[-1]} - {i for i, _ in own}
+                stretch = []
+    inside = lambda a, b: len(a) < len(b) and any(b[k : k + len(a)] == a for k in range(len(b) - len(a) + 1))
+    kinds = sorted({c[3] for c in chunks})
+    kept = {}
+    for c in sorted(chunks, key=lambda c: (order(c[0]), c[1])):
+        kept.setdefault(c[3], (texts[c[0]], c[1]))
+    for n, a, b, lines in chunks:
+        if kept[lines] != (texts[n], a) or any(inside(lines, k) for k in kinds):
+            gone[n] |= set(range(a, b + 1))
+    return [(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[n])) for n, (i, t) in enumerate(texts)]
+
+
+def passages(texts, most=7):
+    """How often each passage of two lines or more stands somewhere in one piece."""
+    rows = [tuple(x for _, x in seen_lines(t)[1]) for _, t in texts]
+    return collections.Counter(r[a:b] for r in rows for a in range(len(r)) for b in range(a + 2, min(len(r), a + most) + 1))
+
+
+def deduped(spark, texts):
+    return sorted(map(str, ((r.doc_id, r.text) for r in linededup.dedup_lines(frame(spark, texts)).collect())))
+
+
+@pytest.mark.parametrize("lines, top, broadcast", [(12, 14, 200_000), (3, 1, 0), (5, 2, 200_000), (30, 14, 0)])
+def test_line_dedup(spark, monkeypatch, lines, top, broadcast):
     monkeypatch.setattr(linededup, "BROADCAST_ROWS", broadcast)
-    rng = random.Random(2)
-    pool = [f"line {i} " + "w" * rng.randrange(60) for i in range(12)] + ["", " ", "\t"]
-    texts = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for i in range(100, 260)] + ODD + [(7, "\n\n"), (8, "a\r\nb")]
-    out = linededup.dedup_lines(frame(spark, texts), window, divisor)
-    expected = brute_dedup(texts, window, divisor)
-    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, expected)) and "label" in out.columns
+    monkeypatch.setattr(linededup, "TOP", top)
+    rng = random.Random(lines)
+    pool = [f"line {i} " + "w" * rng.randrange(60) for i in range(lines)] + ["", " ", "\t"]
+    texts = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))) for i in range(100, 220)] + ODD + [(7, "\n\n"), (8, "a\r\nb")]
+    long = [f"own {i}" for i in range(40)]
+    texts += [(300 + k, "\n".join(long[:k] + ["changed"] + long[k + 1 :])) for k in range(0, 40, 3)] + [(400 + k, "\n".join(long[k : 2 * k])) for k in range(2, 20)]
+    expected = brute_dedup(texts)
+    assert deduped(spark, texts) == sorted(map(str, expected))
     assert any(len(e or "") < len(t or "") for (_, t), (_, e) in zip(texts, expected))
+    before, after = passages(texts), passages(expected)
+    assert not [p for p, n in before.items() if n > 1 and not after[p]]  # what was repeated is still somewhere in one piece
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_kept_copies_stay_whole(spark):
+    left = lambda texts: {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, list(enumerate(texts)))).collect()}
+    assert left(["x\ny", "x\ny\nz", "y\nz"]) == {0: "", 1: "x\ny\nz", 2: ""}
+    assert left(["a\na\na", "a\na"]) == {0: "a\na", 1: ""}
+    assert left(["a\nb", "b\nc", "a\nb\nc", "x\na\n\nb\nc\ny"]) == {0: "", 1: "", 2: "a\nb\nc", 3: "x\ny"}
+    assert left(["p\nq\nr", "q\nr\ns", "p\nq", "r\ns"]) == {0: "p\nq\nr", 1: "q\nr\ns", 2: "", 3: ""}
+
+
 def test_passages_of_two_lines_are_found_wherever_they_stand(spark):
     passage = ["one line of a passage", "and its other line"]
     texts = [(i, "\n".join([f"before {i}"] * (i % 3) + passage + [f"after {i}"] * (i % 2))) for i in range(1, 7)]
     left = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, texts)).collect()}
     assert left[1] == texts[0][1] and all(passage[0] not in left[i] and passage[1] not in left[i] for i in range(2, 7))
-    assert left[2] == "before 2"  # its second copy of the line is none of two lines together
+    assert left[2] == "before 2\nbefore 2"  # a pair of lines that occurs once
 
 
 def test_texts_of_colliding_digests_are_told_apart(spark, monkeypatch):
-    """With one digest for all chunks the comparison of bytes alone decides."""
+    """With one digest for all, nothing is removed; with one hash for all windows, the comparison of bytes alone decides what is a part."""
+    texts = [(1, "a\nb"), (2, "c\nd"), (3, "a\nb"), (4, "c\nd\ne"), (5, "c\nd\ne")]
+    assert deduped(spark, texts) == sorted(map(str, [(1, "a\nb"), (2, ""), (3, ""), (4, "c\nd\ne"), (5, "")]))
+    monkeypatch.setattr(linededup, "window_hashes", lambda lines: linededup.F.transform(linededup.F.sequence(linededup.F.lit(0), linededup.F.lit(14)), lambda k: linededup.F.transform(lines, lambda x: linededup.F.lit(1).cast("long"))))
+    assert not {r.text for r in linededup.dedup_lines(frame(spark, texts)).collect()} & {"d", "e", "b"}
     monkeypatch.setattr(linededup.F, "xxhash64", lambda *c: linededup.F.lit(1).cast("long"))
-    texts = [(1, "a\nb"), (2, "c\nd"), (3, "a\nb"), (4, "c\nd\ne")]
-    left = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, texts)).collect()}
-    assert left == {1: "a\nb", 2: "c\nd", 3: "", 4: "e"}
+    assert deduped(spark, [(1, "a\nb"), (2, "c\nd"), (3, "a\nb")]) == sorted(map(str, [(1, "a\nb"), (2, "c\nd"), (3, "a\nb")]))
 
 
 def test_many_lines_in_one_text(spark):
@@ -219,7 +239,7 @@ def test_many_lines_in_one_text(spark):
     text = "\n".join(f"line {i % 60_000}" for i in range(100_000))
     start = time.perf_counter()
     row = linededup.dedup_lines(frame(spark, [(1, text)])).first()
-    assert row.text == "\n".join(f"line {i}" for i in range(60_000)) and row.n_chunks == 99_999
+    assert row.text == "\n".join(f"line {i}" for i in range(60_000)) and (row.n_chunks, row.n_removed, row.n_cut) == (2, 1, 40_000)
     assert time.perf_counter() - start < 60
 
 
