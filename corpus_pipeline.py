@@ -42,8 +42,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated chunks of lines out; documents of which only blank lines are left go.
 
     Null texts stay. Rows that repeat an id and text keep the same lines. A column n_chars follows the text where there is one."""
-    done = dedup_lines(docs, made=("__chunks", "__removed"))
-    changed = F.size("__removed") > 0
+    done = dedup_lines(docs, made=("__chunks", "__removed", "__lines"))
+    changed = F.col("__lines") > 0
     done = done.filter(~changed | F.rlike("text", F.lit(VISIBLE)))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
