@@ -24,15 +24,28 @@ from .common import keyed
 #: After "copyright", these words go on with a sentence of a licence; before other words it is a notice.
 IN_SENTENCES = "notices?|holders?|owners?|laws?|licen[cs]es?|statements?|interests?|disclaimers?|infringements?|treat(?:y|ies)|protection|and|or|in|of|on|is|are|to|for"
 
-#: Spellings that licence matching treats as equal.
-SPELLINGS = [
-    ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"),
-    ("cancelled", "canceled"), ("catalogue", "catalog"), ("categorise", "categorize"), ("centre", "center"), ("emphasised", "emphasized"), ("favour", "favor"), ("favourite", "favorite"),
-    ("fulfil", "fulfill"), ("fulfilment", "fulfillment"), ("https", "http"), ("initialise", "initialize"), ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"),
-    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("licencing", "licensing"), ("maximise", "maximize"), ("modelled", "modeled"), ("modelling", "modeling"), ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"),
-    ("organise", "organize"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("sublicence", "sublicense"),
-    ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
+#: Words that licence matching treats as equal.
+WORDS = [
+    ("acknowledgement", "acknowledgment"), ("acknowledgements", "acknowledgments"), ("analogue", "analog"), ("analyse", "analyze"), ("analysed", "analyzed"), ("artefact", "artifact"), ("artefacts", "artifacts"),
+    ("cancelled", "canceled"), ("catalogue", "catalog"), ("centre", "center"), ("defence", "defense"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"), ("fulfils", "fulfills"), ("https", "http"), ("judgement", "judgment"),
+    ("judgements", "judgments"), ("labelled", "labeled"), ("labelling", "labeling"), ("modelled", "modeled"), ("modelling", "modeling"), ("offence", "offense"), ("offences", "offenses"), ("practise", "practice"), ("practised", "practiced"),
+    ("programme", "program"), ("programmes", "programs"), ("signalling", "signaling"), ("whilst", "while"), ("wilful", "willful"), ("wilfully", "willfully"),
 ]
+#: Stems and the endings that turn both spellings of them into words.
+STEMS = [
+    (["licenc", "sublicenc", "relicenc", "unlicenc"], "licenc", "licens", ["e", "es", "ed", "ing", "ee", "ees", "er", "ers", "eable", "able"]),
+    (["authoris", "capitalis", "categoris", "characteris", "customis", "emphasis", "finalis", "generalis", "initialis", "localis", "maximis", "minimis", "normalis", "optimis", "organis", "realis", "recognis", "specialis", "standardis", "summaris", "synchronis", "utilis"], "is", "iz", ["e", "ed", "er", "ers", "ing", "ation", "ations", "able"]),
+    (["behaviour", "colour", "endeavour", "favour", "honour", "labour"], "our", "or", ["", "s", "ed", "ing", "able", "ite", "ites", "al"]),
+]
+
+
+def spellings() -> list[tuple[str, str]]:
+    """The words, and those that stems and endings give, each with the spelling it is replaced by."""
+    made = [(stem + end, stem[: len(stem) - len(a)] + b + end) for stems, a, b, ends in STEMS for stem in stems for end in ends]
+    return WORDS + made
+
+
+SPELLINGS = spellings()
 
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
@@ -78,8 +91,8 @@ DIGESTS: list[tuple[str, str, str]] = [
     ("Apache-2.0", "Apache License Version", "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2"),
     ("Artistic-1.0-Perl", "The Artistic License", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
     ("CC0-1.0", "Creative Commons Legal", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
-    ("GFDL-1.2", "GNU Free Documentation", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
-    ("GFDL-1.3", "GNU Free Documentation", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GFDL-1.2", "GNU Free Documentation", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", "GNU Free Documentation", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
     ("GPL-1.0", "GNU GENERAL PUBLIC", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
     ("GPL-2.0", "GNU GENERAL PUBLIC", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
     ("GPL-3.0", "GNU GENERAL PUBLIC", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),

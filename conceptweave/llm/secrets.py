@@ -55,7 +55,7 @@ MOST = 64
 
 
 #: One element of an expression and its count: a class, a group's beginning, an escape or a plain sign.
-_ATOM = re.compile(r"(?P<set>\[\^?\]?(?:\\.|[^\]\\])*\])|(?P<open>\((?:\?:)?)|\\x(?P<hex>[0-9a-fA-F]{2})|\\(?P<esc>.)|(?P<any>[.^$])|(?P<plain>[^\\()|\[])", re.S)
+_ATOM = re.compile(r"(?P<set>\[\^?\]?(?:\\.|[^\]\\\[])*\])|(?P<open>\((?:\?:)?)|\\x(?P<hex>[0-9a-fA-F]{2})|\\(?P<esc>[dDwWsSbBhHvVAzZnrtf1-9]|[^0-9A-Za-z])|(?P<any>[.^$])|(?P<plain>[^\\()|\[\]{}?*+])", re.S)
 _COUNT = re.compile(r"(?:([?*+])|\{(\d+)(,?)(\d*)\})[?+]?")
 
 
@@ -70,6 +70,9 @@ def _members(body: str) -> set[str] | None:
 class _Walk:
     """What any match of an expression must hold, found while it is read from left to right.
 
+    What it does not understand for sure (unclosed or unopened groups, counts like ``{,3}``, class intersections and nested classes, other
+    groups than plain ones, other escapes than common ones) is a ValueError: a rule never loses matches by being misread.
+
     ``expression`` gives (texts, query): all strings the expression can match, if they are few, else None and the query of any match.
     """
 
@@ -107,8 +110,12 @@ class _Walk:
             if self.text[self.at : self.at + 1] == "?":
                 raise ValueError(f"groups of this kind are not understood: {self.text}")
             texts, query = self.expression()
-            self.at += 1  # the closing sign
+            if self.text[self.at : self.at + 1] != ")":
+                raise ValueError(f"a group is not closed: {self.text}")
+            self.at += 1
         elif m["set"]:
+            if "&&" in m["set"]:
+                raise ValueError(f"intersections of classes are not understood: {self.text}")
             texts = _members(m["set"])
         elif m["hex"]:
             texts = {chr(int(m["hex"], 16))}
@@ -147,7 +154,10 @@ def required(texts: set[str]) -> Query | None:
 
 def trigram_query(pattern: str) -> Query | None:
     """Alternatives of trigrams that must occur together, or None where a match may hold no trigram for sure."""
-    texts, query = _Walk(pattern).expression()
+    walk = _Walk(pattern)
+    texts, query = walk.expression()
+    if walk.at < len(pattern):
+        raise ValueError(f"a group is not opened: {pattern}")
     query = required(texts) if texts is not None else query
     return query and [a for a in query if not any(b < a for b in query)]  # an alternative that asks for more than another adds nothing
 

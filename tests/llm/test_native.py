@@ -65,6 +65,24 @@ def test_long_licenses_by_digest(spark):
     assert len({d for _, _, d in licenses.DIGESTS}) == len(licenses.DIGESTS)
 
 
+def test_every_known_license_in_british_spelling(spark):
+    """Each word that has another spelling is put into it; short texts and all long ones that are here keep their licences."""
+    import os
+
+    british = {b: a for a, b in licenses.SPELLINGS[::-1]}
+    turned = lambda t: re.sub(r"[A-Za-z]+", lambda m: british.get(m[0].lower(), m[0]), t)
+    texts = [t for _, t in licenses.LICENSES]
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    here = [f for f in names if os.path.exists(f"{folder}/{f}")]
+    texts += [open(f"{folder}/{f}", encoding="utf-8", errors="replace").read() for f in here]
+    found = {r.doc_id: r.license_id for r in licenses.scan_licenses(frame(spark, [(i, x) for i, t in enumerate(texts) for x in (t,)] + [(10_000 + i, turned(t)) for i, t in enumerate(texts)])).collect()}
+    expected = [i for i, _ in licenses.LICENSES] + [names[f] for f in here]
+    assert [found[i] for i in range(len(texts))] == expected == [found[10_000 + i] for i in range(len(texts))]
+    words = dict(licenses.SPELLINGS)
+    assert not set(words) & set(words.values()) and {"licencee", "licencees", "sublicences", "sublicenced", "sublicencing", "authorised"} <= set(words)
+
+
 def test_sql_agrees_on_planted_rows(spark, tmp_path):
     """The SQL of the native operators and of the WARC store on rows that the given tables lack."""
     import duckdb
@@ -135,7 +153,7 @@ def test_trigram_queries_hold_for_every_match():
     assert secrets.trigram_query("[0-9a-f]+") is None
     assert set(secrets.trigram_query("abc?d[0-9]+xyz")) == {frozenset({"abd", "xyz"}), frozenset({"abc", "bcd", "xyz"})}
     assert secrets.trigram_query("a(?:bc|de){2}f") is None and secrets.trigram_query(r"x\x2ey[.]z") == [frozenset({"x.y", ".y.", "y.z"})]
-    for pattern in ("(?=a)b", "(?i)abc", "a("):
+    for pattern in ("(?=a)b", "(?i)abc", "a(", "(abc", "abc)def", "abc{,3}", "[a&&b]cd", "[a[bc]]def", "abc**", "*abc", r"\Qa|b\E", r"\u0041bc", r"\p{L}abc", r"\x{41}bc", "abc\\", "[abc"):
         with pytest.raises(ValueError):
             secrets.trigram_query(pattern)
     assert secrets.trigram_query("(foo|ba)") is None and secrets.trigram_query("(foo)*bar") == [frozenset({"bar"})]
