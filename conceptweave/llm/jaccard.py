@@ -8,7 +8,7 @@ sketch's errors, which therefore change only the speed. Two sets as similar as a
 2. In each bucket the row with the hash nearest to its front is the pivot. Rows whose size and position allow a link with the
    pivot give group pairs, which are expanded to members (as are groups in themselves) and verified on the whole sets. Linked
    documents get a common class label.
-3. Buckets that still hold different labels are joined with themselves: of the pairs that size and position allow, those in
+3. Buckets that still hold different labels are joined with themselves, by the parts they were split into: of the pairs that size and position allow, those in
    different classes that were not verified yet are verified now. Pairs within one class need no test, as they can't
    change it. So all links that matter are found, and a large group of near copies costs a star, not all its pairs.
 
@@ -262,12 +262,14 @@ def classes(docs: DataFrame, similar: tuple[int, int] = (85, 100), size: int = 4
     labels = written(connected(links), "labels")
     labelled = members.join(labels, F.col("m") == F.col("id"), "left").select("g", "m", F.coalesce("label", "m").alias("label"))
     of_group = written(labelled.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")), "group-labels")
-    marked = shared.select("token", "pos", "n", "g").join(of_group, "g")
-    mixed = marked.groupBy("token").agg(F.min("lo").alias("t_lo"), F.max("hi").alias("t_hi")).filter("t_lo <> t_hi").select("token")
-    left = marked.join(mixed, "token")
-    right = left.select("token", *[F.col(c).alias(f"{c}2") for c in ("pos", "n", "g", "lo", "hi")])
+    marked = shared.select("token", "part", "pos", "n", "g").join(of_group, "g")
+    mixed = marked.groupBy("token").agg(F.min("lo").alias("t_lo"), F.max("hi").alias("t_hi"), (F.max("part") + 1).alias("parts")).filter("t_lo <> t_hi").select("token", "parts")
+    # Parts of a split bucket meet two by two, each two (one, two) in a place of their own: a row goes to all that its part is one of.
+    placed = marked.join(mixed, "token").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"one": F.least("part", "with"), "two": F.greatest("part", "with")})
+    left = placed.filter("part = one")
+    right = placed.filter("part = two").select("token", "one", "two", *[F.col(c).alias(f"{c}2") for c in ("pos", "n", "g", "lo", "hi")])
     differ = ~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2")))
-    group_pairs = left.join(right, "token").filter(F.col("g") < F.col("g2")).filter(differ & possible("n", "pos", "n2", "pos2")).select("g", "g2").distinct()
+    group_pairs = left.join(right, ["token", "one", "two"]).filter("one < two or g < g2").filter(differ & possible("n", "pos", "n2", "pos2")).select("g", "g2").distinct()
     own = of_group.filter("lo <> hi and k > 1").select("g", F.col("g").alias("g2"))
     one, two = labelled.select("g", F.col("m").alias("a"), F.col("label").alias("la")), labelled.select(F.col("g").alias("g2"), F.col("m").alias("b"), F.col("label").alias("lb"))
     rest = group_pairs.union(own).join(one, "g").join(two, "g2").filter("a <> b and la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
