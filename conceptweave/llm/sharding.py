@@ -45,11 +45,12 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return order
 
 
-def buckets_of(keyed: DataFrame, n_shards: int, bucket_bytes: int) -> tuple[Column, int]:
-    """How many buckets the shard of a row has, from the bytes of each shard, and how many there are. ``keyed``: (shard, size)."""
+def buckets_of(keyed: DataFrame, n_shards: int, bucket_bytes: int) -> tuple[Column, Column, int]:
+    """How many buckets the shard of a row has, from the bytes of each shard, the number of its first one, and how many there are. ``keyed``: (shard, size)."""
     total = dict(keyed.groupBy("shard").agg(F.sum("size")).collect())  # a row a shard
     counts = [max(1, -(-total.get(i, 0) // bucket_bytes)) for i in range(n_shards)]
-    return F.get(F.lit(counts), F.col("shard")).cast("long"), sum(counts)
+    firsts = [sum(counts[:i]) for i in range(n_shards)]
+    return F.get(F.lit(counts), F.col("shard")).cast("long"), F.get(F.lit(firsts), F.col("shard")).cast("long"), sum(counts)
 
 
 def shard(docs: DataFrame, n_shards: int = 16, bucket_bytes: int = 64 << 20, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -61,21 +62,22 @@ def shard(docs: DataFrame, n_shards: int = 16, bucket_bytes: int = 64 << 20, see
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 1
     same = F.xxhash64(F.lit(seed + 1), key, F.col(text_col))
     rows = docs.withColumns({"size": size, "shard": shard_of(key, n_shards, seed), "grown_shard": shard_of(key, n_shards + 1, seed)})
-    buckets, n_buckets = buckets_of(rows.select("shard", "size"), n_shards, bucket_bytes)
+    buckets, first_bucket, n_buckets = buckets_of(rows.select("shard", "size"), n_shards, bucket_bytes)
     hot = written(rows.groupBy(same.alias("__hot")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter((F.col("bytes") > bucket_bytes) & (F.col("n") > 1)).select("__hot"), "hot-rows")
     rows = rows.withColumn("__same", same).join(few(hot, BROADCAST_ROWS), F.col("__same") == F.col("__hot"), "left") if hot.count() else rows.withColumns({"__same": same, "__hot": F.lit(None).cast("long")})
     scattered = F.when(F.col("__hot").isNull(), F.col("__same")).otherwise(F.xxhash64("__same", F.monotonically_increasing_id()))
-    rows = rows.withColumn("bucket", F.pmod(scattered, buckets).cast("int")).drop("__same", "__hot")
-    schema = T.StructType([*rows.schema.fields, T.StructField("place", T.LongType())])
+    rows = rows.withColumn("bucket", F.pmod(scattered, buckets).cast("int")).drop("__same", "__hot").withColumn("__task", (F.pmod(first_bucket + F.col("bucket"), F.lit(MOST_PARTS))).cast("int"))
+    schema = T.StructType([*rows.drop("__task").schema.fields, T.StructField("place", T.LongType())])
 
     def shuffled(key: tuple, table: pa.Table) -> pa.Table:
         tie = pa.chunked_array([pc.fill_null(c, "") for c in table[text_col].chunks], pa.string())
         order = pc.sort_indices(pa.table({"a": table[id_col], "b": tie}), sort_keys=[("a", "ascending"), ("b", "ascending")])
-        rng = np.random.default_rng([seed, int(key[0].as_py()), int(key[1].as_py())])
-        out = table.take(pa.array(order.to_numpy()[fisher_yates(len(table), rng)]))
+        rng = np.random.default_rng([seed, int(key[1].as_py()), int(key[2].as_py())])
+        out = table.drop_columns(["__task"]).take(pa.array(order.to_numpy()[fisher_yates(len(table), rng)]))
         return out.append_column("place", pa.array(np.arange(len(table)), pa.int64()))
 
-    placed = rows.repartition(min(n_buckets, MOST_PARTS), "shard", "bucket").groupBy("shard", "bucket").applyInArrow(shuffled, schema)
+    dealt = rows.repartitionById(min(n_buckets, MOST_PARTS), "__task")  # a bucket a task, where a hash would give some tasks several
+    placed = dealt.groupBy("__task", "shard", "bucket").applyInArrow(shuffled, schema)
     placed.sortWithinPartitions("shard", "bucket", "place").write.option("compression", "zstd").partitionBy("shard").parquet(path)
     done = spark.read.schema(schema).parquet(path)
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
