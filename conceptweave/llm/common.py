@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from ..tables import drop, drop_path, fresh_path, shared_dir, written  # noqa: F401  operators take them from here
 
 
-def few(rows: DataFrame, most: int) -> DataFrame:
-    """A hint to broadcast narrow rows, if they are no more than ``most``. Each task counts its own rows."""
-    return F.broadcast(rows) if rows.count() <= most else rows
+def few(rows: DataFrame, most: int, width: Column | None = None) -> DataFrame:
+    """A hint to broadcast rows, if they are no more than ``most``, counting each as its ``width`` in cells. Each task counts its own rows."""
+    n = rows.count() if width is None else rows.agg(F.sum(F.greatest(width, F.lit(1)))).first()[0] or 0
+    return F.broadcast(rows) if n <= most else rows
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -101,10 +101,14 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: tuple[int, int] =
     pairs = rows.join(few(sketch, BROADCAST_ROWS), "m").filter("first_p = 0 or least and p >= first_p").select("doc_id", "item_id")
     candidates = written(pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("items")), "leak-candidates")
 
-    hinted = few(candidates.withColumnRenamed("doc_id", "of"), BROADCAST_ROWS)
-    held = docs.join(hinted, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", let(words(F.col("text")), lambda w: shingle_texts(w)).alias("s"), "items").select("doc_id", "s", F.explode("items").alias("item_id"))
-    own = whole.select("item_id", let(F.col("w"), lambda w: shingle_texts(w)).alias("t"))
-    shared = held.join(own, "item_id").select("doc_id", "item_id", F.size(F.array_intersect("s", "t")).cast("long").alias("n_shared"), F.size("t").cast("long").alias("n_item"))
+    # The items' shingles go to their candidates, as they are short; a document's own are made once, where they meet.
+    own = written(whole.select("item_id", let(F.col("w"), lambda w: shingle_texts(w)).alias("t")), "item-shingles")
+    asked = candidates.select("doc_id", F.explode("items").alias("item_id")).join(few(own, BROADCAST_ROWS, F.size("t")), "item_id")
+    asked = written(asked.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("item_id", "t")).alias("items")), "leak-items")
+    asked = few(asked, BROADCAST_ROWS, F.aggregate("items", F.lit(0), lambda n, i: n + F.size(i["t"])))
+    counted = lambda s: F.transform("items", lambda i: F.struct(i["item_id"].alias("item_id"), F.size(F.array_intersect(s, i["t"])).cast("long").alias("n_shared"), F.size(i["t"]).cast("long").alias("n_item")))
+    held = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", F.explode(let(let(words(F.col("text")), lambda w: shingle_texts(w)), counted)).alias("x"))
+    shared = held.select("doc_id", "x.item_id", "x.n_shared", "x.n_item")
     most, of = threshold
     shared = shared.filter(F.col("n_shared") * of >= F.col("n_item") * most)
     if short.count():
