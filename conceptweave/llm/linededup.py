@@ -86,25 +86,23 @@ def window_hashes(lines: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(TOP)), F.array(F.transform(lines, lambda x: F.xxhash64(x))), doubled)
 
 
-def parts(chunks: DataFrame) -> DataFrame:
-    """(digest) of the chunks whose lines stand together in a longer chunk. ``chunks``: (digest, n, text), a row a digest."""
+def parts(chunks: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(digest) of the chunks whose lines stand together in a longer chunk, and the tables that it reads. ``chunks``: (digest, n, text), a row a digest."""
     k = F.least(F.length(F.bin("n")) - 1, F.lit(TOP))
     held = chunks.withColumns({"levels": window_hashes(F.split("text", "\n", -1)), "k": k.cast("int"), "w": F.pow(F.lit(2), k).cast("int")})
     own = F.get("levels", F.col("k"))
     known = written(held.select("digest", "n", "k", F.get(own, F.lit(0)).alias("head"), F.get(own, F.col("n") - F.col("w")).alias("tail")), "line-chunks")
     windows = written(held.select("digest", "n", F.posexplode("levels").alias("k", "hashes")).filter("k > 0").select("digest", "n", "k", F.posexplode("hashes").alias("at", "hash")), "line-windows")
-    wanted = written(known.select("k", F.col("head").alias("hash"), F.col("n").alias("short")).distinct(), "line-lengths")
+    wanted = known.select("k", F.col("head").alias("hash"), F.col("n").alias("short")).distinct()
     begun = windows.join(few(wanted, BROADCAST_ROWS), ["k", "hash"]).filter("short < n and at + short <= n")
     begun = begun.select("digest", "n", "k", "short", F.col("hash").alias("head"), (F.col("at") + F.col("short") - F.pow(F.lit(2), "k").cast("int")).alias("at"))
     ended = begun.join(windows.select("digest", "k", "at", F.col("hash").alias("tail")), ["digest", "k", "at"]).select("head", "tail", F.col("short").alias("n"), F.struct(F.col("n").alias("size"), F.col("digest").alias("of")).alias("holder"))
     found = ended.join(few(known.withColumnRenamed("digest", "part"), BROADCAST_ROWS), ["head", "tail", "n"]).groupBy("part").agg(F.min("holder").alias("h"))
-    pairs = written(found.select("part", F.col("h.of").alias("holder")), "line-parts")
+    pairs = found.select("part", F.col("h.of").alias("holder"))
     texts = chunks.select("digest", "text")
     both = pairs.join(texts.withColumnsRenamed({"digest": "part", "text": "small"}), "part").join(texts.withColumnsRenamed({"digest": "holder", "text": "large"}), "holder")
     lines = lambda c: F.concat(F.lit("\n"), c, F.lit("\n"))
-    out = written(both.filter(F.contains(lines(F.col("large")), lines(F.col("small")))).select(F.col("part").alias("digest")), "line-held")
-    drop(known, windows, wanted, pairs)
-    return out
+    return both.filter(F.contains(lines(F.col("large")), lines(F.col("small")))).select(F.col("part").alias("digest")), [known, windows]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", made: tuple[str, str, str] = ("n_chunks", "n_removed", "n_cut")) -> DataFrame:
@@ -124,14 +122,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct(*key, "place")
     chunks = found.groupBy("digest").agg(F.min("text").alias("text"), F.max("text").alias("most"), F.first("n").alias("n"), F.min(place).alias("keeper")).filter("text = most").drop("most")
     chunks = written(chunks, "line-chunks")
-    held = parts(chunks).withColumn("held", F.lit(True))
-    keepers = written(chunks.select("digest", "keeper").join(few(held, BROADCAST_ROWS), "digest", "left").select("digest", F.when(F.col("held").isNull(), F.col("keeper")).alias("keeper"), F.lit(True).alias("known")), "line-keepers")
+    held, read = parts(chunks)
+    keepers = written(chunks.select("digest", "keeper").join(held.withColumn("held", F.lit(True)), "digest", "left").select("digest", F.when(F.col("held").isNull(), F.col("keeper")).alias("keeper"), F.lit(True).alias("known")), "line-keepers")
     judged = found.drop("text").join(few(keepers, BROADCAST_ROWS), "digest", "left").withColumn("gone", F.coalesce(F.col("known") & (F.col("keeper").isNull() | ~place.eqNullSafe(F.col("keeper"))), F.lit(False)))
     cut = F.when(F.col("gone"), F.sequence("first", "last")).otherwise(F.col("extra"))
     per_doc = judged.groupBy(F.col("doc_id").alias("__of"), F.col("text_hash").alias("__of_text")).agg(
         F.countDistinct("place").cast("int").alias("__n"), F.countDistinct(F.when(F.col("gone"), F.col("place"))).cast("int").alias("__gone"), F.flatten(F.collect_set(cut)).alias("__cut"))
     per_doc = written(per_doc, "line-removals")
-    drop(again, wanted, found, chunks, keepers, held)
+    drop(again, wanted, found, chunks, keepers, *read)
 
     rows = docs.drop(*[c for c in made if c not in (id_col, text_col)])
     rows = rows.join(few(per_doc, BROADCAST_ROWS), F.col(id_col).eqNullSafe(F.col("__of")) & (F.xxhash64(text) == F.col("__of_text")) & text.isNotNull(), "left")
