@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .lexicon import ABBREVIATIONS, MONTHS, STOPWORDS
 
 Steps = list[tuple[str, str]]
-MARK = "%%"  # stands for a dot that ends no sentence
+MARK = "\ue000"  # stands for a dot that ends no sentence: a private-use sign, which no text has
 
 
 def rewrite(text: Column, steps: Steps) -> Column:

@@ -31,7 +31,7 @@ NEXT = "(?:, og |, eller |, | og | eller )"
 #: ``stk``: stk, nr, pkt; ``part``: one paragraph of a list, as in PART.
 GRAMMAR = {
     "single": f"(?:^|[^§])(§{WS}{PART})",
-    "range": f"(§§{WS}({NUM})(?: ([a-z])\\b)?-({NUM})(?: ([a-z])\\b)?(?:(?: og | eller ){PART})?)",
+    "range": f"(§§{WS}({NUM})(?: ([a-z])\\b)?-({NUM})(?: ([a-hj-z])\\b)?(?:(?: og | eller ){PART})?)",  # ``i`` after the end is the preposition
     "list": f"(§§{WS}{PLAIN_PART}(?:{NEXT}{PLAIN_PART})+)",
     "part": f"(?:§§{WS}|{NEXT})({PART})",
     "stk": f"(?:^|[^0-9a-z, ]|[^0-9, ] |[a-z]{{2}} ?)(stk[.] ({SOME})(?:, nr[.] ({SOME}))?(?:, {POINTS})?)",
@@ -40,10 +40,23 @@ GRAMMAR = {
 }
 
 
+#: The most elements that a range names one by one. No law has as many subsections; a wider range, or one that runs backwards, names its ends.
+WIDEST = 1000
+
+
+def span(first: Column, last: Column) -> Column:
+    """All numbers from first to last, or both ends of what is no usable range."""
+    return F.when((first <= last) & (last - first < WIDEST), F.sequence(first, last)).otherwise(F.array(first, last))
+
+
 def numbers(text: Column) -> Column:
-    """The numbers that ``1``, ``1, 2 og 3`` or ``1-3`` names, in order; null stays null, and an empty text names one null."""
-    listed = F.transform(F.regexp_extract_all(text, F.lit(f"({NUM})"), F.lit(1)), lambda x: x.cast("int"))
-    return F.when(text == "", F.array(F.lit(None).cast("int"))).when(text.rlike(f"^{RANGE}$"), F.sequence(F.get(listed, F.lit(0)), F.get(listed, F.lit(1)))).when(text.isNotNull(), listed)
+    """The numbers that ``1``, ``1, 2 og 3`` or ``1-3`` names, in order; null stays null, and an empty text names one null.
+
+    A number beyond an int names nothing; where no number is left, the one null stands for them, and the citation is to what is above."""
+    none = F.array(F.lit(None).cast("int"))
+    listed = F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"({NUM})"), F.lit(1)), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
+    ranged = text.rlike(f"^{RANGE}$") & (F.size(listed) == 2)
+    return F.when((text == "") | (F.size(listed) == 0), none).when(ranged, span(F.get(listed, F.lit(0)), F.get(listed, F.lit(1)))).when(text.isNotNull(), listed)
 
 
 def matches(text: Column, form: str, group: int = 1) -> Column:
@@ -70,7 +83,7 @@ def paragraph(number: Column, letter: Column) -> Column:
 def paragraph_key(name: Column) -> Column:
     """Where a paragraph of this name stands among others: its number, then its letter."""
     letter = F.regexp_extract(name, f"{NUM} ([a-z])", 1)
-    return F.regexp_extract(name, f"({NUM})", 1).try_cast("long") * 100 + F.when(letter == "", F.lit(0)).otherwise(F.ascii(letter) - 96)
+    return F.try_add(F.try_multiply(F.regexp_extract(name, f"({NUM})", 1).try_cast("long"), F.lit(100)), F.when(letter == "", F.lit(0)).otherwise(F.ascii(letter) - 96))
 
 
 def below(stk: Column, nr: Column, pkt: Column) -> Column:
@@ -135,7 +148,7 @@ def pkt_refs(sentences: DataFrame, key: str, text: str) -> DataFrame:
     """Sibling sentences named by point; those that follow a number and comma belong to another citation."""
     points = F.regexp_extract_all(F.col(text), F.lit(f"(^|[^0-9], |[^, ] |[^0-9 ], ?){GRAMMAR['pkt']}"), F.lit(2))
     rows = sentences.select(key, F.posexplode(points).alias("ord", "listed"))
-    return rows.select(key, "ord", F.explode(numbers(F.col("listed"))).alias("pkt"))
+    return rows.select(key, "ord", F.explode(numbers(F.col("listed"))).alias("pkt")).filter("pkt is not null")
 
 
 def sibling_targets(sentences: DataFrame, text: str = "text") -> DataFrame:

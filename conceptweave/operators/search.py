@@ -1,16 +1,30 @@
-"""Nearest neighbours, relaxed word-mover distance, and the beam down the containment tree."""
+"""Nearest neighbours, relaxed word-mover distance, and the beam down the containment tree.
+
+Nearest neighbours are found through cells: ``CellIndex`` deals vectors to the nearest of a bounded number of pivots and writes them in the
+order of cell and distance to the pivot. For a query the triangle inequality gives the least distance that a cell, or a vector at a given
+distance from its pivot, can have; cells beyond the k-th distance known so far are not read. The pivots are chosen from a bounded
+sample; every vector is indexed, and the result is exact whatever the pivots are.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_distance
+from ..tables import drop_path, fresh_path
+from ..tables import written as table_of
 
-#: Rows up to which the smaller side is broadcast; checked by a count.
+#: Rows, and numbers in arrays, up to which the smaller side is broadcast; checked by a count.
 BROADCAST_ROWS = 20_000
+BROADCAST_NUMBERS = 4_000_000
+
+#: Vectors of a vocabulary that are numbered together: the width of a row of distances.
+BLOCK = 4096
 
 MEASURES = ("fwd", "fwd_idf", "rev", "rev_idf")
 
@@ -18,8 +32,10 @@ MEASURES = ("fwd", "fwd_idf", "rev", "rev_idf")
 LABELS = {"fwd": "wmd", "fwd_idf": "weighted_wmd", "rev": "reverse_wmd", "rev_idf": "weighted_reverse_wmd"}
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= rows else df
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, width: Column | None = None) -> DataFrame:
+    """A hint to broadcast what has no more than so many rows, and no more than ``BROADCAST_NUMBERS`` numbers where ``width`` tells a row's."""
+    n, numbers = df.agg(F.count("*"), F.sum(F.lit(0) if width is None else width)).first()
+    return F.broadcast(df) if n <= rows and (numbers or 0) <= BROADCAST_NUMBERS else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -27,27 +43,113 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
+def farthest_first(sample: np.ndarray, n: int) -> np.ndarray:
+    """Up to n different vectors of a sample, each the farthest from those before it."""
+    if not len(sample):
+        return sample
+    chosen, gap = [0], np.linalg.norm(sample - sample[0], axis=1)
+    while len(chosen) < n and gap.max() > 0:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, np.linalg.norm(sample - sample[chosen[-1]], axis=1))
+    return sample[chosen]
+
+
+@dataclass
+class CellIndex:
+    """Vectors (concept_id, vec) by cell, in ``path``; ``pivots`` and ``stats`` (rows, least and greatest radius of each cell) are as many as there are cells."""
+
+    path: str
+    vectors: DataFrame
+    pivots: list[list[float]]
+    stats: dict[int, tuple[int, float, float]]
+
+    @classmethod
+    def build(cls, concepts: DataFrame, cells: int = 64, sample: int = 4096) -> CellIndex:
+        spark = concepts.sparkSession
+        rows = concepts.select("concept_id", F.col("vec").cast("array<double>").alias("vec")).filter(F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull()))
+        rows = table_of(rows, "vectors")
+        few = [r.vec for r in rows.orderBy(F.xxhash64("concept_id"), "concept_id").limit(sample).collect()]
+        pivots = farthest_first(np.array(few, float), cells).tolist()
+        near = F.array_min(F.transform("pivots", lambda p, i: F.struct(l2_distance(F.col("vec"), p).alias("radius"), i.alias("cell"))))
+        dealt = with_pivots(rows, pivots).withColumn("near", near).select("concept_id", "vec", "near.radius", "near.cell")
+        path = fresh_path(spark, "cells")
+        parts = max(cells, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt.repartitionByRange(parts, "cell", "radius", "concept_id").sortWithinPartitions("cell", "radius").write.partitionBy("cell").option("compression", "zstd").parquet(path)  # a large cell fills several tasks
+        drop_path(spark, rows.inputFiles()[0].rpartition("/")[0])
+        held = spark.read.schema("concept_id string, vec array<double>, radius double, cell int").parquet(path)
+        stats = {r.cell: (r.n, r.least, r.most) for r in held.groupBy("cell").agg(F.count("*").alias("n"), F.min("radius").alias("least"), F.max("radius").alias("most")).collect()}
+        return cls(path, held, pivots, stats)
+
+    def placed(self, queries: DataFrame) -> DataFrame:
+        """(query_id, query_vec, cells): for each query the cells by the distance to their pivots, with that distance, rows, and least and greatest possible distance."""
+        spark = queries.sparkSession
+        known = sorted(self.stats.items())
+        facts = spark.createDataFrame([([(c, *s, self.pivots[c]) for c, s in known],)], "facts array<struct<cell: int, n: long, least: double, most: double, pivot: array<double>>>")
+        rows = queries.select("query_id", F.col("query_vec").cast("array<double>").alias("query_vec")).filter("query_vec is not null").crossJoin(F.broadcast(facts))
+
+        def cell(f: Column) -> Column:
+            to = l2_distance(F.col("query_vec"), f["pivot"])
+            return F.struct(to.alias("to"), f["cell"].alias("cell"), f["n"].alias("n"), F.greatest(to - f["most"], f["least"] - to, F.lit(0.0)).alias("low"), (to + f["most"]).alias("high"))
+
+        return rows.select("query_id", "query_vec", F.array_sort(F.transform("facts", cell)).alias("cells"))
+
+    def scored(self, wanted: DataFrame, digits: int) -> DataFrame:
+        """(query_id, concept_id, distance) of the vectors that ``wanted`` (query_id, query_vec, cell, to, reach) allows; reads only its cells."""
+        cells = [r.cell for r in wanted.select("cell").distinct().collect()]  # as many as there are pivots
+        held = self.vectors.filter(F.col("cell").isin(cells))
+        near = small_side(wanted, width=F.size("query_vec")).join(held, "cell").filter(F.abs(F.col("to") - F.col("radius")) <= F.col("reach"))
+        return near.select("query_id", "concept_id", F.round(l2_distance(F.col("query_vec"), F.col("vec")), digits).alias("distance"))
+
+    def nearest(self, queries: DataFrame, k: int = 10, digits: int = 6) -> tuple[DataFrame, dict]:
+        """(query_id, concept_id, rank, distance) of the k nearest, ties by concept_id; and how many cells there are and how many (query, cell) were read."""
+        spark = queries.sparkSession
+        if not self.stats:
+            return spark.createDataFrame([], "query_id long, concept_id string, rank int, distance double"), {"cells": 0, "read": 0, "possible": 0}
+        slack = 2 * 10.0**-digits
+        order = Window.partitionBy("query_id").orderBy("distance", "concept_id")
+        placed = table_of(self.placed(queries), "placed")
+        # The cells of the nearest pivots, until they hold k vectors, bound the k-th distance.
+        before = lambda i: F.aggregate(F.slice("cells", 1, i), F.lit(0).cast("long"), lambda a, c: a + c["n"])
+        first = placed.select("query_id", "query_vec", F.explode(F.filter(F.transform("cells", lambda c, i: F.struct(c["cell"].alias("cell"), c["to"].alias("to"), before(i).alias("before"))), lambda x: x["before"] < k)).alias("x"))
+        tried = self.scored(first.select("query_id", "query_vec", "x.cell", "x.to", F.lit(float("inf")).alias("reach")), digits)
+        bound = tried.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).groupBy("query_id").agg(F.max("distance").alias("d"), F.count("*").alias("n"))
+        limits = placed.join(bound, "query_id", "left").withColumn("reach", F.when(F.col("n") >= k, F.col("d") * (1 + 1e-9) + slack).otherwise(F.lit(float("inf"))))
+        wanted = table_of(limits.select("query_id", "query_vec", "reach", F.explode(F.expr("filter(cells, c -> c.low <= reach)")).alias("c")).select("query_id", "query_vec", "c.cell", "c.to", "reach"), "wanted-cells")
+        ranked = self.scored(wanted, digits).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        report = {"cells": len(self.stats), "read": wanted.count(), "possible": len(self.stats) * placed.count()}
+        return ranked, report
+
+
+def with_pivots(rows: DataFrame, pivots: list[list[float]]) -> DataFrame:
+    """Rows with the pivots in one column: one row that is joined to all."""
+    return rows.crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(pivots,)], "pivots array<array<double>>")))
+
+
 def nearest(queries: DataFrame, concepts: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
-    """(query_id, concept_id, rank, distance) of the k nearest; ties by concept_id. A stated query set against all concepts."""
-    pairs = small_side(queries).crossJoin(spread(concepts, "concept_id")).select("query_id", "concept_id", F.round(l2_distance(F.col("query_vec"), F.col("vec")), digits).alias("distance"))
-    order = Window.partitionBy("query_id").orderBy("distance", "concept_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """(query_id, concept_id, rank, distance) of the k nearest; ties by concept_id. Null vectors take no part."""
+    return CellIndex.build(concepts).nearest(queries, k, digits)[0]
 
 
 def distance_tables(vectors: DataFrame, queries: DataFrame, concepts: DataFrame, written: Callable = lambda df, name: df) -> dict[str, DataFrame]:
     """Distances of the queries' words to the concepts' words, worked out once for each pair of vectors.
 
-    ``queries`` and ``concepts`` name vectors by vec_id, ``vectors`` is (vec_id, vec). ``queries`` of the result is (v, ds): for each vector
-    of a query word its distances to those of concept words by their ``place``, ``concepts`` the other way round; ``query_place`` and
-    ``concept_place`` are (vec_id, place). Only vectors in use are numbered, a list no longer than the vocabulary.
+    ``queries`` and ``concepts`` name vectors by vec_id, ``vectors`` is (vec_id, vec). ``queries`` of the result is (v, block, ds): for each
+    vector of a query word its distances to those of concept words of a block, by their ``place`` in it; ``concepts`` the other way
+    round; ``query_place`` and ``concept_place`` are (vec_id, block, place). Only vectors in use are numbered, in blocks of about ``BLOCK``, so
+    that no row is wider than a block whatever the vocabulary.
     """
-    place = lambda rows: written(rows.select("vec_id").distinct().withColumn("place", F.row_number().over(Window.orderBy("vec_id")) - 1), "places")
+
+    def place(rows: DataFrame) -> DataFrame:
+        used = written(rows.select("vec_id").distinct(), "used")
+        block = F.pmod(F.xxhash64("vec_id"), F.lit(-(-used.count() // BLOCK) or 1)).cast("int")
+        return written(used.withColumn("block", block).withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("vec_id")) - 1), "places")
+
     q, c = place(queries), place(concepts)
-    a = vectors.join(q, "vec_id").select(F.col("vec_id").alias("v"), F.col("place").alias("vp"), F.col("vec").alias("xa"))
-    b = vectors.join(c, "vec_id").select(F.col("vec_id").alias("u"), F.col("place").alias("up"), F.col("vec").alias("xb"))
-    long = written(small_side(a).crossJoin(spread(b, "u")).select("v", "vp", "u", "up", l2_distance(F.col("xa"), F.col("xb")).alias("d")), "distances")
-    rows = lambda key, at: long.groupBy(F.col(key).alias("v")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), "d"))), lambda s: s["d"]).alias("ds"))
-    return {"queries": written(rows("v", "up"), "distances"), "concepts": written(rows("u", "vp"), "distances"), "query_place": q, "concept_place": c}
+    a = vectors.join(q, "vec_id").select(F.col("vec_id").alias("v"), F.col("block").alias("vb"), F.col("place").alias("vp"), F.col("vec").alias("xa"))
+    b = vectors.join(c, "vec_id").select(F.col("vec_id").alias("u"), F.col("block").alias("ub"), F.col("place").alias("up"), F.col("vec").alias("xb"))
+    long = written(small_side(a, width=F.size("xa")).crossJoin(spread(b, "u")).select("v", "vb", "vp", "u", "ub", "up", l2_distance(F.col("xa"), F.col("xb")).alias("d")), "distances")
+    rows = lambda key, block, at: long.groupBy(F.col(key).alias("v"), F.col(block).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), "d"))), lambda s: s["d"]).alias("ds"))
+    return {"queries": written(rows("v", "ub", "up"), "distances"), "concepts": written(rows("u", "vb", "vp"), "distances"), "query_place": q, "concept_place": c}
 
 
 def selected(queries: DataFrame, concepts: DataFrame, distances: dict[str, DataFrame], measure: str, candidates: DataFrame | None = None) -> DataFrame:
@@ -62,12 +164,13 @@ def selected(queries: DataFrame, concepts: DataFrame, distances: dict[str, DataF
     name, other_name = ("input_word", "lc_word") if forward else ("lc_word", "input_word")
     fields = [c for c in ("word", "p", "place", "idf") if c in other.columns or c == "place"]
     places = distances["concept_place" if forward else "query_place"]
-    texts = other.join(places, "vec_id").groupBy(other_key).agg(F.collect_list(F.struct(*fields)).alias("words"))
-    words = one.join(small_side(distances["queries" if forward else "concepts"]), F.col("vec_id") == F.col("v")).drop("v", "vec_id")
+    texts = other.join(places, "vec_id").groupBy(other_key, "block").agg(F.collect_list(F.struct(*fields)).alias("words"))
+    words = one.join(small_side(distances["queries" if forward else "concepts"], width=F.size("ds")), F.col("vec_id") == F.col("v")).drop("v", "vec_id")
     if candidates is not None:
-        pairs = words.join(candidates, key).join(texts, other_key)
-    else:
-        pairs = small_side(words if forward else texts).crossJoin(spread(texts if forward else words, "concept_id"))
+        pairs = words.join(candidates, key).join(texts, [other_key, "block"])
+    else:  # every query with every concept, by the blocks that both have
+        asked = words if forward else texts
+        pairs = small_side(asked, width=F.size("ds" if forward else "words")).join(spread(texts if forward else words, "concept_id"), "block")
 
     def pair(w):
         by = F.lit(1.0) if not with_idf else w["idf"] if forward else F.col("idf")
@@ -78,6 +181,7 @@ def selected(queries: DataFrame, concepts: DataFrame, distances: dict[str, DataF
         return F.struct(F.floor(cost * 1e10 + 0.5).alias("c"), x["o"].alias("o"), cost.alias("cost"), x["w"].alias("w"), x["euclid"].alias("euclid"))
 
     best = pairs.select("query_id", "concept_id", F.col("word").alias(name), F.array_min(F.transform(F.transform("words", pair), priced)).alias("b"))
+    best = best.groupBy("query_id", "concept_id", name).agg(F.min("b").alias("b"))  # of the blocks
     return best.filter("b is not null").select("query_id", "concept_id", name, F.col("b.o").alias(other_name), F.col("b.cost").alias("cost"), F.col("b.w").alias("weight"), F.col("b.euclid").alias("euclid"))
 
 

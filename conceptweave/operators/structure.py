@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sentences
 from ..sources.html import html_blocks, inside, unwrapped
 from ..tables import written
+from .cite import span
 from .graph import with_ids
 
 NBSP = chr(160)
@@ -73,7 +74,7 @@ def omitted(number: Column, bold: Column, text: Column) -> Column:
     """First and last number of an omitted range, else null."""
     here = (F.trim(number) == "") & F.contains(text, F.lit("(Udelades)"))
     a, b = F.regexp_extract(bold, "([0-9]+)-([0-9]+)", 1), F.regexp_extract(bold, "([0-9]+)-([0-9]+)", 2)
-    return F.when(here & (a != ""), F.struct(a.cast("int").alias("first"), b.cast("int").alias("last")))
+    return F.when(here & a.try_cast("int").isNotNull() & b.try_cast("int").isNotNull(), F.struct(a.try_cast("int").alias("first"), b.try_cast("int").alias("last")))
 
 
 def structured(blocks: DataFrame) -> DataFrame:
@@ -118,7 +119,7 @@ def concept_rows(blocks: DataFrame, laws: DataFrame, dialect_name: str | None =
     above = lambda *parts: F.array_compact(F.array(*parts))
     law, stk = F.col("law_name"), F.concat(F.lit("Stk. "), F.col("stk_no"), F.lit("."))
     gone = rows.withColumn("o", omitted(F.col("number"), F.col("bold"), F.col("text")))
-    spread = gone.filter("role = 'paragraph' and o is not null").withColumn("k", F.explode(F.sequence("o.first", "o.last"))).withColumns({"paragraph": F.concat(F.lit("§" + NBSP), F.col("k"), F.lit(".")), "par_no": F.col("par_no") + F.col("k") - F.col("o.first")})
+    spread = gone.filter("role = 'paragraph' and o is not null").withColumn("k", F.explode(span(F.col("o.first"), F.col("o.last")))).withColumns({"paragraph": F.concat(F.lit("§" + NBSP), F.col("k"), F.lit(".")), "par_no": F.col("par_no") + F.col("k") - F.col("o.first")})
     openings = gone.filter("role = 'paragraph'")  # a section or chapter that holds none is no concept
     rows = gone.filter("o is null").drop("o")
     text = F.when(F.col("role").isin("item", "nested"), F.regexp_replace("text", r"^\s*[0-9a-zæøå]+\)\s*", "")).otherwise(F.col("text"))

@@ -437,7 +437,9 @@ def target_normalise(spark, sf):
 # Citations, in texts made of the keys of ``part``; both engines build them by the same expression
 
 N = "p_partkey"
-CITE = f"""CASE {N} % 12
+CITE = f"""CASE WHEN {N} % 89 = 3 THEN concat('Efter § 5, stk. 9999999999', {N}, ', gælder § ', {N} % 7 + 1, ', stk. 1-2000000000, nr. 3-1, og stk. 99999999999, jf. 8888888888', {N}, '. pkt.')
+WHEN {N} % 97 = 5 THEN concat('Se §§ ', {N} % 5 + 1, '-', {N} % 5 + 4, ' i loven og §§ 1-2000000000', {N}, ', nr. 1-1000.')
+ELSE CASE {N} % 12
 WHEN 8 THEN concat('Efter § ', {N} % 30 + 1, ', stk. 2 og ', {N} % 3 + 3, ', og § ', {N} % 25 + 1, ', nr. 1, 3 og ', {N} % 5 + 4, ', samt § 2, stk. 1-3, gælder § 4, stk. 2, 1., 2. og 3. pkt.')
 WHEN 9 THEN concat('Jf. §§ ', {N} % 20 + 1, ', stk. 2, og ', {N} % 20 + 3, ', nr. 3, i loven.')
 WHEN 10 THEN concat('Uanset §§ ', {N} % 9 + 1, '-', {N} % 9 + 5, ' og ', {N} % 9 + 9, ', stk. 2 og 3, finder stk. 2, 1. og 2. pkt., anvendelse.')
@@ -449,7 +451,7 @@ WHEN 3 THEN concat('Bestemmelserne i §§ ', {N} % 10 + 1, ', ', {N} % 10 + 3, '
 WHEN 4 THEN concat('Uanset stk. ', {N} % 3 + 1, '-', {N} % 3 + 3, ' gælder stk. 2, nr. ', {N} % 6, ', og stk. 1 eller 4.')
 WHEN 5 THEN concat('Det følger af 1. og ', {N} % 5 + 2, '. pkt. i denne lov.')
 WHEN 6 THEN concat('Opfyldt er litra a), b) og ', {N} % 7 + 1, ') efter Straffeloven.')
-ELSE concat('Ved overtrædelse af denne bestemmelse (§ ', {N} % 9, ') finder EF-forordninger om koordinering af de sociale sikringsordninger sted.') END"""
+ELSE concat('Ved overtrædelse af denne bestemmelse (§ ', {N} % 9, ') finder EF-forordninger om koordinering af de sociale sikringsordninger sted.') END END"""
 
 
 def cited(spark, sf):
@@ -468,8 +470,10 @@ def each(form: str, names: list[str], source: str = "t", text: str = "text", kee
 
 
 def nums_sql(x: str) -> str:
-    listed = f"list_transform(regexp_extract_all({x}, '[0-9]+'), lambda z: z::INT)"
-    return f"CASE WHEN coalesce({x}, '') = '' THEN [NULL::INT] WHEN regexp_full_match({x}, '[0-9]+-[0-9]+') THEN range({listed}[1], {listed}[2] + 1)::INT[] ELSE {listed} END"
+    listed = f"list_filter(list_transform(regexp_extract_all({x}, '[0-9]+'), lambda z: TRY_CAST(z AS INT)), lambda z: z IS NOT NULL)"
+    usable = f"{listed}[1] <= {listed}[2] AND {listed}[2] - {listed}[1] < {cite.WIDEST}"
+    ranged = f"regexp_full_match({x}, '[0-9]+-[0-9]+') AND len({listed}) = 2"
+    return f"CASE WHEN coalesce({x}, '') = '' OR len({listed}) = 0 THEN [NULL::INT] WHEN {ranged} AND {usable} THEN range({listed}[1], {listed}[2] + 1)::INT[] ELSE {listed} END"
 
 
 def named_sql(source: str, more: str = "ref_string") -> str:
@@ -517,7 +521,7 @@ def cite_stk(spark, sf):
 PKT = quoted(f"(^|[^0-9], |[^, ] |[^0-9 ], ?){cite.GRAMMAR['pkt']}")
 
 
-@query("cite_pkt", f"WITH {CTE}, x AS (SELECT id, unnest(range(0, len(regexp_extract_all(text, {PKT}, 2))))::INT AS ord, unnest(regexp_extract_all(text, {PKT}, 2)) AS l FROM t) SELECT id, ord, unnest({nums_sql('l')}) AS pkt FROM x")
+@query("cite_pkt", f"WITH {CTE}, x AS (SELECT id, unnest(range(0, len(regexp_extract_all(text, {PKT}, 2))))::INT AS ord, unnest(regexp_extract_all(text, {PKT}, 2)) AS l FROM t) SELECT * FROM (SELECT id, ord, unnest({nums_sql('l')}) AS pkt FROM x) WHERE pkt IS NOT NULL")
 def cite_pkt(spark, sf):
     return cite.pkt_refs(cited(spark, sf), "id", "text")
 
@@ -578,7 +582,7 @@ def resolved(spark, sf):
     return cite.resolve(refs.withColumnRenamed("id", "src"), paragraphs(spark)).withColumnRenamed("src", "id")
 
 
-@query("cite_range_expand", f"""WITH {CTE}, {PARS}, r AS (SELECT id AS src, ord, 'L' || (id % 3) AS law_id, fa::INT * 100 + CASE WHEN fl <> '' THEN ascii(fl) - 96 ELSE 0 END AS a, la::INT * 100 + CASE WHEN ll <> '' THEN ascii(ll) - 96 ELSE 0 END AS b FROM {RANGES})
+@query("cite_range_expand", f"""WITH {CTE}, {PARS}, r AS (SELECT id AS src, ord, 'L' || (id % 3) AS law_id, TRY_CAST(fa AS BIGINT) * 100 + CASE WHEN fl <> '' THEN ascii(fl) - 96 ELSE 0 END AS a, TRY_CAST(la AS BIGINT) * 100 + CASE WHEN ll <> '' THEN ascii(ll) - 96 ELSE 0 END AS b FROM {RANGES})
 SELECT src, ord, name AS paragraph, pars.id AS target_id FROM r JOIN pars ON pars.law_id = r.law_id AND pos BETWEEN a AND b""")
 def cite_range_expand(spark, sf):
     ranges = with_law(cite.range_refs(cited(spark, sf), "id", "text")).withColumnRenamed("id", "src")
