@@ -5,8 +5,8 @@ record lies. An archive's name is made afresh for each attempt of a task, and on
 count, so a repeated task leaves at worst a file that nothing refers to. ``build_index`` sorts the captures by reversed-host
 URL key, cuts each sorted part into compressed blocks of ``block_lines`` lines and keeps a sparse directory of the blocks'
 first keys; ``CaptureIndex.lookup`` searches the parts' first keys, then the directory of the one or two parts that can hold
-the key, then the lines of their blocks, each by bisection, and reads only the ranges found. ``read_archives`` takes every
-line of every block and reads its record back, archive by archive in order of the offsets.
+the key, then the lines of their blocks, each by bisection, and reads only the ranges found. ``find_captures`` does so for a table
+of URLs in tasks, and ``read_archives`` reads the records that it finds, archive by archive in order of the offsets.
 
 The shared folder has to be of a kind that ``pyarrow.fs`` opens (a mounted path, S3, GCS, HDFS).
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, fresh_path, written
+from .common import few, fresh_path, tidy, written
 
 #: Up to so many revisits are joined by broadcast (16 bytes each); more are joined by a shuffle on the id.
 BROADCAST_ROWS = 200_000
@@ -39,6 +39,7 @@ BROADCAST_ROWS = 200_000
 CAPTURES = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 CAPTURES_SQL = "key string, page_id long, url string, record_type string, archive string, offset long, length long"
 BLOCKS_SQL = "part int, block int, first_key string, lines int, data binary"
+DIRECTORY_SQL = "block int, first_key string, part int"
 
 
 def url_key(url: str | None) -> str:
@@ -160,24 +161,80 @@ def build_index(captures: DataFrame, path: str, block_lines: int = 1000, parts:
     order = ["key", "archive", "offset"]
     lines = captures.select(*order, "length").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     lines.mapInArrow(blocks, BLOCKS_SQL).write.parquet(f"{path}/blocks")
-    captures.sparkSession.read.schema(BLOCKS_SQL).parquet(f"{path}/blocks").select("part", "block", "first_key").write.parquet(f"{path}/directory")
+    captures.sparkSession.read.schema(BLOCKS_SQL).parquet(f"{path}/blocks").select("part", "block", "first_key").write.partitionBy("part").parquet(f"{path}/directory")
 
 
-def index_lines(spark: SparkSession, path: str) -> DataFrame:
-    """All lines (key, archive, offset, length) of the index's blocks."""
+def _runs(firsts: list[str], key: str) -> range:
+    """The places of a sorted list of first keys whose ranges may hold the key: equal keys may start in the range before."""
+    return range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key))
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _hits(lines: list[str], key: str) -> Iterator[tuple[str, int, int]]:
+    """(archive, offset, length) of a key in the sorted lines of a block."""
+    at = bisect.bisect_left(lines, key + " ")
+    while at < len(lines) and lines[at].startswith(key + " "):
+        _, archive, offset, length = lines[at].split(" ")
+        yield archive, int(offset), int(length)
+        at += 1
+
+
+def find_captures(spark: SparkSession, path: str, urls: DataFrame) -> DataFrame:
+    """(archive, offset, length) of all captures of the URLs (url), each once: the index's two levels, searched by tasks.
+
+    The different keys are sorted, so that a task has a stretch of them and meets the parts of the index one after another; of each part it reads
+    the sparse directory and finds the blocks by bisection. Keys then meet their blocks in a stream sorted by block, in which each block is
+    unpacked once and searched by bisection; nothing is gathered. A key with many captures has as many blocks as they fill."""
+    directory = f"{path}/index/directory"
+    parts = sorted((r[1], r[0]) for r in spark.read.schema(DIRECTORY_SQL).parquet(directory).groupBy("part").agg(F.min("first_key")).collect())
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"key": pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())})
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        fs, base = _open_fs(directory)
+        firsts, held = [k for k, _ in parts], {}
+        for batch in batches:
+            rows = []
+            for key in batch.column(0).to_pylist():
+                wanted = [parts[i][1] for i in _runs(firsts, key)]
+                for p in wanted:
+                    if p not in held:
+                        t = pq.read_table(f"{base}/part={p}", columns=["first_key", "block"], filesystem=fs, partitioning=None).to_pydict()
+                        held[p] = sorted(zip(t["first_key"], t["block"]))
+                for old in held.keys() - set(wanted):  # keys are sorted, so what lies behind is not needed again
+                    del held[old]
+                blocks = sorted((k, p, b) for p in wanted for k, b in held[p])
+                rows += [(key, *blocks[i][1:]) for i in _runs([k for k, _, _ in blocks], key)]
+            if rows:
+                k, p, b = zip(*rows)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(k, pa.string()), "part": pa.array(p, pa.int32()), "block": pa.array(b, pa.int32())})
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = []
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                rows = [x.split(" ") for x in zlib.decompress(data).decode().split("\n")]
-                key, archive, offset, length = zip(*rows)
-                yield pa.RecordBatch.from_pydict({"key": list(key), "archive": list(archive), "offset": pa.array(map(int, offset), pa.int64()), "length": pa.array(map(int, length), pa.int64())})
+            found = []
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if key is None:
+                    lines = zlib.decompress(data.as_py()).decode().split("\n")
+                else:
+                    found += _hits(lines, key)
+            if found:
+                archive, offset, length = zip(*found)
+                yield pa.RecordBatch.from_pydict({"archive": pa.array(archive, pa.string()), "offset": pa.array(offset, pa.int64()), "length": pa.array(length, pa.int64())})
 
-    return spark.read.schema(BLOCKS_SQL).parquet(f"{path}/blocks").select("data").mapInArrow(unpack, "key string, archive string, offset long, length long")
+    known = urls.select(F.col("url").cast("string")).mapInArrow(keys, "key string").distinct()
+    asked = known.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key").mapInArrow(locate, "key string, part int, block int")
+    blocks = spark.read.schema(BLOCKS_SQL).parquet(f"{path}/index/blocks").select(F.lit(None).cast("string").alias("key"), "part", "block", "data")
+    both = blocks.unionByName(asked.withColumn("data", F.lit(None).cast("binary")))
+    stream = both.repartition("part", "block").sortWithinPartitions("part", "block", F.col("key").asc_nulls_first()).select("key", "data")
+    return stream.mapInArrow(lambda batches: tidy(search(batches)), "archive string, offset long, length long")
 
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = False, read_bytes: int = 256 << 20) -> DataFrame:
-    """Every record the index knows, read by its range and checked; a task reads whole archives, about ``read_bytes`` of them, or fewer while some cores had none."""
+def read_archives(spark: SparkSession, path: str, urls: DataFrame, with_payload: bool = False, read_bytes: int = 256 << 20) -> DataFrame:
+    """The records of all captures of the URLs, found through the index, read by their ranges and checked; a task reads whole archives, about ``read_bytes`` of them, or fewer while some cores had none."""
     kept = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * with_payload]
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), *[("payload", pa.binary())] * with_payload])
 
@@ -196,7 +253,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False, re
 
     held = spark.read.schema(CAPTURES_SQL).parquet(f"{path}/captures").agg(F.sum("length"), F.approx_count_distinct("archive")).first()
     parts = max(1, -(-(held[0] or 0) // read_bytes), min(held[1], spark.sparkContext.defaultParallelism))
-    lines = index_lines(spark, f"{path}/index").select("archive", "offset", "length").repartition(parts, "archive").sortWithinPartitions("archive", "offset")
+    lines = find_captures(spark, path, urls).repartition(parts, "archive").sortWithinPartitions("archive", "offset")
     return lines.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
 
 
@@ -205,30 +262,21 @@ class CaptureIndex:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
-        self.directory = spark.read.parquet(f"{path}/index/directory")
+        self.directory = spark.read.schema(DIRECTORY_SQL).parquet(f"{path}/index/directory")
         self.blocks = spark.read.schema(BLOCKS_SQL).parquet(f"{path}/index/blocks")
         self.parts = sorted((r[1], r[0]) for r in self.directory.groupBy("part").agg(F.min("first_key")).collect())
 
-    def _runs(self, firsts: list[str], key: str) -> range:
-        """The places of a sorted list of first keys whose ranges may hold the key: equal keys may start in the range before."""
-        return range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key))
-
     def captures(self, url: str) -> list[tuple[str, int, int]]:
         """(archive, offset, length) of the URL's captures."""
         key, found = url_key(url), []
-        parts = [self.parts[i][1] for i in self._runs([k for k, _ in self.parts], key)]
+        parts = [self.parts[i][1] for i in _runs([k for k, _ in self.parts], key)]
         if not parts:
             return []
         rows = sorted(tuple(r) for r in self.directory.filter(F.col("part").isin(parts)).select("first_key", "part", "block").collect())
-        for i in self._runs([r[0] for r in rows], key):
+        for i in _runs([r[0] for r in rows], key):
             _, part, block = rows[i]
             data = self.blocks.filter((F.col("part") == part) & (F.col("block") == block)).select("data").first()[0]
-            lines = zlib.decompress(data).decode().split("\n")
-            at = bisect.bisect_left(lines, key + " ")
-            while at < len(lines) and lines[at].startswith(key + " "):
-                _, archive, offset, length = lines[at].split(" ")
-                found.append((archive, int(offset), int(length)))
-                at += 1
+            found += _hits(zlib.decompress(data).decode().split("\n"), key)
         return found
 
     def lookup(self, url: str) -> list[dict]:
@@ -261,8 +309,9 @@ def warc_store(pages: DataFrame, path: str | None = None, **options) -> str:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = warc_store(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = warc_store(pages)
+    return read_archives(spark, path, pages.select("url")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: The same columns from the pages themselves.

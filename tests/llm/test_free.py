@@ -201,7 +201,7 @@ def test_warc(spark, monkeypatch):
     for most in (200_000, 0):
         monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
         path = warc.warc_store(df)
-        rows = warc.read_archives(spark, path, with_payload=True).collect()
+        rows = warc.read_archives(spark, path, df.select("url"), with_payload=True).collect()
         assert len(rows) == len(pages)
         for r in rows:
             html = next(h for i, u, h in pages if i == r.page_id) or ""
@@ -216,7 +216,8 @@ def test_warc(spark, monkeypatch):
     files = store.get_file_info(fs.FileSelector(f"{base}/archives"))
     every = [r for f in files for r in warc.iterate_archive(store.open_input_stream(f.path, compression=None).read())]
     assert sorted(str(r["page_id"]) for r in every) == sorted(str(p[0]) for p in pages)
-    assert warc.read_archives(spark, warc.warc_store(df.filter("false"))).count() == 0
+    empty = warc.warc_store(df.filter("false"))
+    assert warc.read_archives(spark, empty, df.select("url")).count() == 0 and warc.CaptureIndex(spark, empty).lookup("http://a.org/x") == []
 
 
 def test_index_spans_blocks_and_parts(spark):
@@ -226,6 +227,16 @@ def test_index_spans_blocks_and_parts(spark):
     index = warc.CaptureIndex(spark, path)
     for i in (0, 7, 49):
         assert sorted(r["page_id"] for r in index.lookup(f"http://h{i % 5}.org/{i}")) == list(range(i, 400, 50))
+    asked = spark.createDataFrame([(u,) for u in ("http://h0.org/0", "http://h2.org/7", "http://h2.org/7", "http://H4.org:80/49", "http://none.org/", None, "zzz", "")], "url string")
+    assert sorted(r.page_id for r in warc.read_archives(spark, path, asked).collect()) == sorted(i for k in (0, 7, 49) for i in range(k, 400, 50))
+    assert warc.read_archives(spark, path, asked.limit(0)).count() == 0 and warc.read_archives(spark, path, df.select("url")).count() == 400
+
+
+def test_a_key_with_many_captures(spark):
+    df = spark.createDataFrame([(i, "http://one.org/" if i % 3 == 0 else f"http://h{i}.org/", f"x{i}") for i in range(300)], "page_id long, url string, html string")
+    path = str(warc.fresh_path(spark, "warc"))
+    warc.build_index(warc.write_archives(df, path), f"{path}/index", block_lines=5, parts=6)
+    assert sorted(r.page_id for r in warc.read_archives(spark, path, spark.createDataFrame([("http://one.org/",)], "url string")).collect()) == list(range(0, 300, 3))
 
 
 def picture():
