@@ -3,13 +3,19 @@
 A base is a dictionary of tables:
 
     documents  (doc_id, doc_type, short_name, name, ...)        quarantine: those of types without an extractor
-    concepts   (id, name, kind, subkind, position, parents, parent_id, level, law_id, short_name, raw_text)
-    edges      (src, dst, type)                                 pending: citations of laws that are not loaded
+    concepts   (id, name, kind, subkind, position, parents, parent_id, level, law_id, law, short_name, raw_text)
+    edges      (src, dst, type, law), within laws                pending: citations of other laws (ref_no, src, law, name, need)
     sentences  (id, law_id, text)                               leaves: (id, word, cnt), words with a vector
-    oov        (word)                                           words without one
+    frequencies (word, df), the number of texts beside an empty word        oov: (word), words without a vector
 
-``finalise`` adds idf (word, df, idf), bow and concept_bow (id, word, cnt), and the frames concept_vector, concept_bow_meanvector and
-bow_meanvector (id, vec). Every step is a DataFrame; where one is read several times it is a written table.
+``law`` is a law's short name, by which it is replaced. A base lies in a folder (``path``): each ingest writes the rows of its own laws as
+an epoch of each table, then the list of those laws, which commits the epoch. Of a law the rows of its last committed epoch count, so
+nothing that is there already is written again, and an ingest that fails leaves the base as it was. Document frequencies are kept as
+signed counts: an epoch adds those of its texts and takes away those of the texts that it replaces. ``compact`` folds the epochs into one.
+
+``finalise`` adds idf (word, df, idf), bow and concept_bow (id, word, cnt), the frames concept_vector, concept_bow_meanvector and
+bow_meanvector (id, vec), links citations between laws into edges (src, dst, type), and leaves in pending those that found nothing. As
+the base keeps all citations, one that comes again with a replaced law, or to it, is linked anew by the next call.
 """
 
 from __future__ import annotations
@@ -19,11 +25,20 @@ from pyspark.sql import functions as F
 
 from .functions.text import STOPWORDS
 from .functions.vectors import weighted_vectors
-from .operators import cite, graph, question, search, stats, structure
+from .operators import cite, evaluate as scores, graph, question, search, stats, structure
 from .sources import files
-from .tables import written
+from .tables import drop, fresh_path, measured, written
+
+#: Laws whose list is broadcast to pick current rows; checked by a count.
+BROADCAST_LAWS = 200_000
+
+
+class Base(dict):
+    """Tables by name. ``path``: where they lie; ``epoch``: the last ingest; ``metrics``: what its passes counted."""
 
-Base = dict[str, DataFrame]
+    def __init__(self, tables: dict[str, DataFrame], path: str | None = None, epoch: int = -1, metrics: dict | None = None) -> None:
+        super().__init__(tables)
+        self.path, self.epoch, self.metrics = path, epoch, metrics or {}
 
 
 def references(concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,48 +63,100 @@ def references(concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every.filter("id <> target_id").select(F.col("id").alias("src"), F.col("target_id").alias("dst")).distinct(), pending
 
 
-def ingest(laws: DataFrame, vocabulary: DataFrame | None = None, stopwords: list[str] = STOPWORDS, base: Base | None = None) -> Base:
+def _epoch(table: DataFrame, path: str, name: str, epoch: int) -> None:
+    table.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}/epoch={epoch}")
+
+
+def _view(spark: SparkSession, path: str, epoch: int, vocabulary: DataFrame | None) -> dict[str, DataFrame]:
+    """The base's tables as of an epoch: of each law the rows of its last one."""
+    read = lambda name, **o: spark.read.options(mergeSchema=name == "documents", **o).parquet(f"{path}/{name}").filter(F.col("epoch") <= epoch)
+    last = read("laws").groupBy(F.col("law").alias("__law")).agg(F.max("epoch").alias("__epoch"))
+    last = F.broadcast(last) if last.count() <= BROADCAST_LAWS else last
+    current = lambda name: read(name).join(last, F.col("law").eqNullSafe(F.col("__law")) & (F.col("epoch") == F.col("__epoch"))).drop("__law", "__epoch", "epoch")
+    documents, concepts, words = current("documents").drop("law"), current("concepts"), current("words").select("id", "word", "cnt")
+    frequencies = read("frequencies").groupBy("word").agg(F.sum("df").alias("df")).filter("df > 0")
+    return {
+        "documents": documents, "quarantine": documents.filter(structure.dialect(F.col("doc_type")) == "quarantine"), "concepts": concepts, "edges": current("edges"),
+        "pending": current("pending").drop("law").withColumnRenamed("cited", "law"), "sentences": concepts.filter("kind = 'sentence'").select("id", "law_id", F.col("raw_text").alias("text")), "frequencies": frequencies,
+        "leaves": words if vocabulary is None else stats.in_vocabulary(words, vocabulary), "oov": words.select("word").limit(0) if vocabulary is None else stats.out_of_vocabulary(words, vocabulary), "words": words,
+    }
+
+
+def ingest(laws: DataFrame, vocabulary: DataFrame | None = None, stopwords: list[str] = STOPWORDS, base: Base | None = None, path: str | None = None, order: list[str] | None = None) -> Base:
     """A base of the laws (doc_id, doc_type, short_name, html, ...), with those of ``base`` that they do not replace.
 
-    Laws are replaced as a whole by short name, so a law that comes twice counts once. ``vocabulary``: (word), the words that have a vector;
-    without it all words count as such.
+    Laws are replaced as a whole by short name. Of several editions of a law in one batch the one with the greatest ``order`` columns counts,
+    ties by the other columns. ``vocabulary``: (word), the words that have a vector; without it all words count as such. ``path``: the folder of
+    a new base, a fresh one by default. Only the batch is read and written, and of the base the words of the laws that it replaces.
     """
-    taken = stats.last_rows(laws, ["short_name"], [])
+    spark = laws.sparkSession
+    if base is not None and base.path is None:
+        base = _adopted(spark, base)
+    path, epoch = (base.path, base.epoch + 1) if base is not None else (path or fresh_path(spark, "base"), 0)
+    kind = structure.dialect(F.col("doc_type"))
+    taken, seen = measured(stats.last_rows(laws, ["short_name"], order or []), "laws", laws=F.count("*"), quarantined=F.count_if(kind == "quarantine"))
     blocks = written(structure.law_blocks(taken), "blocks")
     names = taken.join(blocks.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("short_name").alias("law_name"))
-    concepts = written(structure.concept_rows(blocks, names), "concepts")
+    nodes = structure.concept_rows(blocks, names).join(names.select(F.col("doc_id").alias("law_id"), F.col("law_name").alias("law")), "law_id")
+    concepts, counted = measured(nodes, "concepts", concepts=F.count("*"), sentences=F.count_if(F.col("kind") == "sentence"))
     refs, pending = references(concepts)
-    edges = graph.containment_edges(concepts).unionByName(graph.reference_edges(refs, concepts).select("src", "dst", "type"))
-    sentences = concepts.filter("kind = 'sentence'").select("id", "law_id", F.col("raw_text").alias("text"))
-    new: Base = {
-        "documents": taken.drop("html"), "quarantine": taken.filter(structure.dialect(F.col("doc_type")) == "quarantine").drop("html"),
-        "concepts": concepts, "edges": written(edges, "edges"), "pending": written(pending, "pending"), "sentences": sentences,
-    }
-    if base:
-        gone = new["documents"].select("short_name").distinct()
-        ends = lambda c: F.element_at(F.split(c, "_"), -1)  # noqa: E731  a concept's id ends with its law's short name
-        keep = lambda rows, law: rows.join(gone, law == F.col("short_name"), "left_anti")
-        old = {"documents": keep(base["documents"].withColumnRenamed("short_name", "__s"), F.col("__s")).withColumnRenamed("__s", "short_name"), "quarantine": keep(base["quarantine"].withColumnRenamed("short_name", "__s"), F.col("__s")).withColumnRenamed("__s", "short_name")}
-        old |= {"concepts": keep(base["concepts"].withColumnRenamed("short_name", "__s"), ends("id")).withColumnRenamed("__s", "short_name"), "edges": keep(base["edges"], ends("src")), "pending": keep(base["pending"], ends("src")), "sentences": keep(base["sentences"], ends("id"))}
-        new = {k: written(old[k].unionByName(v, allowMissingColumns=True), k) for k, v in new.items()}
-    words = stats.word_rows(new["sentences"], "id", "text", stopwords)
-    counts = written(words.groupBy("id", "word").agg(F.count("*").cast("double").alias("cnt")), "words")
-    new["leaves"] = counts if vocabulary is None else written(stats.in_vocabulary(counts, vocabulary), "leaves")
-    new["oov"] = counts.select("word").limit(0) if vocabulary is None else stats.out_of_vocabulary(counts, vocabulary)
-    return new
+    law_of = concepts.select(F.col("id").alias("src"), "law")
+    edges = graph.containment_edges(concepts).unionByName(graph.reference_edges(refs, concepts).select("src", "dst", "type")).join(law_of, "src").select("src", "dst", "type", "law")
+    said = concepts.filter("kind = 'sentence'").select("id", "law", F.col("raw_text").alias("text"))
+    words = written(said.select("id", "law", F.explode(stats.tokens(F.col("text"), stopwords)).alias("word")).groupBy("id", "law", "word").agg(F.count("*").cast("double").alias("cnt")), "words")
+
+    counts = lambda rows, n, sign: rows.groupBy("word").agg((F.lit(sign) * F.count("*")).alias("df")).unionByName(n.agg((F.lit(sign) * F.count("*")).alias("df")).select(F.lit("").alias("word"), "df"))
+    delta = counts(words, said, 1)
+    if base is not None:
+        replaced = taken.select(F.col("short_name").alias("__new"))
+        old = base["concepts"].filter("kind = 'sentence'").join(replaced, F.col("law").eqNullSafe(F.col("__new")), "left_semi").select("id")
+        delta = delta.unionByName(counts(base["words"].join(old, "id", "left_semi"), old, -1))
+    rows = {"documents": taken.drop("html").withColumn("law", F.col("short_name")), "concepts": concepts, "edges": edges, "pending": pending.withColumnRenamed("law", "cited").join(law_of, "src"), "words": words}
+    for name, table in rows.items():
+        _epoch(table, path, name, epoch)
+    _epoch(delta.groupBy("word").agg(F.sum("df").alias("df")).filter("df <> 0 or word = ''"), path, "frequencies", epoch)
+    _epoch(taken.select(F.col("short_name").alias("law")), path, "laws", epoch)  # from here on the epoch counts
+    drop(taken, blocks, concepts, words)
+    return Base(_view(spark, path, epoch, vocabulary), path, epoch, {**seen, **counted})
+
+
+def _adopted(spark: SparkSession, base: dict[str, DataFrame]) -> Base:
+    """A base that was loaded from a snapshot, in a folder of its own, so that laws can be added to it."""
+    path = fresh_path(spark, "base")
+    law_of = base["concepts"].select(F.col("id").alias("src"), "law")
+    rows = {"documents": base["documents"].withColumn("law", F.col("short_name")), "concepts": base["concepts"], "words": base["words"].join(law_of.withColumnRenamed("src", "id"), "id")}
+    rows |= {"edges": base["own_edges"] if "own_edges" in base else base["edges"], "pending": base["citations" if "citations" in base else "pending"].withColumnRenamed("law", "cited").join(law_of, "src"), "frequencies": base["frequencies"], "laws": base["documents"].select(F.col("short_name").alias("law"))}
+    for name, table in rows.items():
+        _epoch(table, path, name, 0)
+    return Base(_view(spark, path, 0, None), path, 0)
+
+
+def compact(base: Base, spark: SparkSession, vocabulary: DataFrame | None = None) -> Base:
+    """The base folded into one epoch of a new folder, without replaced rows; the old folder can go once nothing reads it."""
+    return Base(_view(spark, (new := _adopted(spark, base)).path, 0, vocabulary), new.path, 0)
+
+
+def linked(base: Base) -> Base:
+    """The base with the citations between its laws as edges; pending keeps those that found nothing, missing the edges that lead nowhere.
+
+    All citations are linked, whatever an earlier call has found, so a law that was replaced loses and gets its edges like any other."""
+    own, citations = (base[k] if k in base else base[other] for k, other in (("own_edges", "edges"), ("citations", "pending")))
+    nodes = written(base["concepts"], "concepts")
+    links, pending = cite.link_deferred(citations, nodes.select("id", F.col("law").alias("law_id"), "name", "parents"))
+    there = links.distinct().select("src", "dst", F.lit("ref_to").alias("type"))
+    edges = own.select("src", "dst", "type").unionByName(there).unionByName(there.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("ref_from").alias("type")))
+    made = {"own_edges": own, "citations": citations, "concepts": nodes, "edges": written(graph.prune(edges, nodes), "edges"), "pending": pending, "missing": graph.missing_neighbours(edges, nodes)}
+    return Base({**base, **made}, base.path, base.epoch)
 
 
 def finalise(base: Base, word_vectors: DataFrame, threshold: float = 0.1, theta: float = 0.08, max_sweeps: int = 50) -> tuple[Base, dict[str, list[dict]]]:
     """The base with roll-ups, linked citations, smoothed vectors and bags, and reports of both loops. ``word_vectors``: (word, vec)."""
-    nodes = base["concepts"]
-    links, pending = cite.link_deferred(base["pending"], nodes.select("id", F.element_at(F.split("id", "_"), -1).alias("law_id"), "name", "parents"))
-    linked = links.distinct().select("src", "dst", F.lit("ref_to").alias("type"))
-    edges = base["edges"].unionByName(linked).unionByName(linked.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("ref_from").alias("type")))
-    missing = graph.missing_neighbours(edges, nodes)
-    edges = written(graph.prune(edges, nodes), "edges")
-    n = base["sentences"].count()
-    idf = written(stats.inverse_frequency(stats.document_frequency(base["leaves"]), n), "idf")
-    bow = written(stats.roll_up(base["leaves"], graph.ancestors(nodes)).select("id", "word", "cnt"), "bow")
+    base = linked(base)
+    nodes, edges = base["concepts"], base["edges"]
+    leaves, counts = written(base["leaves"], "leaves"), base["frequencies"]
+    n = texts_of(base)
+    idf = written(stats.inverse_frequency(counts.join(leaves.select("word").distinct(), "word", "left_semi"), n), "idf")
+    bow = written(stats.roll_up(leaves, graph.ancestors(nodes)).select("id", "word", "cnt"), "bow")
     vectors = word_vectors.select("word", "vec")
 
     def centroids(bag: DataFrame) -> DataFrame:
@@ -103,7 +170,13 @@ def finalise(base: Base, word_vectors: DataFrame, threshold: float = 0.1, theta:
         "bow_meanvector": written(weighted_vectors(bow.join(vectors, "word"), "id", "vec", F.col("cnt")).filter("vec[0] is not null"), "frame"),
     }
     texts = written(rolled_text(nodes), "texts")
-    return base | frames | {"edges": edges, "pending": pending, "missing": missing, "idf": idf, "bow": bow, "concept_bow": spread, "texts": texts}, {"propagate": moves, "diffuse": sweeps}
+    return Base({**base, **frames, "idf": idf, "bow": bow, "concept_bow": spread, "texts": texts}, base.path, base.epoch), {"propagate": moves, "diffuse": sweeps}
+
+
+def texts_of(base: dict[str, DataFrame]) -> int:
+    """The number of sentences, as the frequencies keep it."""
+    row = base["frequencies"].filter("word = ''").first()
+    return int(row.df) if row else 0
 
 
 def rolled_text(nodes: DataFrame) -> DataFrame:
@@ -120,7 +193,7 @@ def answer(base: Base, word_vectors: DataFrame, queries: DataFrame, k: int = 3,
     Query words without a vector take part in no distance; ``question.question_bag`` names them."""
     vectors = word_vectors.select("word", "vec")
     words = written(question.question_words(queries, vectors, stopwords), "question-words")
-    asked = written(question.question_vectors(queries, words, base["idf"], base["sentences"].count(), vectors), "question-vectors").withColumnRenamed("vec", "query_vec")
+    asked = written(question.question_vectors(queries, words, base["idf"], texts_of(base), vectors), "question-vectors").withColumnRenamed("vec", "query_vec")
     numbered = vectors.withColumn("vec_id", F.col("word"))
     share = lambda bag, key: stats.term_frequency(bag.join(vectors.select("word"), "word", "left_semi"), key).select(F.col(key), "word", F.col("tf").alias("p"), F.col("word").alias("vec_id"))
     q = written(share(question.question_bag(words).filter("known").select("query_id", "word", "cnt"), "query_id"), "query-words")
@@ -134,9 +207,22 @@ def answer(base: Base, word_vectors: DataFrame, queries: DataFrame, k: int = 3,
     return search.measures(q, tree, bags, numbered.select("vec_id", "vec"), asked, frames, levels, written, k)
 
 
+def evaluate(base: dict[str, DataFrame], word_vectors: DataFrame, gold: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """A gold set (query_id, query_text, target) asked of the base: (measure, accuracy, n), and (query_id, measure, concept_id, distance, target,
+    in_database, steps, score) of each query's best concept by each measure; where it found none, these are null and the score is zero."""
+    asked = gold.select("query_id", F.col("query_text").alias("text"))
+    found = written(answer(base, word_vectors, asked, k), "answers")
+    known = scores.with_membership(gold.select("query_id", "target"), base["concepts"])
+    measured_by = known.crossJoin(F.broadcast(found.select("measure").distinct()))  # ten at most
+    rows = measured_by.join(found.filter("rank = 1").drop("rank"), ["query_id", "measure"], "left").withColumn("steps", scores.tree_distance(F.col("target"), F.col("concept_id")))
+    rows = rows.withColumn("score", F.coalesce(scores.tree_score(F.col("steps")), F.lit(0)))
+    return scores.accuracy(found, gold), rows.select("query_id", "measure", "concept_id", "distance", "target", "in_database", "steps", "score")
+
+
 def save(base: Base, path: str) -> None:
     files.save_tables(base, path)
 
 
 def load(spark: SparkSession, path: str) -> Base:
-    return files.load_tables(spark, path)
+    """A snapshot; the first ingest into it writes it to a folder of its own."""
+    return Base(files.load_tables(spark, path))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import l2_distance, weighted_vectors
-from ..tables import drop
+from ..functions.vectors import l2_distance
+from ..tables import drop, measured
 
 
 def concept_id(name: Column, parents: Column) -> Column:
@@ -49,51 +49,94 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.explode(ids).alias("ancestor"))
 
 
-def half_sweep(values: DataFrame, edges: DataFrame, parity: int, active: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+def vector_sums(rows: DataFrame, key: str, vec: str, n: Column | None = None) -> DataFrame:
+    """(key, total, n): the sum of the vectors of each key, added up map-side first, and their number, or the sum of ``n``."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    sums = rows.withColumn("__x", array_to_vector(F.col(vec).cast("array<double>"))).groupBy(key).agg(Summarizer.sum(F.col("__x")).alias("__s"), (F.count("*") if n is None else F.sum(n)).alias("n"))
+    return sums.select(key, vector_to_array("__s").alias("total"), "n")
+
+
+def half_sweep(values: DataFrame, edges: DataFrame, parity: int, fixed: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """New vectors of the nodes whose level has this parity: the mean of their neighbours' vectors, each edge counted.
 
-    ``values``: (id, level, vec). Nodes without a neighbour that has a vector keep theirs.
-    """
+    ``values``: (id, level, vec). Nodes without a neighbour that has a vector keep theirs. ``fixed`` (id, total, n) are sums over neighbours that
+    are not among the values."""
     turn = values.filter((F.col("level") % 2 == parity) & F.col("vec").isNotNull()).select("id")
-    if active is not None:
-        turn = turn.join(active, "id", "left_semi")
     near = edges.select(F.col("src").alias("id"), "dst").join(turn, "id").join(values.filter("vec is not null").select(F.col("id").alias("dst"), "vec"), "dst")
-    new = weighted_vectors(near, "id", "vec", F.lit(1.0)).withColumnRenamed("vec", "__new")
-    mean = F.col("__new") if digits is None else F.transform("__new", lambda x: F.round(x, digits))
+    new = vector_sums(near, "id", "vec")
+    if fixed is not None:
+        new = merged(new.unionByName(fixed.join(turn, "id", "left_semi").select("id", "total", "n")))
+    mean = F.transform("total", lambda x: x / F.col("n") if digits is None else F.round(x / F.col("n"), digits))
     return values.join(new, "id", "left").select("id", "level", F.coalesce(mean, F.col("vec")).alias("vec"))
 
 
+def merged(sums: DataFrame) -> DataFrame:
+    """(id, total, n) of rows (id, total, n): sums of sums."""
+    return vector_sums(sums, "id", "total", F.col("n"))
+
+
 def propagate(values: DataFrame, edges: DataFrame, threshold: float, max_sweeps: int, written, digits: int | None = None) -> tuple[DataFrame, list[dict]]:
     """Sweeps of two half-sweeps, even levels first, until every node was stable twice or ``max_sweeps`` are done.
 
     A node is stable in a sweep after its first if its vector moved by less than ``threshold``; the counts add up over sweeps
     that need not follow one another, and at two the node is frozen. ``written(df, name)`` stores a table in a shared folder
-    and returns it read back, so that lineage does not grow. Also a report a sweep: how many nodes are still active, the largest move.
-    """
-    active, report, own = values.select("id").distinct().withColumn("stable", F.lit(0)), [], []
+    and returns it read back, so that lineage does not grow.
+
+    A frozen node leaves the sweeps: its vector goes to a table that is not touched again, and what it gives its neighbours that go on
+    is added once to their fixed sums; edges from and to it go. So a sweep reads and writes only nodes that can still move, with their fixed
+    sums and the edges between them. Also a report a sweep: how many nodes are still active, the largest move, the rows written."""
+    live = written(values.filter("vec is not null").select("id", "level", "vec", F.lit(0).alias("stable")), "live")
+    settled, report, fixed = [values.filter("vec is null").select("id", "level", "vec")], [], None
+    ends = live.select("id")
+    around = written(edges.select("src", "dst").join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi"), "live-edges")
     for sweep in range(max_sweeps):
-        before = values
+        before, steps = live, []
         for parity in (0, 1):
-            values = written(half_sweep(values, edges, parity, active, digits), "sweep")
-            own.append(values)
-        if sweep == 0:
+            steps.append(written(half_sweep(steps[-1] if steps else before.select("id", "level", "vec"), around, parity, fixed, digits), "sweep"))
+        moved = steps[1].join(before.select("id", "stable", F.col("vec").alias("__old")), "id")
+        moved = moved.select("id", "level", "vec", l2_distance(F.col("vec"), F.col("__old")).alias("d"), "stable")
+        if sweep == 0:  # a first move says nothing
+            live = written(moved.select("id", "level", "vec", "stable"), "live")
+            drop(before, *steps)
             continue
-        moved = values.join(before.select("id", F.col("vec").alias("__old")), "id").select("id", l2_distance(F.col("vec"), F.col("__old")).alias("d"))
-        active = written(active.join(moved, "id").select("id", (F.col("stable") + (F.col("d") < threshold).cast("int")).alias("stable"), "d").filter("stable < 2"), "active")
-        n, most = active.agg(F.count("*"), F.max("d")).first()
-        report.append({"sweep": sweep + 1, "active": n, "largest_move": most})
-        drop(*[t for t in own if t is not values])  # nothing reads what came before
-        own = [values, active]
-        active = active.drop("d")
-        if not n:
+        going = F.col("stable") < 2
+        judged, seen = measured(moved.withColumn("stable", F.col("stable") + (F.col("d") < threshold).cast("int")), "judged", rows=F.count("*"), active=F.count_if(going), most=F.max(F.when(going, F.col("d"))))
+        report.append({"sweep": sweep + 1, "active": seen["active"], "largest_move": seen["most"], "written": seen["rows"]})
+        drop(before, *steps)
+        if seen["active"] == seen["rows"]:
+            live = judged
+            continue
+        frozen = written(judged.filter("stable >= 2").select("id", "level", "vec"), "settled")
+        settled.append(frozen)
+        live = written(judged.filter("stable < 2").select("id", "level", "vec", "stable"), "live")
+        drop(judged)
+        if not seen["active"]:
             break
-    return values, report
-
-
-def diffuse(bow: DataFrame, edges: DataFrame, idf: DataFrame, theta: float = 0.08) -> DataFrame:
-    """One sweep over (id, word, cnt): neighbours' mean counts that are characteristic enough are averaged into the own ones."""
-    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg"))
-    near = edges.select(F.col("src").alias("id"), "dst").join(bow.select(F.col("id").alias("dst"), "word", "cnt"), "dst").groupBy("id", "word").agg(F.sum("cnt").alias("s"))
+        ends = live.select("id")
+        mine = around.join(ends.withColumnRenamed("id", "src"), "src", "left_semi")
+        given = vector_sums(mine.join(frozen.select(F.col("id").alias("dst"), "vec"), "dst").select(F.col("src").alias("id"), "vec"), "id", "vec")
+        added = given if fixed is None else merged(given.unionByName(fixed.join(ends, "id", "left_semi").select("id", "total", "n")))
+        old, fixed = [around, *([] if fixed is None else [fixed])], written(added, "fixed-sums")
+        around = written(mine.join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi"), "live-edges")
+        drop(*old)
+    out = live.select("id", "level", "vec")
+    for t in settled:
+        out = out.unionByName(t)
+    done = written(out, "smooth")
+    drop(live, around, *settled[1:], *([] if fixed is None else [fixed]))
+    return done, report
+
+
+def diffuse(bow: DataFrame, edges: DataFrame, idf: DataFrame, theta: float = 0.08, degree: DataFrame | None = None, fixed: DataFrame | None = None) -> DataFrame:
+    """One sweep over (id, word, cnt): neighbours' mean counts that are characteristic enough are averaged into the own ones.
+
+    ``degree`` (id, deg) and ``fixed`` (id, word, s): the number of all edges, and sums over neighbours that are not in ``bow``."""
+    if degree is None:
+        degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg"))
+    drawn = edges.select(F.col("src").alias("id"), "dst").join(bow.select(F.col("id").alias("dst"), "word", F.col("cnt").alias("s")), "dst").select("id", "word", "s")
+    near = (drawn if fixed is None else drawn.unionByName(fixed)).groupBy("id", "word").agg(F.sum("s").alias("s"))
     near = near.join(degree, "id").select("id", "word", (F.col("s") / F.col("deg")).alias("nb"))
     share = F.col("nb") / F.sum("nb").over(Window.partitionBy("id"))
     near = near.withColumn("share", share).join(idf.select("word", "idf"), "word").filter(F.round(F.col("share") * F.col("idf"), 9) > theta).select("id", "word", "nb")
@@ -105,21 +148,40 @@ def diffuse_all(bow: DataFrame, edges: DataFrame, idf: DataFrame, max_sweeps: in
     """Sweeps of ``diffuse`` until every node is frozen, or ``max_sweeps`` are done; and a report a sweep.
 
     A node whose bag has as many words after a sweep as before it has an unchanged visit; at two, which need not follow one another, it is
-    frozen and keeps its bag, from which its neighbours go on to draw."""
-    size = lambda b: b.groupBy("id").agg(F.count("*").alias("n"))
-    nodes = edges.select(F.col("src").alias("id")).union(bow.select("id")).distinct()
-    active, report = written(nodes.withColumn("unchanged", F.lit(0)), "active"), []
-    bow = written(bow.select("id", "word", "cnt"), "bags")
+    frozen and keeps its bag. As in ``propagate``, frozen bags go to tables that are not touched again, and their neighbours, which go on to
+    draw from them, get their sums once; a sweep reads and writes only the bags that can still change."""
+    active = written(edges.select(F.col("src").alias("id")).union(bow.select("id")).distinct().withColumn("unchanged", F.lit(0)), "active")
+    degree = written(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg")), "degrees")
+    live, around = written(bow.select("id", "word", "cnt"), "bags"), written(edges.select("src", "dst"), "live-edges")
+    settled, report, fixed = [], [], None
+    sizes = lambda b, n: b.groupBy("id").agg(F.count("*").alias(n))
     for sweep in range(max_sweeps):
-        new = diffuse(bow, edges.join(active.select(F.col("id").alias("src")), "src", "left_semi"), idf, theta).join(active.select("id"), "id", "left_semi")
-        after = written(bow.join(active.select("id"), "id", "left_anti").select("id", "word", "cnt").unionByName(new.select("id", "word", "cnt")), "bags")
-        same = active.join(size(bow), "id", "left").join(size(after).withColumnRenamed("n", "m"), "id", "left")
+        after, seen = measured(diffuse(live, around, idf, theta, degree, fixed).select("id", "word", "cnt"), "bags", rows=F.count("*"))
+        same = active.join(sizes(live, "n"), "id", "left").join(sizes(after, "m"), "id", "left")
         same = same.select("id", (F.col("unchanged") + (F.coalesce("n", F.lit(0)) == F.coalesce("m", F.lit(0))).cast("int")).alias("unchanged"))
-        left = written(same.filter("unchanged < 2"), "active")
-        drop(active, bow)
-        active, bow = left, after
-        n = active.count()
-        report.append({"sweep": sweep + 1, "active": n})
-        if not n:
+        judged, counted = measured(same, "active", nodes=F.count("*"), going=F.count_if((F.col("unchanged") < 2)))
+        report.append({"sweep": sweep + 1, "active": counted["going"], "written": seen["rows"]})
+        drop(live, active)
+        if counted["going"] == counted["nodes"]:
+            live, active = after, judged
+            continue
+        active = written(judged.filter("unchanged < 2"), "active")
+        frozen = written(after.join(active.select("id"), "id", "left_anti"), "settled")
+        settled.append(frozen)
+        live = written(after.join(active.select("id"), "id", "left_semi"), "bags")
+        drop(judged, after)
+        if not counted["going"]:
             break
-    return bow, report
+        ends = active.select("id")
+        mine = around.join(ends.withColumnRenamed("id", "src"), "src", "left_semi")
+        given = mine.join(frozen.select(F.col("id").alias("dst"), "word", "cnt"), "dst").select(F.col("src").alias("id"), "word", F.col("cnt").alias("s"))
+        every = given if fixed is None else given.unionByName(fixed.join(ends, "id", "left_semi"))
+        old, fixed = [around, *([] if fixed is None else [fixed])], written(every.groupBy("id", "word").agg(F.sum("s").alias("s")), "fixed-sums")
+        around = written(mine.join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi"), "live-edges")
+        drop(*old)
+    out = live.select("id", "word", "cnt")
+    for t in settled:
+        out = out.unionByName(t)
+    done = written(out, "bags")
+    drop(live, active, degree, around, *settled, *([] if fixed is None else [fixed]))
+    return done, report

@@ -69,32 +69,52 @@ def latex_table(rows: DataFrame, order: str, caption: str, label: str, float_for
     return f"\\begin{{table}}\n\\caption{{{caption}}}\n\\label{{{label}}}\n\\begin{{tabular}}{{{'l' * len(rows.columns)}}}\n\\toprule\n{head} \\\\\n\\midrule\n{body}\n\\bottomrule\n\\end{{tabular}}\n\\end{{table}}"
 
 
-def layout(points: DataFrame, rounds: int = 4, seed: int = 42) -> DataFrame:
-    """(query_id, name, x, y): points of a query drawn to their distance from the focus and apart from one another, from a seeded start.
-
-    A query has as many points as its frame, a few hundred.
+def stress_layout(distance: np.ndarray, weight: np.ndarray, start: np.ndarray, rounds: int) -> np.ndarray:
+    """Points in the plane whose distances come near the given ones, by majorising the weighted stress."""
+    inverse = np.linalg.pinv(np.diag(weight.sum(1)) - weight)
+    xy = start
+    for _ in range(rounds):
+        now = np.linalg.norm(xy[:, None] - xy[None, :], axis=2)
+        b = -weight * np.divide(distance, now, out=np.zeros_like(now), where=now > 1e-12)
+        b[np.diag_indices(len(b))] = -b.sum(1)
+        xy = inverse @ (b @ xy)
+    return xy
+
+
+def layout(points: DataFrame, rounds: int = 60, seed: int = 42) -> DataFrame:
+    """(query_id, name, x, y): points of a query, drawn so that distances in the picture come near those of their vectors; the focus is the origin.
+
+    ``points``: (query_id, name, point_type, distance, vec). Two points are as far from one another as their vectors; a point without a vector
+    has only its distance from the focus. A query has as many points as its frame, a few hundred.
     """
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("name").reset_index(drop=True)
+        n = len(pdf)
         rng = np.random.default_rng([seed, int(pdf["query_id"].iloc[0]) & 0xFFFFFFFF])
-        xy = rng.uniform(-1, 1, (len(pdf), 2))
-        want = pdf["distance"].fillna(0.0).to_numpy()
-        gap = np.abs(want[:, None] - want[None, :])
-        for _ in range(rounds):
-            for i in range(len(xy)):
-                d = xy - xy[i]
-                r = np.maximum(np.linalg.norm(d, axis=1), 1e-9)
-                pull = (gap[i] - r) / r / 2
-                pull[i] = 0
-                xy += d * pull[:, None] / max(1, len(xy))
+        want = pdf["distance"].fillna(0.0).to_numpy(float)
+        dims = max((len(v) for v in pdf["vec"] if v is not None), default=0)
+        there = np.array([v is not None and len(v) == dims for v in pdf["vec"]])
+        vec = np.array([v if t else np.zeros(dims) for v, t in zip(pdf["vec"], there)], float).reshape(n, dims)
+        gap = np.sqrt(np.maximum((vec**2).sum(1)[:, None] + (vec**2).sum(1)[None, :] - 2 * vec @ vec.T, 0))
+        weight = (there[:, None] & there[None, :]).astype(float)
+        for f in pdf.index[pdf["point_type"] == "input"]:  # the focus has a known distance to every point
+            loose = ~there if there[f] else np.ones(n, bool)
+            gap[f, loose] = gap[loose, f] = want[loose]
+            weight[f, loose] = weight[loose, f] = 1
+        np.fill_diagonal(weight, 0)
+        xy = stress_layout(gap, weight, rng.uniform(-1, 1, (n, 2)), rounds)
         focus = pdf.index[pdf["point_type"] == "input"]
         xy -= xy[focus[0]] if len(focus) else xy.mean(0)
-        r = np.maximum(np.linalg.norm(xy, axis=1), 1e-9)
-        xy *= np.where(want > 0, want / r, 0)[:, None]
         return pd.DataFrame({"query_id": pdf["query_id"], "name": pdf["name"], "x": xy[:, 0], "y": xy[:, 1]})
 
-    return points.groupBy("query_id").applyInPandas(place, "query_id long, name string, x double, y double")
+    return points.select("query_id", "name", "point_type", "distance", "vec").groupBy("query_id").applyInPandas(place, "query_id long, name string, x double, y double")
+
+
+def picture(points: DataFrame, places: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """The points of a query with their coordinates, and the text (name, text) of those that have one."""
+    rows = points.drop("vec").join(places, ["query_id", "name"])
+    return rows.withColumn("text", F.lit(None).cast("string")) if texts is None else rows.join(texts.select("name", "text"), "name", "left")
 
 
 def default_selection(neighbour_type: Column) -> Column:

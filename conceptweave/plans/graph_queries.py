@@ -258,9 +258,23 @@ def neighbour_options(spark, sf):
     return report.neighbour_options(frame(spark, sf), "wmd_bow")
 
 
+def with_vectors(points, spark, sf):
+    """Points with the vector of the word, the concept or the query that each stands for."""
+    c = Conversations(spark, sf)
+    words = c.with_vec_id(points.filter("point_type = 'word'").select(F.col("name").alias("word")).distinct()).join(c.vectors, "vec_id")
+    of = words.select(F.lit("word").alias("point_type"), F.lit(None).cast("long").alias("of"), F.col("word").alias("name"), F.col("vec").cast("array<double>").alias("vec"))
+    of = of.unionByName(c.centroids().select(F.lit("concept").alias("point_type"), F.lit(None).cast("long").alias("of"), F.col("id").alias("name"), "vec"))
+    of = of.unionByName(question_vectors(spark, sf, c).select(F.lit("input").alias("point_type"), F.col("query_id").alias("of"), F.lit("input").alias("name"), "vec"))
+    hit = (points["point_type"] == of["point_type"]) & (points["name"] == of["name"]) & (of["of"].isNull() | (of["of"] == points["query_id"]))
+    return points.join(of, hit, "left").select(*[points[x] for x in points.columns], of["vec"])
+
+
 @query("layout_2d")
 def layout_2d(spark, sf):
-    return report.layout(frame(spark, sf))
+    """Points with coordinates, and the texts of the turns among them: one table for the picture. Tested by points of known distances."""
+    points = written(with_vectors(written(frame(spark, sf), "frame"), spark, sf), "points")
+    texts = table(spark, sf, "conversations").select(F.concat(F.lit("T"), "turn", F.lit("_C"), "conv_id").alias("name"), "text")
+    return report.picture(points, report.layout(points), texts)
 
 
 @query("latex_rows", r"SELECT p_partkey, concat_ws(' & ', regexp_replace(p_name, '([&%$#_{}])', '\\\1', 'g'), regexp_replace(p_brand, '([&%$#_{}])', '\\\1', 'g'), p_size) || ' \\' AS line FROM part")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``df`` as a written table, and the values of aggregates that the pass which writes it has filled."""
+    seen = Observation(name)
+    return written(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name), seen.get
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

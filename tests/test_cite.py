@@ -110,3 +110,21 @@ def test_deferred_links(spark):
     concepts = spark.createDataFrame([("A", "A", "A", []), ("§ 1._A", "A", "§ 1.", ["A"])], "id string, law_id string, name string, parents array<string>")
     links, rest = cite.link_deferred(pending, concepts)
     assert {tuple(r) for r in links.collect()} == {("s1", "§ 1._A"), ("s2", "A")} and [r.ref_no for r in rest.collect()] == [3]
+
+
+def test_absurd_numbers_give_defined_rows(spark):
+    par = lambda t: [[n, *p] for n, p in rows(spark, t, cite.paragraph_refs, "target_name", "target_parents")]
+    assert par("§ 5, stk. 99999999999") == [[f"{P}5."]]
+    assert par("§ 5, stk. 1-2000000000") == [["Stk. 1.", f"{P}5."], ["Stk. 2000000000.", f"{P}5."]]
+    assert par("§ 5, stk. 3-1") == [["Stk. 3.", f"{P}5."], ["Stk. 1.", f"{P}5."]]
+    assert par("§ 5, nr. 99999999999, 2 og 4") == [["2)", "Stk. 1.", f"{P}5."], ["4)", "Stk. 1.", f"{P}5."]]
+    assert len(par("§ 5, stk. 1-1000")) == 1000 and len(par("§ 5, stk. 1-1001")) == 2
+    assert rows(spark, "se 99999999999. pkt. her", cite.pkt_refs, "pkt") == [] and rows(spark, "se 2. pkt. her", cite.pkt_refs, "pkt") == [(2,)]
+    ends = spark.createDataFrame([("L", f"{P}1.", f"{P}99999999999999999999."), ("L", f"{P}1.", f"{P}999999999999999999.")], "law_id string, first string, last string")
+    pars = spark.createDataFrame([("L", f"{P}1.", "x"), ("L", f"{P}999999999999999999.", "y")], "law_id string, name string, id string")
+    assert cite.expand_ranges(ends, pars).count() == 0
+
+
+def test_the_end_of_a_range_takes_no_preposition(spark):
+    assert rows(spark, "efter §§ 1-3 i loven", cite.range_refs, "first", "last") == [(f"{P}1.", f"{P}3.")]
+    assert rows(spark, "efter §§ 1 i-3 b i loven", cite.range_refs, "first", "last") == [(f"{P}1 i.", f"{P}3 b.")]

@@ -55,6 +55,8 @@ def test_finalise_and_answer(spark, base, tmp_path):
     assert text["LOV nr 2"] == "Hesten følger § 2 i funktionærloven.\nhunden"
     engine.save(done, f"{tmp_path}/base")
     done = engine.load(spark, f"{tmp_path}/base")
+    more = engine.ingest(spark.createDataFrame([law("LOV nr 2", {1: "Katten."}, "c")], LAWS), vectors(spark).select("word"), base=done)
+    assert more["sentences"].filter("text = 'Katten.'").count() == 1 and more["sentences"].count() == done["sentences"].count() - 1
     queries = spark.createDataFrame([(1, "Katten sover. Ukendt."), (2, "Hunden!"), (3, "ukendt")], "query_id long, text string")
     out = engine.answer(done, vectors(spark), queries).collect()
     names = {f"{m}_{b}" for m in search.LABELS.values() for b in ("bow", "concept_bow")} | {"concept_vector", "concept_bow_meanvector"}
@@ -63,6 +65,83 @@ def test_finalise_and_answer(spark, base, tmp_path):
     assert best[(1, "wmd_bow")].concept_id.endswith("LBK nr 1002 af 24/08/2017") and best[(2, "wmd_bow")].distance == 0
 
 
+def law(short, body, doc_id="d", kind="LBK"):
+    return (doc_id, kind, short, "N", "".join(f'<p class="Paragraf"><span class="ParagrafNr">§ {k}.</span> {t}</p>' for k, t in body.items()))
+
+
+def ids(df, *cols):
+    return sorted(tuple(r) for r in df.select(*cols).collect())
+
+
+CITED = "LBK nr 1002 af 24/08/2017"  # the law that is meant by its usual name
+
+
+def test_a_replaced_law_is_linked_again(spark):
+    """Finalise, replace the cited law, or the citing one, finalise: the same edges and frequencies as of all laws at once."""
+    a, b = law("A_nr 1", {1: "Hesten følger § 2 i funktionærloven.", 2: "Katten sover."}, "a"), law(CITED, {1: "Hunden.", 2: "Fuglen synger."}, "b")
+    b2, a2 = law(CITED, {1: "Hunden sover.", 2: "Hesten.", 3: "Ny."}, "b2"), law("A_nr 1", {1: "Fuglen følger § 3 i funktionærloven."}, "a2")
+    frame = lambda *rows: spark.createDataFrame(list(rows), LAWS)
+    words = vectors(spark).select("word")
+    finish = lambda base: engine.finalise(base, vectors(spark))[0]
+    base = finish(engine.ingest(frame(a, b), words))
+    for new, rest, done in ((b2, a, finish), (a2, b2, engine.linked)):
+        base = done(engine.ingest(frame(new), words, base=base))
+        once = done(engine.ingest(frame(new, rest), words))
+        for table, cols in (("edges", ("src", "dst", "type")), ("concepts", ("id", "raw_text")), ("frequencies", ("word", "df")), ("leaves", ("id", "word", "cnt")), ("pending", ("src", "law"))):
+            assert ids(base[table].na.fill(""), *cols) == ids(once[table].na.fill(""), *cols), table
+        assert {r.type for r in base["edges"].collect()} == {"parent", "child", "ref_to", "ref_from"}
+        if done is finish:
+            assert {r.id: [round(x, 9) for x in r.vec] for r in base["concept_vector"].collect()} == {r.id: [round(x, 9) for x in r.vec] for r in once["concept_vector"].collect()}
+
+
+def test_files_of_other_laws_stay_the_same(spark, tmp_path):
+    import os
+
+    frame = lambda *rows: spark.createDataFrame(list(rows), LAWS)
+    base = engine.ingest(frame(law("A", {1: "Hunden."}, "a"), law("B", {1: "Katten."}, "b")), path=f"{tmp_path}/base")
+    files = lambda: {f"{d}/{f}": os.stat(f"{d}/{f}").st_mtime_ns for d, _, names in os.walk(f"{tmp_path}/base") for f in names}
+    before = files()
+    again = engine.ingest(frame(law("B", {1: "Fuglen."}, "b2")), base=base)
+    after = files()
+    assert before.items() <= after.items() and len(after) > len(before)
+    assert ids(again["sentences"], "text") == [("Fuglen.",), ("Hunden.",)] and ids(base["sentences"], "text") == [("Hunden.",), ("Katten.",)]
+    assert ids(again["frequencies"], "word", "df") == [("", 2), ("fuglen", 1), ("hunden", 1)] and (again.metrics["laws"], again.metrics["sentences"]) == (1, 1)
+    gone = engine.ingest(frame(law("B", {1: "Nix."}, "b3", "BEK")), base=again)
+    assert ids(gone["sentences"], "text") == [("Hunden.",)] and ids(gone["quarantine"], "doc_id") == [("b3",)] and gone.metrics["quarantined"] == 1 and engine.texts_of(gone) == 1
+    small = engine.compact(gone, spark)
+    assert small.path != gone.path and all(ids(small[t], *c) == ids(gone[t], *c) for t, c in (("sentences", ("id", "text")), ("edges", ("src", "dst", "type")), ("frequencies", ("word", "df")), ("documents", ("doc_id",))))
+
+
+def test_the_last_edition_of_a_batch_counts(spark):
+    rows = spark.createDataFrame([(*law("A", {1: "Ny."}, "a1"), 10), (*law("A", {1: "Gammel."}, "a2"), 9)], LAWS + ", year int")
+    assert ids(engine.ingest(rows, order=["year"])["sentences"], "text") == [("Ny.",)]
+
+
+def test_a_law_with_absurd_numbers_comes_in(spark):
+    rows = spark.createDataFrame([law("A", {5: "Efter § 5, stk. 99999999999, og § 5, stk. 1-2000000000. Jf. §§ 1-99999999999999999999."}, "a"), ("o", "LBK", "O", "N", '<p class="Paragraf"><span class="ParagrafNr"></span><span class="Bold">§§ 1-99999999999</span> (Udelades)</p><p class="Paragraf"><span class="ParagrafNr">§ 7.</span> x</p>')], LAWS)
+    base = engine.ingest(rows)
+    assert base["concepts"].filter("kind = 'paragraf'").count() == 3 and base["edges"].count() > 0  # a range that names no paragraphs is an element like any other
+
+
+def test_gold_set_end_to_end(spark, base, tmp_path):
+    from conceptweave.sources import files
+
+    done, _ = engine.finalise(base, vectors(spark))
+    target = f"{P}2._Kapitel 1_{CITED}"
+    with open(f"{tmp_path}/gold.csv", "w", encoding="utf-8") as f:
+        f.write('"query","target"\n"Katten sover","' + target.replace(chr(160), "\\xa0") + '"\n"Hunden","§\\xa09._LBK nr 0"\n"ukendt","' + target.replace(chr(160), "\\xa0") + '"\n')
+    gold = files.gold_set(spark, f"{tmp_path}/gold.csv")
+    accuracy, rows = engine.evaluate(done, vectors(spark), gold)
+    asked = {r.query_id: r for r in gold.collect()}
+    found = {(asked[r.query_id].query_text, r.measure): r for r in rows.collect()}
+    assert len(found) == 3 * 10 and {n for n, _ in found} == {"Katten sover", "Hunden", "ukendt"}
+    assert all(r.in_database == (n != "Hunden") for (n, _), r in found.items()) and all(r.concept_id is None and r.score == 0 for (n, _), r in found.items() if n == "ukendt")
+    hit = found[("Katten sover", "concept_vector")]
+    assert hit.target == target and hit.concept_id.endswith(CITED) and hit.score == max(0, 3 - hit.steps)
+    for r in accuracy.collect():
+        assert r.n == 3 and abs(r.accuracy - sum(x.score for (_, m), x in found.items() if m == r.measure) / 3) < 1e-6
+
+
 def test_blocks_of_both_dialects(spark):
     from conceptweave.operators import structure
 

@@ -43,6 +43,65 @@ def test_propagation_settles_and_keeps_isolated_nodes(spark, tmp_path):
     assert report[-1]["active"] == 0 and report[0]["largest_move"] > 1e-3
 
 
+def test_propagation_against_loops_and_its_frontier(spark, tmp_path):
+    """Nodes freeze at different times; what they give goes on, and the rows written fall with the nodes that can still move."""
+    rng = np.random.default_rng(7)
+    ids = [f"n{i}" for i in range(60)]
+    level = {i: k % 4 for k, i in enumerate(ids)}
+    vec = {i: (rng.normal(size=3) * (50 if k < 8 else 1)).tolist() if k != 5 else None for k, i in enumerate(ids)}
+    edges = [(ids[k], ids[k + d]) for k in range(59) for d in (1, 5) if k + d < 60] + [("n3", "gone"), ("n3", "n4"), ("n3", "n4")]
+    edges += [(d, s) for s, d in edges if d != "gone"]
+    now, stable, active, counts = {i: np.array(v) for i, v in vec.items() if v}, {i: 0 for i, v in vec.items() if v}, {i for i, v in vec.items() if v}, []
+    for sweep in range(40):
+        before = dict(now)
+        for parity in (0, 1):
+            new = {}
+            for i in active:
+                near = [now[d] for s, d in edges if s == i and d in now]
+                if level[i] % 2 == parity and near:
+                    new[i] = sum(near) / len(near)
+            now |= new
+        if sweep:
+            for i in list(active):
+                stable[i] += bool(np.linalg.norm(now[i] - before[i]) < 0.5)
+                if stable[i] == 2:
+                    active.discard(i)
+            counts.append(len(active))
+            if not active:
+                break
+    values = spark.createDataFrame([(i, level[i], vec[i]) for i in ids], "id string, level int, vec array<double>")
+    out, report = graph.propagate(values, spark.createDataFrame(edges, "src string, dst string"), 0.5, 40, written(spark, tmp_path))
+    found = {r.id: r.vec for r in out.collect()}
+    assert found.pop("n5") is None and len(found) == 59 and all(np.allclose(found[i], now[i], atol=1e-9) for i in found)
+    assert [r["active"] for r in report] == counts and len(set(counts)) > 3 and counts[-1] == 0
+    assert [r["written"] for r in report] == [59, *counts[:-1]]
+
+
+def test_nearest_by_cells(spark):
+    from conceptweave.operators.search import CellIndex, nearest
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 6)) * 20
+    rows = [(f"c{i}", (centres[i % 20] + rng.normal(size=6)).tolist()) for i in range(1500)] + [(f"same{i}", [1.0] * 6) for i in range(700)] + [("none", None)]
+    asked = [(q, (centres[q] + 0.3).tolist()) for q in range(20)] + [(50, [1.0] * 6), (51, [1e4] * 6), (52, None)]
+    concepts = spark.createDataFrame(rows, "concept_id string, vec array<double>")
+    queries = spark.createDataFrame(asked, "query_id long, query_vec array<double>")
+    want = []
+    for q, v in asked:
+        if v:
+            far = sorted((round(float(np.linalg.norm(np.array(x) - v)), 6), c) for c, x in rows if x)[:7]
+            want += [(q, c, r + 1, d) for r, (d, c) in enumerate(far)]
+    index = CellIndex.build(concepts, cells=24, sample=500)
+    out, report = index.nearest(queries, 7)
+    got = sorted((r.query_id, r.concept_id, r["rank"], r.distance) for r in out.collect())
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(want)] and np.allclose([x[3] for x in got], [x[3] for x in sorted(want)], atol=2e-6)
+    assert report["read"] < report["possible"] / 4  # most cells are read for no query
+    cell = index.scored(queries.filter("query_id = 3").selectExpr("query_id", "query_vec", "0 as cell", "double(0) as to", "double(1e9) as reach"), 6)
+    assert cell.count() == index.stats[0][0] < 2200 and "PartitionFilters: [isnotnull(cell" in cell._jdf.queryExecution().toString()
+    few = nearest(queries, concepts.limit(3), 7).collect()
+    assert len(few) == 3 * 22 and nearest(queries, concepts.limit(0)).count() == 0 and nearest(queries.limit(0), concepts).count() == 0
+
+
 def test_diffusion_by_hand(spark):
     bow = spark.createDataFrame([("a", "x", 4.0), ("b", "x", 2.0), ("b", "y", 2.0)], "id string, word string, cnt double")
     edges = spark.createDataFrame([("a", "b"), ("a", "missing"), ("b", "a")], "src string, dst string")
@@ -78,6 +137,7 @@ def test_diffusion_to_the_end_against_loops(spark, tmp_path):
     out, report = graph.diffuse_all(
         spark.createDataFrame([(i, w, c) for (i, w), c in bow.items()], "id string, word string, cnt double"), spark.createDataFrame(edges, "src string, dst string"),
         spark.createDataFrame(list(idf.items()), "word string, idf double"), 30, written(spark, tmp_path))
+    assert report[-1]["written"] <= report[0]["written"]
     found = {(r.id, r.word): round(r.cnt, 9) for r in out.collect()}
     assert found == {(i, w): round(c, 9) for i, b in bags.items() for w, c in b.items()} and len(report) == sweeps and report[-1]["active"] == 0
 

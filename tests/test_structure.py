@@ -167,6 +167,24 @@ def test_reports(spark):
     assert report.row_of(rows, "c").count() == 1
     text = report.latex_table(rows, "name", "En", "tab:en", "%.2f")
     assert r"a\&b &  & 1 \\" in text and r"b\_1 & 1.23 & 2 \\" in text and text.startswith("\\begin{table}")
-    points = spark.createDataFrame([(1, "input", "input", 0.0), (1, "near", "word", 1.0), (1, "far", "word", 3.0)], "query_id long, name string, point_type string, distance double")
-    at = {r.name: (r.x**2 + r.y**2) ** 0.5 for r in report.layout(points).collect()}
-    assert abs(at["input"]) < 1e-9 and abs(at["near"] - 1) < 1e-9 and abs(at["far"] - 3) < 1e-9
+
+
+def test_layout_keeps_known_distances(spark):
+    from conceptweave.operators import report
+
+    schema = "query_id long, name string, point_type string, distance double, vec array<double>"
+    at = {"input": [0.0, 0.0, 0.0], "a": [3.0, 0.0, 0.0], "b": [0.0, 4.0, 0.0], "c": [-1.0, -2.0, 0.0]}
+    rows = [(1, n, "input" if n == "input" else "word", float(sum(x * x for x in v) ** 0.5), v) for n, v in at.items()]
+    rows += [(2, "input", "input", 0.0, None), (2, "near", "word", 1.0, None), (2, "far", "word", 3.0, None), (3, "input", "input", 0.0, [1.0]), (3, "x", "word", None, None), (None, "lone", "word", 1.0, None)]
+    points = spark.createDataFrame([r for r in rows if r[0]], schema)
+    places = report.layout(points, 300)
+    xy = {(r.query_id, r.name): (r.x, r.y) for r in places.collect()}
+    dist = lambda q, m, n: sum((x - y) ** 2 for x, y in zip(xy[(q, m)], xy[(q, n)])) ** 0.5
+    for m, v in at.items():
+        for n, w in at.items():
+            assert abs(dist(1, m, n) - sum((x - y) ** 2 for x, y in zip(v, w)) ** 0.5) < 1e-3
+    assert xy[(1, "input")] == xy[(2, "input")] == (0, 0)
+    assert abs(dist(2, "input", "near") - 1) < 1e-6 and abs(dist(2, "input", "far") - 3) < 1e-6 and dist(3, "input", "x") < 1e-6
+    texts = spark.createDataFrame([("a", "the text")], "name string, text string")
+    shown = {(r.query_id, r.name): r for r in report.picture(points, places, texts).collect()}
+    assert len(shown) == len(xy) and shown[(1, "a")].text == "the text" and shown[(1, "b")].text is None and shown[(1, "a")].x == xy[(1, "a")][0]

@@ -61,3 +61,10 @@ def test_idf_in_one_pass(spark):
 
 def test_l2(spark):
     assert spark.createDataFrame([([0.0, 0.0], [3.0, 4.0])], "a array<float>, b array<float>").select(l2_distance(F.col("a"), F.col("b"))).first()[0] == 5.0
+
+
+def test_double_percent_signs_stay(spark):
+    from conceptweave.functions.text import sentences
+
+    df = spark.createDataFrame([("50%% i dag. Ca. 3%% mere.",)], "text string")
+    assert df.select(sentences(F.col("text")).alias("s")).first().s == ["50%% i dag.", " Ca. 3%% mere."]
