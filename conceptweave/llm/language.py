@@ -8,8 +8,8 @@ language is the one with the largest mean probability over all its words, and it
 
 Training maximises the likelihood of label sequences: forward-backward gives the expected labels and transitions that its gradient
 needs. It reads only text and non-null label of the given rows, in a bounded sample: about ``per_label`` rows of each label by
-smallest hash of id and text, of each text the first ``chars_per_text`` characters (cut before they leave the executor), and of these at
-most ``words_per_label`` words. More than ``most_labels`` labels are an error. Documents have one label each; so that
+smallest hash of id and text, of a text of more than ``chars_per_text`` characters about as many, in pieces of ``piece`` characters drawn
+by a hash from the whole of it (before they leave the executor), and of these at most ``words_per_label`` words. More than ``most_labels`` labels are an error. Documents have one label each; so that
 transitions between languages can be learned, training sequences are spliced from runs of words of different sample documents, some of them
 of one language and others of several. Everything else, the prediction, covers whole texts of all rows.
 
@@ -207,7 +207,15 @@ def label_words(model: Model, texts: list[str | None], block: int = 128, most: i
             yield i, found[i], marginals[: lengths[b], b]
 
 
-def fit(labelled: DataFrame, per_label: int = 300, words_per_label: int = 60_000, chars_per_text: int = 50_000, most_labels: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", **options) -> Model:
+def pieces(text: Column, chars: int, piece: int) -> Column:
+    """A text of up to ``chars`` characters as it is; of a longer one about so many, in pieces of the whole of it that a hash draws, in their order."""
+    n = F.char_length(text)
+    drawn = lambda t, i: F.pmod(F.xxhash64(F.lit(11), F.xxhash64(t), i), F.char_length(t)) < F.lit(chars)
+    held = F.transform(F.filter(F.sequence(F.lit(0), F.floor((n - 1) / piece).cast("int")), lambda i: drawn(text, i)), lambda i: F.substring(text, i * piece + 1, F.lit(piece)))
+    return F.when(n <= chars, text).otherwise(F.array_join(held, "\n"))
+
+
+def fit(labelled: DataFrame, per_label: int = 300, words_per_label: int = 60_000, chars_per_text: int = 50_000, piece: int = 500, most_labels: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", **options) -> Model:
     """Train on a sample of the rows with label: of each label about ``per_label``, those with the smallest hash of id and text."""
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"), F.col(label_col).alias("y")).filter(F.col("y").isNotNull() & F.col("text").isNotNull())
     counts = dict(rows.groupBy("y").count().limit(most_labels + 1).collect())
@@ -217,7 +225,7 @@ def fit(labelled: DataFrame, per_label: int = 300, words_per_label: int = 60_000
     share = F.lit(0)
     for y, n in sorted(counts.items()):
         share = F.when(F.col("y") == y, F.lit(min(1 << 30, int((1 << 30) * 1.2 * per_label / n)))).otherwise(share)
-    sample = rows.filter(draw < share).select("y", draw.alias("d"), F.substring("text", 1, chars_per_text).alias("text"))
+    sample = rows.filter(draw < share).select("y", draw.alias("d"), pieces(F.col("text"), chars_per_text, piece).alias("text"))
     drawn = sorted(sample.limit(4 * per_label * max(1, len(counts))).collect(), key=lambda r: (r["d"], r["text"]))
     return train([(r["text"], r["y"]) for r in drawn], words_per_label, **options)
 

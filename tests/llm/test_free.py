@@ -100,7 +100,11 @@ def test_ties_take_the_first_language(spark):
 def test_training_is_bounded(spark):
     rows = [(i, "la lo " * 100_000, "xx") for i in range(3)] + [(9, "grum", "yy")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert language.fit(docs, chars_per_text=60, words_per_label=50).labels == ["xx", "yy"]
+    assert language.fit(docs, chars_per_text=60, piece=20, words_per_label=50).labels == ["xx", "yy"]
+    long = "".join(f"w{i:05d} " for i in range(20_000))
+    cut = spark.createDataFrame([(long,), ("short",), ("",), (None,)], "t string").select(language.pieces(F.col("t"), 7000, 70).alias("p"), "t").collect()
+    at = [long.index(x) for x in cut[0].p.split("\n")]
+    assert [r.p for r in cut[1:]] == ["short", "", None] and 4000 < len(cut[0].p) < 10_000 and at == sorted(at) and at[0] < 20_000 and at[-1] > 120_000
     with pytest.raises(ValueError):
         language.fit(docs, most_labels=1)
 
