@@ -41,13 +41,13 @@ class Base(dict):
         self.path, self.epoch, self.metrics = path, epoch, metrics or {}
 
 
-def references(concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def references(concepts: DataFrame, cues: cite.Cues = cite.EXTERNAL_CUES) -> tuple[DataFrame, DataFrame]:
     """Citations (src, dst) within laws, and pending ones (ref_no, src, law, name, need) of other laws, of the sentences among the concepts."""
     said = written(concepts.filter("kind = 'sentence'").select("id", "law_id", "parents", F.concat(F.lit(" "), F.lower("raw_text")).alias("text")), "sentences")
     law = concepts.filter("kind = 'lov'").select("law_id", F.col("id").alias("law"))
     pars = concepts.filter("kind = 'paragraf'").select("law_id", "name", "id")
-    inside, outside = cite.law_citations(said, pars)
-    whole = written(cite.whole_law_refs(said, "id", "text"), "whole-laws")
+    inside, outside = cite.law_citations(said, pars, cues=cues)
+    whole = written(cite.whole_law_refs(said, "id", "text", cues), "whole-laws")
     own = whole.filter("internal").select("id").join(said.select("id", "law_id"), "id").join(law, "law_id").select("id", F.col("law").alias("target_id"))
     under = concepts.filter("kind = 'stk'").select(F.col("parent_id").alias("paragraph_id"), F.col("id").alias("stk_id"))
     at = F.array_min(F.filter(F.transform("parents", lambda p, i: F.when(F.startswith(p, F.lit("§")), i)), lambda i: i.isNotNull()))
@@ -82,12 +82,12 @@ def _view(spark: SparkSession, path: str, epoch: int, vocabulary: DataFrame | No
     }
 
 
-def ingest(laws: DataFrame, vocabulary: DataFrame | None = None, stopwords: list[str] = STOPWORDS, base: Base | None = None, path: str | None = None, order: list[str] | None = None) -> Base:
+def ingest(laws: DataFrame, vocabulary: DataFrame | None = None, stopwords: list[str] = STOPWORDS, base: Base | None = None, path: str | None = None, order: list[str] | None = None, cues: cite.Cues = cite.EXTERNAL_CUES) -> Base:
     """A base of the laws (doc_id, doc_type, short_name, html, ...), with those of ``base`` that they do not replace.
 
     Laws are replaced as a whole by short name. Of several editions of a law in one batch the one with the greatest ``order`` columns counts,
     ties by the other columns. ``vocabulary``: (word), the words that have a vector; without it all words count as such. ``path``: the folder of
-    a new base, a fresh one by default. Only the batch is read and written, and of the base the words of the laws that it replaces.
+    a new base, a fresh one by default. ``cues``: names of laws in texts, with the laws' short names. Only the batch is read and written, and of the base the words of the laws that it replaces.
     """
     spark = laws.sparkSession
     if base is not None and base.path is None:
@@ -99,7 +99,7 @@ def ingest(laws: DataFrame, vocabulary: DataFrame | None = None, stopwords: list
     names = taken.join(blocks.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("short_name").alias("law_name"))
     nodes = structure.concept_rows(blocks, names).join(names.select(F.col("doc_id").alias("law_id"), F.col("law_name").alias("law")), "law_id")
     concepts, counted = measured(nodes, "concepts", concepts=F.count("*"), sentences=F.count_if(F.col("kind") == "sentence"))
-    refs, pending = references(concepts)
+    refs, pending = references(concepts, cues)
     law_of = concepts.select(F.col("id").alias("src"), "law")
     edges = graph.containment_edges(concepts).unionByName(graph.reference_edges(refs, concepts).select("src", "dst", "type")).join(law_of, "src").select("src", "dst", "type", "law")
     said = concepts.filter("kind = 'sentence'").select("id", "law", F.col("raw_text").alias("text"))

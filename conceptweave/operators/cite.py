@@ -186,28 +186,55 @@ def relative_refs(sentences: DataFrame, subsections: DataFrame, text: str = "tex
     return hits.join(subsections, "paragraph_id").filter("stk_id <> own").select("id", F.col("stk_id").alias("target"))
 
 
-def external_cues(spark) -> DataFrame:
-    return spark.createDataFrame([(i, c, c.strip() if not law else law) for i, (c, law) in enumerate(EXTERNAL_CUES)], "cue_no int, cue string, law string")
+Cues = list[tuple[str, str]]  # what a text says, and the law it means; an empty law is the cue itself
 
 
-def external_hits(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, cue_no, cue, law) of the external laws that a text names, whatever the case. The cues are a fixed table."""
-    cues = F.broadcast(external_cues(texts.sparkSession))
-    return texts.join(cues, F.contains(F.lower(F.col(text)), F.lower(F.col("cue")))).select(key, "cue_no", "cue", "law")
+def external_hits(texts: DataFrame, key: str, text: str, cues: Cues = EXTERNAL_CUES) -> DataFrame:
+    """(key, cue_no, cue, law) of the external laws that a text names, whatever the case: each cue once a text.
+
+    One automaton over all cues goes over each text once, so thousands of names of laws cost no more than a few. The cues are a
+    parameter of the driver, and go to the tasks as one broadcast."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    given = texts.sparkSession.sparkContext.broadcast([(c, law or c.strip()) for c, law in cues])
+    rows = texts.select(F.col(key), F.lower(F.col(text)).alias("__low"))
+
+    def search(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for i, (cue, _) in enumerate(given.value):
+            automaton.add_word(cue.lower(), (*automaton.get(cue.lower(), ()), i))
+        automaton.make_automaton()
+        for batch in batches:
+            at, numbers = [], []
+            for row, low in enumerate(batch.column(1).to_pylist()):
+                if low and given.value:
+                    found = sorted({i for _, same in automaton.iter(low) for i in same})
+                    at += [row] * len(found)
+                    numbers += found
+            if at:
+                held = [given.value[i] for i in numbers]
+                columns = [batch.column(0).take(pa.array(at)), pa.array(numbers, pa.int32()), pa.array([c for c, _ in held]), pa.array([w for _, w in held])]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "cue_no", "cue", "law"])
+
+    schema = StructType([rows.schema[0], *StructType.fromDDL("cue_no int, cue string, law string")])
+    return rows.mapInArrow(search, schema)
 
 
 def segments(text: Column) -> Column:
     return F.split(text, "(,| efter | sammenholdt med )", -1)
 
 
-def classify(refs: DataFrame, texts: DataFrame, key: str, text: str, resolved: DataFrame) -> DataFrame:
+def classify(refs: DataFrame, texts: DataFrame, key: str, text: str, resolved: DataFrame, cues: Cues = EXTERNAL_CUES) -> DataFrame:
     """(key, ord, ref_class, law): external if reference and cue share a segment; else internal if all targets are in this law;
     else external by the first cue, if there is any.
 
     ``refs``: (key, ord, ref_string); ``resolved``: (key, ord, all_found).
     """
     cut = texts.select(key, F.posexplode(segments(F.col(text))).alias("seg", "part"))
-    with_cue = external_hits(cut.select(key, "seg", F.struct(key, "seg").alias("k"), "part"), "k", "part").select(F.col(f"k.{key}").alias(key), F.col("k.seg").alias("seg"), "cue_no", "law")
+    with_cue = external_hits(cut.select(key, "seg", F.struct(key, "seg").alias("k"), "part"), "k", "part", cues).select(F.col(f"k.{key}").alias(key), F.col("k.seg").alias("seg"), "cue_no", "law")
     shared = refs.select(key, "ord", F.get(segments(F.col("ref_string")), F.lit(0)).alias("head")).join(cut, key).filter(F.contains(F.col("part"), F.col("head"))).join(with_cue, [key, "seg"])
     near = shared.groupBy(key, "ord").agg(F.min(F.struct("cue_no", "law")).alias("near"))
     anywhere = with_cue.groupBy(key).agg(F.min(F.struct("cue_no", "law")).alias("any_cue"))
@@ -248,15 +275,15 @@ def link_deferred(pending: DataFrame, concepts: DataFrame) -> tuple[DataFrame, D
     return links.select("src", "dst"), pending.join(links.select("ref_no").distinct(), "ref_no", "left_anti")
 
 
-def whole_law_refs(texts: DataFrame, key: str, text: str) -> DataFrame:
+def whole_law_refs(texts: DataFrame, key: str, text: str, cues: Cues = EXTERNAL_CUES) -> DataFrame:
     """(key, internal, law): whether a sentence names its own law, and the first other law that it names."""
     low = F.lower(F.col(text))
     internal = low.rlike("|".join(f"{c}\\b" for c in WHOLE_LAW_CUES))
-    first = external_hits(texts, key, text).groupBy(key).agg(F.min(F.struct("cue_no", "law")).alias("c")).select(key, F.col("c.law").alias("law"))
+    first = external_hits(texts, key, text, cues).groupBy(key).agg(F.min(F.struct("cue_no", "law")).alias("c")).select(key, F.col("c.law").alias("law"))
     return texts.select(key, internal.alias("internal")).join(first, key, "left").filter("internal or law is not null")
 
 
-def law_citations(sentences: DataFrame, paragraphs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+def law_citations(sentences: DataFrame, paragraphs: DataFrame, text: str = "text", cues: Cues = EXTERNAL_CUES) -> tuple[DataFrame, DataFrame]:
     """All paragraph citations of sentences (id, law_id, text): resolved ones (id, target_id), and those to other laws (id, law, names, ref_string).
 
     ``paragraphs``: (law_id, name, id). A citation is classified as a whole; internal targets whose paragraph the law has not are dropped.
@@ -273,7 +300,7 @@ def law_citations(sentences: DataFrame, paragraphs: DataFrame, text: str = "text
     empty = ranges.join(spread.select("id", "ord").distinct(), ["id", "ord"], "left_anti").select("id", F.lit("range").alias("form"), "ord", "ref_string", F.array("first").alias("names"), F.lit(None).cast("string").alias("target_id"))
     every = plain.unionByName(spread).unionByName(empty).withColumn("ref", F.concat_ws(":", "form", F.col("ord").cast("string")))
     whole = every.groupBy("id", F.col("ref").alias("ord")).agg(F.first("ref_string").alias("ref_string"), F.bool_and(F.col("target_id").isNotNull()).alias("all_found"))
-    kinds = classify(whole.select("id", "ord", "ref_string"), sentences.select("id", F.col(text).alias("text")), "id", "text", whole.select("id", "ord", "all_found")).withColumnRenamed("ord", "ref")
+    kinds = classify(whole.select("id", "ord", "ref_string"), sentences.select("id", F.col(text).alias("text")), "id", "text", whole.select("id", "ord", "all_found"), cues).withColumnRenamed("ord", "ref")
     judged = every.join(kinds, ["id", "ref"])
     inside = judged.filter("ref_class in ('internal', 'unresolved') and target_id is not null").select("id", "target_id").distinct()
     outside = judged.filter("ref_class = 'external'").select("id", "law", "names", "ref_string")

@@ -19,6 +19,16 @@ def law_documents(spark: SparkSession, path: str, urls: DataFrame | None = None)
         first = first.join(urls.groupBy("url").agg(F.max("file").alias("file")), "file")
     else:
         first = first.withColumn("url", F.col("file"))
+    return _law_columns(first)
+
+
+def fetched_laws(fetched: DataFrame) -> DataFrame:
+    """Documents of the bodies (url, body) that ``http.fetch`` brought: the first element of each JSON array. Bodies that are none have null columns."""
+    first = fetched.filter("body is not null").select("url", F.get(F.from_json("body", f"array<struct<{schema.LAW_JSON}>>"), F.lit(0)).alias("d"))
+    return _law_columns(first.select("url", "d.*"))
+
+
+def _law_columns(first: DataFrame) -> DataFrame:
     return first.select(
         F.col("id").alias("doc_id"), "url", F.col("shortName").alias("short_name"), doc_type(F.col("shortName")).alias("doc_type"), F.coalesce("popularTitle", "title").alias("name"), "title",
         F.get("metadata", F.lit(0))["displayValue"].alias("date_of_publication"), "ressort", F.col("documentHtml").alias("html"),

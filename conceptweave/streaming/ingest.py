@@ -26,8 +26,18 @@ def ingest(spark: SparkSession, source: DataFrame, path: str, checkpoint: str, k
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _folds(spark: SparkSession, path: str) -> list[int]:
+    """The epochs up to which there is a complete fold."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-folded/upto=*/_SUCCESS")
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or [])
+
+
 def _latest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The rows of each document's latest epoch, of the last fold and the epochs after it; one pass over narrow rows finds the epochs."""
     rows = spark.read.parquet(path)
+    if folds := _folds(spark, path):
+        folded = spark.read.parquet(f"{path}-folded/upto={folds[-1]}").withColumn("epoch", F.lit(folds[-1]))
+        rows = rows.filter(F.col("epoch") > folds[-1]).select(*folded.columns).unionByName(folded)
     last = rows.filter("word is null").groupBy(F.col(key).alias("__key")).agg(F.max("epoch").alias("__epoch"))
     return rows.join(last, F.col(key).eqNullSafe(F.col("__key")) & (F.col("epoch") == F.col("__epoch"))).select(key, "word", "cnt", "epoch")
 
@@ -38,16 +48,19 @@ def current(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
 
 
 def compact(spark: SparkSession, path: str, key: str = "doc_id") -> None:
-    """Fold all epochs into the last one, while no query writes. The folded table is complete before older epochs go."""
+    """Fold all epochs so far into one table beside them, while no query writes.
+
+    Readers take the last complete fold and the epochs after it, so they see the same rows before, during and after; only then do older folds
+    and the folded epochs go, but for the last, which tells later readers the columns. A crash in between leaves nothing but files that nobody reads."""
     epochs = sorted(r[0] for r in spark.read.parquet(path).select("epoch").distinct().collect())
-    if len(epochs) < 2:
+    folds = _folds(spark, path)
+    if len(epochs) < 2 or folds and folds[-1] >= epochs[-1]:
         return
-    folded = f"{path}-folded"
-    _latest(spark, path, key).drop("epoch").write.mode("overwrite").parquet(folded)
-    spark.read.parquet(folded).write.mode("overwrite").parquet(f"{path}/epoch={epochs[-1]}")
+    _latest(spark, path, key).drop("epoch").write.mode("overwrite").parquet(f"{path}-folded/upto={epochs[-1]}")
+    for f in folds:
+        drop_path(spark, f"{path}-folded/upto={f}")
     for e in epochs[:-1]:
         drop_path(spark, f"{path}/epoch={e}")
-    drop_path(spark, folded)
 
 
 def windowed_counts(events: DataFrame, time: str, kind: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

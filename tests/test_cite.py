@@ -128,3 +128,15 @@ def test_absurd_numbers_give_defined_rows(spark):
 def test_the_end_of_a_range_takes_no_preposition(spark):
     assert rows(spark, "efter §§ 1-3 i loven", cite.range_refs, "first", "last") == [(f"{P}1.", f"{P}3.")]
     assert rows(spark, "efter §§ 1 i-3 b i loven", cite.range_refs, "first", "last") == [(f"{P}1 i.", f"{P}3 b.")]
+
+
+def test_thousands_of_cues_in_one_pass(spark):
+    cues = [(f" lov nr {k} om emne", f"L{k}") for k in range(5000)] + [(" Æbleloven", ""), (" æbleloven", "again"), ("nr 7 om", "inner")]
+    texts = ["Efter lov nr 7 om emne og LOV NR 4999 om emne, lov nr 7 om emne", "Den ÆBLELOVEN gælder", " lov nr 50000 om emne", None, "", "intet"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = sorted((r.id, r.cue_no, r.law) for r in cite.external_hits(df, "id", "text", cues).collect())
+    want = [(i, n, w or c.strip()) for i, t in enumerate(texts) for n, (c, w) in enumerate(cues) if t and c.lower() in t.lower()]
+    assert found == sorted(want) and len(found) == 5
+    assert cite.external_hits(df, "id", "text", []).count() == 0
+    whole = {r.id: r.law for r in cite.whole_law_refs(df, "id", "text", cues).collect()}
+    assert whole == {0: "L7", 1: "Æbleloven"}

@@ -1,3 +1,5 @@
+import os
+
 import json
 
 import pytest
@@ -102,6 +104,15 @@ def test_streaming_ingest_of_repeated_and_emptied_documents(spark, tmp_path):
     ingest.compact(spark, f"{tmp_path}/bow")
     assert {(r.doc_id, r.word): r.cnt for r in ingest.current(spark, f"{tmp_path}/bow").collect()} == expected
     assert spark.read.parquet(f"{tmp_path}/bow").select("epoch").distinct().count() == 1
+    import shutil
+
+    shutil.copytree(f"{tmp_path}/bow-folded/upto=1", f"{tmp_path}/bow-folded/upto=9")  # a fold that a crash has left without its end
+    os.remove(f"{tmp_path}/bow-folded/upto=9/_SUCCESS")
+    spark.createDataFrame([(2, "igen", 5), (3, "", 6)], docs).write.mode("append").parquet(f"{tmp_path}/in")
+    ingest.ingest(spark, spark.readStream.schema(docs).parquet(f"{tmp_path}/in"), f"{tmp_path}/bow", f"{tmp_path}/ck", order="at").awaitTermination(60)
+    for _ in range(2):
+        assert {(r.doc_id, r.word): r.cnt for r in ingest.current(spark, f"{tmp_path}/bow").collect()} == expected | {(2, "igen"): 1}
+        ingest.compact(spark, f"{tmp_path}/bow")
 
 
 def test_windowed_counts_drop_late_rows(spark, tmp_path):
@@ -188,3 +199,51 @@ def test_layout_keeps_known_distances(spark):
     texts = spark.createDataFrame([("a", "the text")], "name string, text string")
     shown = {(r.query_id, r.name): r for r in report.picture(points, places, texts).collect()}
     assert len(shown) == len(xy) and shown[(1, "a")].text == "the text" and shown[(1, "b")].text is None and shown[(1, "a")].x == xy[(1, "a")][0]
+
+
+def test_documents_by_http(spark):
+    import json
+    import threading
+    from collections import Counter
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from conceptweave.sources import files, http
+
+    seen = Counter()
+    law = [{"id": "x1", "shortName": "LBK nr 1", "title": "En lov", "popularTitle": None, "ressort": "r", "metadata": [{"displayValue": "2020"}], "documentHtml": "<p>æ</p>"}, {"id": "no"}]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen[self.path] += 1
+            code = 404 if self.path == "/gone" else 500 if self.path == "/broken" or self.path == "/flaky" and seen[self.path] < 3 else 200
+            body = b"no json" if self.path == "/text" else json.dumps(law).encode()
+            self.send_response(code)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    urls = [f"{at}{p}" for p in ("/law", "/law", "/flaky", "/broken", "/gone", "/text")] + ["not a url", "http://127.0.0.1:1/", None]
+    rows = http.fetch(spark.createDataFrame([(u,) for u in urls], "url string"), slices=3, retries=2, wait=0.01)
+    rows.write.parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/fetched")
+    rows = spark.read.parquet(path)
+    got = {r.url.removeprefix(at): r for r in rows.collect()}
+    server.shutdown()
+    assert set(got) == {"/law", "/flaky", "/broken", "/gone", "/text", "not a url", "http://127.0.0.1:1/"} and dict(seen) == {"/law": 1, "/flaky": 3, "/broken": 3, "/gone": 1, "/text": 1}
+    assert (got["/flaky"].attempts, got["/flaky"].status, got["/broken"].attempts, got["/broken"].error, got["/gone"].attempts, got["/gone"].error) == (3, 200, 3, "HTTP 500", 1, "HTTP 404")
+    assert {r.url.removeprefix(at) for r in http.quarantined(rows).collect()} == {"/broken", "/gone", "not a url", "http://127.0.0.1:1/"} and all((r.body is None) == (r.error is not None) for r in got.values())
+    laws = {r.url.removeprefix(at): r for r in files.fetched_laws(rows).collect()}
+    assert set(laws) == {"/law", "/flaky", "/text"} and laws["/text"].doc_id is None
+    assert (laws["/law"].doc_id, laws["/law"].doc_type, laws["/law"].name, laws["/law"].date_of_publication, laws["/law"].html) == ("x1", "LBK", "En lov", "2020", "<p>æ</p>")
+
+
+def test_blocks_from_sql_are_the_same(spark):
+    from conceptweave.plans.registry import QUERIES
+
+    one, two = (QUERIES[n](spark, "/root/testdata/sf0.001") for n in ("html_blocks", "html_blocks_sql"))
+    assert one.columns == two.columns and one.exceptAll(two).count() == two.exceptAll(one).count() == 0 < one.count()
