@@ -14,7 +14,7 @@ While the items have at most ``SET_HASHES`` different hashes, documents that hol
 can be no candidates. Narrow rows of the item side are broadcast up to ``BROADCAST_ROWS``, which are counted first; beyond, they are joined by a shuffle.
 
 Defined results: a text without a word, or null, takes part in no pair, nor does a document of fewer words than an item's shingle has; rows
-that repeat an id give a pair once, with the largest containment; null ids take part; empty tables give no pairs. Further columns
+that repeat an id give a pair once, with the most shared shingles of any of them; null ids take part; empty tables give no pairs. Further columns
 are ignored.
 """
 
@@ -113,7 +113,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: tuple[int, int] =
     shared = shared.filter(F.col("n_shared") * of >= F.col("n_item") * most)
     if short.count():
         shared = shared.union(short_pairs(docs, short).select("doc_id", "item_id", F.lit(1).cast("long"), F.lit(1).cast("long")))
-    return shared.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
+    best = shared.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", "n_item")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_shared", "b.n_item")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -306,6 +306,15 @@ def test_decontamination(spark, monkeypatch):
     assert decontamination.contaminated(frame(spark, docs), b.filter("false")).count() == 0
 
 
+def test_items_that_repeat_an_id(spark):
+    """Rows of one id are items of their own; of those that a document holds the one with the most shared shingles is given."""
+    one, two = " ".join(f"a{i}" for i in range(10)), " ".join(f"b{i}" for i in range(30))
+    items = spark.createDataFrame([(1, one), (1, two), (1, one), (2, "short item"), (2, "other one"), (None, one)], "item_id long, text string")
+    docs = [(1, f"x {one} y"), (2, f"{two} {one}"), (3, "x other one y"), (4, "nothing here"), (5, " ".join(f"b{i}" for i in range(25)))]
+    found = {tuple(r) for r in decontamination.contaminated(frame(spark, docs), items).collect()}
+    assert {f for f in found if f[1] is not None} == {(1, 1, 6, 6), (2, 1, 26, 26), (3, 2, 1, 1), (5, 1, 21, 26)}
+
+
 def test_first_bins_agree_with_minima_of_each_partition(spark):
     rng = random.Random(4)
     hashes = sorted({rng.randrange(-(1 << 63), 1 << 63) for _ in range(200)} | {0, -1, 1, 2})
