@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -19,8 +21,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables within the shared one."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+#: Folders made within the open scopes, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written within it are deleted at its end. Results are lazy, so what is to outlive it has to be written elsewhere within it."""
+    _SCOPES.append(made := [])
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            drop_path(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written, when nothing reads them any more."""
+    drop_path(spark, session_dir(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

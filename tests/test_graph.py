@@ -209,3 +209,20 @@ def test_beam_follows_the_forward_measure(spark, tmp_path):
     nodes = spark.createDataFrame([("C", None, 0), ("D", "C", 1)], "concept_id string, parent_id string, level int")
     out = search.beam(q, c, nodes, d, 2, written=written(spark, tmp_path)).collect()
     assert {r.concept_id for r in out} == {"C", "D"} and {r.measure for r in out} == set(search.MEASURES)
+
+
+def test_tables_of_a_scope_go_with_it(spark):
+    import os
+
+    from conceptweave import tables
+
+    folder = tables.session_dir(spark)
+    before = tables.written(spark.range(3), "kept")
+    with tables.scope(spark):
+        one = tables.written(spark.range(4), "gone")
+        with tables.scope(spark):
+            two = tables.written(one, "gone-too")
+            assert two.count() == 4
+        assert one.count() == 4 and not os.path.exists(two.inputFiles()[0].removeprefix("file://"))
+        first = one.inputFiles()[0].removeprefix("file://")
+    assert before.count() == 3 and not os.path.exists(first) and os.path.exists(folder)
