@@ -662,3 +662,13 @@ def word2vec_cbow(spark, sf):
     rows = search.spread(corpus_tokens(spark, sf).withColumn("h", F.xxhash64("tokens")), "h")
     words = rows.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("cnt")).filter("cnt >= 2")
     return train.cbow(rows, words, size=32, epochs=1, most_words=1_000_000)
+
+
+@query("word2vec_cbow_table")
+def word2vec_cbow_table(spark, sf):
+    """The same with the weights in a table, for a vocabulary of any size."""
+    from ..operators import train
+
+    rows = corpus_tokens(spark, sf)
+    words = rows.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("cnt")).filter("cnt >= 2")
+    return train.cbow_table(rows, words, size=32, epochs=1)

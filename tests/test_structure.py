@@ -139,6 +139,34 @@ def test_cbow_learns_neighbours(spark):
     assert len(losses) == 3 and losses[2] < losses[0]
 
 
+def test_cbow_in_a_table_learns_what_the_other_does(spark):
+    """Two topics that share no word: both trainers put words of one topic nearer to each other; losses fall; nothing is left of words that are not known."""
+    import random
+
+    import numpy as np
+
+    from conceptweave.operators import train
+
+    rng = random.Random(1)
+    topics = [[f"a{i}" for i in range(8)], [f"b{i}" for i in range(8)]]
+    texts = [(rng.choices(topics[k % 2], k=12) + ["rare"],) for k in range(400)] + [(["a0"],), ([],), (None,), (rng.choices(topics[0], k=2500),)]
+    tokens = spark.createDataFrame(texts, "tokens array<string>").repartition(3)
+    words = tokens.select(F.explode("tokens").alias("word")).filter("word <> 'rare'").groupBy("word").agg(F.count("*").alias("cnt"))
+
+    def split(vectors):
+        v = {r.word: np.array(r.vec) / np.linalg.norm(r.vec) for r in vectors.collect()}
+        assert set(v) == set(topics[0] + topics[1])
+        same = np.mean([v[x] @ v[y] for t in topics for x in t for y in t if x < y])
+        return same - np.mean([v[x] @ v[y] for x in topics[0] for y in topics[1]])
+
+    one, two = [], []
+    spread = split(train.cbow_table(tokens, words, size=8, epochs=3, steps=2, chunk_words=1500, pool=200, rate=0.3, losses=one))
+    whole = split(train.cbow(tokens, words, size=8, epochs=3, rate=0.3, losses=two))
+    assert one[-1] < one[0] and len(one) == 3 and two[-1] < two[0] and spread > 0.3 and whole > 0.3
+    empty = train.cbow_table(tokens.limit(0), words.limit(0), size=4, epochs=1, steps=1)
+    assert empty.count() == 0
+
+
 def test_skip_gram_is_saved_and_loaded(spark, tmp_path):
     from conceptweave.operators import train
 
