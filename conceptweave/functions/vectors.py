@@ -37,3 +37,20 @@ def weighted_mean(rows: DataFrame, key: str, vec: str, weight: Column, digits: i
 def as_arrays(long: DataFrame, key: str, name: str = "vec") -> DataFrame:
     """Long form to one array per key; a key has as many rows as the vectors have dimensions."""
     return long.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]).alias(name))
+
+
+def principal_components(vectors: DataFrame, key: str, k: int = 2, vec: str = "vec") -> tuple[DataFrame, list[float]]:
+    """(key, vec): the vectors on their k principal components, each turned so that its largest loading is positive; and the shares of variance.
+
+    Only the covariance of the dimensions, a matrix of their number squared, comes to the driver. Null vectors are left out."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = vectors.filter(F.col(vec).isNotNull()).select(key, array_to_vector(F.col(vec).cast("array<double>")).alias("__x"))
+    if rows.isEmpty():
+        return vectors.select(key, F.col(vec).cast("array<double>").alias("vec")).limit(0), []
+    model = PCA(k=k, inputCol="__x", outputCol="__y").fit(rows)
+    axes = model.pc.toArray()
+    turn = F.array(*[F.lit(1.0 if axes[abs(axes[:, i]).argmax(), i] > 0 else -1.0) for i in range(k)])
+    placed = model.transform(rows).select(key, F.zip_with(vector_to_array("__y"), turn, lambda x, t: x * t).alias("vec"))
+    return placed, model.explainedVariance.tolist()

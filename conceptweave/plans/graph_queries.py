@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import EXTERNAL_CUES, RELATIVE_CUES, WHOLE_LAW_CUES
 from ..functions.text import quoted, sentences_sql, tokens, tokens_sql
-from ..functions.vectors import long_form, weighted_mean
+from ..functions.vectors import long_form, principal_components, weighted_mean
 from ..operators import cite, evaluate, graph, question, report, search, stats
 from ..tables import written
 from .base import CONV, Conversations, centroid_sql, query, table, vec_id_sql, word_vec_id
@@ -71,6 +71,12 @@ def vector_frame(spark, sf):
     return c.nodes.join(c.centroids(), "id").select("id", "level", "parent_id", *[F.round(F.get("vec", F.lit(i)), 6).alias(f"dim_{i + 1}") for i in range(FRAME_DIMS)])
 
 
+@query("frame_pca")
+def frame_pca(spark, sf):
+    """The centroids on their two principal components; tested against a plain decomposition."""
+    return principal_components(Conversations(spark, sf).centroids(), "id")[0].select("id", F.round(F.get("vec", F.lit(0)), 6).alias("x"), F.round(F.get("vec", F.lit(1)), 6).alias("y"))
+
+
 # The queries are the benchmark's texts; words without a vector stay in their bags, take no part in distances, and are reported by oov_words.
 QSQL = f"""
 qsent AS (SELECT item_id AS id, unnest(range(0, len({sentences_sql('text')}))) AS i, unnest({sentences_sql('text')}) AS s FROM benchmark),

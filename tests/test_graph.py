@@ -226,3 +226,17 @@ def test_tables_of_a_scope_go_with_it(spark):
         assert one.count() == 4 and not os.path.exists(two.inputFiles()[0].removeprefix("file://"))
         first = one.inputFiles()[0].removeprefix("file://")
     assert before.count() == 3 and not os.path.exists(first) and os.path.exists(folder)
+
+
+def test_principal_components_against_a_plain_decomposition(spark):
+    from conceptweave.functions.vectors import principal_components
+
+    x = np.random.default_rng(4).normal(size=(200, 5)) * [5, 1, 3, 0.1, 0.5] + [1, 2, 3, 4, 5]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, vec array<double>")
+    placed, shares = principal_components(rows, "id", 2)
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    axes = axes[:, ::-1][:, :2]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(0), range(2)])
+    got = {r.id: r.vec for r in placed.collect()}
+    assert len(got) == 200 and np.allclose([got[i] for i in range(200)], x @ axes, atol=1e-8) and np.allclose(shares, values[::-1][:2] / values.sum())
+    assert principal_components(rows.filter("vec is null"), "id")[0].count() == 0
