@@ -33,3 +33,22 @@ def test_one_task_does_not_count_all_words_of_the_conversations(spark, tmp_path,
     c = base.Conversations(spark, str(tmp_path))
     assert dict(seen)["turn-words"] >= 15
     assert {r.word: r.cnt for r in c.bow.filter("id = 'C3'").collect()}["ord"] == 9.0
+
+
+def test_word_mover_scores_need_no_row_for_each_word(spark):
+    from conceptweave.operators import search
+
+    rng = np.random.default_rng(3)
+    vec = spark.createDataFrame([(i, rng.integers(0, 3, 3).astype(float).tolist()) for i in range(12)], "vec_id long, vec array<double>")  # equal ones among them
+    text = lambda i, n: [(i, f"w{k:02}", 1.0 / n, int(k) % 13) for k in rng.choice(26, n, False)]  # noqa: E731  (vec_id 12 has no vector)
+    q = spark.createDataFrame([r for i in range(4) for r in text(i, 5)], "query_id long, word string, p double, vec_id long")
+    c = spark.createDataFrame([(f"c{i}", w, p, v, float(int(w[1:]) % 4)) for i in range(9) for _, w, p, v in text(i, 6)], "concept_id string, word string, p double, vec_id long, idf double")
+    both = lambda rows: {(r.query_id, r.concept_id): r.distance for r in rows.collect()}
+    known_q, known_c = q.filter("vec_id < 12"), c.filter("vec_id < 12")
+    d = search.distance_tables(vec, known_q, known_c)
+    made = search.wmd_scores(q, c, vec, search.MEASURES)
+    for m in search.MEASURES:
+        assert both(made.filter(F.col("measure") == m)) == both(search.relaxed_wmd(search.selected(known_q, known_c, d, m)))
+    some = spark.createDataFrame([(0, "c3"), (2, "c3"), (3, "c8"), (9, "c1")], "query_id long, concept_id string")
+    assert set(both(search.wmd_scores(q, c, vec, ("fwd",), some))) == {(0, "c3"), (2, "c3"), (3, "c8")}
+    assert "FlatMapCoGroupsInArrow" in made._jdf.queryExecution().optimizedPlan().toString()
