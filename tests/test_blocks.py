@@ -52,3 +52,12 @@ def test_word_mover_scores_need_no_row_for_each_word(spark):
     some = spark.createDataFrame([(0, "c3"), (2, "c3"), (3, "c8"), (9, "c1")], "query_id long, concept_id string")
     assert set(both(search.wmd_scores(q, c, vec, ("fwd",), some))) == {(0, "c3"), (2, "c3"), (3, "c8")}
     assert "FlatMapCoGroupsInArrow" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cbow_goes_on_beyond_the_words_that_the_driver_holds(spark, tmp_path, monkeypatch):
+    from conceptweave.plans import graph_queries
+
+    monkeypatch.setattr(graph_queries, "CBOW_WORDS", 2)
+    spark.createDataFrame([(i, "hus vej by hus vej by skov") for i in range(4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = graph_queries.word2vec_cbow(spark, str(tmp_path)).collect()
+    assert {r.word for r in rows} == {"hus", "vej", "by", "skov"} and all(len(r.vec) == 32 for r in rows)
