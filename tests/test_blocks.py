@@ -61,3 +61,30 @@ def test_cbow_goes_on_beyond_the_words_that_the_driver_holds(spark, tmp_path, mo
     spark.createDataFrame([(i, "hus vej by hus vej by skov") for i in range(4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = graph_queries.word2vec_cbow(spark, str(tmp_path)).collect()
     assert {r.word for r in rows} == {"hus", "vej", "by", "skov"} and all(len(r.vec) == 32 for r in rows)
+
+
+def test_cheapest_partners_are_sought_once_a_vector_not_once_a_word():
+    from conceptweave.operators import search
+
+    rng = np.random.default_rng(7)
+    same, lengths = np.array([0, 1, 1, 2, 0, 3, 3, 3]), np.array([4, 1, 3])  # words of three queries by vector
+    starts, p = np.array([0, 4, 5]), rng.choice([0.25, 0.5], 8)
+    asked = search.Asked(p, same, starts, lengths)
+    row, begin = rng.integers(0, 6, 20), np.array([0, 1, 8, 14])
+    pc, idf = rng.choice([0.1, 0.3], 20), rng.choice([-0.5, 0.0, 1e-12, 0.7], 20)  # words of nearly all texts among them
+    near = np.round(rng.random((6, 4)) * 4) / 4  # equal and zero distances
+    found = search.cheapest(asked, near)
+    assert found[0].shape == (6, 3)  # a vector of a concept and a query, whatever their words
+    for by in (np.ones(20), idf):
+        for forward, made in ((True, search.forward(asked, near[row], pc, by, begin)), (False, search.backward(asked, near, found, row, pc, by, begin))):
+            for k, b in enumerate(begin):
+                rows = range(b, [*begin, 20][k + 1])
+                for q, s in enumerate(starts):
+                    words = range(s, s + lengths[q])
+                    cost, weight = 0.0, 0.0
+                    for one in words if forward else rows:
+                        pairs = [(r, one) for r in rows] if forward else [(one, j) for j in words]
+                        priced = [(np.floor(near[row[r], same[j]] * (pc[r] * p[j] * by[r]) * 1e10 + 0.5), r, j) for r, j in pairs]
+                        _, r, j = min(priced)
+                        cost, weight = cost + near[row[r], same[j]] * pc[r] * p[j] * by[r], weight + pc[r] * p[j] * by[r]
+                    assert np.allclose([made[0][k, q], made[1][k, q]], [cost, weight], atol=1e-9), (forward, k, q)
