@@ -14,6 +14,7 @@ from ..sources.html import html_blocks, inside, unwrapped
 from ..tables import written
 from .cite import span
 from .graph import with_ids
+from .search import spread
 
 NBSP = chr(160)
 
@@ -50,14 +51,14 @@ def law_blocks(laws: DataFrame, html: str = "html") -> DataFrame:
     An LBK is cut before its repealed part, and its paragraphs of general text are no blocks of their own. An LOV is what stands in the
     element INDHOLD; one without it, or without any paragraph there, is read as an LBK.
     """
-    told = laws.select("doc_id", dialect(F.col("doc_type")).alias("dialect"), F.col(html).alias("html"))
+    told = spread(laws.select("doc_id", dialect(F.col("doc_type")).alias("dialect"), F.col(html).alias("html")), "doc_id")
     lov = inside(html_blocks(told.filter("dialect = 'lov'").select("doc_id", squeeze(F.col("html")).alias("html"))), "INDHOLD")
     change = F.col("css_class") == "Aendringspunkt"  # its name ends with the first dot
-    lov = roles(lov, LOV_ROLES).withColumns({
+    lov = written(roles(lov, LOV_ROLES).withColumns({
         "dialect": F.lit("lov"),
         "number": F.when(change, F.concat(F.replace(F.substring_index("text", ".", 1), F.lit(" "), F.lit("")), F.lit(")"))).otherwise(F.col("number")),
         "text": F.when(change, F.regexp_replace("text", r"^[^.]*\.\s*", "")).when(F.col("role").isin("paragraph", "stk", "item"), F.col("plain")).otherwise(F.col("text")),
-    })
+    }), "lov-blocks")
     read = lov.filter("role = 'paragraph'").select("doc_id").distinct()
     lov = lov.join(read, "doc_id", "left_semi")
     rest = told.filter("dialect = 'lbk'").unionByName(told.filter("dialect = 'lov'").join(read, "doc_id", "left_anti"))

@@ -88,3 +88,15 @@ def test_cheapest_partners_are_sought_once_a_vector_not_once_a_word():
                         _, r, j = min(priced)
                         cost, weight = cost + near[row[r], same[j]] * pc[r] * p[j] * by[r], weight + pc[r] * p[j] * by[r]
                     assert np.allclose([made[0][k, q], made[1][k, q]], [cost, weight], atol=1e-9), (forward, k, q)
+
+
+def test_an_ingest_broadcasts_no_table_by_its_compressed_size(spark, monkeypatch):
+    from conceptweave import engine
+
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before, seen = [spark.conf.get(n, None) for n in names], []
+    monkeypatch.setattr(engine, "_epoch", lambda table, path, name, epoch, f=engine._epoch: (seen.append((name, "BroadcastHashJoin" in table._jdf.queryExecution().executedPlan().toString())), f(table, path, name, epoch))[1])
+    html = '<p class="Paragraf"><span class="ParagrafNr">§ 1.</span> Pligten gælder efter § 1, stk. 1. Resten følger af lov om social service.</p>'
+    base = engine.ingest(spark.createDataFrame([("d1", "LBK", "LBK nr 1", "Lov 1", html)], "doc_id string, doc_type string, short_name string, name string, html string"))
+    assert {n for n, _ in seen} >= {"edges", "pending"} and not any(b for _, b in seen)
+    assert base["pending"].count() == 1 and [spark.conf.get(n, None) for n in names] == before
