@@ -100,3 +100,23 @@ def test_an_ingest_broadcasts_no_table_by_its_compressed_size(spark, monkeypatch
     base = engine.ingest(spark.createDataFrame([("d1", "LBK", "LBK nr 1", "Lov 1", html)], "doc_id string, doc_type string, short_name string, name string, html string"))
     assert {n for n, _ in seen} >= {"edges", "pending"} and not any(b for _, b in seen)
     assert base["pending"].count() == 1 and [spark.conf.get(n, None) for n in names] == before
+
+
+def test_vectors_of_whole_trees_are_smoothed_in_one_shuffle(spark, tmp_path):
+    from conceptweave.operators import graph
+    from conceptweave.tables import written
+
+    rng = np.random.default_rng(2)
+    names = [(f"C{c}", []) for c in range(6)] + [(f"T{t}", [f"C{c}"]) for c in range(6) for t in range(3)] + [(f"S{s}", [f"T{t}", f"C{c}"]) for c in range(6) for t in range(3) for s in range(2 + c)]
+    nodes = graph.with_ids(spark.createDataFrame(names, "name string, parents array<string>")).select("id", "parent_id", "level")
+    vec = {r.id: rng.normal(size=3).tolist() for r in nodes.collect()}
+    values = spark.createDataFrame([(r.id, r.level, vec[r.id]) for r in nodes.collect() if r.id != "T1_C2"], "id string, level int, vec array<double>")
+    edges, root, stored = graph.containment_edges(nodes), lambda c: F.substring_index(c, "_", -1), written
+    held = lambda df: {r.id: r.vec for r in df.collect()}
+    by_steps = values
+    for parity in (0, 1, 0, 1):
+        by_steps = graph.half_sweep(by_steps, edges, parity).localCheckpoint()
+    made = graph.propagate_within(values, edges, root, len(vec), 2)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    for one, other in ((held(made), held(by_steps)), (held(graph.propagate_within(values, edges, root, 10 * graph.BLOCK_NODES, 4, 0.3)), held(graph.propagate(values, edges, 0.3, 4, stored)[0]))):
+        assert one.keys() == other.keys() and all(np.allclose(one[i], other[i]) for i in one)
