@@ -120,3 +120,45 @@ def test_vectors_of_whole_trees_are_smoothed_in_one_shuffle(spark, tmp_path):
     assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
     for one, other in ((held(made), held(by_steps)), (held(graph.propagate_within(values, edges, root, 10 * graph.BLOCK_NODES, 4, 0.3)), held(graph.propagate(values, edges, 0.3, 4, stored)[0]))):
         assert one.keys() == other.keys() and all(np.allclose(one[i], other[i]) for i in one)
+
+
+def test_conversations_are_diffused_in_blocks_as_by_joins(spark, tmp_path, monkeypatch):
+    import random
+
+    from conceptweave import tables
+    from conceptweave.operators import graph
+
+    rng = random.Random(11)
+    ids = [f"{n}_C{c}" for c in range(6) for n in "abcdef"]
+    block = lambda c: F.pmod(F.xxhash64(F.substring_index(c, "_", -1)), F.lit(3)).cast("int")
+    idf = {w: k / 5 for k, w in enumerate("uvwxyz")}
+    rows = [(i, w, float(rng.randrange(1, 9)), idf[w]) for i in ids if i[0] != "f" for w in idf if rng.random() < 0.5]
+    bow = spark.createDataFrame(rows, "id string, word string, cnt double, idf double").withColumn("block", block("id"))
+    edges = spark.createDataFrame([(a, b) for a in ids for b in [*ids, *(f"gone_C{c}" for c in range(6))] if a != b and a.split("_")[1] == b.split("_")[1] and rng.random() < 0.4], "src string, dst string")
+    words = spark.createDataFrame(list(idf.items()), "word string, idf double")
+    made = lambda df: {(r.id, r.word): round(r.cnt, 9) for r in df.collect()}
+    monkeypatch.setattr(graph, "DRAWN_ROWS", 7)
+    plain = bow.select("id", "word", "cnt")
+    once, often = graph.diffuse_within(bow, edges, block, 2), graph.diffuse_within(bow, edges, block, 2, 30, freeze=True)
+    assert made(once) == made(graph.diffuse(plain, edges, words)) != made(plain)
+    assert made(often) == made(graph.diffuse_all(plain, edges, words, 30, tables.written)[0]) != made(once)
+    assert {(r.id, r.block) for r in once.join(bow.select("id", F.col("block").alias("b")).distinct(), "id").filter("block <> b").collect()} == set()
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_words_of_one_row_join_nothing_and_nodes_need_no_words(spark, tmp_path, monkeypatch):
+    from conceptweave.plans import base, graph_queries
+
+    turns = [(c, t, f"et ord og et ord til. sær{'abcdef'[c]}. et. ") for c in range(6) for t in range(3)] + [(9, 0, None), (8, 0, "enkelt")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen = []
+    monkeypatch.setattr(base, "written", lambda df, name, w=base.written: (seen.append((name, df._jdf.queryExecution().executedPlan().toString())), w(df, name))[1])
+    assert graph_queries.containment_edges(spark, str(tmp_path)).count() == 2 * (20 + 18 * 3 + 1)
+    assert [n for n, _ in seen] == ["nodes"]
+    monkeypatch.setattr(base, "BLOCK_ROWS", 10)
+    c = base.Conversations(spark, str(tmp_path))
+    assert "SortAggregate" not in dict(seen)["words"]
+    bags = {(r.id, r.word): r.cnt for r in c.bow.collect()}
+    assert bags[("C3", "ord")] == 6.0 and bags[("T1_C3", "til")] == 1.0 and bags[("S1_T1_C3", "særd")] == 1.0 and ("C8", "enkelt") not in bags
+    assert c.bow.select("id", "word").distinct().count() == c.bow.count() and {r.id for r in c.leaves.select("id").distinct().collect()} == {f"S{i}_T{t}_C{k}" for i in range(2) for t in range(3) for k in range(6)}
