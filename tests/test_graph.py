@@ -240,3 +240,19 @@ def test_principal_components_against_a_plain_decomposition(spark):
     got = {r.id: r.vec for r in placed.collect()}
     assert len(got) == 200 and np.allclose([got[i] for i in range(200)], x @ axes, atol=1e-8) and np.allclose(shares, values[::-1][:2] / values.sum())
     assert principal_components(rows.filter("vec is null"), "id")[0].count() == 0
+
+
+def test_tree_distance_of_ids_with_different_ends_compares_no_lists(spark):
+    from conceptweave.operators import evaluate
+
+    ids = ["C1", "C11", "T0_C1", "T1_C1", "S0_T1_C1", "S0_T1_C2", "T1_C2", "1", "S0_S0_T1_C1", ""]
+
+    def loops(a, b):
+        x, y = a.split("_"), b.split("_")
+        k = max((k for k in range(1, min(len(x), len(y)) + 1) if x[-k:] == y[-k:]), default=0)
+        return len(x) + len(y) - 2 * k if k else 10
+
+    one = spark.createDataFrame([(i,) for i in ids], "a string")
+    pairs = one.crossJoin(one.withColumnRenamed("a", "b")).select("a", "b", evaluate.tree_distance(F.col("a"), F.col("b")).alias("d"))
+    assert {(r.a, r.b): r.d for r in pairs.collect()} == {(a, b): loops(a, b) for a in ids for b in ids}
+    assert "substring_index" in pairs._jdf.queryExecution().optimizedPlan().toString()
