@@ -256,3 +256,17 @@ def test_tree_distance_of_ids_with_different_ends_compares_no_lists(spark):
     pairs = one.crossJoin(one.withColumnRenamed("a", "b")).select("a", "b", evaluate.tree_distance(F.col("a"), F.col("b")).alias("d"))
     assert {(r.a, r.b): r.d for r in pairs.collect()} == {(a, b): loops(a, b) for a in ids for b in ids}
     assert "substring_index" in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_in_matrices_is_nearest_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(f"c{i}", rng.integers(0, 3, 3).astype(float).tolist()) for i in range(600)]  # many ties
+    concepts = spark.createDataFrame(rows, "concept_id string, vec array<double>").repartition(5)
+    queries = spark.createDataFrame([(f"q{i}", rng.integers(0, 3, 3).astype(float).tolist()) for i in range(8)], "query_id string, query_vec array<double>")
+    index = search.CellIndex.build(concepts, cells=6, sample=100)
+    made = lambda: sorted(map(tuple, index.nearest(queries, 5)[0].collect()))
+    plan = index.nearest(queries, 5)[0]._jdf.queryExecution().optimizedPlan().toString()
+    few = made()
+    assert "MapInArrow" in plan and "zip_with" not in plan and len(few) == 40
+    monkeypatch.setattr(search, "BROADCAST_ROWS", 0)
+    assert made() == few
