@@ -270,3 +270,18 @@ def test_nearest_in_matrices_is_nearest_by_joins(spark, monkeypatch):
     assert "MapInArrow" in plan and "zip_with" not in plan and len(few) == 40
     monkeypatch.setattr(search, "BROADCAST_ROWS", 0)
     assert made() == few
+
+
+def test_principal_axes_place_means_by_their_words(spark):
+    from conceptweave.functions import vectors as V
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 5)) * [5, 3, 1, 1, 1] + 7
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(90, None), (91, [None] * 5)], "vec_id long, vec array<double>").repartition(3)
+    axes = V.principal_axes(table)
+    want = np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, :2]
+    assert np.allclose(abs((axes * want).sum(0)), 1) and (axes[abs(axes).argmax(0), [0, 1]] > 0).all() and len(V.principal_axes(table.filter("vec is null"))) == 0
+    rows = spark.createDataFrame([(f"n{i % 6}", i, float(i % 4)) for i in range(40)], "id string, vec_id long, w double")
+    means = {r.id: r.vec for r in V.looked_up_vectors(rows, table.filter("vec_id < 90"), "vec_id", "id", F.col("w")).collect()}
+    placed = {r.id: r.vec for r in V.looked_up_vectors(rows, V.on_axes(table.filter("vec_id < 90"), "vec_id", axes), "vec_id", "id", F.col("w")).collect()}
+    assert set(placed) == set(means) and all(np.allclose(placed[k], np.array(means[k]) @ axes) for k in means)
