@@ -161,3 +161,32 @@ def test_blocks_of_both_dialects(spark):
         "b": [("lov", "paragraph", "", "Et fedt ord."), ("lov", "item", "2a)", "I § 3 ændres. Mere.")],
         "c": [("lbk", "paragraph", "§ 1.", "Inde.")],
     }
+
+
+def test_laws_without_links_to_others_are_smoothed_and_diffused_in_blocks_as_by_joins(spark, monkeypatch):
+    from conceptweave.operators import graph
+
+    laws = [law(f"LBK nr {k}", {1: "Katten sover. Hunden sover efter § 2.", 2: "Hunden gør." + " Katten." * k}, f"d{k}") for k in range(1, 5)]
+    laws += [law("LOV nr 8", {1: "Hunden følger § 1 i funktionærloven."}, "d8"), law("LBK nr 1002 af 24/08/2017", {1: "Katten sover."}, "d9")]
+    base = engine.ingest(spark.createDataFrame(laws, LAWS), vectors(spark).select("word"))
+    looped = []
+    monkeypatch.setattr(graph, "propagate", lambda values, *a, f=graph.propagate: (looped.append({r.id.split("_")[-1] for r in values.collect()}), f(values, *a))[1])
+    seen = lambda done: {n: {(r.id, *([r.word] if n == "concept_bow" else [])): [round(x, 9) for x in (r.vec if "vec" in r else [r.cnt])] for r in done[n].collect()} for n in ("concept_vector", "concept_bow", "concept_bow_meanvector")}
+    made, report = engine.finalise(base, vectors(spark))
+    assert looped == [{"LOV nr 8", "LBK nr 1002 af 24/08/2017"}]  # before, all laws went through the loop
+    monkeypatch.setattr(graph, "LARGEST_ROOT", 0)
+    by_joins, same = engine.finalise(base, vectors(spark))
+    assert len(looped[-1]) == 6 and seen(made) == seen(by_joins)
+    strip = lambda rows: [(r["sweep"], r["active"]) for r in rows]
+    assert [strip(report[k]) for k in ("propagate", "diffuse")] == [strip(same[k]) for k in ("propagate", "diffuse")]
+
+
+def test_what_is_asked_in_the_same_words_is_sought_once(spark, base, monkeypatch):
+    done, _ = engine.finalise(base, vectors(spark))
+    asked = []
+    monkeypatch.setattr(search, "measures", lambda q, *a, f=search.measures: (asked.append({r.query_id for r in q.collect()}), f(q, *a))[1])
+    queries = spark.createDataFrame([(4, "Katten sover."), (1, "Katten sover."), (2, "Hunden!"), (3, "Katten sover."), (5, None)], "query_id long, text string")
+    rows = lambda n: {(r.measure, r["rank"], r.concept_id, r.distance) for r in out if r.query_id == n}
+    out = engine.answer(done, vectors(spark), queries).collect()
+    assert asked == [{1, 2}] and {r.query_id for r in out} == {1, 2, 3, 4}
+    assert rows(1) == rows(3) == rows(4) != rows(2) and len({(r.query_id, r.measure, r["rank"]) for r in out}) == len(out)
