@@ -162,3 +162,33 @@ def test_words_of_one_row_join_nothing_and_nodes_need_no_words(spark, tmp_path,
     bags = {(r.id, r.word): r.cnt for r in c.bow.collect()}
     assert bags[("C3", "ord")] == 6.0 and bags[("T1_C3", "til")] == 1.0 and bags[("S1_T1_C3", "særd")] == 1.0 and ("C8", "enkelt") not in bags
     assert c.bow.select("id", "word").distinct().count() == c.bow.count() and {r.id for r in c.leaves.select("id").distinct().collect()} == {f"S{i}_T{t}_C{k}" for i in range(2) for t in range(3) for k in range(6)}
+
+
+def test_top_terms_shuffle_and_write_no_bags(spark, monkeypatch):
+    import math
+    import random
+    from collections import Counter
+
+    from conceptweave.operators import stats
+
+    rng = random.Random(4)
+    words = [f"{a}{b}ord" for a in "bcdfgh" for b in "aeiouy"]
+    texts = [(i % 37, " ".join(rng.choice(words[: 1 + rng.randrange(len(words))]) for _ in range(rng.randrange(30)))) for i in range(40)] + [(90, None), (91, "xyord " * 3 + "kord"), (None, "bord xyord")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bags = {}
+    for i, t in texts:
+        bags.setdefault(i, Counter()).update((t or "").split())
+    df = Counter(w for b in bags.values() for w in b)
+    made, seen = {}, {}
+    monkeypatch.setattr(stats, "written", lambda d, name, w=stats.written: (seen.setdefault(name, d._jdf.queryExecution().executedPlan().toString()), w(d, name))[1])
+    for most in (0, 12, 10_000):  # all words rare, some, none
+        monkeypatch.setattr(stats, "BROADCAST_WORDS", most)
+        made[most] = {(r.doc_id, r["rank"]): (r.word, r.score) for r in stats.top_terms(docs, k=3).collect()}
+    expected = {}
+    for i, b in bags.items():
+        scores = sorted((-math.floor(c / sum(b.values()) * math.log(len(texts) / (df[w] + 1)) * 1e6 + 0.5) / 1e6, w) for w, c in b.items())
+        expected |= {(i, k + 1): (w, -s) for k, (s, w) in enumerate(scores[:3])}
+    assert made[0] == made[12] == made[10_000] and made[0].keys() == expected.keys()
+    assert all(made[0][x][0] == expected[x][0] and abs(made[0][x][1] - expected[x][1]) < 1.5e-6 for x in expected)
+    assert "bags" not in seen and seen["candidates"].count("Exchange hashpartitioning") == 1  # the texts, by key
+    assert stats.common_from(spark.createDataFrame([(1,), (2,), (3,), (4,)], "df long"), 3) == 2
