@@ -192,3 +192,23 @@ def test_top_terms_shuffle_and_write_no_bags(spark, monkeypatch):
     assert all(made[0][x][0] == expected[x][0] and abs(made[0][x][1] - expected[x][1]) < 1.5e-6 for x in expected)
     assert "bags" not in seen and seen["candidates"].count("Exchange hashpartitioning") == 1  # the texts, by key
     assert stats.common_from(spark.createDataFrame([(1,), (2,), (3,), (4,)], "df long"), 3) == 2
+
+
+def test_each_block_of_bags_has_a_task_of_its_own(spark, tmp_path, monkeypatch):
+    from conceptweave.plans import base
+
+    turns = [(c, t, f"et ord og et ord til. sær{'abcdef'[c % 6]}. et. ") for c in range(40) for t in range(2)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(base, "BLOCK_ROWS", 20)
+    c, held = base.Conversations(spark, str(tmp_path)), {}
+
+    def seen(df, name, w=base.written):
+        if name == "bags":
+            for r in df.select("block", F.spark_partition_id().alias("task")).distinct().collect():
+                held.setdefault(r.task, set()).add(r.block)
+        return w(df, name)
+
+    monkeypatch.setattr(base, "written", seen)
+    assert c.bow.filter("id = 'C7' and word = 'ord'").first().cnt == 4.0
+    assert len(held) > 15 and all(len(blocks) == 1 for blocks in held.values())
