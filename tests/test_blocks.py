@@ -212,3 +212,20 @@ def test_each_block_of_bags_has_a_task_of_its_own(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(base, "written", seen)
     assert c.bow.filter("id = 'C7' and word = 'ord'").first().cnt == 4.0
     assert len(held) > 15 and all(len(blocks) == 1 for blocks in held.values())
+
+
+def test_classified_citations_send_no_texts_to_the_driver(spark, tmp_path, monkeypatch):
+    from conceptweave.plans import graph_queries
+
+    spark.range(200).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    plans = []
+
+    def noted(df, name, w=graph_queries.written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return w(df, name)
+
+    monkeypatch.setattr(graph_queries, "written", noted)
+    result = graph_queries.ref_classify(spark, str(tmp_path))
+    joins = "\n".join([*plans[1:], result._jdf.queryExecution().executedPlan().toString()])  # the first one has the 90 paragraphs
+    assert "SortMergeJoin" in joins and "BroadcastHashJoin" not in joins
+    assert {r.ref_class for r in result.collect()} == {"internal", "external", "unresolved"}
