@@ -190,3 +190,14 @@ def test_what_is_asked_in_the_same_words_is_sought_once(spark, base, monkeypatch
     out = engine.answer(done, vectors(spark), queries).collect()
     assert asked == [{1, 2}] and {r.query_id for r in out} == {1, 2, 3, 4}
     assert rows(1) == rows(3) == rows(4) != rows(2) and len({(r.query_id, r.measure, r["rank"]) for r in out}) == len(out)
+
+
+def test_a_finished_base_and_its_answers_send_nothing_large_to_the_driver(spark, base, monkeypatch):
+    """Estimates of compressed tables decide what is broadcast, so the limit is low while tables are written, and answers hold no join for later."""
+    limits, name = [], "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(engine, "written", lambda df, n, w=engine.written: (limits.append(int(spark.conf.get(name))), w(df, n))[1])
+    done, _ = engine.finalise(base, vectors(spark))
+    out = engine.answer(done, vectors(spark), spark.createDataFrame([(1, "Katten sover."), (2, "Katten sover.")], "query_id long, text string"))
+    assert len(limits) > 10 and max(limits) <= engine.BROADCAST_BYTES and spark.conf.get(name) == before
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString() and {r.query_id for r in out.collect()} == {1, 2}
